@@ -99,3 +99,154 @@ base AS (SELECT * FROM papers WHERE nullif(title, '') IS NOT NULL AND nullif(abs
 SELECT database, count(*) AS n_records FROM c4
 WHERE {search.boolean_search_sql(FLAGSHIP_QUERY, ['title', 'abstract'])}
 GROUP BY database"""))
+
+
+# --- filters and cleaning --------------------------------------------------------------
+
+from ..functions import dates as D          # noqa: E402
+from ..functions import language as L       # noqa: E402
+from ..functions import text as T           # noqa: E402
+from ..plans import curation as M           # noqa: E402
+
+# Fixed query parameters: corpus words (the reference's block-list words never
+# occur in the generated prose, so they are kept and joined by corpus words).
+TITLE_TERMS = filters.TITLE_BLOCK_TERMS + ["thth", "eau"]
+ABSTRACT_WORDS = filters.ABSTRACT_BLOCK_WORDS + ["est", "para"]
+KEYWORDS = ["thing", "that is"]
+SYNONYMS = {"thing": ["stuff", "ouen"], "that is": ["this is", "it was"]}
+
+
+def _re2_words(words) -> str:
+    alt = "|".join(T.regex_escape(w.lower()) for w in words)
+    wc = T.WORD_CLASS[1:-1]
+    return f"(^|[^{wc}])({alt})([^{wc}]|$)"
+
+
+@register("require_text", _w(f"""
+WITH {O.PAPERS_CTE}
+SELECT {OUT_SQL} FROM papers WHERE nullif(title, '') IS NOT NULL AND nullif(abstract, '') IS NOT NULL"""))
+def q_require_text(spark, sf):
+    return filters.require_text(tables.papers(spark, sf)).select(*OUT)
+
+
+@register("exclude_title_terms", _w(f"""
+WITH {O.PAPERS_CTE}
+SELECT {OUT_SQL} FROM papers
+WHERE NOT regexp_matches(lower(title), '{"|".join(T.regex_escape(t) for t in TITLE_TERMS)}')"""))
+def q_exclude_title_terms(spark, sf):
+    return filters.exclude_title_terms(tables.papers(spark, sf), TITLE_TERMS).select(*OUT)
+
+
+@register("exclude_abstract_words", _w(f"""
+WITH {O.PAPERS_CTE}
+SELECT {OUT_SQL} FROM papers WHERE NOT regexp_matches(lower(abstract), '{_re2_words(ABSTRACT_WORDS)}')"""))
+def q_exclude_abstract_words(spark, sf):
+    return filters.exclude_abstract_words(tables.papers(spark, sf), ABSTRACT_WORDS).select(*OUT)
+
+
+@register("declared_language", _w(f"""
+WITH {O.PAPERS_CTE}
+SELECT {OUT_SQL} FROM papers WHERE contains(lang, 'en')"""))
+def q_declared_language(spark, sf):
+    return filters.filter_language(tables.papers(spark, sf), "en", col="lang").select(*OUT)
+
+
+@register("detect_language", _w(f"""
+SELECT doc_id, lang, {L.detect_language_sql('text')} AS detected FROM documents"""))
+def q_detect_language(spark, sf):
+    d = tables.table(spark, sf, "documents")
+    return L.with_language(d, "text", "detected").select("doc_id", "lang", "detected")
+
+
+@register("language_accuracy", _w(f"""
+SELECT lang, count(*) AS n, CAST(sum(CASE WHEN detected = lang THEN 1 ELSE 0 END) AS BIGINT) AS n_agree
+FROM (SELECT lang, {L.detect_language_sql('text')} AS detected FROM documents) GROUP BY lang"""))
+def q_language_accuracy(spark, sf):
+    d = L.with_language(tables.table(spark, sf, "documents"), "text", "detected")
+    return d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"),
+                                 F.sum(F.when(F.col("detected") == F.col("lang"), 1).otherwise(0)).cast("long").alias("n_agree"))
+
+
+@register("between_dates", _w(f"""
+WITH {O.PAPERS_CTE}
+SELECT {OUT_SQL} FROM papers WHERE publication_date BETWEEN DATE '2017-03-01' AND DATE '2021-10-31'"""))
+def q_between_dates(spark, sf):
+    return filters.between_dates(tables.papers(spark, sf), "2017-03-01", "2021-10-31").select(*OUT)
+
+
+@register("between_years", _w(f"""
+WITH {O.PAPERS_CTE}
+SELECT {OUT_SQL} FROM papers WHERE year(publication_date) BETWEEN 2018 AND 2020"""))
+def q_between_years(spark, sf):
+    return filters.between_years(tables.papers(spark, sf), 2018, 2020).select(*OUT)
+
+
+def _keyword_sql(mode: str) -> str:
+    text = (f"array_to_string(list_transform(string_split({O.norm_search('abstract')}, ' '), "
+            f"lambda t: {T.lemma_token_sql('t')}), ' ')")
+    conds = []
+    for alts in search.keyword_terms(KEYWORDS, SYNONYMS, mode):
+        conds.append(f"regexp_matches({text}, '{_re2_words(alts)}')")
+    return (f"WITH {O.PAPERS_CTE},\nk AS (SELECT * FROM papers WHERE abstract IS NOT NULL AND {' AND '.join(conds)})\n"
+            f"SELECT {OUT_SQL} FROM k QUALIFY row_number() OVER (PARTITION BY title ORDER BY ord) = 1")
+
+
+@register("keyword_filter", _keyword_sql("phrase"))
+def q_keyword_filter(spark, sf):
+    return search.filter_keywords(tables.papers(spark, sf), KEYWORDS, SYNONYMS).select(*OUT)
+
+
+@register("keyword_filter_tokens", _keyword_sql("tokens"))
+def q_keyword_filter_tokens(spark, sf):
+    return search.filter_keywords(tables.papers(spark, sf), KEYWORDS, SYNONYMS, mode="tokens").select(*OUT)
+
+
+BOOLEAN_QUERIES = {
+    "boolean_search": "'that is' AND (thing OR 'it was') OR \"ouen\"",
+    "boolean_search_synonyms": "thing && ('with the' || 'for')",
+}
+
+
+def _bool_q(name, query, synonyms=None):
+    sql = _w(f"""
+WITH {O.PAPERS_CTE}
+SELECT {OUT_SQL} FROM papers WHERE {search.boolean_search_sql(query, ['title', 'abstract'], synonyms)}""")
+
+    def fn(spark, sf):
+        return search.boolean_search(tables.papers(spark, sf), query, ["title", "abstract"], synonyms).select(*OUT)
+    REGISTRY[name] = (fn, sql)
+
+
+_bool_q("boolean_search", BOOLEAN_QUERIES["boolean_search"])
+_bool_q("boolean_search_synonyms", BOOLEAN_QUERIES["boolean_search_synonyms"], SYNONYMS)
+
+
+@register("source_constraints", _w(f"""
+WITH {O.PAPERS_CTE}
+SELECT {OUT_SQL} FROM papers WHERE database IN ('arxiv', 'scopus', 'core')
+  AND NOT regexp_matches(lower(title), '{"|".join(T.regex_escape(t) for t in TITLE_TERMS)}')
+  AND NOT regexp_matches(lower(abstract), '{_re2_words(ABSTRACT_WORDS)}')
+  AND contains(lang, 'en')"""))
+def q_source_constraints(spark, sf):
+    p = filters.filter_doc_types(tables.papers(spark, sf), ["arxiv", "scopus", "core"], col="database")
+    p = filters.exclude_abstract_words(filters.exclude_title_terms(p, TITLE_TERMS), ABSTRACT_WORDS)
+    return filters.filter_language(p, "en", col="lang").select(*OUT)
+
+
+@register("clean_records", _w(f"""
+WITH {O.PAPERS_CTE}
+SELECT {OUT_SQL} FROM papers
+WHERE nullif(title, '') IS NOT NULL AND nullif(abstract, '') IS NOT NULL
+  AND NOT regexp_matches(lower(title), '{"|".join(T.regex_escape(t) for t in TITLE_TERMS)}')
+  AND NOT regexp_matches(lower(abstract), '{_re2_words(ABSTRACT_WORDS)}')
+  AND {L.detect_language_sql('abstract')} = 'en'"""))
+def q_clean_records(spark, sf):
+    return M.clean_papers(tables.papers(spark, sf), TITLE_TERMS, ABSTRACT_WORDS).select(*OUT)
+
+
+@register("parse_dates", _w(f"""
+SELECT ord, date_text, CAST(parsed AS VARCHAR) AS parsed
+FROM ({D.parse_dates_sql(tables.date_texts_sql('documents'), ['ord', 'date_text'], 'date_text')}) p"""))
+def q_parse_dates(spark, sf):
+    df = D.parse_dates(tables.date_texts(spark, sf), "date_text", "parsed")
+    return df.select("ord", "date_text", F.col("parsed").cast("string").alias("parsed"))

@@ -106,3 +106,57 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("not included").alias("status"),
         (t0 + F.make_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(1), F.lit(0), F.lit(0), F.col("doc_id").cast("double"))).alias("ts"))
     return first.unionByName(second)
+
+
+# The date-text shapes the ladder has rules for, filled from each
+# document's derived publication date.  Shape k is used for doc_id % 16 = k.
+_MON = "array('Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec')"
+_FULL = ("array('January','February','March','April','May','June','July','August','September',"
+         "'October','November','December')")
+DATE_SHAPES = [
+    "y",                                   # 2019          (years 2023/2024 become 2000)
+    "y || '.0'",                           # 2019.0
+    "y || '-' || lpad(m, 2, '0') || '-' || lpad(d, 2, '0') || 'T10:00:00Z'",
+    "mon || '. ' || d || ', ' || y",       # Mar. 5, 2018
+    "mon || '-' || mon2 || ' ' || y",      # Mar-Apr 2017
+    "mon || '.-' || mon2 || '. ' || y",    # Mar.-Apr. 2017
+    "fullm || ' ' || y",                    # June 2015
+    "mon || '-' || y",                     # Jul-2014
+    "d || '-' || d2 || ' ' || mon || '. ' || y",              # 3-5 Aug. 2013
+    "d || ' ' || mon || '-' || d2 || ' ' || mon2 || '. ' || y",  # 30 Sep-2 Oct. 2012
+    "q || ' ' || y",                       # Firstquarter 2011
+    "'[[issued]]' || y",
+    "'Issued on: ' || y || '-' || lpad(m, 2, '0') || '-' || lpad(d, 2, '0')",
+    "d || ' ' || fullm || d2 || ', ' || y", # 5 June7, 2011
+    "'n/a'",
+    "'0'",
+]
+
+
+def date_texts_sql(src: str = "documents") -> str:
+    """DuckDB SQL deriving one messy date string per document (Spark variant below)."""
+    shape = " ".join(f"WHEN {k} THEN {s}" for k, s in enumerate(DATE_SHAPES))
+    return (f"""
+SELECT doc_id AS ord, CASE doc_id % {len(DATE_SHAPES)} {shape} END AS date_text
+FROM (SELECT doc_id,
+             CAST(2010 + doc_id % 15 AS VARCHAR(8)) AS y,
+             CAST(1 + doc_id % 12 AS VARCHAR(4)) AS m,
+             CAST(1 + doc_id % 28 AS VARCHAR(4)) AS d,
+             CAST(1 + (doc_id + 3) % 28 AS VARCHAR(4)) AS d2,
+             {_MON}[CAST(1 + doc_id % 12 AS INT)] AS mon,
+             {_MON}[CAST(1 + (doc_id + 1) % 12 AS INT)] AS mon2,
+             {_FULL}[CAST(1 + doc_id % 12 AS INT)] AS fullm,
+             array('Firstquarter','Secondquarter','Thirdquarter','Fourthquarter')[CAST(1 + doc_id % 4 AS INT)] AS q
+      FROM {src}) t
+""").replace("array(", "list_value(")
+
+
+def date_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messy date strings derived from ``documents`` (one per row)."""
+    table(spark, sf_dir, "documents").createOrReplaceTempView("__cur_documents")
+    sql = date_texts_sql("__cur_documents").replace("list_value(", "array(")
+    # Spark arrays are 0-based with [], DuckDB lists 1-based: use element_at in Spark.
+    sql = sql.replace(f"{_MON}[", f"element_at({_MON}, ").replace(f"{_FULL}[", f"element_at({_FULL}, ")
+    sql = sql.replace("'Fourthquarter')[", "'Fourthquarter'), ").replace("AS INT)] AS", "AS INT)) AS")
+    sql = sql.replace("VARCHAR(8)", "STRING").replace("VARCHAR(4)", "STRING").replace("array('Firstquarter'", "element_at(array('Firstquarter'")
+    return spark.sql(sql)
