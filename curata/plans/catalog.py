@@ -250,3 +250,270 @@ FROM ({D.parse_dates_sql(tables.date_texts_sql('documents'), ['ord', 'date_text'
 def q_parse_dates(spark, sf):
     df = D.parse_dates(tables.date_texts(spark, sf), "date_text", "parsed")
     return df.select("ord", "date_text", F.col("parsed").cast("string").alias("parsed"))
+
+
+# --- relevance, citations, decisions, review ------------------------------------------
+
+from ..operators import aggregates as A     # noqa: E402
+from ..operators import joins as J          # noqa: E402
+from ..operators import ordering as G       # noqa: E402
+from ..operators import relevance as S      # noqa: E402
+from ..operators import review as R         # noqa: E402
+
+S1_LABEL, S1_T, S2_T, TOPK = 0, 0.15, 0.012, 10
+
+
+def vectors(spark, sf) -> DataFrame:
+    e = tables.table(spark, sf, "embeddings")
+    return e.select((F.col("vec_id") + 1).alias("id"), "embedding", "label")
+
+
+def with_vectors(df: DataFrame, spark, sf) -> DataFrame:
+    return df.join(vectors(spark, sf).select("id", "embedding"), "id")
+
+
+def s1_scored(spark, sf) -> DataFrame:
+    v = vectors(spark, sf)
+    q = S.centroid(v.filter(F.col("label") == S1_LABEL))
+    p = with_vectors(tables.papers(spark, sf), spark, sf)
+    return S.semantic_filter(p, q, S1_T)
+
+
+@register("semantic_filter", _w(f"""
+WITH {O.PAPERS_CTE}, {O.VECS_CTE},
+{O.centroid_cte('cen', 'vecs WHERE label = 0')}
+SELECT p.id, p.ord, round({O.cos_to('cen', True)}, 6) AS semantic_score
+FROM papers p JOIN vecs USING (id), cen
+WHERE {O.cos_to('cen', True)} >= {S1_T}"""))
+def q_semantic_filter(spark, sf):
+    return s1_scored(spark, sf).select("id", "ord", F.round("semantic_score", 6).alias("semantic_score"))
+
+
+@register("semantic_top_k", _w(f"""
+WITH {O.PAPERS_CTE}, {O.VECS_CTE},
+{O.centroid_cte('cen', 'vecs WHERE label = 0')}
+SELECT p.id, p.ord, round({O.cos_to('cen', True)}, 6) AS semantic_score
+FROM papers p JOIN vecs USING (id), cen
+ORDER BY {O.cos_to('cen', True)} DESC, p.ord LIMIT {TOPK}"""))
+def q_semantic_top_k(spark, sf):
+    v = vectors(spark, sf)
+    q = S.centroid(v.filter(F.col("label") == S1_LABEL))
+    p = S.semantic_scores(with_vectors(tables.papers(spark, sf), spark, sf), q)
+    return G.top_k(p, "semantic_score", TOPK).select("id", "ord", F.round("semantic_score", 6).alias("semantic_score"))
+
+
+def selected(spark, sf) -> DataFrame:
+    """Records whose latest decision is 'included'."""
+    return J.apply_decisions(tables.papers(spark, sf), tables.decisions(spark, sf)).filter(F.col("status") == "included")
+
+
+def removed(spark, sf) -> DataFrame:
+    return J.apply_decisions(tables.papers(spark, sf), tables.decisions(spark, sf)).filter(
+        F.col("status").isin("not included", "excluded"))
+
+
+SEL_SQL = f"""{O.PAPERS_CTE}, {O.DECISIONS_CTE}, {O.LAST_CTE},
+decided AS (SELECT p.* EXCLUDE (status), coalesce(l.status, p.status) AS status FROM papers p LEFT JOIN last l USING (id)),
+sel AS (SELECT * FROM decided WHERE status = 'included'),
+rem AS (SELECT * FROM decided WHERE status IN ('not included', 'excluded'))"""
+
+
+@register("seed_relevance", _w(f"""
+WITH {SEL_SQL}, {O.VECS_CTE},
+{O.centroid_cte('cen', 'vecs WHERE id IN (SELECT id FROM sel)')},
+cand AS (SELECT * FROM papers WHERE id NOT IN (SELECT id FROM sel))
+SELECT c.id, c.ord, round({O.cos_to('cen', False)}, 6) AS semantic_score
+FROM cand c JOIN vecs USING (id), cen
+WHERE {O.cos_to('cen', False)} >= {S2_T}"""))
+def q_seed_relevance(spark, sf):
+    seeds = with_vectors(selected(spark, sf), spark, sf)
+    cand = with_vectors(tables.papers(spark, sf).join(selected(spark, sf).select("id"), "id", "left_anti"), spark, sf)
+    return S.relevance_to_seeds(cand, seeds, S2_T).select("id", "ord", F.round("semantic_score", 6).alias("semantic_score"))
+
+
+@register("seed_relevance_pairwise", _w(f"""
+WITH {SEL_SQL}, {O.VECS_CTE},
+seeds AS (SELECT v AS sv, n AS sn FROM vecs WHERE id IN (SELECT id FROM sel)),
+cand AS (SELECT c.id, c.ord, v, n FROM papers c JOIN vecs USING (id) WHERE c.id NOT IN (SELECT id FROM sel))
+SELECT id, ord, round(avg(CASE WHEN n > 0 AND sn > 0 THEN list_inner_product(v, sv) / n / sn ELSE 0.0 END), 6) AS semantic_score
+FROM cand, seeds GROUP BY id, ord
+HAVING avg(CASE WHEN n > 0 AND sn > 0 THEN list_inner_product(v, sv) / n / sn ELSE 0.0 END) >= {S2_T}"""))
+def q_seed_relevance_pairwise(spark, sf):
+    # Same operator as seed_relevance; the oracle is the all-pairs mean.
+    return q_seed_relevance(spark, sf)
+
+
+@register("apply_decisions", _w(f"""
+WITH {SEL_SQL}
+SELECT id, ord, status FROM decided"""))
+def q_apply_decisions(spark, sf):
+    return J.apply_decisions(tables.papers(spark, sf), tables.decisions(spark, sf)).select("id", "ord", "status")
+
+
+@register("status_filter", _w(f"""
+WITH {SEL_SQL}
+SELECT id, ord, status FROM decided WHERE status IN ('not included', 'excluded')"""))
+def q_status_filter(spark, sf):
+    d = J.apply_decisions(tables.papers(spark, sf), tables.decisions(spark, sf))
+    return filters.by_status(d, "not included", "excluded").select("id", "ord", "status")
+
+
+def citations_of_selected(spark, sf) -> DataFrame:
+    return J.expand_citations(selected(spark, sf), tables.citations(spark, sf), tables.papers(spark, sf))
+
+
+CITES_SQL = f"""{SEL_SQL}, {O.CITATIONS_CTE},
+hits AS (SELECT DISTINCT citing_ord FROM citations WHERE cited_ord IN (SELECT ord FROM sel)),
+cites AS (SELECT * EXCLUDE (query_name, type, status), 'citation' AS query_name, 'citation' AS type, 'unknown' AS status
+          FROM papers WHERE ord IN (SELECT citing_ord FROM hits)
+            AND nullif(title, '') IS NOT NULL AND nullif(abstract, '') IS NOT NULL
+          QUALIFY row_number() OVER (PARTITION BY title ORDER BY ord) = 1)"""
+
+
+@register("citation_expansion", _w(f"""
+WITH {CITES_SQL}
+SELECT {OUT_SQL} FROM cites"""))
+def q_citation_expansion(spark, sf):
+    return citations_of_selected(spark, sf).select(*OUT)
+
+
+@register("undecided", _w(f"""
+WITH {CITES_SQL},
+cand AS (SELECT id, ord, doi, database, query_name, title FROM papers
+         UNION ALL SELECT id, ord + {A.ORD_STRIDE}, doi, database, query_name, title FROM cites),
+kept AS (SELECT * FROM cand WHERE doi IS NULL OR doi NOT IN (SELECT doi FROM sel WHERE doi IS NOT NULL UNION SELECT doi FROM rem WHERE doi IS NOT NULL))
+{O.keep_first('kept', 'doi', 'all').replace('SELECT *', 'SELECT ' + OUT_SQL)}"""))
+def q_undecided(spark, sf):
+    orig = tables.papers(spark, sf).select(*OUT)
+    cites = citations_of_selected(spark, sf).select(*OUT).withColumn("ord", F.col("ord") + F.lit(A.ORD_STRIDE))
+    return J.undecided(orig, selected(spark, sf), cites, removed(spark, sf), mode="clean").select(*OUT)
+
+
+@register("undecided_parity", _w(f"""
+WITH {CITES_SQL},
+u AS (SELECT id, ord, doi, database, query_name, title FROM papers
+      UNION ALL SELECT id, ord, doi, database, query_name, title FROM sel
+      UNION ALL SELECT id, ord, doi, database, query_name, title FROM cites
+      UNION ALL SELECT id, ord, doi, database, query_name, title FROM rem)
+SELECT * FROM u QUALIFY count(*) OVER (PARTITION BY coalesce(doi, chr(0) || 'null')) = 1"""))
+def q_undecided_parity(spark, sf):
+    return J.undecided(tables.papers(spark, sf).select(*OUT), selected(spark, sf).select(*OUT),
+                       citations_of_selected(spark, sf).select(*OUT), removed(spark, sf).select(*OUT),
+                       mode="parity").select(*OUT)
+
+
+@register("singletons", _w(f"""
+WITH {O.PAPERS_CTE}
+SELECT {OUT_SQL} FROM papers QUALIFY count(*) OVER (PARTITION BY lower(doi)) = 1"""))
+def q_singletons(spark, sf):
+    return dedup.singletons(tables.papers(spark, sf), F.lower(F.col("doi"))).select(*OUT)
+
+
+@register("review_dedup", _w(f"""
+WITH {O.PAPERS_CTE},
+r1 AS ({O.keep_first('papers', 'lower(title)')}),
+r2 AS ({O.keep_first('r1', "replace(lower(abstract), ' ', '')")})
+SELECT {OUT_SQL} FROM r2"""))
+def q_review_dedup(spark, sf):
+    return dedup.review_dedup(tables.papers(spark, sf)).select(*OUT)
+
+
+@register("review_progress", _w(f"""
+WITH {SEL_SQL}
+SELECT count(*) AS total, count_if(status = 'unknown') AS unknown, count_if(status = 'included') AS included,
+       count_if(status IN ('not included', 'excluded')) AS excluded,
+       CASE WHEN count(*) > 0 THEN round((count(*) - count_if(status = 'unknown')) / count(*) * 100, 2) ELSE 0.0 END AS progress
+FROM decided"""))
+def q_review_progress(spark, sf):
+    return R.review_progress(J.apply_decisions(tables.papers(spark, sf), tables.decisions(spark, sf)))
+
+
+@register("review_progress_by_source", _w(f"""
+WITH {SEL_SQL}
+SELECT database, count(*) AS total, count_if(status = 'unknown') AS unknown, count_if(status = 'included') AS included,
+       count_if(status IN ('not included', 'excluded')) AS excluded,
+       CASE WHEN count(*) > 0 THEN round((count(*) - count_if(status = 'unknown')) / count(*) * 100, 2) ELSE 0.0 END AS progress
+FROM decided GROUP BY database"""))
+def q_review_progress_by_source(spark, sf):
+    return R.review_progress(J.apply_decisions(tables.papers(spark, sf), tables.decisions(spark, sf)), ["database"])
+
+
+@register("volume_profile", _w(f"""
+WITH {O.PAPERS_CTE},
+y AS (SELECT query_name, database, year(publication_date) AS year, count(*) AS n_year FROM papers GROUP BY ALL)
+SELECT query_name, database, CAST(sum(n_year) AS BIGINT) AS total, count(*) AS n_years, min(year) AS first_year,
+       max(year) AS last_year, CAST(ceil(sum(n_year) / 25) AS BIGINT) AS pages
+FROM y GROUP BY query_name, database"""))
+def q_volume_profile(spark, sf):
+    return A.volume_profile(tables.papers(spark, sf), 25)
+
+
+@register("stage_counts", _w(f"""
+WITH {O.PAPERS_CTE}, {O.cascade('papers', 'all')}
+SELECT 'raw' AS stage, count(*) AS n_rows FROM papers
+UNION ALL SELECT 'with_text', count(*) FROM papers WHERE nullif(title, '') IS NOT NULL AND nullif(abstract, '') IS NOT NULL
+UNION ALL SELECT 'deduplicated', count(*) FROM c4"""))
+def q_stage_counts(spark, sf):
+    p = tables.papers(spark, sf)
+    return A.stage_counts({"raw": p, "with_text": filters.require_text(p), "deduplicated": dedup.remove_repeated(p)})
+
+
+@register("sort_records", _w(f"""
+WITH {O.PAPERS_CTE}
+SELECT {OUT_SQL}, CAST(publication_date AS VARCHAR) AS publication_date FROM papers ORDER BY publication_date DESC, ord"""))
+def q_sort_records(spark, sf):
+    return G.sort_records(tables.papers(spark, sf), ["publication_date"], True).select(
+        *OUT, F.col("publication_date").cast("string").alias("publication_date"))
+
+
+@register("page", _w(f"""
+WITH {O.PAPERS_CTE}
+SELECT {OUT_SQL} FROM papers ORDER BY ord LIMIT 50 OFFSET 100"""))
+def q_page(spark, sf):
+    return G.page(tables.papers(spark, sf), ["ord"], 100, 50).select(*OUT)
+
+
+@register("cap_per_group", _w(f"""
+WITH {O.PAPERS_CTE}
+SELECT {OUT_SQL} FROM papers QUALIFY row_number() OVER (PARTITION BY database ORDER BY publication_date DESC, ord) <= 5"""))
+def q_cap_per_group(spark, sf):
+    return G.cap_per_group(tables.papers(spark, sf), ["database"],
+                           [F.col("publication_date").desc(), F.col("ord")], 5).select(*OUT)
+
+
+@register("review_batch", _w(f"""
+WITH {O.PAPERS_CTE},
+r1 AS ({O.keep_first('papers', 'lower(title)')}),
+r2 AS ({O.keep_first('r1', "replace(lower(abstract), ' ', '')")})
+SELECT {OUT_SQL} FROM r2 WHERE status = 'unknown' ORDER BY md5(CAST(ord AS VARCHAR) || ':7'), ord LIMIT 20"""))
+def q_review_batch(spark, sf):
+    return R.review_batch(tables.papers(spark, sf), 20, seed=7).select(*OUT)
+
+
+@register("review_round", _w(f"""
+WITH {O.PAPERS_CTE}, {O.DECISIONS_CTE}, {O.LAST_CTE},
+r1 AS ({O.keep_first('papers', 'lower(title)')}),
+r2 AS ({O.keep_first('r1', "replace(lower(abstract), ' ', '')")}),
+d AS (SELECT r2.* EXCLUDE (status), coalesce(l.status, r2.status) AS status FROM r2 LEFT JOIN last l USING (id))
+SELECT row_number() OVER (ORDER BY ord) AS id, ord, doi, title, 'unknown' AS status FROM d WHERE status = 'included'"""))
+def q_review_round(spark, sf):
+    inc, _removed, _upd = R.review_round(tables.papers(spark, sf), tables.decisions(spark, sf), "abstract")
+    return inc.select("id", "ord", "doi", "title", "status")
+
+
+@register("dense_id", _w(f"""
+WITH {O.PAPERS_CTE}
+SELECT row_number() OVER (ORDER BY ord) AS id, ord FROM papers WHERE nullif(title, '') IS NOT NULL AND nullif(abstract, '') IS NOT NULL"""))
+def q_dense_id(spark, sf):
+    p = filters.require_text(tables.papers(spark, sf)).drop("id")
+    return G.with_dense_id(p).select("id", "ord")
+
+
+@register("union_aligned", _w(f"""
+WITH {CITES_SQL}
+SELECT id, ord, doi, database, query_name, title, NULL AS url FROM papers
+UNION ALL SELECT id, ord + {A.ORD_STRIDE}, doi, database, query_name, title, url FROM cites"""))
+def q_union_aligned(spark, sf):
+    p = tables.papers(spark, sf).select(*OUT)
+    c = citations_of_selected(spark, sf).select(*OUT, "url")
+    return A.union_aligned(p, c).select(*OUT, "url")

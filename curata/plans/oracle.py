@@ -65,3 +65,26 @@ def cascade(src: str, doi_nulls: str = "all", prefix: str = "c") -> str:
             f"{prefix}2 AS ({keep_first(prefix + '1', norm_dedup('title'))}),\n"
             f"{prefix}3 AS (SELECT * FROM {prefix}2 WHERE nullif(abstract, '') IS NOT NULL AND nullif(title, '') IS NOT NULL),\n"
             f"{prefix}4 AS ({keep_first(prefix + '3', norm_dedup('abstract'))})")
+
+LAST_CTE = """last AS (SELECT id, arg_max(status, ts) AS status FROM decisions GROUP BY id)"""
+
+VECS_CTE = """vecs AS (SELECT vec_id + 1 AS id, CAST(embedding AS DOUBLE[]) AS v, label,
+                 sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n
+          FROM embeddings)"""
+
+
+def centroid_cte(name: str, src: str) -> str:
+    """``name`` AS one row with list ``c``: mean of unit vectors of ``src`` (cols v, n)."""
+    return (f"""{name} AS (SELECT list(m ORDER BY pos) AS c FROM (
+  SELECT pos, avg(x) AS m FROM (
+    SELECT unnest(list_transform(v, lambda x: CASE WHEN n > 0 THEN x / n ELSE 0.0 END)) AS x,
+           generate_subscripts(v, 1) AS pos FROM {src}) GROUP BY pos))""")
+
+
+def cos_to(cname: str, unit: bool) -> str:
+    """Score of row vector v (norm n) against centroid ``cname``.c."""
+    q = f"{cname}.c"
+    if unit:
+        return (f"CASE WHEN n > 0 THEN list_inner_product(v, {q}) / sqrt(list_inner_product({q}, {q})) / n "
+                f"ELSE 0.0 END")
+    return f"CASE WHEN n > 0 THEN list_inner_product(v, {q}) / n ELSE 0.0 END"
