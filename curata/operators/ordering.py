@@ -59,42 +59,21 @@ def draw_batch(df: DataFrame, n: int, seed: int = 0, status: str = "unknown") ->
     return cand.orderBy(draw_key(seed), F.col("ord")).limit(n)
 
 
-def _split_points(df: DataFrame, order_by: str, buckets: int) -> list:
-    if buckets <= 1:
-        return []
-    probs = [i / buckets for i in range(1, buckets)]
-    pts = df.agg(F.percentile_approx(F.col(order_by), probs, 10000).alias("p")).first()["p"]
-    return sorted(set(x for x in (pts or []) if x is not None))
-
-
-def _bucket_expr(c: Column, pts: list) -> Column:
-    """Balanced binary CASE tree: index of the first split point >= value."""
-    def build(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(c <= F.lit(pts[mid]), build(lo, mid)).otherwise(build(mid + 1, hi))
-    return build(0, len(pts)) if pts else F.lit(0)
-
-
-def with_dense_id(df: DataFrame, order_by: str = "ord", out: str = "id", buckets: int | None = None) -> DataFrame:
-    """Dense 1..n in ``order_by`` order without a single-partition window.
-
-    Rows are cut into value ranges of ``order_by`` at approximate quantiles;
-    one small aggregate counts the rows per range (the driver sees one number
-    per range), and each row's id is its range offset plus its row number inside
-    the range.  Deterministic, so a recomputed task after an executor loss
-    yields the same ids."""
-    if buckets is None:
-        buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pts = _split_points(df, order_by, buckets)
-    b = _bucket_expr(F.col(order_by), pts)
-    keyed = df.withColumn("__b", b)
-    counts = {r["__b"]: r["n"] for r in keyed.groupBy("__b").agg(F.count(F.lit(1)).alias("n")).collect()}
-    offsets, acc = [], 0
-    for i in range(len(pts) + 1):
-        offsets.append(acc)
-        acc += counts.get(i, 0)
-    off = F.element_at(F.array(*[F.lit(int(x)) for x in offsets]), (F.col("__b") + 1).cast("int"))
+def with_dense_id(df: DataFrame, order_by: str = "ord", out: str = "id", width: int = 1 << 20) -> DataFrame:
+    """Dense 1..n in ``order_by`` (a unique BIGINT) order, without a
+    single-partition window over the data and without collecting anything.
+
+    Rows fall into fixed-width ranges ``order_by div width`` (at most ``width``
+    rows each, because the key is unique).  A hash aggregate counts the rows per
+    range -- one small row per non-empty range -- and a running sum over that
+    small table gives each range's offset; the id is offset + row number inside
+    the range.  Deterministic, so a task recomputed after an executor loss
+    produces the same ids."""
+    keyed = df.withColumn("__b", F.floor(F.col(order_by) / F.lit(width)))
+    counts = keyed.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
     w = Window.partitionBy("__b").orderBy(F.col(order_by))
-    return (keyed.withColumn(out, (off + F.row_number().over(w)).cast("long")).drop("__b"))
+    return (keyed.join(offsets, "__b")
+            .withColumn(out, (F.col("__off") + F.row_number().over(w)).cast("long"))
+            .drop("__b", "__off"))

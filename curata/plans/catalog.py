@@ -517,3 +517,19 @@ def q_union_aligned(spark, sf):
     p = tables.papers(spark, sf).select(*OUT)
     c = citations_of_selected(spark, sf).select(*OUT, "url")
     return A.union_aligned(p, c).select(*OUT, "url")
+
+
+# --- composed steps -------------------------------------------------------------------
+
+E2E_FROM, E2E_TO = "2016-01-01", "2024-12-31"
+
+
+def _e2e(spark, sf) -> DataFrame:
+    return M.run_survey(tables.papers(spark, sf), tables.decisions(spark, sf), tables.citations(spark, sf),
+                        vectors(spark, sf).select("id", "embedding"), E2E_FROM, E2E_TO,
+                        TITLE_TERMS, ABSTRACT_WORDS, S2_T)
+
+
+@register("survey_end_to_end", None)
+def q_survey_end_to_end(spark, sf):
+    return _e2e(spark, sf).select("id", "ord", "doi", "title", "database", "query_name")

@@ -20,3 +20,55 @@ def clean_papers(df: DataFrame, title_terms: Sequence[str] = filters.TITLE_BLOCK
     out = filters.exclude_title_terms(out, title_terms)
     out = filters.exclude_abstract_words(out, abstract_words)
     return with_language(out, "abstract", "__lang").filter(F.col("__lang") == F.lit(lang)).drop("__lang")
+
+
+def snowball(selected: DataFrame, edges: DataFrame, records: DataFrame, removed: DataFrame,
+             vectors: DataFrame, threshold: float, cap: int | None = None) -> DataFrame:
+    """M3: citations of the selected set (D1), minus what is already decided
+    (D4), scored against the selected set as seeds (S2), stamped and re-id'd.
+
+    ``vectors`` is ``(id, embedding)``; candidates without a vector drop out,
+    as records that cannot be encoded do in the reference."""
+    from ..operators.aggregates import ORD_STRIDE
+    from ..operators.joins import expand_citations, undecided
+    from ..operators.ordering import with_dense_id
+    from ..operators.relevance import relevance_to_seeds
+
+    cites = expand_citations(selected, edges, records, cap)
+    cites = cites.withColumn("ord", F.col("ord") + F.lit(ORD_STRIDE))
+    cand = undecided(cites, selected, cites.limit(0), removed, mode="clean")
+    seeds = selected.join(vectors, "id")
+    scored = relevance_to_seeds(cand.join(vectors, "id"), seeds, threshold).drop("embedding")
+    return with_dense_id(scored.drop("id").withColumns({"type": F.lit("snowball"), "status": F.lit("unknown")}))
+
+
+def merge_final(first: DataFrame, second: DataFrame | None = None) -> DataFrame:
+    """M4: union of the reviewed sets (either may be missing, quirk Q16), the
+    final de-dup (F8, which ends with the F5 cascade), dense ids."""
+    from ..operators.aggregates import union_aligned
+    from ..operators.dedup import final_dedup
+    from ..operators.ordering import with_dense_id
+
+    both = union_aligned(first, second) if second is not None else first
+    return with_dense_id(final_dedup(both.drop("id")))
+
+
+def run_survey(papers: DataFrame, decisions: DataFrame, edges: DataFrame, vectors: DataFrame,
+               start=None, end=None, title_terms=filters.TITLE_BLOCK_TERMS,
+               abstract_words=filters.ABSTRACT_BLOCK_WORDS, snowball_threshold: float = 0.0) -> DataFrame:
+    """M6: the survey end to end, decisions from a table instead of prompts.
+
+    date range -> de-dup cascade (F5) -> cleaning (M2) -> abstract review round
+    (R2) -> snowball from the included set (M3) -> final merge (M4)."""
+    from ..operators.dedup import remove_repeated
+    from ..operators.review import review_round
+
+    from ..sources.stages import cut
+
+    p = filters.between_dates(papers, start, end)
+    p = cut(clean_papers(remove_repeated(p), title_terms, abstract_words))
+    included, removed, _ = review_round(p, decisions, "abstract")
+    included, removed = cut(included), cut(removed)
+    selected = included.select("ord").join(p.drop("status"), "ord").withColumn("status", F.lit("included"))
+    snow = cut(snowball(selected, edges, papers, removed, vectors, snowball_threshold))
+    return merge_final(included, snow)
