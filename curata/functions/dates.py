@@ -109,13 +109,15 @@ def render(step: str, dialect: str) -> str:
 def parse_dates(df: DataFrame, col: str, out: str | None = None, min_year: int = 1900,
                 max_year: int | None = 2022) -> DataFrame:
     """Parse the messy date text in ``col`` into DATE column ``out``."""
-    out = out or col
-    tmp = "__date_s"
-    cur = df.withColumn(tmp, F.col(col).cast("string"))
-    for step in ladder(min_year, max_year):
-        cur = cur.withColumn(tmp, F.expr(_bind(render(step, "spark"), tmp)))
-    cur = cur.withColumn(tmp, F.expr(_bind(final_parse_sql("spark"), tmp)))
-    return cur.withColumn(out, F.col(tmp)).drop(tmp) if out != tmp else cur
+    return df.withColumn(out or col, parse_dates_sql_spark(col, min_year, max_year))
+
+
+def parse_dates_sql_spark(col: str, min_year: int = 1900, max_year: int | None = 2022) -> Column:
+    steps = ladder(min_year, max_year) + [final_parse_sql("spark")]
+    expr = f"CAST(`{col}` AS STRING)"
+    for step in steps:
+        expr = f"element_at(transform(array({expr}), v_ -> {_bind(render(step, 'spark'), 'v_')}), 1)"
+    return F.expr(expr)
 
 
 def _bind(sql: str, name: str) -> str:

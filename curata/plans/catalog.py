@@ -533,3 +533,49 @@ def _e2e(spark, sf) -> DataFrame:
 @register("survey_end_to_end", None)
 def q_survey_end_to_end(spark, sf):
     return _e2e(spark, sf).select("id", "ord", "doi", "title", "database", "query_name")
+
+
+# --- ingestion of landed payloads -------------------------------------------------------
+
+from ..sources import payloads as P        # noqa: E402
+
+ING_OUT = ["ord", "database", "doi", "title", "abstract", "publication_date", "query_name", "query_value",
+           "url", "publication", "publisher"]
+
+
+def _ing_cols(df: DataFrame) -> DataFrame:
+    return df.select(*[F.nullif(F.col(c), F.lit("")).alias(c) if c == "title" else
+                       F.col(c).cast("string").alias(c) if c == "publication_date" else F.col(c) for c in ING_OUT])
+
+
+def landed(spark, sf) -> DataFrame:
+    return P.landed_payloads(tables.papers(spark, sf))
+
+
+@register("ingest_records", _w(f"""
+WITH {O.PAPERS_CTE}, {O.INGEST_CTE}
+SELECT ord, database, doi, nullif(title, '') AS title, abstract, CAST(publication_date AS VARCHAR) AS publication_date,
+       query_name, query_value, url, publication, publisher FROM ingested"""))
+def q_ingest_records(spark, sf):
+    return _ing_cols(M.ingest(landed(spark, sf)))
+
+
+@register("payload_totals", _w(f"""
+WITH {O.PAPERS_CTE}
+SELECT database || ':' || query_name || ':' || CAST(ord // 150 AS VARCHAR) AS request_id, count(*) AS total
+FROM papers GROUP BY ALL"""))
+def q_payload_totals(spark, sf):
+    return P.payload_totals(landed(spark, sf)).select("request_id", "total")
+
+
+@register("preprocess", _w(f"""
+WITH {O.PAPERS_CTE}, {O.INGEST_CTE},
+base AS (SELECT * FROM ingested WHERE publication_date BETWEEN DATE '{E2E_FROM}' AND DATE '{E2E_TO}'),
+{O.cascade('base', 'all')}
+SELECT row_number() OVER (ORDER BY ord) AS id, ord, database, doi, title FROM c4
+WHERE NOT regexp_matches(lower(title), '{"|".join(T.regex_escape(t) for t in TITLE_TERMS)}')
+  AND NOT regexp_matches(lower(abstract), '{_re2_words(ABSTRACT_WORDS)}')
+  AND {L.detect_language_sql('abstract')} = 'en'"""))
+def q_preprocess(spark, sf):
+    return M.preprocess(landed(spark, sf), E2E_FROM, E2E_TO, TITLE_TERMS, ABSTRACT_WORDS).select(
+        "id", "ord", "database", "doi", "title")

@@ -72,3 +72,28 @@ def run_survey(papers: DataFrame, decisions: DataFrame, edges: DataFrame, vector
     selected = included.select("ord").join(p.drop("status"), "ord").withColumn("status", F.lit("included"))
     snow = cut(snowball(selected, edges, papers, removed, vectors, snowball_threshold))
     return merge_final(included, snow)
+
+
+def ingest(payloads: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+    """Landed responses of every source -> unified rows (A3/A4 parse, B1
+    normalise, A10 provenance, H1 union in source order)."""
+    from ..operators.aggregates import union_aligned
+    from ..sources import payloads as P
+
+    names = list(names or P.sources())
+    parts = [P.normalise(P.raw_rows(payloads, n), n) for n in names]
+    out = union_aligned(*parts)
+    return P.with_provenance(out, F.col("database"), F.col("query_name"), F.col("query_value"))
+
+
+def preprocess(payloads: DataFrame, start=None, end=None, title_terms=filters.TITLE_BLOCK_TERMS,
+               abstract_words=filters.ABSTRACT_BLOCK_WORDS) -> DataFrame:
+    """M1: ingest -> stamp -> date range -> de-dup cascade -> cleaning -> dense ids."""
+    from ..operators.dedup import remove_repeated
+    from ..operators.ordering import with_dense_id
+    from ..sources.payloads import stamp
+
+    p = stamp(ingest(payloads), "preprocessed", "unknown")
+    p = filters.between_dates(p, start, end)
+    p = clean_papers(remove_repeated(p), title_terms, abstract_words)
+    return with_dense_id(p)

@@ -15,7 +15,7 @@ SELECT CAST(doc_id + 1 AS BIGINT) AS id,
        ELSE '10.5555/d' || CAST(doc_id % 700 AS VARCHAR) END AS doi,
   'raw' AS type,
   'q' || CAST(doc_id % 3 AS VARCHAR) AS query_name,
-  source AS query_value,
+  'term' || CAST(doc_id % 3 AS VARCHAR) || ' <AND> topic' AS query_value,
   source AS publication,
   source AS publisher,
   make_date(CAST(2015 + doc_id % 10 AS INT), CAST(1 + doc_id % 12 AS INT), CAST(1 + doc_id % 28 AS INT)) AS publication_date,
@@ -88,3 +88,32 @@ def cos_to(cname: str, unit: bool) -> str:
         return (f"CASE WHEN n > 0 THEN list_inner_product(v, {q}) / sqrt(list_inner_product({q}, {q})) / n "
                 f"ELSE 0.0 END")
     return f"CASE WHEN n > 0 THEN list_inner_product(v, {q}) / n ELSE 0.0 END"
+
+
+SOURCE_ORDER = ["arxiv", "core", "ieeexplore", "scopus", "semantic_scholar", "springer"]   # sorted names
+
+INGEST_CTE = """raw AS (
+  SELECT p.*, ((ord // 150) * 3 + ord % 3) * 150
+              + row_number() OVER (PARTITION BY database, query_name, ord // 150 ORDER BY ord) - 1 AS raw_ord
+  FROM papers p),
+srcs AS (
+  SELECT raw.*, CASE database WHEN 'core' THEN 'core:' || ord WHEN 'semantic_scholar' THEN 'p' || ord ELSE doi END AS skey
+  FROM raw),
+kept AS (SELECT * FROM srcs QUALIFY row_number() OVER (PARTITION BY database, skey ORDER BY raw_ord) = 1),
+ingested AS (
+  SELECT CASE database WHEN 'arxiv' THEN 0 WHEN 'core' THEN 1 WHEN 'ieeexplore' THEN 2 WHEN 'scopus' THEN 3
+                       WHEN 'semantic_scholar' THEN 4 ELSE 5 END * 1000000000000 + raw_ord AS ord,
+         database,
+         CASE database WHEN 'core' THEN coalesce(doi, 'core:' || ord) WHEN 'semantic_scholar' THEN coalesce(doi, 'p' || ord)
+                       ELSE doi END AS doi,
+         title, abstract,
+         CASE WHEN database = 'semantic_scholar'
+              THEN make_date(CASE WHEN year(publication_date) > 2022 OR year(publication_date) < 1900 THEN 2000
+                                  ELSE year(publication_date) END, 1, 1)
+              ELSE publication_date END AS publication_date,
+         query_name, replace(replace(query_value, '<AND>', 'AND'), '<OR>', 'OR') AS query_value,
+         CASE database WHEN 'arxiv' THEN doi ELSE url END AS url,
+         CASE database WHEN 'arxiv' THEN 'arxiv' WHEN 'core' THEN 'core' WHEN 'semantic_scholar' THEN 'semantic_scholar'
+                       ELSE publication END AS publication,
+         CASE database WHEN 'arxiv' THEN 'arxiv' WHEN 'core' THEN 'core' ELSE publisher END AS publisher
+  FROM kept)"""

@@ -33,7 +33,7 @@ SELECT CAST(doc_id + 1 AS BIGINT) AS id,
        ELSE concat('10.5555/d', CAST(doc_id % 700 AS STRING)) END AS doi,
   'raw' AS type,
   concat('q', CAST(doc_id % 3 AS STRING)) AS query_name,
-  source AS query_value,
+  concat('term', CAST(doc_id % 3 AS STRING), ' <AND> topic') AS query_value,
   source AS publication,
   source AS publisher,
   make_date(CAST(2015 + doc_id % 10 AS INT), CAST(1 + doc_id % 12 AS INT), CAST(1 + doc_id % 28 AS INT)) AS publication_date,
@@ -63,7 +63,7 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
         doi.alias("doi"),
         F.lit("raw").alias("type"),
         F.concat(F.lit("q"), (d % 3).cast("string")).alias("query_name"),
-        F.col("source").alias("query_value"),
+        F.concat(F.lit("term"), (d % 3).cast("string"), F.lit(" <AND> topic")).alias("query_value"),
         F.col("source").alias("publication"),
         F.col("source").alias("publisher"),
         F.make_date((2015 + d % 10).cast("int"), (1 + d % 12).cast("int"), (1 + d % 28).cast("int")).alias("publication_date"),
