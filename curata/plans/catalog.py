@@ -8,6 +8,7 @@ rounded to 6 places on both sides so the value hashes are comparable.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -579,3 +580,48 @@ WHERE NOT regexp_matches(lower(title), '{"|".join(T.regex_escape(t) for t in TIT
 def q_preprocess(spark, sf):
     return M.preprocess(landed(spark, sf), E2E_FROM, E2E_TO, TITLE_TERMS, ABSTRACT_WORDS).select(
         "id", "ord", "database", "doi", "title")
+
+
+# --- streaming ----------------------------------------------------------------------
+
+from ..streaming import incremental as K   # noqa: E402
+
+
+def _docs_stream(spark, sf):
+    schema = tables.table(spark, sf, "documents").schema
+    return K.file_stream(spark, sf, "documents.parquet", schema)
+
+
+@register("incremental_landing", _w(f"""
+WITH {O.PAPERS_CTE}
+SELECT {OUT_SQL} FROM papers"""))
+def q_incremental_landing(spark, sf):
+    root = K.run_folder(spark, "landing")
+    stream = tables.papers_from(_docs_stream(spark, sf)).select(*OUT)
+    K.land_incrementally(stream, os.path.join(root, "table"), os.path.join(root, "_checkpoint"))
+    return K.read_landed(spark, os.path.join(root, "table")).select(*OUT)
+
+
+@register("stream_dedup", _w(f"""
+WITH {O.PAPERS_CTE}
+SELECT DISTINCT lower(doi) AS doi_key FROM papers"""))
+def q_stream_dedup(spark, sf):
+    root = K.run_folder(spark, "dedup")
+    s = tables.papers_from(_docs_stream(spark, sf)).withColumn(
+        "event_time", F.col("publication_date").cast("timestamp"))
+    out = K.stream_dedup(s, F.lower(F.col("doi")), "event_time", "3650 days").select(F.col("__key").alias("doi_key"))
+    K.run_append(out, os.path.join(root, "table"), os.path.join(root, "_checkpoint"))
+    return spark.read.parquet(os.path.join(root, "table"))
+
+
+@register("decision_status_stream", _w(f"""
+WITH {O.DECISIONS_CTE}
+SELECT id, arg_max(status, ts) AS status, CAST(max(ts) AS VARCHAR) AS ts FROM decisions GROUP BY id"""))
+def q_decision_status_stream(spark, sf):
+    root = K.run_folder(spark, "decisions")
+    schema = tables.table(spark, sf, "labels").schema
+    labels = K.file_stream(spark, sf, "labels.parquet", schema)
+    decisions = tables.decisions_from(labels)
+    K.run_complete(K.decision_status_stream(decisions), os.path.join(root, "table"), os.path.join(root, "_checkpoint"))
+    out = spark.read.parquet(os.path.join(root, "table"))
+    return out.select("id", "status", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))

@@ -52,7 +52,11 @@ FROM documents
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as unified records (plus the truth column ``lang``)."""
-    docs = table(spark, sf_dir, "documents")
+    return papers_from(table(spark, sf_dir, "documents"))
+
+
+def papers_from(docs: DataFrame) -> DataFrame:
+    """The record projection of a ``documents`` frame (batch or streaming)."""
     d = F.col("doc_id")
     doi = (F.when(d % 17 == 0, F.lit(None).cast("string"))
            .when(d % 2 == 0, F.concat(F.lit("10.5555/D"), (d % 700).cast("string")))
@@ -95,7 +99,11 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviewer decisions derived from ``labels``: an abstract-round decision
     from ``quality`` and, for toxic rows, a later overriding rejection.
     Schema: ``id BIGINT, round STRING, status STRING, ts TIMESTAMP``."""
-    lab = table(spark, sf_dir, "labels")
+    return decisions_from(table(spark, sf_dir, "labels"))
+
+
+def decisions_from(lab: DataFrame) -> DataFrame:
+    """Decisions from a ``labels`` frame (batch or streaming)."""
     t0 = F.lit("2024-01-01 00:00:00").cast("timestamp")
     first = lab.select(
         (F.col("doc_id") + 1).alias("id"), F.lit("abstract").alias("round"),
