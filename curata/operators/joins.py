@@ -49,16 +49,21 @@ def enrich_abstract(df: DataFrame, lookups: Sequence[tuple[DataFrame, str, str]]
     """Fill ``col`` from lookup tables in priority order.
 
     ``lookups`` is a list of (table, key column shared with ``df``, value
-    column).  Each lookup is made unique on its key first (keep-first by key), so
-    the left joins never multiply rows; the first non-blank value wins, else
-    ``''``."""
+    column[, order column]).  Each lookup is made unique on its key first -- the
+    non-blank value with the smallest order (else the largest value), a hash
+    aggregate with map-side partial results -- so the left joins never multiply
+    rows; the first non-blank value in priority order wins, else ``''``."""
     out = df
     vals = [F.nullif(F.col(col), F.lit(""))]
-    for i, (tbl, key, value) in enumerate(lookups):
+    for i, spec in enumerate(lookups):
+        tbl, key, value = spec[:3]
+        order = spec[3] if len(spec) > 3 else None
         name = f"__lk{i}"
-        uniq = (tbl.select(F.col(key), F.col(value).alias(name))
-                .filter(F.col(key).isNotNull())
-                .groupBy(key).agg(F.first(name, ignorenulls=True).alias(name)))
+        sel = tbl.select(F.col(key), F.nullif(F.col(value), F.lit("")).alias(name),
+                         *([F.col(order).alias("__o")] if order else []))
+        sel = sel.filter(F.col(key).isNotNull() & F.col(name).isNotNull())
+        pick = F.min_by(name, "__o") if order else F.max(name)
+        uniq = sel.groupBy(key).agg(pick.alias(name))
         out = out.join(uniq, key, "left")
         vals.append(F.nullif(F.col(name), F.lit("")))
     names = [f"__lk{i}" for i in range(len(lookups))]

@@ -625,3 +625,44 @@ def q_decision_status_stream(spark, sf):
     K.run_complete(K.decision_status_stream(decisions), os.path.join(root, "table"), os.path.join(root, "_checkpoint"))
     out = spark.read.parquet(os.path.join(root, "table"))
     return out.select("id", "status", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+
+
+# --- HTML, JSON lookups, enrichment ------------------------------------------------------
+
+from ..functions import html as H          # noqa: E402
+
+
+@register("html_section_text", None)
+def q_html_section_text(spark, sf):
+    pages = tables.table(spark, sf, "pages")
+    return (H.extract_html(pages, "page_id", "html", "article")
+            .select("page_id", F.length("section_text").cast("long").alias("n_chars"), "section_text"))
+
+
+@register("json_abstract", _w(f"""
+WITH {O.PAPERS_CTE},
+lk AS (SELECT doi, ord % 4 AS shape, abstract FROM papers WHERE doi IS NOT NULL)
+SELECT doi, nullif(abstract, '') AS abstract FROM lk"""))
+def q_json_abstract(spark, sf):
+    lk = P.abstract_lookups(tables.papers(spark, sf))
+    return lk.select("doi", P.json_abstract("body").alias("abstract"))
+
+
+@register("enrich_abstract", _w(f"""
+WITH {O.PAPERS_CTE},
+lk AS (SELECT doi, first(nullif(abstract, '') ORDER BY ord) FILTER (WHERE nullif(abstract, '') IS NOT NULL) AS a
+       FROM papers WHERE doi IS NOT NULL AND ord % 2 = 0 GROUP BY doi),
+pg AS (SELECT 'https://records.example.org/' || CAST(page_id AS VARCHAR) AS url, url AS page_url FROM pages)
+SELECT p.ord, p.doi, coalesce(lk.a, pg.page_url, '') AS abstract
+FROM papers p LEFT JOIN lk USING (doi) LEFT JOIN pg ON pg.url = p.url"""))
+def q_enrich_abstract(spark, sf):
+    # Records arrive without abstracts; the first lookup (retrieval responses by
+    # DOI, from every other record) fills what it can, the second (page URL by
+    # record URL) the rest, otherwise ''.
+    p = tables.papers(spark, sf)
+    bare = p.select("ord", "doi", "url", F.lit(None).cast("string").alias("abstract"))
+    lk = P.abstract_lookups(p.filter(F.col("ord") % 2 == 0)).select("doi", "ord", P.json_abstract("body").alias("a"))
+    pages = tables.table(spark, sf, "pages").select(
+        F.concat(F.lit("https://records.example.org/"), F.col("page_id").cast("string")).alias("url"),
+        F.col("url").alias("page_url"))
+    return J.enrich_abstract(bare, [(lk, "doi", "a", "ord"), (pages, "url", "page_url")]).select("ord", "doi", "abstract")

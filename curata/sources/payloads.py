@@ -346,3 +346,42 @@ def landed_payloads(papers: DataFrame) -> DataFrame:
                            (F.col("__page") * 3 + qidx).alias("page"), body.alias("body"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+# ---- abstract lookups (I11, D2) ------------------------------------------------------
+
+# Where an abstract can sit in a retrieval response, in priority order.
+ABSTRACT_PATHS = [
+    "$['full-text-retrieval-response']['coredata']['dc:description']",
+    "$['abstracts-retrieval-response']['coredata']['dc:description']",
+    "$['abstracts-retrieval-response']['item']['bibrecord']['head']['abstracts']['abstract']['abstractText']",
+    "$['abstracts-retrieval-response']['item']['bibrecord']['head']['abstracts']['abstract'][0]['abstractText']",
+    "$['abstract']",
+]
+
+
+def json_abstract(body: str | Column) -> Column:
+    """The first non-blank abstract found along ABSTRACT_PATHS."""
+    b = F.col(body) if isinstance(body, str) else body
+    return F.coalesce(*[blank_to_null(F.get_json_object(b, p)) for p in ABSTRACT_PATHS])
+
+
+def abstract_lookups(papers: DataFrame) -> DataFrame:
+    """Retrieval responses derived from the records: ``(doi, body)``, in the
+    response shapes of ABSTRACT_PATHS, rotating with the record order."""
+    a = F.col("abstract")
+
+    def nest(path: list[str], leaf: Column) -> Column:
+        # struct(path[0] -> struct(path[1] -> ... leaf))
+        out = leaf.alias(path[-1])
+        for name in reversed(path[:-1]):
+            out = F.struct(out).alias(name)
+        return F.struct(out)
+
+    shape = F.col("ord") % 4
+    body = (F.when(shape == 0, F.to_json(nest(["full-text-retrieval-response", "coredata", "dc:description"], a)))
+            .when(shape == 1, F.to_json(nest(["abstracts-retrieval-response", "coredata", "dc:description"], a)))
+            .when(shape == 2, F.to_json(nest(["abstracts-retrieval-response", "item", "bibrecord", "head",
+                                              "abstracts", "abstract", "abstractText"], a)))
+            .otherwise(F.to_json(nest(["abstract"], a))))
+    return papers.filter(F.col("doi").isNotNull()).select("doi", "ord", body.alias("body"))
