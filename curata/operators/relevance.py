@@ -52,10 +52,15 @@ def cosine(a, b) -> Column:
 
 
 def normalised(df: DataFrame, vec: str, out: str) -> DataFrame:
-    """Unit-normalise ``vec`` into ``out`` (the norm is computed once per row)."""
+    """Unit-normalise the array column ``vec`` into ``out``.
+
+    The norm is computed once per row and spread into an array of the same
+    length; ``zip_with`` divides element by element.  (A lambda reading the norm
+    column directly may get the norm inlined, i.e. recomputed per element.)"""
     tmp = "__norm"
-    return (df.withColumn(tmp, norm(vec))
-            .withColumn(out, F.transform(as_double(vec), lambda x: _safe_div(x, F.col(tmp))))
+    with_n = df.withColumn(tmp, norm(vec))
+    filled = F.array_repeat(F.col(tmp), F.size(vec))
+    return (with_n.withColumn(out, F.zip_with(as_double(vec), filled, lambda x, n: _safe_div(x, n)))
             .drop(tmp))
 
 
@@ -64,8 +69,9 @@ def centroid(df: DataFrame, vec: str = "embedding") -> list[float]:
 
     Distributed: ``posexplode`` + ``groupBy(pos)`` with partial aggregation, so
     the shuffle carries at most d rows per map task."""
-    unit = normalised(df.select(vec), vec, "__u")
-    parts = (unit.select(F.posexplode("__u").alias("pos", "x"))
+    # explode first, divide after: the norm is evaluated once per row
+    parts = (df.select(norm(vec).alias("__n"), F.posexplode(as_double(vec)).alias("pos", "x"))
+             .select("pos", _safe_div(F.col("x"), F.col("__n")).alias("x"))
              .groupBy("pos").agg(F.avg("x").alias("m")))
     rows = sorted(parts.collect())
     if not rows:
@@ -111,14 +117,14 @@ def hashing_encoder(df: DataFrame, text: str, out: str = "embedding", dim: int =
     """S3: default text encoder -- Spark ML term hashing of the tokenised text,
     L2-normalised, as ``ARRAY<FLOAT>``.  A model-backed encoder can replace it as
     an iterator ``pandas_udf`` (model loaded once per Python worker)."""
-    from pyspark.ml.feature import HashingTF
+    from pyspark.ml.feature import HashingTF, Normalizer
     from pyspark.ml.functions import vector_to_array
 
     from ..functions.text import tokenize
 
-    tmp_tok, tmp_vec = "__tokens", "__tf"
+    tmp_tok, tmp_vec, tmp_unit = "__tokens", "__tf", "__unit"
     tok = df.withColumn(tmp_tok, tokenize(text))
     tf = HashingTF(inputCol=tmp_tok, outputCol=tmp_vec, numFeatures=dim).transform(tok)
-    tf = tf.withColumn(tmp_vec, vector_to_array(F.col(tmp_vec), "float64"))
-    out_df = normalised(tf, tmp_vec, out)
-    return out_df.withColumn(out, F.transform(out, lambda x: x.cast("float"))).drop(tmp_tok, tmp_vec)
+    unit = Normalizer(inputCol=tmp_vec, outputCol=tmp_unit, p=2.0).transform(tf)
+    return (unit.withColumn(out, vector_to_array(F.col(tmp_unit), "float32"))
+            .drop(tmp_tok, tmp_vec, tmp_unit))

@@ -666,3 +666,137 @@ def q_enrich_abstract(spark, sf):
         F.concat(F.lit("https://records.example.org/"), F.col("page_id").cast("string")).alias("url"),
         F.col("url").alias("page_url"))
     return J.enrich_abstract(bare, [(lk, "doi", "a", "ord"), (pages, "url", "page_url")]).select("ord", "doi", "abstract")
+
+
+# --- scalar functions, files, volume guard, encoder ----------------------------------
+
+@register("text_functions", _w(f"""
+WITH {O.PAPERS_CTE}
+SELECT ord,
+  lower(title) AS title_lower,
+  nullif(title, '') AS title_or_null,
+  {O.norm_search('abstract')} AS abstract_search,
+  {O.norm_dedup('abstract')} AS abstract_dedup,
+  replace(lower(abstract), ' ', '') AS abstract_review,
+  split_part(CAST(CAST(year(publication_date) AS DOUBLE) AS VARCHAR), '.', 1) AS year_text,
+  replace(replace(query_value, '<AND>', 'AND'), '<OR>', 'OR') AS query_words,
+  CASE WHEN contains(doi, 'http') THEN 'URL:' || doi ELSE 'DOI:' || doi END AS prefixed_id,
+  CAST(ceil(length(abstract) / 1000) AS BIGINT) AS n_pages, ord % 25 AS page_slot,
+  round(length(abstract) / 7.0, 2) AS chars_per_7,
+  title || '[SEP]' || abstract AS model_text,
+  coalesce(nullif(trim(doi), ''), nullif(trim(url), '')) AS any_id,
+  coalesce(nullif(CASE WHEN ord % 2 = 0 THEN '2-s2.0-' || ord END, ''),
+           nullif(regexp_extract('SCOPUS_ID:' || ord, 'SCOPUS_ID:(.*)$', 1), ''), '') AS scopus_id
+FROM papers"""))
+def q_text_functions(spark, sf):
+    p = tables.papers(spark, sf)
+    eid = F.when(F.col("ord") % 2 == 0, F.concat(F.lit("2-s2.0-"), F.col("ord").cast("string")))
+    p = p.withColumns({"eid": eid, "dc:identifier": F.concat(F.lit("SCOPUS_ID:"), F.col("ord").cast("string"))})
+    return p.select(
+        "ord",
+        F.lower("title").alias("title_lower"),
+        T.blank_to_null("title").alias("title_or_null"),
+        T.norm_search("abstract").alias("abstract_search"),
+        T.norm_dedup("abstract").alias("abstract_dedup"),
+        T.norm_review("abstract").alias("abstract_review"),
+        T.year_text(F.year("publication_date").cast("double")).alias("year_text"),
+        T.query_operators_to_words("query_value").alias("query_words"),
+        T.prefixed_id("doi").alias("prefixed_id"),
+        F.ceil(F.length("abstract") / 1000).cast("long").alias("n_pages"),
+        (F.col("ord") % 25).alias("page_slot"),
+        F.round(F.length("abstract") / 7.0, 2).alias("chars_per_7"),
+        P.model_text().alias("model_text"),
+        P.coalesce_id("doi", "url").alias("any_id"),
+        P.scopus_id().alias("scopus_id"),
+    )
+
+
+@register("tokenize", _w(f"""
+SELECT doc_id, array_to_string(list_filter(string_split_regex(
+         translate(lower(regexp_replace(text, '<[^>]+>', ' ', 'g')), '{T.ACCENTED}', '{T.UNACCENTED}'), '[^\\p{{L}}]+'),
+         lambda t: length(t) BETWEEN 2 AND 15), ' ') AS tokens
+FROM documents"""))
+def q_tokenize(spark, sf):
+    d = tables.table(spark, sf, "documents")
+    return d.select("doc_id", F.array_join(T.tokenize("text"), " ").alias("tokens"))
+
+
+@register("lemmatize", _w(f"""
+WITH {O.PAPERS_CTE}
+SELECT ord, array_to_string(list_transform(string_split({O.norm_search('abstract')}, ' '),
+                                           lambda t: {T.lemma_token_sql('t')}), ' ') AS lemmas
+FROM papers"""))
+def q_lemmatize(spark, sf):
+    return tables.papers(spark, sf).select("ord", T.lemmatize_words(T.norm_search("abstract")).alias("lemmas"))
+
+
+@register("cosine_pairs", _w("""
+SELECT a.vec_id AS vec_a, b.vec_id AS vec_b,
+       round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))
+             / sqrt(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])))
+             / sqrt(list_inner_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 6) AS cosine
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"""))
+def q_cosine_pairs(spark, sf):
+    e = tables.table(spark, sf, "embeddings")
+    a = e.select(F.col("vec_id").alias("vec_a"), F.col("embedding").alias("ea"))
+    b = e.select(F.col("vec_id").alias("vec_b"), F.col("embedding").alias("eb"))
+    j = a.join(b, F.col("vec_b") == F.col("vec_a") + 1)
+    return j.select("vec_a", "vec_b", F.round(S.cosine("ea", "eb"), 6).alias("cosine"))
+
+
+@register("csv_roundtrip", _w(f"""
+WITH {O.PAPERS_CTE}
+SELECT id, ord, doi, database, query_name, nullif(title, '') AS title, nullif(abstract, '') AS abstract FROM papers"""))
+def q_csv_roundtrip(spark, sf):
+    from ..schema import PAPER_SCHEMA
+    from ..sources.stages import write_stage
+    path = K.run_folder(spark, "csv")
+    write_stage(tables.papers(spark, sf).drop("lang"), path, fmt="csv")
+    back = P.read_papers_csv(spark, path, PAPER_SCHEMA, on_bad="fail")
+    return back.select(*OUT, "abstract")
+
+
+@register("raw_partition_scan", _w(f"""
+WITH {O.PAPERS_CTE}
+SELECT database AS source, query_name, count(DISTINCT ord // 150) AS n_requests
+FROM papers WHERE query_name IN ('q0', 'q1') AND database IN ('arxiv', 'springer', 'core')
+GROUP BY ALL"""))
+def q_raw_partition_scan(spark, sf):
+    root = K.run_folder(spark, "landed")
+    P.land_payloads(landed(spark, sf), root)
+    raw = P.load_raw(spark, root, ["q0", "q1"], ["arxiv", "springer", "core"])
+    return raw.groupBy("source", "query_name").agg(F.count(F.lit(1)).alias("n_requests"))
+
+
+GUARD_BUDGET = 100
+
+
+@register("volume_guard", _w(f"""
+WITH {O.PAPERS_CTE},
+base AS (SELECT * FROM papers WHERE database = 'arxiv'),
+narrow AS (SELECT * FROM base WHERE {search.boolean_search_sql("'that is'", ['title', 'abstract'])})
+SELECT {OUT_SQL} FROM base WHERE (SELECT count(*) FROM base) <= {GUARD_BUDGET}
+UNION ALL
+SELECT {OUT_SQL} FROM narrow WHERE (SELECT count(*) FROM base) > {GUARD_BUDGET}
+                              AND (SELECT count(*) FROM narrow) <= {GUARD_BUDGET}"""))
+def q_volume_guard(spark, sf):
+    base = tables.papers(spark, sf).filter(F.col("database") == "arxiv")
+    skeleton, cols = search.search_predicate("'that is'")
+    pred = cols["__t0"]
+    return filters.narrow_if_over(base, GUARD_BUDGET, pred).select(*OUT)
+
+
+@register("text_encoder_relevance", None)
+def q_text_encoder_relevance(spark, sf):
+    """S3: hashing encoder on whole texts; documents scored against the
+    centroid of the encoded ``benchmark`` passages."""
+    bench = S.hashing_encoder(tables.table(spark, sf, "benchmark"), "text")
+    docs = S.hashing_encoder(tables.table(spark, sf, "documents"), "text")
+    rel = S.relevance_to_seeds(docs.withColumnRenamed("doc_id", "ord"), bench, 0.3)
+    return rel.select("ord", F.round("semantic_score", 6).alias("semantic_score"))
+
+
+@register("drop_all_null_columns", None)
+def q_drop_all_null_columns(spark, sf):
+    rows = P.raw_rows(landed(spark, sf), "scopus")
+    return P.drop_all_null_columns(rows.drop("link"))

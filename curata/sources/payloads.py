@@ -385,3 +385,47 @@ def abstract_lookups(papers: DataFrame) -> DataFrame:
                                               "abstracts", "abstract", "abstractText"], a)))
             .otherwise(F.to_json(nest(["abstract"], a))))
     return papers.filter(F.col("doi").isNotNull()).select("doi", "ord", body.alias("body"))
+
+
+# ---- files: CSV stage tables, partitioned raw landing (A1, A7, A8) --------------------
+
+def read_papers_csv(spark, path: str, schema: T.StructType, on_bad: str = "fail",
+                    corrupt_col: str = "_corrupt_record") -> DataFrame:
+    """CSV with a header, quoted fields and newlines inside abstracts.
+    An empty field reads as NULL (as ``pd.read_csv`` does).
+
+    on_bad='fail' raises on a malformed row; 'skip' drops malformed rows;
+    'quarantine' keeps them with NULL fields and the raw line in
+    ``corrupt_col`` (split them off with ``quarantined``)."""
+    mode = {"fail": "FAILFAST", "skip": "DROPMALFORMED", "quarantine": "PERMISSIVE"}[on_bad]
+    s = schema
+    if on_bad == "quarantine":
+        s = T.StructType(list(schema.fields) + [T.StructField(corrupt_col, T.StringType())])
+    r = (spark.read.schema(s).option("header", True).option("multiLine", True).option("escape", '"')
+         .option("mode", mode))
+    if on_bad == "quarantine":
+        r = r.option("columnNameOfCorruptRecord", corrupt_col)
+    return r.csv(path)
+
+
+def quarantined(df: DataFrame, corrupt_col: str = "_corrupt_record") -> tuple[DataFrame, DataFrame]:
+    """(good rows, bad rows) of a 'quarantine' read."""
+    return df.filter(F.col(corrupt_col).isNull()).drop(corrupt_col), df.filter(F.col(corrupt_col).isNotNull())
+
+
+def land_payloads(payloads: DataFrame, root: str, mode: str = "overwrite") -> None:
+    """Write landed responses partitioned by ``source``/``query_name`` (one
+    folder per query x source, as the reference keeps one file each)."""
+    payloads.write.mode(mode).partitionBy("source", "query_name").parquet(root)
+
+
+def load_raw(spark, root: str, queries: list[str] | None = None, names: list[str] | None = None) -> DataFrame:
+    """The landed responses of the wanted queries x sources.  The filter is
+    on partition columns, so Spark lists and reads only those folders; a
+    missing query or source just contributes no rows."""
+    df = spark.read.parquet(root)
+    if queries is not None:
+        df = df.filter(F.col("query_name").isin([q.lower().replace(" ", "_") for q in queries]))
+    if names is not None:
+        df = df.filter(F.col("source").isin(list(names)))
+    return df
