@@ -129,9 +129,9 @@ def pick_link(links: str | Column, ref: str | None = None, ref_field: str = "@re
     """The first link's value, or the first link whose ``ref`` matches."""
     col = F.col(links) if isinstance(links, str) else links
     if ref is None:
-        return col.getItem(0).getField(value_field)
+        return F.get(col, F.lit(0)).getField(value_field)   # NULL for empty / NULL arrays
     hit = F.filter(col, lambda x: x.getField(ref_field) == F.lit(ref))
-    return hit.getItem(0).getField(value_field)
+    return F.get(hit, F.lit(0)).getField(value_field)
 
 
 def scopus_id(eid: str = "eid", ident: str = "dc:identifier") -> Column:
@@ -408,9 +408,15 @@ def read_papers_csv(spark, path: str, schema: T.StructType, on_bad: str = "fail"
     return r.csv(path)
 
 
-def quarantined(df: DataFrame, corrupt_col: str = "_corrupt_record") -> tuple[DataFrame, DataFrame]:
-    """(good rows, bad rows) of a 'quarantine' read."""
-    return df.filter(F.col(corrupt_col).isNull()).drop(corrupt_col), df.filter(F.col(corrupt_col).isNotNull())
+def quarantined(df: DataFrame, stage_path: str, corrupt_col: str = "_corrupt_record") -> tuple[DataFrame, DataFrame]:
+    """(good rows, bad rows) of a 'quarantine' read.
+
+    The file is parsed once and written to a stage table; both halves read that
+    table.  (Spark refuses queries on raw CSV that need only the corrupt-record
+    column, and parsing twice would double the cost.)"""
+    df.write.mode("overwrite").parquet(stage_path)
+    t = df.sparkSession.read.parquet(stage_path)
+    return t.filter(F.col(corrupt_col).isNull()).drop(corrupt_col), t.filter(F.col(corrupt_col).isNotNull())
 
 
 def land_payloads(payloads: DataFrame, root: str, mode: str = "overwrite") -> None:
