@@ -79,20 +79,35 @@ def centroid(df: DataFrame, vec: str = "embedding") -> list[float]:
     return [float(r["m"]) for r in rows]
 
 
+def centroid_column(df: DataFrame, vec: str = "embedding") -> Column:
+    """The same centroid as a lazy scalar subquery (``DataFrame.scalar``): it
+    runs inside the consuming query, no driver round trip and no join.  The
+    subquery's result is one array of d numbers."""
+    parts = (df.select(norm(vec).alias("__n"), F.posexplode(as_double(vec)).alias("pos", "x"))
+             .select("pos", _safe_div(F.col("x"), F.col("__n")).alias("x"))
+             .groupBy("pos").agg(F.avg("x").alias("m")))
+    return parts.agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"])
+                     .alias("c")).scalar()
+
+
 def vector_literal(v: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(x)).cast("double") for x in v])
 
 
-def semantic_scores(df: DataFrame, query_vec: Sequence[float], vec: str = "embedding",
+def semantic_scores(df: DataFrame, query_vec: Sequence[float] | Column, vec: str = "embedding",
                     out: str = "semantic_score") -> DataFrame:
-    """Cosine of every row's vector with the query vector."""
+    """Cosine of every row's vector with the query vector (a list of numbers
+    or an array Column such as ``centroid_column``)."""
+    if isinstance(query_vec, Column):
+        # a subquery may not sit inside a higher-order function: bind it to a column first
+        return df.withColumn("__q", query_vec).withColumn(out, cosine(vec, F.col("__q"))).drop("__q")
     q = [float(x) for x in query_vec]
     n = sum(x * x for x in q) ** 0.5
     q = [x / n for x in q]
     return df.withColumn(out, cosine_to_unit(vec, vector_literal(q)))
 
 
-def semantic_filter(df: DataFrame, query_vec: Sequence[float], threshold: float, vec: str = "embedding",
+def semantic_filter(df: DataFrame, query_vec: Sequence[float] | Column, threshold: float, vec: str = "embedding",
                     top_k: int | None = None, on_empty: str = "empty") -> DataFrame:
     """Keep rows with cosine >= threshold, best first.  ``top_k`` bounds the
     result (a top-k report: ``TakeOrderedAndProject``); with ``on_empty=
@@ -107,9 +122,12 @@ def semantic_filter(df: DataFrame, query_vec: Sequence[float], threshold: float,
 
 def relevance_to_seeds(candidates: DataFrame, seeds: DataFrame, threshold: float,
                        vec: str = "embedding") -> DataFrame:
-    """Mean cosine of each candidate to all seeds, kept if >= threshold."""
-    c = centroid(seeds, vec)
-    scored = candidates.withColumn("semantic_score", _safe_div(dot(as_double(vec), vector_literal(c)), norm(vec)))
+    """Mean cosine of each candidate to all seeds, kept if >= threshold.
+    One query: the seed centroid is a scalar subquery of it."""
+    c = centroid_column(seeds, vec)
+    # a subquery may not sit inside a higher-order function: bind it to a column first
+    scored = (candidates.withColumn("__c", c)
+              .withColumn("semantic_score", _safe_div(dot(as_double(vec), F.col("__c")), norm(vec))).drop("__c"))
     return scored.filter(F.col("semantic_score") >= F.lit(float(threshold)))
 
 

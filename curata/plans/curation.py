@@ -66,11 +66,11 @@ def run_survey(papers: DataFrame, decisions: DataFrame, edges: DataFrame, vector
     from ..sources.stages import cut
 
     p = filters.between_dates(papers, start, end)
-    p = cut(clean_papers(remove_repeated(p), title_terms, abstract_words))
+    p = cut(clean_papers(remove_repeated(p), title_terms, abstract_words), "cleaned")
     included, removed, _ = review_round(p, decisions, "abstract")
-    included, removed = cut(included), cut(removed)
+    included, removed = cut(included, "included"), cut(removed, "removed")
     selected = included.select("ord").join(p.drop("status"), "ord").withColumn("status", F.lit("included"))
-    snow = cut(snowball(selected, edges, papers, removed, vectors, snowball_threshold))
+    snow = cut(snowball(selected, edges, papers, removed, vectors, snowball_threshold), "snowball")
     return merge_final(included, snow)
 
 

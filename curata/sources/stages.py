@@ -10,6 +10,7 @@ not recompute earlier stages."""
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,7 +47,11 @@ def stage(spark: SparkSession, name: str, build: Callable[[], DataFrame], root:
     return spark.read.format(fmt).load(path)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (not a local one)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Cut the lineage: write ``df`` once as a Parquet table under the shared
+    checkpoint folder and read it back.  (``DataFrame.checkpoint`` on an
+    un-persisted plan computes it twice -- once to count, once to save.)"""
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_dir(spark), "cuts", f"{name}-{uuid.uuid4().hex[:16]}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -7,6 +7,7 @@ through the driver, and the work grows with the tables."""
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +21,26 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 DATABASES = ["arxiv", "springer", "ieeexplore", "scopus", "core", "semantic_scholar"]
 
 
+# Tables whose rows carry long text or vectors, with their id column.  The
+# driver writes each table as one file with a single row group, which Spark can
+# read in one task only -- and filters are pushed into that scan, so a
+# repartition after it does not help.  Such a table is landed once as a stage
+# table of several files (hash-partitioned by id) in the shared checkpoint
+# folder and read from there.  On a cluster the input already is many files;
+# set CURATA_SPREAD=0 to read the given file directly.
+SPREAD = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "embeddings": "vec_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    if name not in SPREAD or os.environ.get("CURATA_SPREAD", "1") == "0":
+        return spark.read.parquet(path)
+    from .stages import stage
+    st = os.stat(path)
+    n = spark.sparkContext.defaultParallelism
+    ident = f"{os.path.abspath(path)}|{st.st_size}|{int(st.st_mtime)}|{n}"
+    key = f"input-{hashlib.sha1(ident.encode()).hexdigest()[:16]}-{name}"
+    return stage(spark, key, lambda: spark.read.parquet(path).repartition(n, SPREAD[name]))
 
 
 # How `documents` stands in for bibliographic records.  The same
