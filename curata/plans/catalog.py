@@ -525,15 +525,66 @@ def q_union_aligned(spark, sf):
 E2E_FROM, E2E_TO = "2016-01-01", "2024-12-31"
 
 
-def _e2e(spark, sf) -> DataFrame:
-    return M.run_survey(tables.papers(spark, sf), tables.decisions(spark, sf), tables.citations(spark, sf),
-                        vectors(spark, sf).select("id", "embedding"), E2E_FROM, E2E_TO,
-                        TITLE_TERMS, ABSTRACT_WORDS, S2_T)
+def _stages(spark, sf) -> dict[str, DataFrame]:
+    return M.survey_stages(tables.papers(spark, sf), tables.decisions(spark, sf), tables.citations(spark, sf),
+                           vectors(spark, sf).select("id", "embedding"), E2E_FROM, E2E_TO,
+                           TITLE_TERMS, ABSTRACT_WORDS, S2_T)
+
+
+_TT = "|".join(T.regex_escape(t) for t in TITLE_TERMS)
+SURVEY_SQL = f"""{O.PAPERS_CTE}, {O.DECISIONS_CTE}, {O.LAST_CTE}, {O.CITATIONS_CTE}, {O.VECS_CTE},
+base AS (SELECT * FROM papers WHERE publication_date BETWEEN DATE '{E2E_FROM}' AND DATE '{E2E_TO}'),
+{O.cascade('base', 'all')},
+cl AS (SELECT * FROM c4 WHERE NOT regexp_matches(lower(title), '{_TT}')
+        AND NOT regexp_matches(lower(abstract), '{_re2_words(ABSTRACT_WORDS)}')
+        AND {L.detect_language_sql('abstract')} = 'en'),
+r1 AS ({O.keep_first('cl', 'lower(title)')}),
+r2 AS ({O.keep_first('r1', "replace(lower(abstract), ' ', '')")}),
+rd AS (SELECT r2.* EXCLUDE (status), coalesce(l.status, r2.status) AS status FROM r2 LEFT JOIN last l USING (id)),
+inc AS (SELECT row_number() OVER (ORDER BY ord) AS id, ord, doi, title, database, query_name, abstract
+        FROM rd WHERE status = 'included'),
+rem AS (SELECT * FROM rd WHERE status IN ('not included', 'excluded')),
+sel AS (SELECT cl.* FROM cl WHERE ord IN (SELECT ord FROM inc)),
+hits AS (SELECT DISTINCT citing_ord FROM citations WHERE cited_ord IN (SELECT ord FROM sel)),
+cites AS (SELECT id, ord + {A.ORD_STRIDE} AS ord, doi, title, database, 'citation' AS query_name, abstract
+          FROM papers WHERE ord IN (SELECT citing_ord FROM hits)
+            AND nullif(title, '') IS NOT NULL AND nullif(abstract, '') IS NOT NULL
+          QUALIFY row_number() OVER (PARTITION BY title ORDER BY ord) = 1),
+und AS (SELECT * FROM cites WHERE doi IS NULL OR doi NOT IN
+          (SELECT doi FROM sel WHERE doi IS NOT NULL UNION SELECT doi FROM rem WHERE doi IS NOT NULL)
+        QUALIFY row_number() OVER (PARTITION BY doi, CASE WHEN doi IS NULL THEN ord END ORDER BY ord) = 1),
+{O.centroid_cte('cen', 'vecs WHERE id IN (SELECT id FROM sel)')},
+snow AS (SELECT row_number() OVER (ORDER BY u.ord) AS id, u.ord, u.doi, u.title, u.database, u.query_name, u.abstract
+         FROM und u JOIN vecs USING (id), cen WHERE {O.cos_to('cen', False)} >= {S2_T}),
+un AS (SELECT ord, doi, title, database, query_name, abstract FROM inc
+       UNION ALL SELECT ord + {A.ORD_STRIDE}, doi, title, database, query_name, abstract FROM snow),
+f1 AS ({O.keep_first('un', 'lower(title)')}),
+f2 AS ({O.keep_first('f1', 'lower(doi)', 'all')}),
+{O.cascade('f2', 'all', 'g')},
+fin AS (SELECT row_number() OVER (ORDER BY ord) AS id, ord, doi, title, database, query_name FROM g4)"""
 
 
-@register("survey_end_to_end", None)
+@register("snowball", _w(f"""
+WITH {SURVEY_SQL}
+SELECT id, ord, doi, title, database, query_name FROM snow"""))
+def q_snowball(spark, sf):
+    return _stages(spark, sf)["snowball"].select("id", "ord", "doi", "title", "database", "query_name")
+
+
+@register("merge_final", _w(f"""
+WITH {SURVEY_SQL}
+SELECT id, ord, doi, title, database, query_name FROM fin"""))
+def q_merge_final(spark, sf):
+    return _stages(spark, sf)["final"].select("id", "ord", "doi", "title", "database", "query_name")
+
+
+@register("survey_end_to_end", _w(f"""
+WITH {SURVEY_SQL}
+SELECT id, ord, doi, title, database, query_name FROM fin"""))
 def q_survey_end_to_end(spark, sf):
-    return _e2e(spark, sf).select("id", "ord", "doi", "title", "database", "query_name")
+    return M.run_survey(tables.papers(spark, sf), tables.decisions(spark, sf), tables.citations(spark, sf),
+                        vectors(spark, sf).select("id", "embedding"), E2E_FROM, E2E_TO,
+                        TITLE_TERMS, ABSTRACT_WORDS, S2_T).select("id", "ord", "doi", "title", "database", "query_name")
 
 
 # --- ingestion of landed payloads -------------------------------------------------------

@@ -53,16 +53,16 @@ def merge_final(first: DataFrame, second: DataFrame | None = None) -> DataFrame:
     return with_dense_id(final_dedup(both.drop("id")))
 
 
-def run_survey(papers: DataFrame, decisions: DataFrame, edges: DataFrame, vectors: DataFrame,
-               start=None, end=None, title_terms=filters.TITLE_BLOCK_TERMS,
-               abstract_words=filters.ABSTRACT_BLOCK_WORDS, snowball_threshold: float = 0.0) -> DataFrame:
-    """M6: the survey end to end, decisions from a table instead of prompts.
+def survey_stages(papers: DataFrame, decisions: DataFrame, edges: DataFrame, vectors: DataFrame,
+                  start=None, end=None, title_terms=filters.TITLE_BLOCK_TERMS,
+                  abstract_words=filters.ABSTRACT_BLOCK_WORDS, snowball_threshold: float = 0.0) -> dict[str, DataFrame]:
+    """M6 step by step; every stage is written once to the shared checkpoint
+    folder (lineage cut), as the reference keeps one file per step.
 
     date range -> de-dup cascade (F5) -> cleaning (M2) -> abstract review round
     (R2) -> snowball from the included set (M3) -> final merge (M4)."""
     from ..operators.dedup import remove_repeated
     from ..operators.review import review_round
-
     from ..sources.stages import cut
 
     p = filters.between_dates(papers, start, end)
@@ -71,7 +71,16 @@ def run_survey(papers: DataFrame, decisions: DataFrame, edges: DataFrame, vector
     included, removed = cut(included, "included"), cut(removed, "removed")
     selected = included.select("ord").join(p.drop("status"), "ord").withColumn("status", F.lit("included"))
     snow = cut(snowball(selected, edges, papers, removed, vectors, snowball_threshold), "snowball")
-    return merge_final(included, snow)
+    return {"cleaned": p, "included": included, "removed": removed, "snowball": snow,
+            "final": merge_final(included, snow)}
+
+
+def run_survey(papers: DataFrame, decisions: DataFrame, edges: DataFrame, vectors: DataFrame,
+               start=None, end=None, title_terms=filters.TITLE_BLOCK_TERMS,
+               abstract_words=filters.ABSTRACT_BLOCK_WORDS, snowball_threshold: float = 0.0) -> DataFrame:
+    """M6: the survey end to end, decisions from a table instead of prompts."""
+    return survey_stages(papers, decisions, edges, vectors, start, end, title_terms, abstract_words,
+                         snowball_threshold)["final"]
 
 
 def ingest(payloads: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
