@@ -43,8 +43,14 @@ def volume_profile(df: DataFrame, page_size: int, date_col: str = "publication_d
             .withColumn("pages", F.ceil(F.col("total") / F.lit(page_size)).cast("long")))
 
 
-def audit_pages(df: DataFrame, request: str = "request_id", total: str = "total") -> DataFrame:
-    """Requests whose received rows fall short of the announced total."""
-    return (df.groupBy(request).agg(F.max(total).cast("long").alias("expected"),
-                                    F.count(F.lit(1)).alias("received"))
+def audit_pages(totals: DataFrame, rows: DataFrame, request: str = "request_id", total: str = "total") -> DataFrame:
+    """Requests whose parsed rows fall short of the announced total.
+
+    ``totals`` has one row per request (announced total), ``rows`` one row per
+    parsed record; rows are counted per request (partial aggregation) and
+    compared with the announcement.  A request with no parsed row counts 0."""
+    got = rows.groupBy(request).agg(F.count(F.lit(1)).alias("received"))
+    return (totals.select(request, F.col(total).cast("long").alias("expected"))
+            .join(got, request, "left")
+            .withColumn("received", F.coalesce(F.col("received"), F.lit(0)))
             .filter(F.col("received") < F.col("expected")))

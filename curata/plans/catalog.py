@@ -851,3 +851,60 @@ def q_text_encoder_relevance(spark, sf):
 def q_drop_all_null_columns(spark, sf):
     rows = P.raw_rows(landed(spark, sf), "scopus")
     return P.drop_all_null_columns(rows.drop("link"))
+
+
+# --- remaining inventory: page audit, citation payloads, final de-dup, per-source steps -------------
+
+@register("audit_pages", _w(f"""
+WITH {O.PAPERS_CTE}
+SELECT database || ':' || query_name || ':' || CAST(ord // 150 AS VARCHAR) AS request_id,
+       count(*) AS expected, count(*) AS received
+FROM papers GROUP BY ALL HAVING count(*) < count(*)"""))
+def q_audit_pages(spark, sf):
+    """Responses whose parsed records fall short of the announced total
+    (none, when every response parses completely)."""
+    pl = landed(spark, sf)
+    got = None
+    for n in P.sources():
+        r = P.raw_rows(pl, n).select("request_id")
+        got = r if got is None else got.unionByName(r)
+    return A.audit_pages(P.payload_totals(pl), got).select("request_id", "expected", "received")
+
+
+@register("flatten_citations", _w(f"""
+WITH {O.PAPERS_CTE}, {O.CITATIONS_CTE}
+SELECT c.cited_ord, coalesce(p.doi, 'p' || CAST(p.ord AS VARCHAR)) AS doi, p.title, p.abstract, p.url,
+       p.publisher, CAST(make_date(year(p.publication_date), 1, 1) AS VARCHAR) AS publication_date,
+       'citation' AS query_name
+FROM citations c JOIN papers p ON p.ord = c.citing_ord"""))
+def q_flatten_citations(spark, sf):
+    flat = P.flatten_citations(P.citation_payloads(tables.citations(spark, sf), tables.papers(spark, sf)))
+    return flat.select("cited_ord", "doi", "title", "abstract", "url", "publisher",
+                       F.col("publication_date").cast("string").alias("publication_date"), "query_name")
+
+
+@register("final_dedup", _w(f"""
+WITH {O.PAPERS_CTE},
+f1 AS ({O.keep_first('papers', 'lower(title)')}),
+f2 AS ({O.keep_first('f1', 'lower(doi)', 'all')}),
+{O.cascade('f2', 'all', 'g')}
+SELECT {OUT_SQL} FROM g4"""))
+def q_final_dedup(spark, sf):
+    return dedup.final_dedup(tables.papers(spark, sf)).select(*OUT)
+
+
+@register("source_postprocess", _w(f"""
+WITH {O.PAPERS_CTE}, {O.INGEST_CTE},
+sp AS (SELECT i.*, p.lang FROM ingested i
+       JOIN (SELECT ((ord // 150) * 3 + ord % 3) * 150
+                    + row_number() OVER (PARTITION BY database, query_name, ord // 150 ORDER BY ord) - 1 AS raw_ord,
+                    database, lang FROM papers) p
+         ON i.database = p.database AND i.ord = 5 * {A.ORD_STRIDE} + p.raw_ord
+       WHERE i.database = 'springer'),
+f AS (SELECT * FROM sp WHERE contains(lang, 'en') AND nullif(title, '') IS NOT NULL AND nullif(abstract, '') IS NOT NULL
+        AND publication_date BETWEEN DATE '{E2E_FROM}' AND DATE '{E2E_TO}'
+      QUALIFY row_number() OVER (PARTITION BY title ORDER BY ord) = 1)
+SELECT ord - 5 * {A.ORD_STRIDE} AS ord, doi, title, CAST(publication_date AS VARCHAR) AS publication_date FROM f"""))
+def q_source_postprocess(spark, sf):
+    out = M.source_postprocess(landed(spark, sf), "springer", E2E_FROM, E2E_TO)
+    return out.select("ord", "doi", "title", F.col("publication_date").cast("string").alias("publication_date"))

@@ -106,3 +106,27 @@ def preprocess(payloads: DataFrame, start=None, end=None, title_terms=filters.TI
     p = filters.between_dates(p, start, end)
     p = clean_papers(remove_repeated(p), title_terms, abstract_words)
     return with_dense_id(p)
+
+
+def source_postprocess(payloads: DataFrame, name: str, start=None, end=None, lang: str = "en",
+                       lookups=None) -> DataFrame:
+    """M5: what each source client does after fetching -- parse, blank -> NULL
+    on title/abstract, require both (C1), keep-first on the source key and on
+    the title, declared language (C4, when the source has one), date range
+    (C6), optional abstract enrichment (D2, Scopus), and the unified columns."""
+    from ..functions.text import blank_to_null
+    from ..operators.dedup import keep_first
+    from ..operators.joins import enrich_abstract
+    from ..sources import payloads as P
+
+    spec = P.source(name)
+    rows = P.raw_rows(payloads, name)
+    if lookups:
+        rows = rows.withColumn("doi", spec.columns["doi"]())
+        rows = enrich_abstract(rows.withColumn("abstract", spec.columns["abstract"]()), lookups)
+    rows = filters.filter_language(rows, lang, col="language")
+    out = P.normalise(rows, name)
+    out = out.withColumns({"title": blank_to_null("title"), "abstract": blank_to_null("abstract")})
+    out = filters.require_text(out, ["title", "abstract"])
+    out = keep_first(out, F.col("title"), "ord", "one")
+    return filters.between_dates(out, start, end)

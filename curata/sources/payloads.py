@@ -256,6 +256,7 @@ def normalise(rows: DataFrame, name: str) -> DataFrame:
     from ..operators.dedup import keep_first
 
     spec = source(name)
+    rows = rows.drop(*spec.drop)          # B2: unknown names are ignored
     rows = keep_first(rows, F.col(f"`{spec.key}`") if "." not in spec.key else F.col(spec.key), "ord", "one")
     if spec.date_col == "year":
         rows = rows.withColumn("__date_text", F.split_part(F.col("year").cast("string"), F.lit("."), F.lit(1)))
@@ -435,3 +436,39 @@ def load_raw(spark, root: str, queries: list[str] | None = None, names: list[str
     if names is not None:
         df = df.filter(F.col("source").isin(list(names)))
     return df
+
+
+# ---- citation responses (B11) -----------------------------------------------------------
+
+CITING_RECORD = T.StructType([T.StructField("citingPaper", T.StructType([
+    T.StructField("paperId", T.StringType()), T.StructField("url", T.StringType()),
+    T.StructField("title", T.StringType()), T.StructField("abstract", T.StringType()),
+    T.StructField("venue", T.StringType()), T.StructField("year", T.IntegerType())]))])
+
+
+def citation_payloads(edges: DataFrame, records: DataFrame) -> DataFrame:
+    """One citation response per cited record, listing its citing records
+    (``{"data": [{"citingPaper": {...}}]}``), derived from edges and records."""
+    citing = records.select(F.col("ord").alias("citing_ord"), F.struct(
+        F.coalesce(F.col("doi"), F.concat(F.lit("p"), F.col("ord").cast("string"))).alias("paperId"),
+        "url", "title", "abstract", F.col("publisher").alias("venue"),
+        F.year("publication_date").alias("year")).alias("citingPaper"))
+    per_cited = (edges.join(citing, "citing_ord")
+                 .groupBy("cited_ord")
+                 .agg(F.array_sort(F.collect_list(F.struct("citing_ord", "citingPaper"))).alias("__c")))
+    return per_cited.select("cited_ord", F.to_json(F.struct(
+        F.transform("__c", lambda x: F.struct(x["citingPaper"].alias("citingPaper"))).alias("data"))).alias("body"))
+
+
+def flatten_citations(payloads: DataFrame) -> DataFrame:
+    """Citation responses -> record rows: ``citingPaper.*`` renamed to the
+    unified names, ``query_name='citation'``, year -> 1 January (I6)."""
+    rows = explode_json(payloads, "body", T.StructType([T.StructField("data", T.ArrayType(CITING_RECORD))]),
+                        ["data"], ["cited_ord"])
+    return rows.select(
+        "cited_ord", "pos",
+        F.col("citingPaper.paperId").alias("doi"), F.col("citingPaper.title").alias("title"),
+        F.col("citingPaper.abstract").alias("abstract"), F.col("citingPaper.url").alias("url"),
+        F.col("citingPaper.venue").alias("publisher"),
+        F.make_date(F.col("citingPaper.year"), F.lit(1), F.lit(1)).alias("publication_date"),
+        F.lit("citation").alias("query_name"), F.lit("semantic_scholar").alias("database"))
