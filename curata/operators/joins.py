@@ -11,7 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import UNKNOWN
+from pyspark.sql import Column
+
+from ..schema import REVIEW_STATES, UNKNOWN
 from .dedup import keep_first, singletons
 from .filters import between_years, require_text
 
@@ -70,12 +72,30 @@ def enrich_abstract(df: DataFrame, lookups: Sequence[tuple[DataFrame, str, str]]
     return out.withColumn(col, F.coalesce(*vals, F.lit(""))).drop(*names)
 
 
+def decision_code(ts: str = "ts", status: str = "status") -> Column:
+    """(ts, status) as one BIGINT: microseconds * 8 + the state's code (1..4).
+    Its maximum is the latest decision (ties on ``ts`` go to the later state
+    in REVIEW_STATES).  A status outside the fixed states raises an error."""
+    states = F.array(*[F.lit(x) for x in REVIEW_STATES])
+    code = F.array_position(states, F.col(status))
+    code = F.when(code > 0, code).otherwise(
+        F.raise_error(F.concat(F.lit("unknown review status: "), F.coalesce(F.col(status), F.lit("NULL")))).cast("long"))
+    return F.unix_micros(F.col(ts)) * F.lit(8) + code
+
+
+def decode_status(c: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(x) for x in REVIEW_STATES]), (c % F.lit(8)).cast("int"))
+
+
+def decode_ts(c: Column) -> Column:
+    return F.timestamp_micros(F.floor(c / F.lit(8)))
+
+
 def latest_decisions(decisions: DataFrame) -> DataFrame:
-    """Last decision per id (ties on ``ts`` broken by status, deterministically).
-    A hash aggregate: map-side partial maxima, so a hot id is pre-aggregated."""
-    return (decisions.groupBy("id")
-            .agg(F.max(F.struct("ts", "status")).alias("__last"))
-            .select("id", F.col("__last.status").alias("__decision")))
+    """Last decision per id.  ``max`` of a BIGINT code is a hash aggregate with
+    map-side partial maxima: a hot id is pre-aggregated, nothing is sorted."""
+    return (decisions.groupBy("id").agg(F.max(decision_code()).alias("__last"))
+            .select("id", decode_status(F.col("__last")).alias("__decision")))
 
 
 def apply_decisions(df: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -38,8 +38,8 @@ def norm(v) -> Column:
 
 
 def _safe_div(x: Column, n: Column) -> Column:
-    # a zero vector scores 0 instead of dividing by zero
-    return F.when(n > 0, x / n).otherwise(F.lit(0.0))
+    # a zero vector scores 0 instead of dividing by zero; ``n`` is read once
+    return F.coalesce(F.try_divide(x, n), F.lit(0.0))
 
 
 def cosine_to_unit(v, unit: Column) -> Column:
@@ -79,15 +79,17 @@ def centroid(df: DataFrame, vec: str = "embedding") -> list[float]:
     return [float(r["m"]) for r in rows]
 
 
-def centroid_column(df: DataFrame, vec: str = "embedding") -> Column:
+def centroid_column(df: DataFrame, vec: str = "embedding", unit: bool = False) -> Column:
     """The same centroid as a lazy scalar subquery (``DataFrame.scalar``): it
     runs inside the consuming query, no driver round trip and no join.  The
-    subquery's result is one array of d numbers."""
+    subquery's result is one array of d numbers (unit length if ``unit``)."""
     parts = (df.select(norm(vec).alias("__n"), F.posexplode(as_double(vec)).alias("pos", "x"))
              .select("pos", _safe_div(F.col("x"), F.col("__n")).alias("x"))
              .groupBy("pos").agg(F.avg("x").alias("m")))
-    return parts.agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"])
-                     .alias("c")).scalar()
+    c = parts.agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("c"))
+    if unit:   # one row: normalising here costs nothing per candidate
+        c = normalised(c, "c", "c")
+    return c.scalar()
 
 
 def vector_literal(v: Sequence[float]) -> Column:
@@ -100,7 +102,9 @@ def semantic_scores(df: DataFrame, query_vec: Sequence[float] | Column, vec: str
     or an array Column such as ``centroid_column``)."""
     if isinstance(query_vec, Column):
         # a subquery may not sit inside a higher-order function: bind it to a column first
-        return df.withColumn("__q", query_vec).withColumn(out, cosine(vec, F.col("__q"))).drop("__q")
+        return (df.withColumn("__q", query_vec)
+                .withColumn(out, _safe_div(dot(as_double(vec), as_double("__q")), norm(vec) * norm("__q")))
+                .drop("__q"))
     q = [float(x) for x in query_vec]
     n = sum(x * x for x in q) ** 0.5
     q = [x / n for x in q]

@@ -275,7 +275,7 @@ def with_vectors(df: DataFrame, spark, sf) -> DataFrame:
 
 def s1_scored(spark, sf) -> DataFrame:
     v = vectors(spark, sf)
-    q = S.centroid_column(v.filter(F.col("label") == S1_LABEL))
+    q = S.centroid_column(v.filter(F.col("label") == S1_LABEL), unit=True)
     p = with_vectors(tables.papers(spark, sf), spark, sf)
     return S.semantic_filter(p, q, S1_T)
 
@@ -298,7 +298,7 @@ FROM papers p JOIN vecs USING (id), cen
 ORDER BY {O.cos_to('cen', True)} DESC, p.ord LIMIT {TOPK}"""))
 def q_semantic_top_k(spark, sf):
     v = vectors(spark, sf)
-    q = S.centroid_column(v.filter(F.col("label") == S1_LABEL))
+    q = S.centroid_column(v.filter(F.col("label") == S1_LABEL), unit=True)
     p = S.semantic_scores(with_vectors(tables.papers(spark, sf), spark, sf), q)
     return G.top_k(p, "semantic_score", TOPK).select("id", "ord", F.round("semantic_score", 6).alias("semantic_score"))
 

@@ -40,6 +40,7 @@ INCLUDED = "included"
 NOT_INCLUDED = "not included"   # abstract round
 EXCLUDED = "excluded"           # full-text round
 REMOVED_STATES = (NOT_INCLUDED, EXCLUDED)
+REVIEW_STATES = (UNKNOWN, INCLUDED, NOT_INCLUDED, EXCLUDED)   # order breaks ties on equal timestamps
 
 
 def conform(df: DataFrame) -> DataFrame:

@@ -67,8 +67,9 @@ def stream_dedup(stream: DataFrame, key, event_time: str, lateness: str = "30 da
 
 def decision_status_stream(decisions: DataFrame) -> DataFrame:
     """K3: current status per id from a decision stream (last write wins)."""
-    return (decisions.groupBy("id").agg(F.max(F.struct("ts", "status")).alias("__last"))
-            .select("id", F.col("__last.status").alias("status"), F.col("__last.ts").alias("ts")))
+    from ..operators.joins import decision_code, decode_status, decode_ts
+    return (decisions.groupBy("id").agg(F.max(decision_code()).alias("__last"))
+            .select("id", decode_status(F.col("__last")).alias("status"), decode_ts(F.col("__last")).alias("ts")))
 
 
 def run_complete(agg: DataFrame, target: str, checkpoint: str) -> None:
