@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Column
 
 from ..schema import REVIEW_STATES, UNKNOWN
+from ..functions.text import long_key
 from .dedup import keep_first, singletons
 from .filters import between_years, require_text
 
@@ -40,7 +41,7 @@ def expand_citations(selected: DataFrame, edges: DataFrame, records: DataFrame,
     hits = citing_edges(selected, edges, cap).select(F.col("citing_ord").alias("ord"))
     cites = records.join(hits, "ord", "left_semi")
     cites = require_text(cites, ["title", "abstract"])
-    cites = keep_first(cites, F.col("title"), "ord", "one")
+    cites = keep_first(cites, long_key(F.col("title")), "ord", "one")
     if y0 is not None or y1 is not None:
         cites = between_years(cites, y0, y1)
     return cites.withColumns({"query_name": F.lit("citation"), "type": F.lit("citation"),
@@ -52,9 +53,10 @@ def enrich_abstract(df: DataFrame, lookups: Sequence[tuple[DataFrame, str, str]]
 
     ``lookups`` is a list of (table, key column shared with ``df``, value
     column[, order column]).  Each lookup is made unique on its key first -- the
-    non-blank value with the smallest order (else the largest value), a hash
-    aggregate with map-side partial results -- so the left joins never multiply
-    rows; the first non-blank value in priority order wins, else ``''``."""
+    non-blank value with the smallest order (else the smallest value), by
+    keep-first, whose partial limit runs before the shuffle -- so the left
+    joins never multiply rows; the first non-blank value in priority order
+    wins, else ``''``."""
     out = df
     vals = [F.nullif(F.col(col), F.lit(""))]
     for i, spec in enumerate(lookups):
@@ -62,10 +64,9 @@ def enrich_abstract(df: DataFrame, lookups: Sequence[tuple[DataFrame, str, str]]
         order = spec[3] if len(spec) > 3 else None
         name = f"__lk{i}"
         sel = tbl.select(F.col(key), F.nullif(F.col(value), F.lit("")).alias(name),
-                         *([F.col(order).alias("__o")] if order else []))
+                         (F.col(order) if order else F.nullif(F.col(value), F.lit(""))).alias("__o"))
         sel = sel.filter(F.col(key).isNotNull() & F.col(name).isNotNull())
-        pick = F.min_by(name, "__o") if order else F.max(name)
-        uniq = sel.groupBy(key).agg(pick.alias(name))
+        uniq = keep_first(sel, F.col(key), "__o", "one").drop("__o")
         out = out.join(uniq, key, "left")
         vals.append(F.nullif(F.col(name), F.lit("")))
     names = [f"__lk{i}" for i in range(len(lookups))]

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import (lemmatize_word, lemmatize_words, norm_search, whole_phrase_regex,
+from ..functions.text import (lemmatize_word, lemmatize_words, long_key, norm_search, whole_phrase_regex,
                               whole_phrase_regex_re2)
 from .dedup import keep_first
 
@@ -212,4 +212,4 @@ def filter_keywords(df: DataFrame, keywords: Sequence[str], synonyms: Mapping[st
     for alts in keyword_terms(keywords, synonyms, mode):
         pat = "|".join(whole_phrase_regex(a) for a in alts)
         cond = cond & text.rlike(pat)
-    return keep_first(df.filter(cond), F.col("title"), order_by, "one")
+    return keep_first(df.filter(cond), long_key(F.col("title")), order_by, "one")

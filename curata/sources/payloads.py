@@ -447,16 +447,18 @@ CITING_RECORD = T.StructType([T.StructField("citingPaper", T.StructType([
 
 
 def citation_payloads(edges: DataFrame, records: DataFrame) -> DataFrame:
-    """One citation response per cited record, listing its citing records
-    (``{"data": [{"citingPaper": {...}}]}``), derived from edges and records."""
+    """Citation responses (``{"data": [{"citingPaper": {...}}]}``) derived from
+    edges and records: one response per cited record and page of PAGE_SLOTS
+    citing slots (``citing_ord div PAGE_SLOTS``), so however often one record
+    is cited, no response -- no ``collect_list`` group -- exceeds PAGE_SLOTS rows."""
     citing = records.select(F.col("ord").alias("citing_ord"), F.struct(
         F.coalesce(F.col("doi"), F.concat(F.lit("p"), F.col("ord").cast("string"))).alias("paperId"),
         "url", "title", "abstract", F.col("publisher").alias("venue"),
         F.year("publication_date").alias("year")).alias("citingPaper"))
     per_cited = (edges.join(citing, "citing_ord")
-                 .groupBy("cited_ord")
+                 .groupBy("cited_ord", F.floor(F.col("citing_ord") / PAGE_SLOTS).alias("page"))
                  .agg(F.array_sort(F.collect_list(F.struct("citing_ord", "citingPaper"))).alias("__c")))
-    return per_cited.select("cited_ord", F.to_json(F.struct(
+    return per_cited.select("cited_ord", "page", F.to_json(F.struct(
         F.transform("__c", lambda x: F.struct(x["citingPaper"].alias("citingPaper"))).alias("data"))).alias("body"))
 
 

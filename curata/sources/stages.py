@@ -19,10 +19,14 @@ from ..session import checkpoint_dir
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(hpath)
+    """Does ``path`` exist on the (possibly distributed) file system?"""
+    try:
+        jvm = spark.sparkContext._jvm
+        hpath = jvm.org.apache.hadoop.fs.Path(path)
+        fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        return bool(fs.exists(hpath))
+    except Exception:  # noqa: BLE001 - no JVM handle (e.g. a Spark Connect session)
+        return os.path.exists(path.removeprefix("file:"))
 
 
 def write_stage(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "parquet",

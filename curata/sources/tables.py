@@ -37,7 +37,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return spark.read.parquet(path)
     from .stages import stage
     st = os.stat(path)
-    n = spark.sparkContext.defaultParallelism
+    from ..session import parallelism
+    n = parallelism(spark)
     ident = f"{os.path.abspath(path)}|{st.st_size}|{int(st.st_mtime)}|{n}"
     key = f"input-{hashlib.sha1(ident.encode()).hexdigest()[:16]}-{name}"
     return stage(spark, key, lambda: spark.read.parquet(path).repartition(n, SPREAD[name]))
