@@ -421,8 +421,9 @@ def q_review_dedup(spark, sf):
 
 @register("review_progress", _w(f"""
 WITH {SEL_SQL}
-SELECT count(*) AS total, count_if(status = 'unknown') AS unknown, count_if(status = 'included') AS included,
-       count_if(status IN ('not included', 'excluded')) AS excluded,
+SELECT count(*) AS total, CAST(count_if(status = 'unknown') AS BIGINT) AS unknown,
+       CAST(count_if(status = 'included') AS BIGINT) AS included,
+       CAST(count_if(status IN ('not included', 'excluded')) AS BIGINT) AS excluded,
        CASE WHEN count(*) > 0 THEN round((count(*) - count_if(status = 'unknown')) / count(*) * 100, 2) ELSE 0.0 END AS progress
 FROM decided"""))
 def q_review_progress(spark, sf):
@@ -431,8 +432,9 @@ def q_review_progress(spark, sf):
 
 @register("review_progress_by_source", _w(f"""
 WITH {SEL_SQL}
-SELECT database, count(*) AS total, count_if(status = 'unknown') AS unknown, count_if(status = 'included') AS included,
-       count_if(status IN ('not included', 'excluded')) AS excluded,
+SELECT database, count(*) AS total, CAST(count_if(status = 'unknown') AS BIGINT) AS unknown,
+       CAST(count_if(status = 'included') AS BIGINT) AS included,
+       CAST(count_if(status IN ('not included', 'excluded')) AS BIGINT) AS excluded,
        CASE WHEN count(*) > 0 THEN round((count(*) - count_if(status = 'unknown')) / count(*) * 100, 2) ELSE 0.0 END AS progress
 FROM decided GROUP BY database"""))
 def q_review_progress_by_source(spark, sf):
@@ -442,8 +444,8 @@ def q_review_progress_by_source(spark, sf):
 @register("volume_profile", _w(f"""
 WITH {O.PAPERS_CTE},
 y AS (SELECT query_name, database, year(publication_date) AS year, count(*) AS n_year FROM papers GROUP BY ALL)
-SELECT query_name, database, CAST(sum(n_year) AS BIGINT) AS total, count(*) AS n_years, min(year) AS first_year,
-       max(year) AS last_year, CAST(ceil(sum(n_year) / 25) AS BIGINT) AS pages
+SELECT query_name, database, CAST(sum(n_year) AS BIGINT) AS total, count(*) AS n_years,
+       CAST(min(year) AS INTEGER) AS first_year, CAST(max(year) AS INTEGER) AS last_year, CAST(ceil(sum(n_year) / 25) AS BIGINT) AS pages
 FROM y GROUP BY query_name, database"""))
 def q_volume_profile(spark, sf):
     return A.volume_profile(tables.papers(spark, sf), 25)
@@ -702,17 +704,18 @@ def q_json_abstract(spark, sf):
 @register("enrich_abstract", _w(f"""
 WITH {O.PAPERS_CTE},
 lk AS (SELECT doi, first(nullif(abstract, '') ORDER BY ord) FILTER (WHERE nullif(abstract, '') IS NOT NULL) AS a
-       FROM papers WHERE doi IS NOT NULL AND ord % 2 = 0 GROUP BY doi),
+       FROM papers WHERE doi IS NOT NULL AND ord IN (SELECT doc_id FROM labels) GROUP BY doi),
 pg AS (SELECT 'https://records.example.org/' || CAST(page_id AS VARCHAR) AS url, url AS page_url FROM pages)
 SELECT p.ord, p.doi, coalesce(lk.a, pg.page_url, '') AS abstract
 FROM papers p LEFT JOIN lk USING (doi) LEFT JOIN pg ON pg.url = p.url"""))
 def q_enrich_abstract(spark, sf):
     # Records arrive without abstracts; the first lookup (retrieval responses by
-    # DOI, from every other record) fills what it can, the second (page URL by
-    # record URL) the rest, otherwise ''.
+    # DOI -- there is one for every labelled record) fills what it can, the
+    # second (page URL by record URL) the rest, otherwise ''.
     p = tables.papers(spark, sf)
     bare = p.select("ord", "doi", "url", F.lit(None).cast("string").alias("abstract"))
-    lk = P.abstract_lookups(p.filter(F.col("ord") % 2 == 0)).select("doi", "ord", P.json_abstract("body").alias("a"))
+    labelled = p.join(tables.table(spark, sf, "labels").select(F.col("doc_id").alias("ord")), "ord", "left_semi")
+    lk = P.abstract_lookups(labelled).select("doi", "ord", P.json_abstract("body").alias("a"))
     pages = tables.table(spark, sf, "pages").select(
         F.concat(F.lit("https://records.example.org/"), F.col("page_id").cast("string")).alias("url"),
         F.col("url").alias("page_url"))
