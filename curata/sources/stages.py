@@ -47,10 +47,29 @@ def stage(spark: SparkSession, name: str, build: Callable[[], DataFrame], root:
     root = root or os.path.join(checkpoint_dir(spark), "stages")
     path = os.path.join(root, name)
     if not _exists(spark, os.path.join(path, "_SUCCESS")):
-        write_stage(build(), path, "overwrite", fmt)
+        # build under a private name, then publish with one rename: a reader
+        # never sees a half-written stage, and two builders cannot interleave
+        tmp = f"{path}.building-{uuid.uuid4().hex[:12]}"
+        write_stage(build(), tmp, "overwrite", fmt)
+        if not _rename(spark, tmp, path):
+            path = tmp          # someone else published first; ours is just as good
     return spark.read.format(fmt).load(path)
 
 
+def _rename(spark: SparkSession, src: str, dst: str) -> bool:
+    try:
+        jvm = spark.sparkContext._jvm
+        s, d = jvm.org.apache.hadoop.fs.Path(src), jvm.org.apache.hadoop.fs.Path(dst)
+        fs = s.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        return bool(not fs.exists(d) and fs.rename(s, d))
+    except Exception:  # noqa: BLE001 - no JVM handle: local file system
+        try:
+            os.rename(src.removeprefix("file:"), dst.removeprefix("file:"))
+            return True
+        except OSError:
+            return False
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Cut the lineage: write ``df`` once as a Parquet table under the shared
     checkpoint folder and read it back.  (``DataFrame.checkpoint`` on an
