@@ -42,13 +42,16 @@ def reviewed_projection(df: DataFrame, status: str) -> DataFrame:
     return df.select(*cols).withColumn("status", F.lit(status))
 
 
-def review_round(df: DataFrame, decisions: DataFrame, round: str = "abstract"):
+def review_round(df: DataFrame, decisions: DataFrame, round: str = "abstract", stage=None):
     """R2: apply a round's decisions; return (included, removed, updated).
 
     ``included`` gets new dense ids; after the abstract round its status is
     reset to ``unknown`` (it goes on to the full-text round), after the
-    full-text round it stays ``included``."""
+    full-text round it stays ``included``.  ``stage`` (e.g. a lineage cut) is
+    applied to the updated table once, before it is split."""
     upd = apply_decisions(review_dedup(df), decisions)
+    if stage is not None:
+        upd = stage(upd)
     inc = upd.filter(F.col("status") == INCLUDED)
     inc = reviewed_projection(inc, UNKNOWN if round == "abstract" else INCLUDED)
     inc = with_dense_id(inc)

@@ -67,8 +67,7 @@ def survey_stages(papers: DataFrame, decisions: DataFrame, edges: DataFrame, vec
 
     p = filters.between_dates(papers, start, end)
     p = cut(clean_papers(remove_repeated(p), title_terms, abstract_words), "cleaned")
-    included, removed, _ = review_round(p, decisions, "abstract")
-    included, removed = cut(included, "included"), cut(removed, "removed")
+    included, removed, _ = review_round(p, decisions, "abstract", stage=lambda d: cut(d, "reviewed"))
     selected = included.select("ord").join(p.drop("status"), "ord").withColumn("status", F.lit("included"))
     snow = cut(snowball(selected, edges, papers, removed, vectors, snowball_threshold), "snowball")
     return {"cleaned": p, "included": included, "removed": removed, "snowball": snow,
