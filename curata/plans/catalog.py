@@ -897,17 +897,16 @@ def q_final_dedup(spark, sf):
 
 
 @register("source_postprocess", _w(f"""
-WITH {O.PAPERS_CTE}, {O.INGEST_CTE},
-sp AS (SELECT i.*, p.lang FROM ingested i
-       JOIN (SELECT ((ord // 150) * 3 + ord % 3) * 150
-                    + row_number() OVER (PARTITION BY database, query_name, ord // 150 ORDER BY ord) - 1 AS raw_ord,
-                    database, lang FROM papers) p
-         ON i.database = p.database AND i.ord = 5 * {A.ORD_STRIDE} + p.raw_ord
-       WHERE i.database = 'springer'),
-f AS (SELECT * FROM sp WHERE contains(lang, 'en') AND nullif(title, '') IS NOT NULL AND nullif(abstract, '') IS NOT NULL
-        AND publication_date BETWEEN DATE '{E2E_FROM}' AND DATE '{E2E_TO}'
-      QUALIFY row_number() OVER (PARTITION BY title ORDER BY ord) = 1)
-SELECT ord - 5 * {A.ORD_STRIDE} AS ord, doi, title, CAST(publication_date AS VARCHAR) AS publication_date FROM f"""))
+WITH {O.PAPERS_CTE},
+raw AS (SELECT p.*, ((ord // 150) * 3 + ord % 3) * 150
+                    + row_number() OVER (PARTITION BY database, query_name, ord // 150 ORDER BY ord) - 1 AS raw_ord
+        FROM papers p WHERE database = 'springer'),
+t1 AS (SELECT * FROM raw WHERE nullif(title, '') IS NOT NULL
+       QUALIFY row_number() OVER (PARTITION BY lower(title) ORDER BY raw_ord) = 1),
+t2 AS (SELECT * FROM t1 WHERE nullif(abstract, '') IS NOT NULL
+       QUALIFY row_number() OVER (PARTITION BY doi ORDER BY raw_ord) = 1)
+SELECT raw_ord AS ord, doi, title, CAST(publication_date AS VARCHAR) AS publication_date FROM t2
+WHERE contains(lang, 'en') AND publication_date BETWEEN DATE '{E2E_FROM}' AND DATE '{E2E_TO}'"""))
 def q_source_postprocess(spark, sf):
     out = M.source_postprocess(landed(spark, sf), "springer", E2E_FROM, E2E_TO)
     return out.select("ord", "doi", "title", F.col("publication_date").cast("string").alias("publication_date"))

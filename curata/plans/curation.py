@@ -109,23 +109,24 @@ def preprocess(payloads: DataFrame, start=None, end=None, title_terms=filters.TI
 
 def source_postprocess(payloads: DataFrame, name: str, start=None, end=None, lang: str = "en",
                        lookups=None) -> DataFrame:
-    """M5: what each source client does after fetching -- parse, blank -> NULL
-    on title/abstract, require both (C1), keep-first on the source key and on
-    the title, declared language (C4, when the source has one), date range
-    (C6), optional abstract enrichment (D2, Scopus), and the unified columns."""
-    from ..functions.text import blank_to_null
+    """M5: what a source client does with a fetched page, in its order: parse,
+    optional abstract enrichment (D2, Scopus), drop blank titles, keep-first on
+    the lower-cased title, drop blank abstracts, keep-first on the DOI (NULL
+    DOIs as one group), declared language (C4, when the source has one), date
+    range (C6); unified columns (the lower-cased title is only the key, the
+    text is kept -- quirk Q17)."""
+    from ..functions.text import blank_to_null, long_key
     from ..operators.dedup import keep_first
     from ..operators.joins import enrich_abstract
     from ..sources import payloads as P
 
     spec = P.source(name)
     rows = P.raw_rows(payloads, name)
+    out = P.normalise(rows, name, dedup=False, keep=["language"])
     if lookups:
-        rows = rows.withColumn("doi", spec.columns["doi"]())
-        rows = enrich_abstract(rows.withColumn("abstract", spec.columns["abstract"]()), lookups)
-    rows = filters.filter_language(rows, lang, col="language")
-    out = P.normalise(rows, name)
+        out = enrich_abstract(out, lookups)
     out = out.withColumns({"title": blank_to_null("title"), "abstract": blank_to_null("abstract")})
-    out = filters.require_text(out, ["title", "abstract"])
-    out = keep_first(out, F.col("title"), "ord", "one")
+    out = keep_first(out.filter(F.col("title").isNotNull()), long_key(F.lower(F.col("title"))), "ord", "one")
+    out = keep_first(out.filter(F.col("abstract").isNotNull()), F.col("doi"), "ord", "one")
+    out = filters.filter_language(out, lang, col="language")
     return filters.between_dates(out, start, end)

@@ -250,14 +250,16 @@ def raw_rows(payloads: DataFrame, name: str) -> DataFrame:
     return rows.withColumn("ord", F.col("page") * F.lit(PAGE_SLOTS) + F.col("pos"))
 
 
-def normalise(rows: DataFrame, name: str) -> DataFrame:
-    """B1: keep-first on the source key, then the unified columns; dates go
-    through the ladder (I5), a float year through I6."""
+def normalise(rows: DataFrame, name: str, dedup: bool = True, keep: list[str] = ()) -> DataFrame:
+    """B1: keep-first on the source key (unless ``dedup=False``), then the
+    unified columns (plus raw columns ``keep``); dates go through the ladder
+    (I5), a float year through I6."""
     from ..operators.dedup import keep_first
 
     spec = source(name)
     rows = rows.drop(*spec.drop)          # B2: unknown names are ignored
-    rows = keep_first(rows, F.col(f"`{spec.key}`") if "." not in spec.key else F.col(spec.key), "ord", "one")
+    if dedup:
+        rows = keep_first(rows, F.col(f"`{spec.key}`") if "." not in spec.key else F.col(spec.key), "ord", "one")
     if spec.date_col == "year":
         rows = rows.withColumn("__date_text", F.split_part(F.col("year").cast("string"), F.lit("."), F.lit(1)))
     else:
@@ -266,7 +268,7 @@ def normalise(rows: DataFrame, name: str) -> DataFrame:
     out = rows.select(
         *[spec.columns[k]().alias(k) if k in spec.columns else F.lit(None).cast("string").alias(k)
           for k in CORE_COLUMNS if k not in ("query_name", "query_value", "database", "publication_date")],
-        "publication_date", "query_name", "query_value", "ord")
+        "publication_date", "query_name", "query_value", "ord", *[F.col(f"`{k}`") for k in keep if k in rows.columns])
     return out.withColumn("database", F.lit(name))
 
 
