@@ -264,6 +264,7 @@ from ..operators import review as R         # noqa: E402
 S1_LABEL, S1_T, S2_T, TOPK = 0, 0.15, 0.012, 10
 
 
+@tables.memo
 def vectors(spark, sf) -> DataFrame:
     e = tables.table(spark, sf, "embeddings")
     return e.select((F.col("vec_id") + 1).alias("id"), "embedding", "label")
@@ -303,11 +304,13 @@ def q_semantic_top_k(spark, sf):
     return G.top_k(p, "semantic_score", TOPK).select("id", "ord", F.round("semantic_score", 6).alias("semantic_score"))
 
 
+@tables.memo
 def selected(spark, sf) -> DataFrame:
     """Records whose latest decision is 'included'."""
     return J.apply_decisions(tables.papers(spark, sf), tables.decisions(spark, sf)).filter(F.col("status") == "included")
 
 
+@tables.memo
 def removed(spark, sf) -> DataFrame:
     return J.apply_decisions(tables.papers(spark, sf), tables.decisions(spark, sf)).filter(
         F.col("status").isin("not included", "excluded"))
@@ -359,6 +362,7 @@ def q_status_filter(spark, sf):
     return filters.by_status(d, "not included", "excluded").select("id", "ord", "status")
 
 
+@tables.memo
 def citations_of_selected(spark, sf) -> DataFrame:
     return J.expand_citations(selected(spark, sf), tables.citations(spark, sf), tables.papers(spark, sf))
 
@@ -602,6 +606,7 @@ def _ing_cols(df: DataFrame) -> DataFrame:
                        F.col(c).cast("string").alias(c) if c == "publication_date" else F.col(c) for c in ING_OUT])
 
 
+@tables.memo
 def landed(spark, sf) -> DataFrame:
     return P.landed_payloads(tables.papers(spark, sf))
 

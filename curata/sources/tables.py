@@ -31,6 +31,30 @@ DATABASES = ["arxiv", "springer", "ieeexplore", "scopus", "core", "semantic_scho
 SPREAD = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "embeddings": "vec_id"}
 
 
+_CACHE: dict[tuple, DataFrame] = {}
+
+
+def _session_key(spark: SparkSession) -> str:
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - Spark Connect
+        return str(getattr(spark, "session_id", id(spark)))
+
+
+def memo(fn):
+    """Reuse the DataFrame built for the same session and arguments.  A
+    DataFrame is an immutable plan, so sharing it between queries is safe; it
+    saves re-listing files and re-analysing the same projections."""
+    def wrapper(spark: SparkSession, *args):
+        key = (fn.__name__, _session_key(spark), *args)
+        if key not in _CACHE:
+            _CACHE[key] = fn(spark, *args)
+        return _CACHE[key]
+    wrapper.__name__, wrapper.__doc__ = fn.__name__, fn.__doc__
+    return wrapper
+
+
+@memo
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = os.path.join(sf_dir, f"{name}.parquet")
     if name not in SPREAD or os.environ.get("CURATA_SPREAD", "1") == "0":
@@ -70,6 +94,7 @@ FROM documents
 """
 
 
+@memo
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as unified records (plus the truth column ``lang``)."""
     return papers_from(table(spark, sf_dir, "documents"))
@@ -102,6 +127,7 @@ def papers_from(docs: DataFrame) -> DataFrame:
     )
 
 
+@memo
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citation edges ``(citing_ord, cited_ord)``: three per document.
 
@@ -115,6 +141,7 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """)
 
 
+@memo
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviewer decisions derived from ``labels``: an abstract-round decision
     from ``quality`` and, for toxic rows, a later overriding rejection.
@@ -179,6 +206,7 @@ FROM (SELECT doc_id,
 """).replace("array(", "list_value(")
 
 
+@memo
 def date_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messy date strings derived from ``documents`` (one per row)."""
     table(spark, sf_dir, "documents").createOrReplaceTempView("__cur_documents")
