@@ -23,7 +23,7 @@ def clean_papers(df: DataFrame, title_terms: Sequence[str] = filters.TITLE_BLOCK
 
 
 def snowball(selected: DataFrame, edges: DataFrame, records: DataFrame, removed: DataFrame,
-             vectors: DataFrame, threshold: float, cap: int | None = None) -> DataFrame:
+             vectors: DataFrame, threshold: float, cap: int | None = None, ids: bool = True) -> DataFrame:
     """M3: citations of the selected set (D1), minus what is already decided
     (D4), scored against the selected set as seeds (S2), stamped and re-id'd.
 
@@ -39,7 +39,8 @@ def snowball(selected: DataFrame, edges: DataFrame, records: DataFrame, removed:
     cand = undecided(cites, selected, cites.limit(0), removed, mode="clean")
     seeds = selected.join(vectors, "id")
     scored = relevance_to_seeds(cand.join(vectors, "id"), seeds, threshold).drop("embedding")
-    return with_dense_id(scored.drop("id").withColumns({"type": F.lit("snowball"), "status": F.lit("unknown")}))
+    out = scored.drop("id").withColumns({"type": F.lit("snowball"), "status": F.lit("unknown")})
+    return with_dense_id(out) if ids else out
 
 
 def merge_final(first: DataFrame, second: DataFrame | None = None) -> DataFrame:
@@ -62,6 +63,7 @@ def survey_stages(papers: DataFrame, decisions: DataFrame, edges: DataFrame, vec
     date range -> de-dup cascade (F5) -> cleaning (M2) -> abstract review round
     (R2) -> snowball from the included set (M3) -> final merge (M4)."""
     from ..operators.dedup import remove_repeated
+    from ..operators.ordering import with_dense_id
     from ..operators.review import review_round
     from ..sources.stages import cut
 
@@ -69,8 +71,9 @@ def survey_stages(papers: DataFrame, decisions: DataFrame, edges: DataFrame, vec
     p = cut(clean_papers(remove_repeated(p), title_terms, abstract_words), "cleaned")
     included, removed, _ = review_round(p, decisions, "abstract", stage=lambda d: cut(d, "reviewed"))
     selected = included.select("ord").join(p.drop("status"), "ord").withColumn("status", F.lit("included"))
-    snow = cut(snowball(selected, edges, papers, removed, vectors, snowball_threshold), "snowball")
-    return {"cleaned": p, "included": included, "removed": removed, "snowball": snow,
+    # the merge renumbers everything, so the snowball stage is kept without ids
+    snow = cut(snowball(selected, edges, papers, removed, vectors, snowball_threshold, ids=False), "snowball")
+    return {"cleaned": p, "included": included, "removed": removed, "snowball": with_dense_id(snow),
             "final": merge_final(included, snow)}
 
 
