@@ -135,33 +135,44 @@ def compile_query(query: str, synonyms: Mapping[str, Sequence[str]] | None = Non
     return " ".join(parts), groups
 
 
-def _term_match(norm: Column, t: Term) -> Column:
-    # `contains` is a cheap substring pre-check; the regex only runs on hits.
-    return norm.contains(t.text) & norm.rlike(whole_phrase_regex(t.text, t.prefix))
+def _sql_literal(text: str) -> str:
+    """A Spark SQL string literal (backslash escapes are processed by the parser)."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def search_predicate(query: str, fields: Sequence[str] = ("title", "abstract"),
-                     synonyms: Mapping[str, Sequence[str]] | None = None) -> tuple[str, dict[str, Column]]:
+def search_condition(query: str, fields: Sequence[str] = ("title", "abstract"),
+                     synonyms: Mapping[str, Sequence[str]] | None = None) -> Column:
+    """The C9 predicate as one Column.
+
+    Each field is normalised once per row and bound to a lambda variable
+    (``transform(array(named_struct(...)), s -> <query>)[0]``); the query's
+    AND/OR/parenthesis skeleton is parsed by Spark's SQL parser with every term
+    replaced by its whole-phrase test on ``s``.  Without the binding, the
+    optimizer would inline the normalisation into every term test -- one
+    lower/translate pass over the text per term and field."""
     skeleton, groups = compile_query(query, synonyms)
-    norms = {f: norm_search(f) for f in fields}
-    cols = {}
+    names = {f: f"f{i}" for i, f in enumerate(fields)}
+    tests = {}
     for i, group in enumerate(groups):
-        pred = F.lit(False)
+        alts = []
         for t in group:
             for f in fields:
-                pred = pred | _term_match(norms[f], t)
-        cols[f"__t{i}"] = pred
-    return skeleton, cols
+                v = f"s.{names[f]}"
+                alts.append(f"(contains({v}, {_sql_literal(t.text)}) AND "
+                            f"{v} RLIKE {_sql_literal(whole_phrase_regex(t.text, t.prefix))})")
+        tests[i] = "(" + " OR ".join(alts) + ")"
+    body = skeleton
+    for i in sorted(tests, key=lambda k: -len(str(k))):
+        body = re.sub(rf"\b__t{i}\b", lambda _m, r=tests[i]: r, body)
+    # NULL fields: a NULL text matches nothing (contains/rlike give NULL -> false)
+    bound = ", ".join(f"'{names[f]}', lower(translate(`{f}`, '-\\n', '  '))" for f in fields)
+    return F.coalesce(F.expr(f"element_at(transform(array(named_struct({bound})), s -> {body}), 1)"), F.lit(False))
 
 
 def boolean_search(df: DataFrame, query: str, fields: Sequence[str] = ("title", "abstract"),
                    synonyms: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Keep rows matching the boolean ``query`` in any of ``fields``."""
-    skeleton, cols = search_predicate(query, fields, synonyms)
-    # The term columns are substituted into the parsed skeleton by name; Catalyst
-    # collapses the projection, so no extra columns reach the shuffle.
-    marked = df.withColumns(cols)
-    return marked.filter(F.expr(skeleton)).drop(*cols.keys())
+    return df.filter(search_condition(query, fields, synonyms))
 
 
 def boolean_search_sql(query: str, fields: Sequence[str] = ("title", "abstract"),

@@ -840,9 +840,7 @@ SELECT {OUT_SQL} FROM narrow WHERE (SELECT count(*) FROM base) > {GUARD_BUDGET}
                               AND (SELECT count(*) FROM narrow) <= {GUARD_BUDGET}"""))
 def q_volume_guard(spark, sf):
     base = tables.papers(spark, sf).filter(F.col("database") == "arxiv")
-    skeleton, cols = search.search_predicate("'that is'")
-    pred = cols["__t0"]
-    return filters.narrow_if_over(base, GUARD_BUDGET, pred).select(*OUT)
+    return filters.narrow_if_over(base, GUARD_BUDGET, search.search_condition("'that is'")).select(*OUT)
 
 
 @register("text_encoder_relevance", None)
