@@ -42,18 +42,20 @@ def _label(counts: list[Column]) -> Column:
 
 
 def detect_language(c) -> Column:
-    """Language code with most profile hits; ``unknown`` when there is none."""
+    """Language code with most profile hits; ``unknown`` when there is none.
+
+    The token array is bound to a lambda variable, so the text is split once
+    per row even when the optimizer pushes a filter on the result through the
+    projections (it would otherwise inline the split into each profile count)."""
     col = F.col(c) if isinstance(c, str) else c
-    return F.coalesce(_label(_counts(F.split(F.lower(col), TOKEN_SPLIT))), F.lit("unknown"))
+    label = F.element_at(F.transform(F.array(F.split(F.lower(col), TOKEN_SPLIT)),
+                                     lambda toks: _label(_counts(toks))), 1)
+    return F.coalesce(label, F.lit("unknown"))
 
 
 def with_language(df: DataFrame, c: str, out: str = "language") -> DataFrame:
-    """``detect_language`` as a column of ``df``; the tokens are split once per
-    row (a separate projection, which Catalyst keeps un-collapsed)."""
-    toks = "__lang_tokens"
-    return (df.withColumn(toks, F.split(F.lower(F.col(c)), TOKEN_SPLIT))
-            .withColumn(out, F.coalesce(_label(_counts(F.col(toks))), F.lit("unknown")))
-            .drop(toks))
+    """``detect_language`` as a column of ``df``."""
+    return df.withColumn(out, detect_language(c))
 
 
 def detect_language_sql(c: str) -> str:
