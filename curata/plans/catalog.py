@@ -574,7 +574,7 @@ fin AS (SELECT row_number() OVER (ORDER BY ord) AS id, ord, doi, title, database
 WITH {SURVEY_SQL}
 SELECT id, ord, doi, title, database, query_name FROM snow"""))
 def q_snowball(spark, sf):
-    return _stages(spark, sf)["snowball"].select("id", "ord", "doi", "title", "database", "query_name")
+    return G.with_dense_id(_stages(spark, sf)["snowball"]).select("id", "ord", "doi", "title", "database", "query_name")
 
 
 @register("merge_final", _w(f"""

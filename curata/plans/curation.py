@@ -61,9 +61,9 @@ def survey_stages(papers: DataFrame, decisions: DataFrame, edges: DataFrame, vec
     folder (lineage cut), as the reference keeps one file per step.
 
     date range -> de-dup cascade (F5) -> cleaning (M2) -> abstract review round
-    (R2) -> snowball from the included set (M3) -> final merge (M4)."""
+    (R2) -> snowball from the included set (M3, kept without ids: the merge
+    renumbers) -> final merge (M4)."""
     from ..operators.dedup import remove_repeated
-    from ..operators.ordering import with_dense_id
     from ..operators.review import review_round
     from ..sources.stages import cut
 
@@ -73,7 +73,7 @@ def survey_stages(papers: DataFrame, decisions: DataFrame, edges: DataFrame, vec
     selected = included.select("ord").join(p.drop("status"), "ord").withColumn("status", F.lit("included"))
     # the merge renumbers everything, so the snowball stage is kept without ids
     snow = cut(snowball(selected, edges, papers, removed, vectors, snowball_threshold, ids=False), "snowball")
-    return {"cleaned": p, "included": included, "removed": removed, "snowball": with_dense_id(snow),
+    return {"cleaned": p, "included": included, "removed": removed, "snowball": snow,
             "final": merge_final(included, snow)}
 
 
