@@ -250,10 +250,12 @@ def raw_rows(payloads: DataFrame, name: str) -> DataFrame:
     return rows.withColumn("ord", F.col("page") * F.lit(PAGE_SLOTS) + F.col("pos"))
 
 
-def normalise(rows: DataFrame, name: str, dedup: bool = True, keep: list[str] = ()) -> DataFrame:
+def normalise(rows: DataFrame, name: str, dedup: bool = True, keep: list[str] = (),
+              parse: bool = True) -> DataFrame:
     """B1: keep-first on the source key (unless ``dedup=False``), then the
     unified columns (plus raw columns ``keep``); dates go through the ladder
-    (I5), a float year through I6."""
+    (I5), a float year through I6.  With ``parse=False`` the date text is left
+    in ``__date_text`` for one ladder after a union of several sources."""
     from ..operators.dedup import keep_first
 
     spec = source(name)
@@ -264,7 +266,10 @@ def normalise(rows: DataFrame, name: str, dedup: bool = True, keep: list[str] =
         rows = rows.withColumn("__date_text", F.split_part(F.col("year").cast("string"), F.lit("."), F.lit(1)))
     else:
         rows = rows.withColumn("__date_text", F.col(f"`{spec.date_col}`"))
-    rows = parse_dates(rows, "__date_text", "publication_date")
+    if parse:
+        rows = parse_dates(rows, "__date_text", "publication_date")
+    else:
+        rows = rows.withColumn("publication_date", F.col("__date_text"))
     out = rows.select(
         *[spec.columns[k]().alias(k) if k in spec.columns else F.lit(None).cast("string").alias(k)
           for k in CORE_COLUMNS if k not in ("query_name", "query_value", "database", "publication_date")],
