@@ -86,7 +86,8 @@ def final_parse_sql(dialect: str) -> str:
     letters, any case) or ISO ``yyyy-MM-dd`` / ``yyyy-MM`` / ``yyyy``."""
     month3 = "upper(substr(split_part($s, '/', 2), 1, 1)) || lower(substr(split_part($s, '/', 2), 2, 2))"
     dmy = f"split_part($s, '/', 1) || '/' || {month3} || '/' || split_part($s, '/', 3)"
-    ok_month = f"({dialect_match(dialect)}(split_part($s, '/', 2), '^(?i)(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*$'))"
+    months = "|".join(m.lower() for m in MONTHS)
+    ok_month = f"({dialect_match(dialect)}(split_part($s, '/', 2), '^(?i)({months})[a-z]*$'))"
     if dialect == "spark":
         return (f"CASE WHEN {ok_month} THEN try_to_date({dmy}, 'd/MMM/yyyy') "
                 f"WHEN regexp_like($s, '^[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}$') THEN try_to_date($s, 'yyyy-M-d') "

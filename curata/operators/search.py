@@ -13,7 +13,7 @@ to an OR group; several fields are ORed.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -37,13 +37,7 @@ class Term:
 def normalize_query(expression: str) -> str:
     """Drop the ``Â`` encoding artefact, spell every operator outside
     quotes as ``AND``/``OR``, collapse whitespace."""
-    toks = lex_query(expression.replace("Â", ""))
-    out = []
-    for kind, val in toks:
-        if kind == "term":
-            out.append(val)
-        else:
-            out.append(val)
+    out = [val for _kind, val in lex_query(expression.replace("Â", ""))]
     return re.sub(r"\s+", " ", " ".join(out)).replace("( ", "(").replace(" )", ")").strip()
 
 

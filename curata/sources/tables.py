@@ -13,6 +13,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.dates import FULL_MONTHS, MONTHS
 from ..schema import UNKNOWN
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -165,9 +166,8 @@ def decisions_from(lab: DataFrame) -> DataFrame:
 
 # The date-text shapes the ladder has rules for, filled from each
 # document's derived publication date.  Shape k is used for doc_id % 16 = k.
-_MON = "array('Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec')"
-_FULL = ("array('January','February','March','April','May','June','July','August','September',"
-         "'October','November','December')")
+_MON = "array(" + ",".join(f"'{m}'" for m in MONTHS) + ")"
+_FULL = "array(" + ",".join(f"'{m}'" for m in FULL_MONTHS) + ")"
 DATE_SHAPES = [
     "y",                                   # 2019          (years 2023/2024 become 2000)
     "y || '.0'",                           # 2019.0
