@@ -913,3 +913,11 @@ WHERE contains(lang, 'en') AND publication_date BETWEEN DATE '{E2E_FROM}' AND DA
 def q_source_postprocess(spark, sf):
     out = M.source_postprocess(landed(spark, sf), "springer", E2E_FROM, E2E_TO)
     return out.select("ord", "doi", "title", F.col("publication_date").cast("string").alias("publication_date"))
+
+
+@register("page_after", _w(f"""
+WITH {O.PAPERS_CTE}
+SELECT {OUT_SQL} FROM papers WHERE ord > 500 ORDER BY ord LIMIT 50"""))
+def q_page_after(spark, sf):
+    """G3, keyset form: the page after the last key seen (deep pages without offsets)."""
+    return G.page_after(tables.papers(spark, sf), "ord", 500, 50).select(*OUT)
