@@ -57,3 +57,10 @@ def test_keyword_filter_lemmatises(spark):
     df = _df(spark, ["two studies of classes", "one study", "a class"])
     got = rows(search.filter_keywords(df.withColumn("title", df.abstract), ["study"]), "ord")
     assert [r[0] for r in got] == [0, 1]
+
+
+@pytest.mark.parametrize("bad", ["'a' AND", "('a' OR 'b'", "'a' 'b'", "AND 'a'"])
+def test_malformed_queries_fail_loudly(spark, bad):
+    df = _df(spark, ["a b"])
+    with pytest.raises(Exception):
+        search.boolean_search(df, bad, ["abstract"]).count()
