@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import tokens
+from . import pii, secrets, tokens
 from .common import documents
 
 
@@ -14,8 +14,18 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(documents(spark, sf_dir))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.personal_data(documents(spark, sf_dir)), pii.KINDS)
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digest(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op4_personal_data": op4_personal_data,
+    "op9_secret_scan": op9_secret_scan,
 }
 
 SQL: dict[str, str] = {}

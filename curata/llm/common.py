@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,28 +25,19 @@ def id_text(docs: DataFrame, *more: str, id_col: str = "doc_id", text_col: str =
 
 
 def map_rows(df: DataFrame, schema: str, batch: Callable[..., dict], *args) -> DataFrame:
-    """``mapInArrow`` with one function from a batch's columns (as Python lists
-    by name) to output columns; one Arrow batch is in memory at a time.  The
-    output columns are converted by the declared Spark schema."""
-    names = [c.name for c in df.sparkSession.createDataFrame([], schema).schema.fields]
-    types = {f.name: _arrow(f.dataType.simpleString()) for f in df.sparkSession.createDataFrame([], schema).schema.fields}
+    """``mapInArrow`` with one function from a batch's columns (Python lists by
+    name) to output columns; one Arrow batch is in memory at a time."""
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 out = batch({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}, *args)
-                yield pa.RecordBatch.from_arrays([pa.array(out[n], types[n]) for n in names], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(),
-            "boolean": pa.bool_(), "binary": pa.binary(), "float": pa.float32(),
-            "array<bigint>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()),
-            "array<double>": pa.list_(pa.float64()), "array<float>": pa.list_(pa.float32())}[kind]
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` as the
     session has it; a folder of our own only where it is unset (tests)."""

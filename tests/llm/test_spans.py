@@ -1,0 +1,109 @@
+"""Personal data and secrets: base rules against the plain patterns, added spans, edge rows."""
+
+import hashlib
+import re
+
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from curata.llm import catalog, pii, secrets
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def plain_pii(text):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+
+    def luhn(d):
+        return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(d[::-1])) % 10 == 0
+    return ([("email", *m.span()) for m in EMAIL.finditer(text)]
+            + [("ip", *m.span()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m.group().split("."))]
+            + [("card", *m.span()) for m in CARD.finditer(text) if 13 <= len(d := digits(m.group())) <= 19 and luhn(d)]
+            + [("phone", *m.span()) for m in PHONE.finditer(text) if 9 <= len(digits(m.group())) <= 15])
+
+
+def plain_secrets(text):
+    assign = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    found = ([("assign", *m.span()) for m in assign.finditer(text) if len(m[2]) >= 12]
+             + [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m.group()) >= 18]
+             + [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m.group()) >= 16])
+    return sorted(found, key=lambda s: (s[1], secrets.ORDER.index(s[0])))
+
+
+PARTS = st.lists(st.sampled_from([
+    "a", "b.c", "@", "@x", ".com", ".", "..", "%+", "-", " ", "\n", "é", "1", "255", "256", "0", "1.2.3.4", ".5", "4111 1111 1111 1111",
+    "4111-1111-1111-1112", "+1 (555) 010-9999", "+", "(", ")", "12345678901234567", "token", "PassWd", "secret", "api_key", "ApiKey",
+    "=", ":", '"', "'", "abcdef0123456789", "deadbeef", "AKIA", "ABCDEFGH12345678", "AKIAX", "ſecret", "toKen", "Zz9/+_="]), max_size=14)
+
+
+@settings(max_examples=600, deadline=None)
+@given(PARTS)
+def test_base_rules_equal_the_plain_patterns(parts):
+    text = "".join(parts)
+    assert pii.base_spans(text) == plain_pii(text)
+    assert [s[:3] for s in secrets.scan(text) if s[3]] == plain_secrets(text)
+
+
+def test_documents_equal_the_plain_patterns(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    text_of = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+    for query, plain, kinds in ((catalog.op4_personal_data, plain_pii, pii.KINDS), (catalog.op9_secret_scan, plain_secrets, secrets.KINDS)):
+        rows = query(spark, sf).collect()
+        assert sorted(r.doc_id for r in rows) == sorted(texts)
+        for r in rows:
+            want = plain(texts[r.doc_id])
+            assert r.base_sha256 == hashlib.sha256(text_of(want).encode()).hexdigest()
+            assert [r[f"n_{k}"] for k in kinds] == [sum(s[0] == k for s in want) for k in kinds]
+            assert set(text_of(want).split(",")) - {""} <= set(r.spans.split(","))
+
+
+def test_long_runs_take_linear_time():
+    for text in ("1" * 300_000, "a" * 300_000, "@" * 300_000, "1." * 150_000, "+" * 300_000, "+1" + " " * 300_000,
+                 "token" + " " * 300_000, "AKIA" * 75_000, "a-" * 150_000):
+        pii.base_spans(text), pii.candidates(text, []), secrets.scan(text)
+
+
+def test_edge_rows(spark):
+    data = [(1, None), (2, ""), (3, "x" * 400_000 + " a@b.co"), (4, "a@b.co"), (4, "a@b.co"), (None, "+1 555 010 9999")]
+    df = spark.createDataFrame([(i, t, "s") for i, t in data], "doc_id long, text string, spans string")
+    got = pii.digest(pii.personal_data(df), pii.KINDS).collect()
+    assert sorted((str(r.doc_id), r.n_email, r.n_phone, r.spans) for r in got) == [
+        ("1", 0, 0, ""), ("2", 0, 0, ""), ("3", 1, 0, "email:400001:400007"), ("4", 1, 0, "email:0:6"), ("4", 1, 0, "email:0:6"), ("None", 0, 1, "phone:0:15")]
+    assert secrets.secret_digest(df).count() == 6
+    empty = df.limit(0)
+    assert pii.personal_data(empty).count() == 0 and secrets.find_secrets(empty).count() == 0
+
+
+def test_candidates_are_added_by_the_votes(spark):
+    texts = ["call me, phone (555) 010-9999 today"] * 30 + ["ssn 123-45-6789 of them"] * 30 + ["order number x555 010-9999y"] * 5 + ["mail jo [at] example [dot] com"] * 9
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kinds = {r.doc_id: [s.kind for s in r.spans] for r in pii.personal_data(df).collect()}
+    assert kinds[0] == ["phone"] and kinds[30] == ["ssn"] and kinds[60] == [] and kinds[65] == ["handle"]
+
+
+def test_reliability_of_a_bad_labeler_is_low():
+    rng = np.random.default_rng(1)
+    truth = rng.random(4000) < 0.5
+    good = np.where(rng.random((4000, 3)) < 0.9, np.where(truth, 1, -1)[:, None], np.where(truth, -1, 1)[:, None])
+    vote = np.column_stack([good, rng.integers(-1, 2, 4000)])
+    seen, n = np.unique(vote, axis=0, return_counts=True)
+    post, tables = pii.reliabilities(["email"] * len(seen), seen, n)
+    given = tables["email"][1]
+    assert given[1, 0, 2] > 0.85 and abs(given[1, 3, 2] - given[0, 3, 2]) < 0.1
+    assert all((p > 0.5) == (v[:3].sum() > 0) for p, v in zip(post, seen))
+
+
+def test_entropy_window_and_allow_list():
+    def plain(run):
+        return max(-sum(c / 20 * np.log2(c / 20) for c in np.unique(list(run[i:i + 20]), return_counts=True)[1]) for i in range(len(run) - 19))
+    run = "aB3dE5gH1jK2mN4pQ6sT8vW0xaaaaaaaaaaaaaaaa"
+    assert abs(secrets.peak_entropy(run) - plain(run)) < 1e-9
+    assert [s[0] for s in secrets.scan(f"key {run[:30]} end")] == ["entropy"]
+    assert secrets.scan("id 123E4567-E89B-42D3-A456-426614174000 end") == []
+    assert secrets.scan("see some/long/path_to_file/2024/index and thousandsofletterswithoutdigits") == []
+    assert secrets.scan("sha256:" + "AB12CD34EF56AB78CD90EF12") == []
