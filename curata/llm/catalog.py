@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, secrets, tokens
+from . import merkle, pii, secrets, tokens
 from .common import documents
 
 
@@ -18,6 +18,10 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.personal_data(documents(spark, sf_dir)), pii.KINDS)
 
 
+def op6_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.against_neighbours(documents(spark, sf_dir))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(documents(spark, sf_dir))
 
@@ -25,6 +29,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op4_personal_data": op4_personal_data,
+    "op6_merkle": op6_merkle,
     "op9_secret_scan": op9_secret_scan,
 }
 
