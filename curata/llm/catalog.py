@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import merkle, pii, secrets, tokens
+from . import merkle, packing, pii, secrets, sharding, tokens
 from .common import documents
 
 
@@ -14,6 +14,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(documents(spark, sf_dir))
 
 
+def op2_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_rows(documents(spark, sf_dir))
+
+
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.personal_data(documents(spark, sf_dir)), pii.KINDS)
 
@@ -26,11 +30,17 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(documents(spark, sf_dir))
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_uniform_shards": op2_uniform_shards,
     "op4_personal_data": op4_personal_data,
     "op6_merkle": op6_merkle,
     "op9_secret_scan": op9_secret_scan,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 SQL: dict[str, str] = {}
