@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import merkle, packing, pii, secrets, sharding, tokens
+from . import langid, merkle, packing, pii, quality, secrets, sharding, tokens
 from .common import documents
 
 
@@ -22,10 +22,18 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.personal_data(documents(spark, sf_dir)), pii.KINDS)
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
 def op6_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.against_neighbours(documents(spark, sf_dir))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(documents(spark, sf_dir))
 
@@ -38,7 +46,9 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_uniform_shards": op2_uniform_shards,
     "op4_personal_data": op4_personal_data,
+    "op5_language": op5_language,
     "op6_merkle": op6_merkle,
+    "op7_quality": op7_quality,
     "op9_secret_scan": op9_secret_scan,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
