@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, merkle, packing, pii, quality, secrets, sharding, tokens
+from . import decontaminate, jaccard, langid, merkle, packing, pii, quality, secrets, sharding, tokens
 from .common import documents
 
 
@@ -18,6 +18,10 @@ def op2_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(documents(spark, sf_dir))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(documents(spark, sf_dir))
+
+
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.personal_data(documents(spark, sf_dir)), pii.KINDS)
 
@@ -49,6 +53,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_uniform_shards": op2_uniform_shards,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_personal_data": op4_personal_data,
     "op5_language": op5_language,
     "op6_merkle": op6_merkle,
