@@ -38,6 +38,18 @@ def map_rows(df: DataFrame, schema: str, batch: Callable[..., dict], *args) -> D
     return df.mapInArrow(run, schema)
 
 
+def map_batches(df: DataFrame, change: Callable[..., pa.RecordBatch], *args) -> DataFrame:
+    """``mapInArrow`` that keeps the columns: each batch is filtered or rewritten
+    by ``change(batch, *args)``; nothing is shuffled."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = change(b, *args)
+            if out.num_rows:
+                yield out
+
+    return df.mapInArrow(run, df.schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` as the
     session has it; a folder of our own only where it is unset (tests)."""

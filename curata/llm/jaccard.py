@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, map_rows, staged
+from .common import id_text, map_batches, map_rows, staged
 
 WORDS, PERCENT = 5, 80
 BITS, TILE = 1024, 1024
@@ -459,3 +459,29 @@ class JaccardJoin:
 def jaccard_groups(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id of the component) of every document."""
     return JaccardJoin(docs, percent, words).groups()
+
+
+def _by_bitset(batch: pa.RecordBatch, bitset, inside: bool) -> pa.RecordBatch:
+    ids = batch.column("doc_id").cast(pa.int64()).to_pylist()
+    there = in_bitset(bitset.value, np.array([0 if d is None else d for d in ids], np.int64))
+    return batch.filter(pa.array([d is not None and bool(t) == inside for d, t in zip(ids, there)], pa.bool_()))
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    """The rows of ``docs``, all columns, with one document of each component:
+    the one with the smallest id.  Rows that share an id are one document, of which one row
+    stays.  Rows without an id cannot be told apart by it: of equal texts among them one stays.
+
+    Only rows whose id is in the bitset of dropped and repeated ids are joined
+    with these; all others pass without a shuffle."""
+    groups = staged(jaccard_groups(docs, percent, words).filter(F.col("doc_id").isNotNull()), "groups")
+    decided = staged(groups.groupBy(F.col("doc_id").alias("__id")).agg(
+        F.max(F.col("doc_id") == F.col("component_id")).alias("__stays"), F.count("*").alias("__rows")).filter("NOT __stays OR __rows > 1"), "decided")
+    shared = docs.sparkSession.sparkContext.broadcast(id_bitset(decided, "__id"))
+    sure = map_batches(docs, _by_bitset, shared, False)
+    checked = (map_batches(docs, _by_bitset, shared, True).join(decided, F.col("doc_id").cast("long") == F.col("__id"), "left")
+               .filter(F.col("__id").isNull() | F.col("__stays")))
+    once = checked.filter(F.coalesce("__rows", F.lit(1)) == 1).select(docs.columns)
+    more = checked.filter("__rows > 1").dropDuplicates(["__id"]).select(docs.columns)
+    without = docs.filter(F.col("doc_id").isNull()).dropDuplicates(["text"])
+    return sure.unionByName(once).unionByName(more).unionByName(without)

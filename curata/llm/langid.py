@@ -21,11 +21,12 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, map_rows
+from .common import id_text, map_batches, map_rows
 
 WINDOW = 256
 WIDTHS, FILTERS = (2, 3, 4), 16
@@ -212,3 +213,15 @@ def identify(docs: DataFrame, net: Network | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(net)
     found = map_rows(id_text(docs), "doc_id long, lang_pred string, score double", _predict, shared)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def _identified(batch: pa.RecordBatch, net, least: float) -> pa.RecordBatch:
+    lang, score = predict(net.value, batch.column("text").to_pylist())
+    return batch.filter(pa.array([k != "und" and s >= least for k, s in zip(lang, score)], pa.bool_()))
+
+
+def keep_identified(docs: DataFrame, least: float = 0.35) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has an identified language
+    with a score of ``least`` or more; ``und`` rows go."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs))
+    return map_batches(docs, _identified, shared, least)

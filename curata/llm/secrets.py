@@ -18,9 +18,10 @@ from __future__ import annotations
 import math
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_text, map_rows
+from .common import id_text, map_batches, map_rows
 from .pii import digest
 
 KINDS = ["assign", "access", "hex"]
@@ -111,3 +112,34 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 def secret_digest(docs: DataFrame) -> DataFrame:
     return digest(find_secrets(docs), KINDS)
+
+
+MASK = "[SECRET]"
+
+
+def masked(text: str | None) -> str | None:
+    """The text with every span, and what overlaps it, replaced by one mask."""
+    if not text:
+        return text
+    out, at = [], 0
+    spans = sorted((a, b) for _, a, b, _ in scan(text))
+    while spans:
+        a, b = spans.pop(0)
+        while spans and spans[0][0] < b:
+            b = max(b, spans.pop(0)[1])
+        out += [text[at:a], MASK]
+        at = b
+    return "".join([*out, text[at:]])
+
+
+def _mask(batch: pa.RecordBatch) -> pa.RecordBatch:
+    texts = [masked(x) for x in batch.column("text").to_pylist()]
+    new = {"text": texts, "n_chars": [None if x is None else len(x) for x in texts]}
+    return pa.RecordBatch.from_arrays(
+        [pa.array(new[f.name], f.type) if f.name in new else batch.column(i) for i, f in enumerate(batch.schema)], schema=batch.schema)
+
+
+def mask_secrets(docs: DataFrame) -> DataFrame:
+    """All rows and columns of ``docs``, with the spans masked in ``text`` and
+    ``n_chars`` (where there is one) counted anew."""
+    return map_batches(docs, _mask)
