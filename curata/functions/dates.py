@@ -1,144 +1,99 @@
-"""Messy publication-date parsing (survey I5, I6).
+"""Dates out of free text (survey I5, I6).
 
-The reference rewrites the text through an ordered ladder of rules, each one
-seeing the output of the previous one, and then parses leniently.  Here every
-rule is one SQL ``CASE`` step applied as its own projection (Catalyst does not
-collapse projections that would duplicate the regex work), and the final parse
-is ``try_to_date`` on ``d/MMM/yyyy`` or ISO.  Unparseable text gives NULL (the
-row is kept; quirk Q2).  No Python UDF is involved.
+Publication dates arrive as ``2019``, ``2019.0``, ``June 2015``, ``Mar-Apr 2017``,
+``15 Nov. 2019``, ``30 Sep-2 Oct. 2012``, ``Thirdquarter 2011`` or ISO.  One list of *shapes* says
+how such texts look and which of their parts are the day, the month and the year; the first
+shape that fits decides.  A range of days or months gives its last day, or the first day
+of the month named in ``SHAPES``; a text that no shape fits, or a date that the
+calendar lacks, gives NULL (the row is kept).
 
-The ladder is kept as SQL text with a ``{M}`` placeholder for the regex-match
-function, so the DuckDB oracle runs the very same rules.
-"""
+In Spark a shape is one anchored pattern test and, where it holds, one extraction for each part,
+on a text that was normalised once: plain expressions, no Python."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Month spellings accepted by the final parse.
+# Month names; a text may use any spelling that starts with the first three letters.
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 FULL_MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August",
                "September", "October", "November", "December"]
-
-
-def ladder(min_year: int = 1900, max_year: int | None = 2022) -> list[str]:
-    """The rewrite rules in order, as SQL over the current text ``s``.
-
-    Regexes are anchored at the start only (``re.match``); ``[A-z]`` is kept as
-    written, so it also admits the six characters between ``Z`` and ``a``."""
-    hi = f" OR CAST(s AS INT) > {max_year}" if max_year is not None else ""
-    sp = "split_part"
-    return [
-        # strip brackets and issue markers, cut at the first 'T'
-        "replace(replace(replace(replace(replace(replace($s, '[', ''), ']', ''), 'Issued on: ', ''), '[[issued]]', ''), 'issued', ''), 'First Quarter ', '')",
-        f"{sp}($s, 'T', 1)",
-        "CASE WHEN $s = '10000-01-01' OR $s = '0' THEN '2000' WHEN $s = '2021.0' THEN '2021' ELSE $s END",
-        # bare four-character year: outside the range becomes 2000; non-numeric fails
-        f"CASE WHEN length($s) = 4 THEN CASE WHEN NOT {{M}}($s, '^ *[+-]?[0-9]+ *$') THEN NULL "
-        f"WHEN CAST(trim($s) AS INT) < {min_year}{hi.replace('CAST(s', 'CAST(trim($s)')} THEN '01/Jan/2000' "
-        f"ELSE '01/Jan/' || $s END ELSE $s END",
-        # 'Mar. 5, 2018' -> Jan 1 of the year
-        f"CASE WHEN {{M}}($s, '^[A-z]+. [0-9]+, [0-9]+') THEN '01/Jan/' || replace({sp}($s, ',', 2), ' ', '') ELSE $s END",
-        # 'Mar-Apr 2017'
-        f"CASE WHEN {{M}}($s, '^[A-z]+-[A-z]+ [0-9]+') THEN '01/' || {sp}($s, '-', 1) || '/' || {sp}($s, ' ', 2) ELSE $s END",
-        # 'Mar.-Apr. 2017'
-        f"CASE WHEN {{M}}($s, '^[A-z]+.-[A-z]+. [0-9]+') THEN '01/' || {sp}(replace($s, '.', ''), '-', 1) || '/' || {sp}(replace($s, '.', ''), ' ', 2) ELSE $s END",
-        # 'Sept. 2016', 'June 2015'
-        f"CASE WHEN {{M}}($s, '^[A-z]+. [0-9]+') THEN CASE WHEN contains($s, '.') "
-        f"THEN '01/' || {sp}($s, '.', 1) || '/' || replace({sp}($s, '.', 2), ' ', '') "
-        f"ELSE '01/' || {sp}($s, ' ', 1) || '/' || replace({sp}($s, ' ', 2), ' ', '') END ELSE $s END",
-        # 'Jul-2014'
-        f"CASE WHEN {{M}}($s, '^[A-z]+-[0-9]+') THEN '01/' || {sp}($s, '-', 1) || '/' || {sp}($s, '-', 2) ELSE $s END",
-        # '3-5 Aug. 2013' -> last day given
-        f"CASE WHEN {{M}}($s, '^[0-9]+-[0-9]+ [A-z]+. [0-9]+') THEN {sp}({sp}($s, '-', 2), ' ', 1) || '/' || "
-        f"{sp}({sp}({sp}($s, '-', 2), ' ', 2), '.', 1) || '/' || {sp}({sp}($s, '-', 2), ' ', 3) ELSE $s END",
-        f"CASE WHEN {{M}}($s, '^[0-9]+-[0-9]+ [A-z]+ [0-9]+') THEN {sp}({sp}($s, '-', 2), ' ', 1) || '/' || "
-        f"{sp}({sp}($s, '-', 2), ' ', 2) || '/' || {sp}({sp}($s, '-', 2), ' ', 3) ELSE $s END",
-        # '30 Sep-2 Oct. 2012' -> the second day
-        f"CASE WHEN {{M}}($s, '^[0-9]+ [A-z]+-[0-9]+ [A-z]+. [0-9]+') OR {{M}}($s, '^[0-9]+ [A-z]+.-[0-9]+ [A-z]+. [0-9]+') "
-        f"THEN {sp}({sp}($s, '-', 2), ' ', 1) || '/' || {sp}({sp}($s, '-', 2), ' ', 2) || '/' || {sp}({sp}($s, '-', 2), ' ', 3) ELSE $s END",
-        # '5 Mar-Apr. 2012' -> first of the second month
-        f"CASE WHEN {{M}}($s, '^[0-9]+ [A-z]+-[A-z]+. [0-9]+') OR {{M}}($s, '^[0-9]+ [A-z]+.-[A-z]+. [0-9]+') "
-        f"THEN '01/' || {sp}({sp}($s, '-', 2), ' ', 1) || '/' || {sp}({sp}($s, '-', 2), ' ', 2) ELSE $s END",
-        # '5 June7, 2011' -> digits stripped from the month
-        f"CASE WHEN {{M}}($s, '^[0-9]+ [A-z]+[0-9]+, [0-9]+') THEN {sp}($s, ' ', 1) || '/' || "
-        f"regexp_replace(replace({sp}($s, ' ', 2), ',', ''), '[0-9]+', ''{{G}}) || '/' || {sp}($s, ' ', 3) ELSE $s END",
-        f"CASE WHEN {{M}}($s, '^[0-9] [A-z]+[0-9], [0-9]+') THEN {sp}($s, ' ', 1) || '/' || "
-        f"regexp_replace(replace({sp}($s, ' ', 1), ',', ''), '[0-9]+', ''{{G}}) || '/' || {sp}($s, ' ', 3) ELSE $s END",
-        # quarters -> last month of the quarter
-        "CASE WHEN contains($s, 'Firstquarter') THEN CASE WHEN contains($s, ' ') THEN '01/Mar/' || split_part($s, ' ', 2) "
-        "ELSE replace($s, 'Firstquarter', 'Mar') END ELSE $s END",
-        "CASE WHEN contains($s, 'Secondquarter') THEN CASE WHEN contains($s, '/Secondquarter/') THEN replace($s, 'Secondquarter', 'Jun') "
-        "ELSE '01/Jun/' || split_part($s, ' ', 2) END ELSE $s END",
-        "CASE WHEN contains($s, 'Thirdquarter') THEN '01/Sep/' || split_part($s, ' ', 2) ELSE $s END",
-        "replace($s, 'thirdquarter', 'Sep')",
-        "CASE WHEN contains($s, 'Fourthquarter') THEN CASE WHEN contains($s, '/Fourthquarter/') THEN replace($s, 'Fourthquarter', 'Dec') "
-        "ELSE '01/Dec/' || split_part($s, ' ', 2) END ELSE $s END",
-        "replace($s, '.', '')",
-    ]
-
-
-def final_parse_sql(dialect: str) -> str:
-    """Lenient final parse of ``s``: ``d/Mon/yyyy`` (month name cut to three
-    letters, any case) or ISO ``yyyy-MM-dd`` / ``yyyy-MM`` / ``yyyy``."""
-    month3 = "upper(substr(split_part($s, '/', 2), 1, 1)) || lower(substr(split_part($s, '/', 2), 2, 2))"
-    dmy = f"split_part($s, '/', 1) || '/' || {month3} || '/' || split_part($s, '/', 3)"
-    months = "|".join(m.lower() for m in MONTHS)
-    ok_month = f"({dialect_match(dialect)}(split_part($s, '/', 2), '^(?i)({months})[a-z]*$'))"
-    if dialect == "spark":
-        return (f"CASE WHEN {ok_month} THEN try_to_date({dmy}, 'd/MMM/yyyy') "
-                f"WHEN regexp_like($s, '^[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}$') THEN try_to_date($s, 'yyyy-M-d') "
-                f"WHEN regexp_like($s, '^[0-9]{{4}}-[0-9]{{1,2}}$') THEN try_to_date($s, 'yyyy-M') "
-                f"WHEN regexp_like($s, '^[0-9]{{4}}$') THEN try_to_date($s, 'yyyy') END")
-    return (f"CASE WHEN {ok_month} THEN CAST(try_strptime({dmy}, '%d/%b/%Y') AS DATE) "
-            f"WHEN regexp_matches($s, '^[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}$') THEN CAST(try_strptime($s, '%Y-%m-%d') AS DATE) "
-            f"WHEN regexp_matches($s, '^[0-9]{{4}}-[0-9]{{1,2}}$') THEN CAST(try_strptime($s, '%Y-%m') AS DATE) "
-            f"WHEN regexp_matches($s, '^[0-9]{{4}}$') THEN CAST(try_strptime($s, '%Y') AS DATE) END")
-
-
-def dialect_match(dialect: str) -> str:
-    return "regexp_like" if dialect == "spark" else "regexp_matches"
-
-
-def render(step: str, dialect: str) -> str:
-    return step.replace("{M}", dialect_match(dialect)).replace("{G}", "" if dialect == "spark" else ", 'g'")
-
-
-def parse_dates(df: DataFrame, col: str, out: str | None = None, min_year: int = 1900,
-                max_year: int | None = 2022) -> DataFrame:
-    """Parse the messy date text in ``col`` into DATE column ``out``."""
-    return df.withColumn(out or col, parse_dates_sql_spark(col, min_year, max_year))
-
-
-def parse_dates_sql_spark(col: str, min_year: int = 1900, max_year: int | None = 2022) -> Column:
-    steps = ladder(min_year, max_year) + [final_parse_sql("spark")]
-    expr = f"CAST(`{col}` AS STRING)"
-    for step in steps:
-        expr = f"element_at(transform(array({expr}), v_ -> {_bind(render(step, 'spark'), 'v_')}), 1)"
-    return F.expr(expr)
-
-
-def _bind(sql: str, name: str) -> str:
-    """Replace the free variable ``s`` of a ladder step by column ``name``."""
-    return sql.replace("$s", name)
-
-
-def parse_dates_sql(src: str, keep: Sequence[str], text: str, out: str = "parsed",
-                    min_year: int = 1900, max_year: int | None = 2022) -> str:
-    """DuckDB twin (test oracle): one sub-select per rule over ``src``, keeping
-    columns ``keep``; the parsed DATE is column ``out``."""
-    cols = ", ".join(keep)
-    cur = f"SELECT {cols}, CAST({text} AS VARCHAR) AS __s FROM ({src}) t0"
-    steps = ladder(min_year, max_year) + [final_parse_sql("duckdb")]
-    for i, step in enumerate(steps, 1):
-        cur = f"SELECT {cols}, {_bind(render(step, 'duckdb'), '__s')} AS __s FROM ({cur}) t{i}"
-    return f"SELECT {cols}, __s AS {out} FROM ({cur}) tz"
-
-
-def year_of_text(c) -> Column:
-    """I6 + year rule: a float year (``2021.0``) to a date on 1 January."""
-    col = F.col(c) if isinstance(c, str) else c
-    return F.try_to_date(F.split_part(col.cast("string"), F.lit("."), F.lit(1)), "yyyy")
+# Texts that stand for an unknown date, and the date they are given.
+PLACEHOLDERS = ["0", "10000-01-01"]
+PLACEHOLDER_DATE = "2000-01-01"
+# Quarters end with these months.
+QUARTERS = {"first": 3, "second": 6, "third": 9, "fourth": 12}
+
+_MONTH = r"((?:" + "|".join(m.lower() for m in MONTHS) + r")[a-z]*)\.?"
+_ANY_MONTH = _MONTH.replace("((", "(?:(", 1)
+_YEAR = r"(\d{4})"
+_DAY = r"(\d{1,2})"
+
+
+@dataclass(frozen=True)
+class Shape:
+    """``pattern`` fits the whole normalised text; the numbers name its groups (0: the first of the month / of January)."""
+    name: str
+    pattern: str
+    year: int
+    month: int = 0
+    day: int = 0
+
+
+# Normalised texts are lower case, without brackets and labels, with single spaces.
+SHAPES = [
+    Shape("year", rf"{_YEAR}(?:\.0)?", 1),
+    Shape("iso day", rf"{_YEAR}[-/](\d{{1,2}})[-/]{_DAY}(?:[t ].*)?", 1, 2, 3),
+    Shape("iso month", rf"{_YEAR}[-/](\d{{1,2}})", 1, 2),
+    Shape("month year", rf"{_MONTH}[ -/]+{_YEAR}", 2, 1),
+    Shape("months year: the first", rf"{_MONTH} ?[-/] ?{_ANY_MONTH} {_YEAR}", 2, 1),
+    Shape("month day, year", rf"{_MONTH} {_DAY}(?:st|nd|rd|th)?, ?{_YEAR}", 3, 1, 2),
+    Shape("month days, year: the last", rf"{_MONTH} \d{{1,2}} ?- ?{_DAY}, ?{_YEAR}", 3, 1, 2),
+    Shape("day month year", rf"{_DAY}(?:st|nd|rd|th)?[ /-]{_MONTH}[ ,/-]+{_YEAR}", 3, 2, 1),
+    Shape("day month, with digits behind the month", rf"{_DAY} {_MONTH}\d+,? {_YEAR}", 3, 2, 1),
+    Shape("days month year: the last", rf"\d{{1,2}} ?- ?{_DAY} {_MONTH},? {_YEAR}", 3, 2, 1),
+    Shape("day month - day month year: the last", rf"\d{{1,2}} {_ANY_MONTH} ?- ?{_DAY} {_MONTH},? {_YEAR}", 3, 2, 1),
+    Shape("day month - month year: the second month", rf"\d{{1,2}} {_ANY_MONTH} ?- ?{_MONTH},? {_YEAR}", 2, 1),
+    Shape("quarter year: its last month", rf"(?:\d+/)?({'|'.join(QUARTERS)}) ?quarter[ /]{_YEAR}", 2, 1),
+]
+
+
+def normalised(text: Column) -> Column:
+    """Lower case, without brackets and issue labels, single spaces."""
+    plain = F.regexp_replace(F.lower(text), r"[\[\]]|issued(?: on)?:?", " ")
+    return F.trim(F.regexp_replace(plain, r"\s+", " "))
+
+
+def month_number(name: Column) -> Column:
+    """1..12 of a month's name or number, or of a quarter's last month."""
+    by_name = F.floor((F.instr(F.lit("".join(MONTHS).lower()), F.substring(name, 1, 3)) + 2) / 3)
+    out = F.when(name.rlike("^[0-9]+$"), name.try_cast("int"))
+    for quarter, month in QUARTERS.items():
+        out = out.when(name == quarter, month)
+    return out.otherwise(by_name).cast("int")
+
+
+def shape_date(text: Column, years: tuple[int, int] | None = None) -> Column:
+    """The DATE of a normalised text."""
+    def part(shape: Shape, group: int) -> Column:
+        return F.regexp_extract(text, f"^{shape.pattern}$", group) if group else F.lit("1")
+
+    out = F.when(text.isin(PLACEHOLDERS), F.lit(PLACEHOLDER_DATE).cast("date"))
+    for shape in SHAPES:
+        year = part(shape, shape.year)
+        date = F.try_to_date(F.concat_ws("-", year, month_number(part(shape, shape.month)).cast("string"), part(shape, shape.day)), "y-M-d")
+        if years is not None and shape.name == "year":
+            date = F.when(year.cast("int").between(*years), date).otherwise(F.lit(PLACEHOLDER_DATE).cast("date"))
+        out = out.when(text.rlike(f"^{shape.pattern}$"), date)
+    return out
+
+
+def parse_dates(df: DataFrame, col: str, out: str | None = None, years: tuple[int, int] | None = None) -> DataFrame:
+    """Parse the date text in ``col`` into DATE column ``out``.  With
+    ``years`` a bare year outside of it becomes the placeholder date; by default every year stays."""
+    tmp = "__date_norm"
+    return (df.withColumn(tmp, normalised(F.col(col).cast("string")))
+            .withColumn(out or col, shape_date(F.col(tmp), years)).drop(tmp))

@@ -1,97 +1,43 @@
-"""HTML section text (survey I12).
+"""Text of one section of a web page (survey I12), with Spark's own functions.
 
-Arbitrary web pages are not well-formed XML, so ``xpath`` functions do not
-apply; a small stdlib ``html.parser`` helper runs inside ``mapInPandas`` (Arrow
-batches, one parser per row, spread over all tasks).  Only the key and the
-HTML column are sent to Python."""
+Pages are no well-formed XML, so the section is found by its opening tag and
+closed by counting the opening and closing tags of its name after it; scripts, styles and comments go
+first, then all tags, and the usual entities are resolved."""
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
-from pyspark.sql import DataFrame
-from pyspark.sql import types as T
-
-SKIP = {"script", "style", "template", "noscript"}
-BLOCK = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "br", "section", "article",
-         "header", "footer", "tr", "td", "th", "table", "blockquote", "pre", "dd", "dt"}
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-
-
-class _Section(HTMLParser):
-    def __init__(self, tag: str, attrs: dict[str, str] | None):
-        super().__init__(convert_charrefs=True)
-        self.tag, self.want = tag, attrs or {}
-        self.depth = 0          # >0 while inside the wanted element
-        self.skip = 0
-        self.done = False
-        self.parts: list[str] = []
-
-    def _matches(self, tag, attrs) -> bool:
-        if tag != self.tag:
-            return False
-        a = dict(attrs)
-        for k, v in self.want.items():
-            have = (a.get(k) or "").split() if k == "class" else [a.get(k)]
-            need = v.split() if k == "class" else [v]
-            if not all(x in have for x in need):
-                return False
-        return True
-
-    def handle_starttag(self, tag, attrs):
-        if self.depth and tag in BLOCK:
-            self.parts.append(" ")
-        if self.done or tag in VOID:
-            return
-        if self.depth:
-            if tag == self.tag:
-                self.depth += 1
-            if tag in SKIP:
-                self.skip += 1
-        elif self._matches(tag, attrs):
-            self.depth = 1
-
-    def handle_endtag(self, tag):
-        if not self.depth or self.done:
-            return
-        if tag in BLOCK:
-            self.parts.append(" ")
-        if tag in SKIP and self.skip:
-            self.skip -= 1
-        elif tag == self.tag:
-            self.depth -= 1
-            if self.depth == 0:
-                self.done = True
-
-    def handle_data(self, data):
-        if self.depth and not self.skip and not self.done:
-            self.parts.append(data)
-
-
-def section_text(html: str | None, tag: str, attrs: dict[str, str] | None = None) -> str | None:
-    """Whitespace-collapsed text of the first ``tag`` element with ``attrs``."""
-    if html is None:
-        return None
-    p = _Section(tag, attrs)
-    try:
-        p.feed(html)
-        p.close()
-    except Exception:  # noqa: BLE001 - malformed markup yields what was read so far
-        pass
-    if not p.depth and not p.done:
-        return None
-    return " ".join("".join(p.parts).split())
-
-
-def extract_html(df: DataFrame, key: str, html: str, tag: str, attrs: dict[str, str] | None = None,
-                 out: str = "section_text") -> DataFrame:
-    """``(key, out)`` with the text of the first matching element per page."""
-    key_type = df.schema[key].dataType
-    schema = T.StructType([T.StructField(key, key_type), T.StructField(out, T.StringType())])
-
-    def run(batches):
-        for pdf in batches:
-            pdf[out] = [section_text(h, tag, attrs) for h in pdf[html]]
-            yield pdf[[key, out]]
-
-    return df.select(key, html).mapInPandas(run, schema)
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Entities that are resolved (``&amp;`` last).
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+UNSEEN = r"(?is)<(script|style|template|noscript)\b.*?</\1\s*>|<!--.*?-->"
+
+
+def plain_text(html: Column) -> Column:
+    """Text without tags: a tag separates words, white space is collapsed."""
+    text = F.regexp_replace(html, r"<[^>]*>", " ")
+    for entity, char in ENTITIES:
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def section_text(html: str | Column, tag: str, attributes: dict[str, str] | None = None) -> Column:
+    """Text of the first ``tag`` element whose opening tag has every one of
+    ``attributes`` (a class may be one of several); NULL if there is none.  An element that
+    is never closed reaches to the end of the page."""
+    html = F.col(html) if isinstance(html, str) else html
+    seen = F.regexp_replace(html, UNSEEN, " ")
+    wanted = "".join(rf"""(?=[^>]*\s{name}\s*=\s*["']?(?:[^"'>]*\s)?{value}(?=["'\s>]))""" for name, value in (attributes or {}).items())
+    own = F.regexp_extract(seen, rf"(?is)<{tag}\b{wanted}.*", 0)
+    parts = F.split(own, rf"(?i)(?=</?{tag}\b)")
+
+    def step(acc: Column, part: Column) -> Column:
+        closes, opens = part.rlike(rf"(?i)^</{tag}\b"), part.rlike(rf"(?i)^<{tag}\b")
+        depth = F.when(acc["depth"] < 0, -1).when(closes & (acc["depth"] == 1), -1).when(closes, acc["depth"] - 1).when(
+            opens, acc["depth"] + 1).otherwise(acc["depth"])
+        kept = F.when(depth > 0, F.concat(acc["text"], part)).otherwise(acc["text"])
+        return F.struct(depth.cast("int").alias("depth"), kept.alias("text"))
+
+    inside = F.aggregate(parts, F.struct(F.lit(0).alias("depth"), F.lit("").alias("text")), step)["text"]
+    return F.when(own != "", plain_text(inside))

@@ -1,5 +1,6 @@
 """Scalar text functions (survey I1-I4, I6-I8, I10, I15).  All are Column
-expressions: they stay in the JVM and inside whole-stage code generation."""
+expressions and stay in the JVM; those over arrays of tokens (I7, I8) are
+higher-order functions, which Spark interprets outside generated code."""
 
 from __future__ import annotations
 
@@ -47,8 +48,8 @@ def norm_review(c) -> Column:
 def long_key(c) -> Column:
     """Shuffle key for long text (titles, abstracts): SHA-256 of the text.
 
-    Carrying a 32-byte digest instead of the text keeps the shuffle narrow; a
-    64-bit hash would collide at 1e11 rows, SHA-256 does not in practice.
+    A 32-byte digest stands for the text as key, so the text itself need not be
+    exchanged; a 64-bit hash would collide at 1e11 rows, SHA-256 does not in practice.
     NULL stays NULL so that null keys still form their own group."""
     return F.unhex(F.sha2(_c(c), 256))
 
@@ -145,9 +146,11 @@ ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 UNACCENTED = "aaaaaaceeeeiiiinooooouuuuyy"
 
 
-def tokenize(c, min_len: int = 2, max_len: int = 15) -> Column:
+def tokenize(c, min_len: int = 2, max_len: int | None = 15) -> Column:
     """I8: strip tags, lower case, fold accents, split on non-letters, keep
-    tokens of ``min_len``..``max_len`` characters."""
+    tokens of ``min_len``..``max_len`` characters (``None``: however long)."""
     text = F.translate(F.lower(F.regexp_replace(_c(c), r"<[^>]+>", " ")), ACCENTED, UNACCENTED)
     toks = F.split(text, r"[^\p{L}]+")
+    if max_len is None:
+        return F.filter(toks, lambda t: F.length(t) >= min_len)
     return F.filter(toks, lambda t: (F.length(t) >= min_len) & (F.length(t) <= max_len))

@@ -7,23 +7,25 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ORD_STRIDE = 10 ** 12   # union keeps order: source rank * stride + row ord
-
-
 def union_aligned(*dfs: DataFrame, order_col: str = "ord") -> DataFrame:
-    """H1: union by column name, missing columns become NULL; ``ord`` is
-    re-assigned as (source rank, original ord) so keep-first prefers earlier
-    inputs, as ``pd.concat`` order does."""
+    """H1: union by column name, missing columns become NULL.  ``ord`` is numbered
+    anew by (input, ord), so keep-first prefers earlier inputs, as
+    ``pd.concat`` order does, and stays unique however often unions are nested.
+    A single input, or inputs without ``ord``, keep their columns as they are."""
+    from .ordering import with_dense_id
+
     out = None
     for rank, d in enumerate(dfs):
-        if order_col in d.columns:
-            d = d.withColumn(order_col, F.lit(rank * ORD_STRIDE) + F.col(order_col))
+        d = d.withColumn("__rank", F.lit(rank))
         out = d if out is None else out.unionByName(d, allowMissingColumns=True)
-    return out
+    if len(dfs) < 2 or order_col not in out.columns:
+        return out.drop("__rank")
+    return with_dense_id(out.withColumnRenamed(order_col, "__ord"), ["__rank", "__ord"], order_col).drop("__rank", "__ord")
 
 
 def stage_counts(frames: Mapping[str, DataFrame]) -> DataFrame:
-    """Rows per named stage, as one table."""
+    """Rows per named stage, as one table.  Frames that are stage tables
+    (``sources.stages``) are counted from their files' metadata."""
     out = None
     for name, d in frames.items():
         c = d.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("stage"), "n_rows")
@@ -31,6 +33,16 @@ def stage_counts(frames: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
+def volume_by_year(df: DataFrame, date_col: str = "publication_date") -> DataFrame:
+    """E4, year rows: records per query x source x year, with a 0 for every year
+    between a query's first and last one that has none."""
+    keys = ["query_name", "database"]
+    per_year = df.filter(F.col(date_col).isNotNull()).groupBy(*keys, F.year(date_col).alias("year")).agg(F.count(F.lit(1)).alias("n_records"))
+    years = (per_year.groupBy(*keys).agg(F.min("year").alias("y0"), F.max("year").alias("y1"))
+             .select(*keys, F.explode(F.sequence("y0", "y1")).alias("year")))
+    return years.join(per_year, [*keys, "year"], "left").withColumn("n_records", F.coalesce("n_records", F.lit(0)))
+
+
 def volume_profile(df: DataFrame, page_size: int, date_col: str = "publication_date") -> DataFrame:
     """Records per query x source x year, totals per query x source and the
     number of pages needed at ``page_size`` rows per page."""

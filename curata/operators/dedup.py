@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, long_key, norm_dedup, norm_review
-from .filters import require_text
 
 _RN = "__rn"
 
@@ -46,7 +45,7 @@ def keep_first(df: DataFrame, keys, order_by: str | Sequence[str] = "ord", nulls
         any_null = F.lit(False)
         for k in kcols:
             any_null = any_null | k.isNull()
-        part.append(F.when(any_null, F.col(order[0])))
+        part.append(F.when(any_null, F.struct(*order)))
     w = Window.partitionBy(*part).orderBy(*[F.col(o) for o in order])
     return df.withColumn(_RN, F.row_number().over(w)).filter(F.col(_RN) == 1).drop(_RN)
 
@@ -74,15 +73,33 @@ def dedup_abstract(df: DataFrame, order_by="ord") -> DataFrame:
     return keep_first(df, long_key(norm_dedup("abstract")), order_by, "one")
 
 
-def remove_repeated(df: DataFrame, order_by="ord", doi_nulls: str = "all") -> DataFrame:
+def _narrow(df: DataFrame, order_by: str, **keys: Column) -> DataFrame:
+    """Only ``order_by``, which identifies a row, and the keys: what a chain of
+    keep-first steps exchanges, whatever else the rows carry."""
+    return df.select(F.col(order_by), *[k.alias(name) for name, k in keys.items()])
+
+
+def _cascade(keys: DataFrame, order_by: str, doi_nulls: str) -> DataFrame:
+    out = keep_first(keys, "__doi", order_by, doi_nulls)
+    out = keep_first(out, "__title", order_by, "one").filter("__text")
+    return keep_first(out, "__abstract", order_by, "one")
+
+
+def _cascade_keys(doi_nulls: str) -> dict[str, Column]:
+    return {"__doi": doi_key(parity=(doi_nulls == "one")), "__title": long_key(norm_dedup("title")),
+            "__abstract": long_key(norm_dedup("abstract")),
+            "__text": blank_to_null("abstract").isNotNull() & blank_to_null("title").isNotNull()}
+
+
+def remove_repeated(df: DataFrame, order_by: str = "ord", doi_nulls: str = "all") -> DataFrame:
     """the cascade DOI -> title -> require title and abstract -> abstract.
 
     Each step sees only the survivors of the previous one, so the keys are not
-    fused into one connected-components pass: that would remove more rows."""
-    out = dedup_doi(df, order_by, doi_nulls)
-    out = dedup_title(out, order_by)
-    out = require_text(out, ["abstract", "title"])
-    return dedup_abstract(out, order_by)
+    fused into one connected-components pass: that would remove more rows.  The steps run on
+    digests of the keys; the rows themselves meet the survivors in one semi
+    join on ``order_by``, which must be unique."""
+    left = _cascade(_narrow(df, order_by, **_cascade_keys(doi_nulls)), order_by, doi_nulls)
+    return df.join(left.select(order_by), order_by, "left_semi")
 
 
 def singletons(df: DataFrame, keys, order_by: str = "ord") -> DataFrame:
@@ -100,16 +117,17 @@ def singletons(df: DataFrame, keys, order_by: str = "ord") -> DataFrame:
     return df.join(once, on=order_by, how="left_semi")
 
 
-def review_dedup(df: DataFrame, order_by="ord") -> DataFrame:
+def review_dedup(df: DataFrame, order_by: str = "ord") -> DataFrame:
     """review-round de-dup -- lower-cased title, then the abstract
-    lower-cased without spaces (no hyphen/newline rule)."""
-    out = keep_first(df, long_key(F.lower("title")), order_by, "one")
-    return keep_first(out, long_key(norm_review("abstract")), order_by, "one")
+    lower-cased without spaces (no hyphen/newline rule); on digests, as F5."""
+    out = _narrow(df, order_by, __title=long_key(F.lower("title")), __abstract=long_key(norm_review("abstract")))
+    out = keep_first(keep_first(out, "__title", order_by, "one"), "__abstract", order_by, "one")
+    return df.join(out.select(order_by), order_by, "left_semi")
 
 
-def final_dedup(df: DataFrame, order_by="ord") -> DataFrame:
+def final_dedup(df: DataFrame, order_by: str = "ord") -> DataFrame:
     """F8: final-list de-dup -- lower-cased title, then lower-cased DOI keeping
-    every row without DOI, then the F5 cascade."""
-    out = keep_first(df, long_key(F.lower("title")), order_by, "one")
-    out = keep_first(out, F.lower(F.col("doi")), order_by, "all")
-    return remove_repeated(out, order_by)
+    every row without DOI, then the F5 cascade; on digests, as F5."""
+    out = _narrow(df, order_by, __plain=long_key(F.lower("title")), __raw=F.lower(F.col("doi")), **_cascade_keys("all"))
+    out = keep_first(keep_first(out, "__plain", order_by, "one"), "__raw", order_by, "all")
+    return df.join(_cascade(out, order_by, "all").select(order_by), order_by, "left_semi")

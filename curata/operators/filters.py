@@ -33,7 +33,11 @@ def title_block_regex(terms: Iterable[str]) -> str:
 
 def exclude_title_terms(df: DataFrame, terms: Iterable[str] = TITLE_BLOCK_TERMS, col: str = "title") -> DataFrame:
     """Drop rows whose title contains any term (case-insensitive substring).
-    NULL titles are dropped too (they are removed by C1 in every pipeline)."""
+    NULL titles are dropped too (they are removed by C1 in every pipeline); an
+    empty list drops nothing."""
+    terms = list(terms)
+    if not terms:
+        return df
     return df.filter(~F.lower(F.col(col)).rlike(title_block_regex(terms)))
 
 
@@ -44,7 +48,11 @@ def word_block_regex(words: Iterable[str]) -> str:
 
 def exclude_abstract_words(df: DataFrame, words: Iterable[str] = ABSTRACT_BLOCK_WORDS, col: str = "abstract") -> DataFrame:
     """Drop rows whose abstract contains any word as a whole word
-    (case-insensitive; ``Éthesis`` and ``synthesis`` do not match ``thesis``)."""
+    (case-insensitive; ``Éthesis`` and ``synthesis`` do not match ``thesis``); an
+    empty list drops nothing."""
+    words = list(words)
+    if not words:
+        return df
     return df.filter(~F.lower(F.col(col)).rlike(word_block_regex(words)))
 
 
@@ -78,14 +86,8 @@ def between_dates(df: DataFrame, start=None, end=None, col: str = "publication_d
 
 
 def between_years(df: DataFrame, y0: int | None = None, y1: int | None = None, col: str = "publication_date") -> DataFrame:
-    """Inclusive year range."""
-    y = F.year(F.col(col))
-    cond = y.isNotNull()
-    if y0 is not None:
-        cond = cond & (y >= F.lit(int(y0)))
-    if y1 is not None:
-        cond = cond & (y <= F.lit(int(y1)))
-    return df.filter(cond)
+    """Inclusive year range, as a date range, so that the scan can use it."""
+    return between_dates(df, None if y0 is None else f"{int(y0):04d}-01-01", None if y1 is None else f"{int(y1):04d}-12-31", col)
 
 
 def filter_doc_types(df: DataFrame, allowed: Iterable[str], col: str = "type") -> DataFrame:
@@ -101,20 +103,3 @@ def score_at_least(df: DataFrame, threshold: float, col: str = "semantic_score")
 def by_status(df: DataFrame, *status: str, col: str = "status") -> DataFrame:
     """Status filter."""
     return df.filter(F.col(col).isin(list(status)))
-
-
-def narrow_if_over(df: DataFrame, budget: int, narrowing: Column | None, mode: str = "and") -> DataFrame:
-    """C11: volume guard.  If ``df`` has more than ``budget`` rows, apply the
-    narrowing predicate; if still over, return no rows.
-
-    The size probe is bounded: ``limit(budget + 1).count()`` never scans more
-    than it must.  ``mode='replace'`` is the caller's business (it passes the
-    replacement predicate on the unfiltered input)."""
-    if df.limit(budget + 1).count() <= budget:
-        return df
-    if narrowing is None:
-        return df.limit(0)
-    narrowed = df.filter(narrowing)
-    if narrowed.limit(budget + 1).count() <= budget:
-        return narrowed
-    return df.limit(0)

@@ -15,30 +15,30 @@ from pyspark.sql import Column
 
 from ..schema import REVIEW_STATES, UNKNOWN
 from ..functions.text import long_key
+from .aggregates import union_aligned
 from .dedup import keep_first, singletons
 from .filters import between_years, require_text
 
 
-def citing_edges(selected: DataFrame, edges: DataFrame, cap: int | None = None,
-                 key: str = "ord") -> DataFrame:
-    """Edges whose cited record is selected.  ``cap`` keeps at most that many
-    citing records per cited one (the reference's per-paper result cap); the
-    default keeps all."""
-    sel = selected.select(F.col(key).alias("cited_ord"))
-    hits = edges.join(sel, "cited_ord", "left_semi")
-    if cap is not None:
-        w = Window.partitionBy("cited_ord").orderBy("citing_ord")
-        hits = hits.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= cap).drop("__rn")
-    return hits
+def citing_edges(selected: DataFrame, edges: DataFrame, key: str = "ord") -> DataFrame:
+    """Edges whose cited record is selected."""
+    return edges.join(selected.select(F.col(key).alias("cited_ord")), "cited_ord", "left_semi")
 
 
-def expand_citations(selected: DataFrame, edges: DataFrame, records: DataFrame, cap: int | None = None,
+def spread_nulls(key: Column, *row: str) -> Column:
+    """``key`` for a join that NULL keys take no part in: a NULL becomes a value
+    that no key has and that differs from row to row, so that a mass of NULLs
+    is dealt over all tasks."""
+    return F.coalesce(key, F.concat(F.lit("\u0000"), F.xxhash64(*row).cast("string")))
+
+
+def expand_citations(selected: DataFrame, edges: DataFrame, records: DataFrame,
                      y0: int | None = None, y1: int | None = None) -> DataFrame:
     """Forward snowball, one hop -- every record citing a selected one,
     then require title/abstract, keep-first by title, optional year range,
     stamped as citations.  A record citing several selected ones appears once
     (semi join), as keep-first by title would make it anyway."""
-    hits = citing_edges(selected, edges, cap).select(F.col("citing_ord").alias("ord"))
+    hits = citing_edges(selected, edges).select(F.col("citing_ord").alias("ord"))
     cites = records.join(hits, "ord", "left_semi")
     cites = require_text(cites, ["title", "abstract"])
     cites = keep_first(cites, long_key(F.col("title")), "ord", "one")
@@ -67,7 +67,9 @@ def enrich_abstract(df: DataFrame, lookups: Sequence[tuple[DataFrame, str, str]]
                          (F.col(order) if order else F.nullif(F.col(value), F.lit(""))).alias("__o"))
         sel = sel.filter(F.col(key).isNotNull() & F.col(name).isNotNull())
         uniq = keep_first(sel, F.col(key), "__o", "one").drop("__o")
-        out = out.join(uniq, key, "left")
+        uniq = uniq.withColumnRenamed(key, "__k")
+        out = out.withColumn("__key", spread_nulls(F.col(key).cast("string"), *out.columns))
+        out = out.join(uniq.withColumn("__k", F.col("__k").cast("string")), F.col("__key") == F.col("__k"), "left").drop("__key", "__k")
         vals.append(F.nullif(F.col(name), F.lit("")))
     names = [f"__lk{i}" for i in range(len(lookups))]
     return out.withColumn(col, F.coalesce(*vals, F.lit(""))).drop(*names)
@@ -99,8 +101,11 @@ def latest_decisions(decisions: DataFrame) -> DataFrame:
             .select("id", decode_status(F.col("__last")).alias("__decision")))
 
 
-def apply_decisions(df: DataFrame, decisions: DataFrame) -> DataFrame:
-    """D3: set ``status`` from the latest decision per id; others keep theirs."""
+def apply_decisions(df: DataFrame, decisions: DataFrame, round: str | None = None) -> DataFrame:
+    """D3: set ``status`` from the latest decision per id -- of one review
+    ``round``, or of all -- ; others keep theirs."""
+    if round is not None:
+        decisions = decisions.filter(F.col("round") == round)
     last = latest_decisions(decisions)
     return (df.join(last, "id", "left")
             .withColumn("status", F.coalesce(F.col("__decision"), F.col("status")))
@@ -114,17 +119,15 @@ def undecided(original: DataFrame, selected: DataFrame, citations: DataFrame, re
     mode='parity': the reference's "keep only DOIs occurring once in the union of
     all four sets" (it also drops a citing record already retrieved, and every
     NULL DOI -- quirk Q5).  mode='clean': (original + citations) minus
-    (selected + removed) by DOI, then one row per DOI, rows without DOI kept."""
+    (selected + removed) by DOI in any case, then one row per DOI, rows without DOI kept;
+    ``ord`` is numbered anew (H1)."""
     if mode == "parity":
-        tagged = [d.withColumn("__src", F.lit(i)) for i, d in
-                  enumerate([original, selected, citations.withColumn("publication", F.lit("semantic_scholar")), removed])]
-        union = tagged[0]
-        for t in tagged[1:]:
-            union = union.unionByName(t, allowMissingColumns=True)
-        union = union.withColumn("__u", F.col("__src") * F.lit(10 ** 12) + F.col("ord"))
-        out = singletons(union.withColumn("__k", F.coalesce(F.col(key), F.lit("\u0000null"))), "__k", "__u")
-        return out.drop("__src", "__u", "__k")
-    decided = selected.select(key).unionByName(removed.select(key)).filter(F.col(key).isNotNull())
-    cand = original.unionByName(citations.select(*original.columns), allowMissingColumns=True)
-    cand = cand.join(decided, key, "left_anti")
-    return keep_first(cand, F.col(key), "ord", "all")
+        union = union_aligned(original, selected, citations.withColumn("publication", F.lit("semantic_scholar")), removed)
+        out = singletons(union.withColumn("__k", F.coalesce(F.col(key), F.lit("\u0000null"))), "__k", "ord")
+        return out.drop("__k")
+    own = F.lower(F.trim(F.col(key)))
+    blank = F.nullif(own, F.lit(""))
+    decided = selected.select(blank.alias("__d")).unionByName(removed.select(blank.alias("__d"))).dropna().distinct()
+    cand = union_aligned(original, citations.select(*original.columns)).withColumn("__k", spread_nulls(blank, "ord"))
+    cand = cand.join(decided, F.col("__k") == F.col("__d"), "left_anti")
+    return keep_first(cand, F.col("__k"), "ord", "all").drop("__k")

@@ -59,21 +59,23 @@ def draw_batch(df: DataFrame, n: int, seed: int = 0, status: str = "unknown") ->
     return cand.orderBy(draw_key(seed), F.col("ord")).limit(n)
 
 
-def with_dense_id(df: DataFrame, order_by: str = "ord", out: str = "id", width: int = 1 << 20) -> DataFrame:
-    """Dense 1..n in ``order_by`` (a unique BIGINT) order, without a
-    single-partition window over the data and without collecting anything.
-
-    Rows fall into fixed-width ranges ``order_by div width`` (at most ``width``
-    rows each, because the key is unique).  A hash aggregate counts the rows per
-    range -- one small row per non-empty range -- and a running sum over that
-    small table gives each range's offset; the id is offset + row number inside
-    the range.  Deterministic, so a task recomputed after an executor loss
-    produces the same ids."""
-    keyed = df.withColumn("__b", F.floor(F.col(order_by) / F.lit(width)))
-    counts = keyed.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    w = Window.partitionBy("__b").orderBy(F.col(order_by))
-    return (keyed.join(offsets, "__b")
-            .withColumn(out, (F.col("__off") + F.row_number().over(w)).cast("long"))
-            .drop("__b", "__off"))
+def with_dense_id(df: DataFrame, order_by: str | Sequence[str] = "ord", out: str = "id") -> DataFrame:
+    """Dense 1..n in the order of ``order_by`` (columns that are unique
+    together), without a window over the data and without collecting anything.
+
+    The rows are range-partitioned and sorted by ``order_by`` and written once as a stage
+    table, with the number of their partition and their place in it.  The
+    partitions' sizes, one row each, give the offsets; the id is offset + place.  So the input's plan runs once
+    (counting reads the stage table), no task gets more than a range of the
+    sampled order, and a recomputed task yields the same ids."""
+    from ..sources.stages import cut
+
+    cols = [order_by] if isinstance(order_by, str) else list(order_by)
+    place = F.monotonically_increasing_id()   # partition number << 33 | place in the partition
+    staged = cut(df.repartitionByRange(*cols).sortWithinPartitions(*cols)
+                 .withColumns({"__p": F.shiftright(place, 33), "__i": place.bitwiseAND(F.lit((1 << 33) - 1))}), "numbered")
+    sizes = staged.groupBy("__p").agg((F.max("__i") + 1).alias("__n"))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))   # a row for each partition
+    return (staged.join(F.broadcast(starts), "__p")
+            .withColumn(out, (F.col("__start") + F.col("__i") + 1).cast("long")).drop("__p", "__i", "__start"))

@@ -5,10 +5,9 @@ higher-order functions (``zip_with`` + ``aggregate``), JVM-side.
 
 S2 (relevance to a set of seed records) uses the identity
 ``mean_i cos(c, s_i) = dot(c/|c|, mean_i s_i/|s_i|)``: the seeds are reduced to
-one centroid by a distributed aggregate (map-side partial sums per vector
-position), and every candidate is scored against that one vector.  No
-candidates x seeds pairs are formed, whatever the size of either side; the
-only thing that reaches the driver is the ``d``-element centroid.
+one centroid by a distributed aggregate (partial vector sums in every task),
+and every candidate is scored against that one vector.  No candidates x seeds
+pairs are formed, whatever the size of either side.
 """
 
 from __future__ import annotations
@@ -64,29 +63,17 @@ def normalised(df: DataFrame, vec: str, out: str) -> DataFrame:
             .drop(tmp))
 
 
-def centroid(df: DataFrame, vec: str = "embedding") -> list[float]:
-    """Mean of the unit-normalised vectors of ``df`` (driver gets d numbers).
-
-    Distributed: ``posexplode`` + ``groupBy(pos)`` with partial aggregation, so
-    the shuffle carries at most d rows per map task."""
-    # explode first, divide after: the norm is evaluated once per row
-    parts = (df.select(norm(vec).alias("__n"), F.posexplode(as_double(vec)).alias("pos", "x"))
-             .select("pos", _safe_div(F.col("x"), F.col("__n")).alias("x"))
-             .groupBy("pos").agg(F.avg("x").alias("m")))
-    rows = sorted(parts.collect())
-    if not rows:
-        raise ValueError("centroid of an empty set")
-    return [float(r["m"]) for r in rows]
-
-
 def centroid_column(df: DataFrame, vec: str = "embedding", unit: bool = False) -> Column:
-    """The same centroid as a lazy scalar subquery (``DataFrame.scalar``): it
-    runs inside the consuming query, no driver round trip and no join.  The
-    subquery's result is one array of d numbers (unit length if ``unit``)."""
-    parts = (df.select(norm(vec).alias("__n"), F.posexplode(as_double(vec)).alias("pos", "x"))
-             .select("pos", _safe_div(F.col("x"), F.col("__n")).alias("x"))
-             .groupBy("pos").agg(F.avg("x").alias("m")))
-    c = parts.agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("c"))
+    """Mean of the unit-normalised vectors of ``df`` (unit length if ``unit``) as
+    a lazy scalar subquery (``DataFrame.scalar``): it runs inside the consuming query, no
+    driver round trip and no join.  ``Summarizer.mean`` adds whole vectors, with
+    partial sums in every task: one row of d numbers leaves each of them."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    units = normalised(df.select(vec).filter(F.col(vec).isNotNull()), vec, "__unit")
+    c = (units.select(array_to_vector(F.col("__unit")).alias("v"))
+         .agg(vector_to_array(Summarizer.mean(F.col("v"))).alias("c")))
     if unit:   # one row: normalising here costs nothing per candidate
         c = normalised(c, "c", "c")
     return c.scalar()
@@ -97,13 +84,15 @@ def vector_literal(v: Sequence[float]) -> Column:
 
 
 def semantic_scores(df: DataFrame, query_vec: Sequence[float] | Column, vec: str = "embedding",
-                    out: str = "semantic_score") -> DataFrame:
+                    out: str = "semantic_score", unit: bool = False) -> DataFrame:
     """Cosine of every row's vector with the query vector (a list of numbers
-    or an array Column such as ``centroid_column``)."""
+    or an array Column such as ``centroid_column``; ``unit`` says that the
+    Column already has length 1)."""
     if isinstance(query_vec, Column):
         # a subquery may not sit inside a higher-order function: bind it to a column first
+        length = norm(vec) if unit else norm(vec) * norm("__q")
         return (df.withColumn("__q", query_vec)
-                .withColumn(out, _safe_div(dot(as_double(vec), as_double("__q")), norm(vec) * norm("__q")))
+                .withColumn(out, _safe_div(dot(as_double(vec), as_double("__q")), length))
                 .drop("__q"))
     q = [float(x) for x in query_vec]
     n = sum(x * x for x in q) ** 0.5
@@ -112,16 +101,9 @@ def semantic_scores(df: DataFrame, query_vec: Sequence[float] | Column, vec: str
 
 
 def semantic_filter(df: DataFrame, query_vec: Sequence[float] | Column, threshold: float, vec: str = "embedding",
-                    top_k: int | None = None, on_empty: str = "empty") -> DataFrame:
-    """Keep rows with cosine >= threshold, best first.  ``top_k`` bounds the
-    result (a top-k report: ``TakeOrderedAndProject``); with ``on_empty=
-    'passthrough'`` an empty result returns the input unchanged (quirk Q6)."""
-    scored = semantic_scores(df, query_vec, vec)
-    hits = scored.filter(F.col("semantic_score") >= F.lit(float(threshold)))
-    if on_empty == "passthrough" and hits.limit(1).count() == 0:
-        return df
-    hits = hits.orderBy(F.col("semantic_score").desc(), F.col("ord"))
-    return hits.limit(top_k) if top_k is not None else hits
+                    unit: bool = False) -> DataFrame:
+    """Keep rows with cosine >= threshold (a top-k report is G1 on the scores)."""
+    return semantic_scores(df, query_vec, vec, unit=unit).filter(F.col("semantic_score") >= F.lit(float(threshold)))
 
 
 def relevance_to_seeds(candidates: DataFrame, seeds: DataFrame, threshold: float,
@@ -145,7 +127,7 @@ def hashing_encoder(df: DataFrame, text: str, out: str = "embedding", dim: int =
     from ..functions.text import tokenize
 
     tmp_tok, tmp_vec, tmp_unit = "__tokens", "__tf", "__unit"
-    tok = df.withColumn(tmp_tok, tokenize(text))
+    tok = df.withColumn(tmp_tok, tokenize(text, min_len=1, max_len=None))   # every word counts
     tf = HashingTF(inputCol=tmp_tok, outputCol=tmp_vec, numFeatures=dim).transform(tok)
     unit = Normalizer(inputCol=tmp_vec, outputCol=tmp_unit, p=2.0).transform(tf)
     return (unit.withColumn(out, vector_to_array(F.col(tmp_unit), "float32"))

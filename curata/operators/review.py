@@ -37,19 +37,19 @@ def review_batch(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
 
 
 def reviewed_projection(df: DataFrame, status: str) -> DataFrame:
-    """The eleven core columns (+ score, ord), status stamped."""
-    cols = [c for c in CORE_COLUMNS + ["semantic_score", "ord"] if c in df.columns]
+    """The eleven core columns (+ score, ord, record_id), status stamped."""
+    cols = [c for c in CORE_COLUMNS + ["semantic_score", "ord", "record_id"] if c in df.columns]
     return df.select(*cols).withColumn("status", F.lit(status))
 
 
 def review_round(df: DataFrame, decisions: DataFrame, round: str = "abstract", stage=None):
-    """R2: apply a round's decisions; return (included, removed, updated).
+    """R2: apply the decisions of one ``round``; return (included, removed, updated).
 
     ``included`` gets new dense ids; after the abstract round its status is
     reset to ``unknown`` (it goes on to the full-text round), after the
     full-text round it stays ``included``.  ``stage`` (e.g. a lineage cut) is
     applied to the updated table once, before it is split."""
-    upd = apply_decisions(review_dedup(df), decisions)
+    upd = apply_decisions(review_dedup(df), decisions, round)
     if stage is not None:
         upd = stage(upd)
     inc = upd.filter(F.col("status") == INCLUDED)

@@ -134,9 +134,15 @@ def _sql_literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _placeholders(skeleton: str, tests: Mapping[int, str]) -> str:
+    """The query's skeleton with every term placeholder replaced by its test."""
+    return re.sub(r"\b__t(\d+)\b", lambda m: tests[int(m[1])], skeleton)
+
+
 def search_condition(query: str, fields: Sequence[str] = ("title", "abstract"),
-                     synonyms: Mapping[str, Sequence[str]] | None = None) -> Column:
-    """The C9 predicate as one Column.
+                     synonyms: Mapping[str, Sequence[str]] | None = None, across_fields: bool = False) -> Column:
+    """The C9 predicate as one Column: some field satisfies the whole query.
+    With ``across_fields`` each term may be found in another field.
 
     Each field is normalised once per row and bound to a lambda variable
     (``transform(array(named_struct(...)), s -> <query>)[0]``); the query's
@@ -146,45 +152,39 @@ def search_condition(query: str, fields: Sequence[str] = ("title", "abstract"),
     lower/translate pass over the text per term and field."""
     skeleton, groups = compile_query(query, synonyms)
     names = {f: f"f{i}" for i, f in enumerate(fields)}
-    tests = {}
-    for i, group in enumerate(groups):
-        alts = []
-        for t in group:
-            for f in fields:
-                v = f"s.{names[f]}"
-                alts.append(f"(contains({v}, {_sql_literal(t.text)}) AND "
-                            f"{v} RLIKE {_sql_literal(whole_phrase_regex(t.text, t.prefix))})")
-        tests[i] = "(" + " OR ".join(alts) + ")"
-    body = skeleton
-    for i in sorted(tests, key=lambda k: -len(str(k))):
-        body = re.sub(rf"\b__t{i}\b", lambda _m, r=tests[i]: r, body)
-    # NULL fields: a NULL text matches nothing (contains/rlike give NULL -> false)
-    bound = ", ".join(f"'{names[f]}', lower(translate(`{f}`, '-\\n', '  '))" for f in fields)
-    return F.coalesce(F.expr(f"element_at(transform(array(named_struct({bound})), s -> {body}), 1)"), F.lit(False))
+
+    def body(of: Sequence[str]) -> str:
+        def test(group: list[Term]) -> str:
+            alts = [f"(contains(s.{names[f]}, {_sql_literal(t.text)}) AND "
+                    f"s.{names[f]} RLIKE {_sql_literal(whole_phrase_regex(t.text, t.prefix))})" for t in group for f in of]
+            return "coalesce(" + " OR ".join(alts) + ", false)"   # a NULL text matches nothing
+        return "(" + _placeholders(skeleton, {i: test(g) for i, g in enumerate(groups)}) + ")"
+
+    whole = body(fields) if across_fields else " OR ".join(body([f]) for f in fields)
+    bound = ", ".join(f"'{names[f]}', lower(translate(`{f}`, '-\n', '  '))" for f in fields)
+    return F.coalesce(F.expr(f"element_at(transform(array(named_struct({bound})), s -> {whole}), 1)"), F.lit(False))
 
 
 def boolean_search(df: DataFrame, query: str, fields: Sequence[str] = ("title", "abstract"),
-                   synonyms: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    """Keep rows matching the boolean ``query`` in any of ``fields``."""
-    return df.filter(search_condition(query, fields, synonyms))
+                   synonyms: Mapping[str, Sequence[str]] | None = None, across_fields: bool = False) -> DataFrame:
+    """Keep rows where one of ``fields`` satisfies the boolean ``query``."""
+    return df.filter(search_condition(query, fields, synonyms, across_fields))
 
 
 def boolean_search_sql(query: str, fields: Sequence[str] = ("title", "abstract"),
                        synonyms: Mapping[str, Sequence[str]] | None = None) -> str:
     """The same predicate as DuckDB SQL (test oracle)."""
     skeleton, groups = compile_query(query, synonyms)
-    norm = {f: f"lower(translate({f}, '-' || chr(10), '  '))" for f in fields}
-    out = skeleton
-    # replace longest placeholders first (__t10 before __t1)
-    for i in sorted(range(len(groups)), key=lambda k: -len(str(k))):
-        alts = []
-        for t in groups[i]:
-            pat = whole_phrase_regex_re2(t.text, t.prefix).replace("'", "''")
-            for f in fields:
-                alts.append(f"regexp_matches({norm[f]}, '{pat}')")
-        repl = "(" + " OR ".join(alts) + ")"
-        out = re.sub(rf"\b__t{i}\b", lambda _m, r=repl: r, out)
-    return out
+
+    def of(f: str) -> str:
+        norm = f"lower(translate({f}, '-' || chr(10), '  '))"
+        tests = {}
+        for i, group in enumerate(groups):
+            pats = [whole_phrase_regex_re2(t.text, t.prefix).replace("'", "''") for t in group]
+            tests[i] = "coalesce(" + " OR ".join(f"regexp_matches({norm}, '{p}')" for p in pats) + ", false)"
+        return "(" + _placeholders(skeleton, tests) + ")"
+
+    return "(" + " OR ".join(map(of, fields)) + ")"
 
 
 # --- C8 / C8b: keyword filter on the lemmatised abstract -----------------------------
@@ -209,12 +209,23 @@ def keyword_text(col: str = "abstract") -> Column:
 
 
 def filter_keywords(df: DataFrame, keywords: Sequence[str], synonyms: Mapping[str, Sequence[str]] | None = None,
-                    mode: str = "phrase", col: str = "abstract", order_by: str = "ord") -> DataFrame:
+                    mode: str = "phrase", col: str = "abstract", order_by: str = "ord", status: str | None = None) -> DataFrame:
     """AND over keywords of (keyword OR synonyms) as whole words on the
-    lemmatised abstract; rows without abstract drop out; then keep-first by title."""
-    text = keyword_text(col)
-    cond = F.col(col).isNotNull()
-    for alts in keyword_terms(keywords, synonyms, mode):
-        pat = "|".join(whole_phrase_regex(a) for a in alts)
-        cond = cond & text.rlike(pat)
-    return keep_first(df.filter(cond), long_key(F.col("title")), order_by, "one")
+    lemmatised abstract; rows without abstract drop out; then keep-first by title.  With ``status``
+    the rows get dense ids and are stamped with it, as the reference's filtered set is.
+
+    The lemmatised text is bound to a lambda variable: computed once per row, not once per keyword."""
+    pats = ["|".join(whole_phrase_regex(a) for a in alts) for alts in keyword_terms(keywords, synonyms, mode)]
+
+    def all_of(text: Column) -> Column:
+        cond = text.isNotNull()
+        for pat in pats:
+            cond = cond & text.rlike(pat)
+        return cond
+
+    hit = F.element_at(F.transform(F.array(keyword_text(col)), all_of), 1)
+    out = keep_first(df.filter(F.col(col).isNotNull() & hit), long_key(F.col("title")), order_by, "one")
+    if status is None:
+        return out
+    from .ordering import with_dense_id
+    return with_dense_id(out.drop("id"), order_by).withColumn("status", F.lit(status))

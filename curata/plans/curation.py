@@ -23,26 +23,42 @@ def clean_papers(df: DataFrame, title_terms: Sequence[str] = filters.TITLE_BLOCK
 
 
 def snowball(selected: DataFrame, edges: DataFrame, records: DataFrame, removed: DataFrame,
-             vectors: DataFrame, threshold: float, cap: int | None = None, ids: bool = True) -> DataFrame:
-    """M3: citations of the selected set (D1), minus what is already decided
-    (D4), scored against the selected set as seeds (S2), stamped and re-id'd.
+             vectors: DataFrame, threshold: float, undecided_records: DataFrame | None = None, ids: bool = True) -> DataFrame:
+    """M3: citations of the selected set (D1) and retrieved records nobody has
+    decided on, minus what is already decided (D4), scored against the selected set as seeds (S2),
+    stamped and re-id'd.
 
-    ``vectors`` is ``(id, embedding)``; candidates without a vector drop out,
-    as records that cannot be encoded do in the reference."""
-    from ..operators.aggregates import ORD_STRIDE
+    ``vectors`` is ``(id, embedding)``: one for every record, see ``record_vectors``."""
     from ..operators.joins import expand_citations, undecided
     from ..operators.ordering import with_dense_id
     from ..operators.relevance import relevance_to_seeds
 
-    cites = expand_citations(selected, edges, records, cap)
-    cites = cites.withColumn("ord", F.col("ord") + F.lit(ORD_STRIDE))
-    cand = undecided(cites, selected, cites.limit(0), removed, mode="clean")
-    seeds = selected.join(vectors, "id")
+    cites = expand_citations(selected, edges, records)
+    open_ = cites.limit(0) if undecided_records is None else undecided_records
+    cols = [c for c in cites.columns if c in open_.columns]
+    cand = undecided(open_.select(cols), selected, cites.select(cols), removed, mode="clean")
+    seeds = selected.select("id").join(vectors, "id")
     scored = relevance_to_seeds(cand.join(vectors, "id"), seeds, threshold).drop("embedding")
-    out = scored.drop("id").withColumns({"type": F.lit("snowball"), "status": F.lit("unknown")})
+    out = scored.withColumnRenamed("id", "record_id").withColumns({"type": F.lit("snowball"), "status": F.lit("unknown")})
     return with_dense_id(out) if ids else out
 
 
+def record_vectors(records: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+    """(id, embedding) of every record: the stored vector, else the encoding of
+    title and abstract (S3 on B12).  Vectors of different length do not mix: with stored vectors of ``d`` numbers the
+    encoder is given the same ``d``."""
+    from ..operators.relevance import hashing_encoder
+    from ..sources.payloads import model_text
+
+    text = records.select("id", F.coalesce(model_text(), F.col("title"), F.col("abstract"), F.lit("")).alias("__text"))
+    if vectors is None:
+        return hashing_encoder(text, "__text").select("id", "embedding")
+    first = vectors.select(F.size("embedding").alias("d")).first()
+    missing = text.join(vectors.select("id"), "id", "left_anti")
+    coded = hashing_encoder(missing, "__text", dim=first.d if first else 256).select("id", "embedding")
+    return vectors.select("id", "embedding").unionByName(coded)
+
+
 def merge_final(first: DataFrame, second: DataFrame | None = None) -> DataFrame:
     """M4: union of the reviewed sets (either may be missing, quirk Q16), the
     final de-dup (F8, which ends with the F5 cascade), dense ids."""
@@ -54,89 +70,110 @@ def merge_final(first: DataFrame, second: DataFrame | None = None) -> DataFrame:
     return with_dense_id(final_dedup(both.drop("id")))
 
 
+def reviewed(df: DataFrame, decisions: DataFrame, name: str, key: str = "id"):
+    """The abstract round and, on what it includes, the full-text round; every
+    stage is written once.  ``key`` holds the record id that decisions name (the rounds number
+    their rows anew).  Returns (included, removed), with ``record_id``."""
+    from ..operators.review import review_round
+    from ..sources.stages import cut
+
+    def round_(rows, which):
+        rows = rows.withColumn("id", F.col("record_id"))
+        inc, out, _ = review_round(rows, decisions, which, stage=lambda d: cut(d, f"{name}-{which}"))
+        return inc, out
+
+    rows = df.withColumn("record_id", F.col(key))
+    passed, out1 = round_(rows, "abstract")
+    included, out2 = round_(passed, "full_text")
+    return included, out1.unionByName(out2, allowMissingColumns=True)
+
+
 def survey_stages(papers: DataFrame, decisions: DataFrame, edges: DataFrame, vectors: DataFrame,
                   start=None, end=None, title_terms=filters.TITLE_BLOCK_TERMS,
-                  abstract_words=filters.ABSTRACT_BLOCK_WORDS, snowball_threshold: float = 0.0) -> dict[str, DataFrame]:
+                  abstract_words=filters.ABSTRACT_BLOCK_WORDS, snowball_threshold: float = 0.0,
+                  query_vec=None, semantic_threshold: float = 0.0) -> dict[str, DataFrame]:
     """M6 step by step; every stage is written once to the shared checkpoint
     folder (lineage cut), as the reference keeps one file per step.
 
-    date range -> de-dup cascade (F5) -> cleaning (M2) -> abstract review round
-    (R2) -> snowball from the included set (M3, kept without ids: the merge
-    renumbers) -> final merge (M4)."""
+    date range -> de-dup cascade (F5) -> cleaning (M2) -> semantic filter (S1, only with a
+    ``query_vec``) -> abstract and full-text round (R2) -> snowball from the included set, over its
+    citations and the undecided records (M3) -> both rounds on the snowballed records -> merge of the
+    two reviewed sets (M4)."""
     from ..operators.dedup import remove_repeated
-    from ..operators.review import review_round
+    from ..operators.relevance import semantic_filter
     from ..sources.stages import cut
 
     p = filters.between_dates(papers, start, end)
     p = cut(clean_papers(remove_repeated(p), title_terms, abstract_words), "cleaned")
-    included, removed, _ = review_round(p, decisions, "abstract", stage=lambda d: cut(d, "reviewed"))
-    selected = included.select("ord").join(p.drop("status"), "ord").withColumn("status", F.lit("included"))
-    # the merge renumbers everything, so the snowball stage is kept without ids
-    snow = cut(snowball(selected, edges, papers, removed, vectors, snowball_threshold, ids=False), "snowball")
-    return {"cleaned": p, "included": included, "removed": removed, "snowball": snow,
-            "final": merge_final(included, snow)}
-
-
-def run_survey(papers: DataFrame, decisions: DataFrame, edges: DataFrame, vectors: DataFrame,
-               start=None, end=None, title_terms=filters.TITLE_BLOCK_TERMS,
-               abstract_words=filters.ABSTRACT_BLOCK_WORDS, snowball_threshold: float = 0.0) -> DataFrame:
-    """M6: the survey end to end, decisions from a table instead of prompts."""
-    return survey_stages(papers, decisions, edges, vectors, start, end, title_terms, abstract_words,
-                         snowball_threshold)["final"]
+    stages = {"cleaned": p}
+    if query_vec is not None:
+        scored = semantic_filter(p.drop("semantic_score").join(vectors, "id"), query_vec, semantic_threshold, unit=True)
+        p = stages["semantic"] = cut(scored.drop("embedding"), "semantic")
+    included, removed = reviewed(p, decisions, "retrieved")
+    included, removed = cut(included, "included"), cut(removed, "removed")
+    selected = included.withColumn("id", F.col("record_id"))
+    open_ = (p.join(included.select("ord"), "ord", "left_anti").join(removed.select("ord"), "ord", "left_anti"))
+    snow = cut(snowball(selected, edges, papers.drop("lang"), removed, vectors, snowball_threshold, open_, ids=False), "snowball")
+    found, dropped = reviewed(snow, decisions, "snowballed", "record_id")
+    found = cut(found, "snowball-included")
+    return stages | {"included": included, "removed": removed, "snowball": snow, "snowball_included": found,
+                     "snowball_removed": dropped, "final": merge_final(included, found)}
+
+
+def run_survey(*args, **kwargs) -> DataFrame:
+    """M6: the survey end to end (``survey_stages``), decisions from a table instead of prompts."""
+    return survey_stages(*args, **kwargs)["final"]
 
 
 def ingest(payloads: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """Landed responses of every source -> unified rows (A3/A4 parse, B1
-    normalise, A10 provenance, H1 union in source order)."""
-    from ..operators.aggregates import union_aligned
-    from ..sources import payloads as P
-
+    normalise, A10 provenance, H1 union).  ``ord`` numbers them by source (in the order of ``names``), query,
+    page and place in the page: dense and unique, whatever the page numbers are."""
     from ..functions.dates import parse_dates
+    from ..operators.ordering import with_dense_id
+    from ..sources import payloads as P
 
-    names = list(names or P.sources())
-    # one date ladder after the union instead of one per source: a plan six times smaller
-    parts = [P.normalise(P.raw_rows(payloads, n), n, parse=False) for n in names]
-    out = parse_dates(union_aligned(*parts), "publication_date", "publication_date")
+    out = None
+    for rank, n in enumerate(names or P.sources()):
+        part = P.normalise(P.raw_rows(payloads, n), n, parse=False).withColumn("__rank", F.lit(rank))
+        out = part if out is None else out.unionByName(part)
+    out = parse_dates(out, "publication_date")   # once, after the union: the plan is six times smaller
+    out = with_dense_id(out, ["__rank", *P.ORDER], "ord").drop("__rank", "page", "pos")
     return P.with_provenance(out, F.col("database"), F.col("query_name"), F.col("query_value"))
 
 
 def preprocess(payloads: DataFrame, start=None, end=None, title_terms=filters.TITLE_BLOCK_TERMS,
                abstract_words=filters.ABSTRACT_BLOCK_WORDS) -> DataFrame:
-    """M1: ingest -> stamp -> (stage) -> date range -> de-dup cascade ->
-    cleaning -> dense ids.  The ingested records are written once as a stage
-    table: the date filter then reads parsed dates instead of being pushed,
-    with the whole date ladder, into every source branch of the union."""
+    """M1: ingest -> stamp -> date range -> de-dup cascade -> cleaning -> dense
+    ids.  The ingested records are a stage table already (their numbering writes it), so the date filter reads
+    parsed dates and the cascade runs once."""
     from ..operators.dedup import remove_repeated
     from ..operators.ordering import with_dense_id
     from ..sources.payloads import stamp
-    from ..sources.stages import cut
 
-    p = cut(stamp(ingest(payloads), "preprocessed", "unknown"), "ingested")
-    p = filters.between_dates(p, start, end)
-    p = clean_papers(remove_repeated(p), title_terms, abstract_words)
-    return with_dense_id(p)
+    p = filters.between_dates(stamp(ingest(payloads), "preprocessed", "unknown"), start, end)
+    return with_dense_id(clean_papers(remove_repeated(p), title_terms, abstract_words))
 
 
 def source_postprocess(payloads: DataFrame, name: str, start=None, end=None, lang: str = "en",
                        lookups=None) -> DataFrame:
     """M5: what a source client does with a fetched page, in its order: parse,
-    optional abstract enrichment (D2, Scopus), drop blank titles, keep-first on
-    the lower-cased title, drop blank abstracts, keep-first on the DOI (NULL
-    DOIs as one group), declared language (C4, when the source has one), date
+    optional abstract enrichment (D2, Scopus: by DOI, then by SCOPUS_ID), drop blank titles, keep-first on
+    the lower-cased title, drop blank abstracts, keep-first on the DOI (records without one all
+    stay), declared language (C4, when the source has one), date
     range (C6); unified columns (the lower-cased title is only the key, the
-    text is kept -- quirk Q17)."""
+    text is kept -- quirk Q17).  The order is (query_name, page, pos)."""
     from ..functions.text import blank_to_null, long_key
     from ..operators.dedup import keep_first
     from ..operators.joins import enrich_abstract
     from ..sources import payloads as P
 
-    spec = P.source(name)
     rows = P.raw_rows(payloads, name)
-    out = P.normalise(rows, name, dedup=False, keep=["language"])
+    out = P.normalise(rows, name, dedup=False, keep=["language", "scopus_id"])
     if lookups:
         out = enrich_abstract(out, lookups)
     out = out.withColumns({"title": blank_to_null("title"), "abstract": blank_to_null("abstract")})
-    out = keep_first(out.filter(F.col("title").isNotNull()), long_key(F.lower(F.col("title"))), "ord", "one")
-    out = keep_first(out.filter(F.col("abstract").isNotNull()), F.col("doi"), "ord", "one")
+    out = keep_first(out.filter(F.col("title").isNotNull()), long_key(F.lower(F.col("title"))), P.ORDER, "one")
+    out = keep_first(out.filter(F.col("abstract").isNotNull()), F.col("doi"), P.ORDER, "all")
     out = filters.filter_language(out, lang, col="language")
     return filters.between_dates(out, start, end)

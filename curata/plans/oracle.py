@@ -11,7 +11,7 @@ NL = "chr(10)"
 PAPERS_CTE = """papers AS (
 SELECT CAST(doc_id + 1 AS BIGINT) AS id,
   CASE WHEN doc_id % 17 = 0 THEN NULL
-       WHEN doc_id % 2 = 0 THEN '10.5555/D' || CAST(doc_id % 700 AS VARCHAR)
+       WHEN doc_id // 700 % 2 = 0 THEN '10.5555/D' || CAST(doc_id % 700 AS VARCHAR)
        ELSE '10.5555/d' || CAST(doc_id % 700 AS VARCHAR) END AS doi,
   'raw' AS type,
   'q' || CAST(doc_id % 3 AS VARCHAR) AS query_name,
@@ -42,7 +42,15 @@ FROM labels
 UNION ALL
 SELECT doc_id + 1 AS id, 'abstract' AS round, 'not included' AS status,
        TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 DAY + to_seconds(CAST(doc_id AS DOUBLE)) AS ts
-FROM labels WHERE toxic = 1)"""
+FROM labels WHERE toxic = 1
+UNION ALL
+SELECT doc_id + 1 AS id, 'full_text' AS round, CASE WHEN doc_id % 5 = 0 THEN 'excluded' ELSE 'included' END AS status,
+       TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 2 DAY + to_seconds(CAST(doc_id AS DOUBLE)) AS ts
+FROM labels WHERE quality = 1)"""
+
+ALL_VECS_CTE = """allvecs AS (SELECT d.doc_id + 1 AS id, CAST(embedding AS DOUBLE[]) AS v,
+                 sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n
+          FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id % (SELECT count(*) FROM embeddings))"""
 
 
 def norm_dedup(c: str) -> str:
@@ -66,7 +74,9 @@ def cascade(src: str, doi_nulls: str = "all", prefix: str = "c") -> str:
             f"{prefix}3 AS (SELECT * FROM {prefix}2 WHERE nullif(abstract, '') IS NOT NULL AND nullif(title, '') IS NOT NULL),\n"
             f"{prefix}4 AS ({keep_first(prefix + '3', norm_dedup('abstract'))})")
 
-LAST_CTE = """last AS (SELECT id, arg_max(status, ts) AS status FROM decisions GROUP BY id)"""
+LAST_CTE = """last AS (SELECT id, arg_max(status, ts) AS status FROM decisions GROUP BY id),
+last_a AS (SELECT id, arg_max(status, ts) AS status FROM decisions WHERE round = 'abstract' GROUP BY id),
+last_f AS (SELECT id, arg_max(status, ts) AS status FROM decisions WHERE round = 'full_text' GROUP BY id)"""
 
 VECS_CTE = """vecs AS (SELECT vec_id + 1 AS id, CAST(embedding AS DOUBLE[]) AS v, label,
                  sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n
@@ -90,30 +100,39 @@ def cos_to(cname: str, unit: bool) -> str:
     return f"CASE WHEN n > 0 THEN list_inner_product(v, {q}) / n ELSE 0.0 END"
 
 
-SOURCE_ORDER = ["arxiv", "core", "ieeexplore", "scopus", "semantic_scholar", "springer"]   # sorted names
-
-INGEST_CTE = """raw AS (
-  SELECT p.*, ((ord // 150) * 3 + ord % 3) * 150
-              + row_number() OVER (PARTITION BY database, query_name, ord // 150 ORDER BY ord) - 1 AS raw_ord
+INGEST_CTE = """srcs AS (
+  SELECT p.*, CASE database WHEN 'core' THEN 'core:' || ord WHEN 'semantic_scholar' THEN 'p' || ord ELSE doi END AS skey,
+         CASE database WHEN 'arxiv' THEN 0 WHEN 'core' THEN 1 WHEN 'ieeexplore' THEN 2 WHEN 'scopus' THEN 3
+                       WHEN 'semantic_scholar' THEN 4 ELSE 5 END AS src
   FROM papers p),
-srcs AS (
-  SELECT raw.*, CASE database WHEN 'core' THEN 'core:' || ord WHEN 'semantic_scholar' THEN 'p' || ord ELSE doi END AS skey
-  FROM raw),
-kept AS (SELECT * FROM srcs QUALIFY row_number() OVER (PARTITION BY database, skey ORDER BY raw_ord) = 1),
+kept AS (SELECT * FROM srcs QUALIFY skey IS NULL
+           OR row_number() OVER (PARTITION BY database, skey ORDER BY query_name, ord // 150, ord) = 1),
 ingested AS (
-  SELECT CASE database WHEN 'arxiv' THEN 0 WHEN 'core' THEN 1 WHEN 'ieeexplore' THEN 2 WHEN 'scopus' THEN 3
-                       WHEN 'semantic_scholar' THEN 4 ELSE 5 END * 1000000000000 + raw_ord AS ord,
+  SELECT row_number() OVER (ORDER BY src, query_name, ord // 150, ord) AS ord,
          database,
          CASE database WHEN 'core' THEN coalesce(doi, 'core:' || ord) WHEN 'semantic_scholar' THEN coalesce(doi, 'p' || ord)
                        ELSE doi END AS doi,
          title, abstract,
-         CASE WHEN database = 'semantic_scholar'
-              THEN make_date(CASE WHEN year(publication_date) > 2022 OR year(publication_date) < 1900 THEN 2000
-                                  ELSE year(publication_date) END, 1, 1)
+         CASE WHEN database = 'semantic_scholar' THEN make_date(year(publication_date), 1, 1)
               ELSE publication_date END AS publication_date,
          query_name, replace(replace(query_value, '<AND>', 'AND'), '<OR>', 'OR') AS query_value,
          CASE database WHEN 'arxiv' THEN doi ELSE url END AS url,
          CASE database WHEN 'arxiv' THEN 'arxiv' WHEN 'core' THEN 'core' WHEN 'semantic_scholar' THEN 'semantic_scholar'
                        ELSE publication END AS publication,
-         CASE database WHEN 'arxiv' THEN 'arxiv' WHEN 'core' THEN 'core' ELSE publisher END AS publisher
+         CASE database WHEN 'arxiv' THEN 'arxiv' WHEN 'core' THEN 'core' ELSE publisher END AS publisher, ord AS doc
   FROM kept)"""
+
+# What date each text of tables.DATE_SHAPES means, written out by hand from doc_id: not derived from the parser.
+_Y, _M, _D = "2010 + doc_id % 15", "1 + doc_id % 12", "1 + doc_id % 28"
+_M2, _D2 = "1 + (doc_id + 1) % 12", "1 + (doc_id + 3) % 28"
+DATE_MEANINGS = [
+    (_Y, "1", "1"), (_Y, "1", "1"), (_Y, _M, _D), (_Y, _M, _D), (_Y, _M, "1"), (_Y, _M, "1"), (_Y, _M, "1"), (_Y, _M, "1"),
+    (_Y, _M, _D2), (_Y, _M2, _D2), (_Y, "3 * (1 + doc_id % 4)", "1"), (_Y, "1", "1"), (_Y, _M, _D), (_Y, _M, _D), None,
+    ("2000", "1", "1"), (_Y, _M, _D), (_Y, _M, _D), (_Y, _M, _D), (_Y, _M, _D), (_Y, _M2, "1"),
+]
+
+
+def date_meaning_sql() -> str:
+    whens = " ".join(f"WHEN {k} THEN " + ("NULL" if x is None else f"make_date(CAST({x[0]} AS INT), CAST({x[1]} AS INT), CAST({x[2]} AS INT))")
+                     for k, x in enumerate(DATE_MEANINGS))
+    return f"CASE doc_id % {len(DATE_MEANINGS)} {whens} END"

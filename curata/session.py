@@ -2,8 +2,7 @@
 
 Library code never builds its own session; callers pass one in.  ``local_session``
 is for tests, ``bench.py`` and notebooks.  ``checkpoint_dir`` reads the
-cluster's ``spark.checkpoint.dir`` and only invents a folder when none is set
-(local runs), as required for jobs that must survive executor loss.
+cluster's ``spark.checkpoint.dir``; only a session whose master is ``local`` gets a folder of its own when none is set.
 """
 
 from __future__ import annotations
@@ -40,8 +39,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and stage tables.
 
     On a cluster this is whatever ``spark.checkpoint.dir`` names (a shared file
-    system).  Only when it is unset -- local tests -- a fresh temporary folder is
-    created and registered.
+    system); leaving it unset there is an error, because a machine's own folder
+    is lost with the machine and no other one sees it.  A ``local`` session
+    (tests) gets a fresh temporary folder.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     sc = None
@@ -52,6 +52,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not d and sc is not None:
         d = sc.getCheckpointDir()
     if not d:
+        master = spark.conf.get("spark.master", "") if sc is None else sc.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         d = tempfile.mkdtemp(prefix="curata-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", d)

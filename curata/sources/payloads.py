@@ -8,9 +8,8 @@ Spark: ``from_json`` / ``from_xml`` with an explicit schema, ``inline`` of the
 record array, then one ``select`` per source maps its fields onto the unified
 columns (``SourceSpec``).  Parsing is per row, so it spreads over all tasks.
 
-``landed_payloads`` derives such responses from the ``documents`` records so
-that ingestion can be tested end to end on the driver's tables: each source
-gets its own response shape, pages of at most 150 record slots.
+A record's place is (query_name, page, pos); ``curation.ingest`` numbers the rows
+of all sources by it.  Test responses are made in ``sources.landed_fixture``.
 """
 
 from __future__ import annotations
@@ -26,7 +25,8 @@ from ..functions.dates import parse_dates
 from ..functions.text import blank_to_null, query_operators_to_words
 from ..schema import CORE_COLUMNS
 
-PAGE_SLOTS = 150
+#: Order of a source's raw records; unique where a page lands once.
+ORDER = ["query_name", "page", "pos"]
 
 # ---- response schemas (fixed values: field names of each source's responses) --------
 
@@ -60,7 +60,6 @@ SCOPUS_RECORD = T.StructType([
                                                     T.StructField("@href", T.StringType())]))),
 ])
 ARXIV_FEED = T.StructType([
-    T.StructField("totalResults", T.LongType()),
     T.StructField("entry", T.ArrayType(T.StructType([
         T.StructField(n, T.StringType()) for n in ["id", "title", "summary", "published"]]))),
 ])
@@ -102,18 +101,29 @@ def explode_atom(df: DataFrame, body: str, keep: list[str] = ()) -> DataFrame:
     return parsed.select(*keep, F.posexplode("__doc.entry").alias("pos", "rec")).select(*keep, "pos", "rec.*")
 
 
-def payload_totals(df: DataFrame, body: str = "body") -> DataFrame:
-    """A5: the announced result total of each response, whatever the source
-    (unreadable -> 0)."""
+# Where each source announces its total.
+TOTAL_PATHS = {
+    "semantic_scholar": "$.total",
+    "springer": "$.result[0].total",
+    "core": "$.totalHits",
+    "ieeexplore": "$.total_records",
+    "scopus": "$['search-results']['opensearch:totalResults']",
+}
+ATOM_TOTAL = r"<(?:[A-Za-z]+:)?totalResults[^>]*>\s*(\d+)\s*<"   # with or without a namespace prefix
+
+
+def payload_totals(df: DataFrame, body: str = "body", source: str = "source") -> DataFrame:
+    """A5: the announced result total of each response (unreadable -> 0); the
+    source decides which one path is read, without a source all are tried."""
     b = F.col(body)
-    total = F.coalesce(
-        F.get_json_object(b, "$.total"),
-        F.get_json_object(b, "$.result[0].total"),
-        F.get_json_object(b, "$.totalHits"),
-        F.get_json_object(b, "$.total_records"),
-        F.get_json_object(b, "$['search-results']['opensearch:totalResults']"),
-        F.nullif(F.regexp_extract(b, r"<totalResults[^>]*>(\d+)<", 1), F.lit("")),
-    )
+    paths = {name: F.get_json_object(b, path) for name, path in TOTAL_PATHS.items()}
+    paths["arxiv"] = F.nullif(F.regexp_extract(b, ATOM_TOTAL, 1), F.lit(""))
+    if source in df.columns:
+        total = F.lit(None).cast("string")
+        for name, value in paths.items():
+            total = F.when(F.col(source) == name, value).otherwise(total)
+    else:
+        total = F.coalesce(*paths.values())
     return df.withColumn("total", F.coalesce(total.try_cast("long"), F.lit(0).cast("long")))
 
 
@@ -241,121 +251,38 @@ register_source(SourceSpec(
 
 
 def raw_rows(payloads: DataFrame, name: str) -> DataFrame:
-    """Rows of one source's landed responses, with an explicit order
-    ``ord = page * PAGE_SLOTS + position`` (the page's record order)."""
+    """Rows of one source's landed responses; their order is ``ORDER``."""
     spec = source(name)
     rows = spec.parse(payloads.filter(F.col("source") == name))
     if name == "scopus":
         rows = rows.withColumn("id", coalesce_id("prism:doi")).withColumn("scopus_id", scopus_id())
-    return rows.withColumn("ord", F.col("page") * F.lit(PAGE_SLOTS) + F.col("pos"))
+    return rows
 
 
 def normalise(rows: DataFrame, name: str, dedup: bool = True, keep: list[str] = (),
-              parse: bool = True) -> DataFrame:
-    """B1: keep-first on the source key (unless ``dedup=False``), then the
-    unified columns (plus raw columns ``keep``); dates go through the ladder
-    (I5), a float year through I6.  With ``parse=False`` the date text is left
-    in ``__date_text`` for one ladder after a union of several sources."""
+              parse: bool = True, nulls: str = "all") -> DataFrame:
+    """B1: keep-first on the source key (unless ``dedup=False``; records
+    without a key all stay, ``nulls='one'`` merges them as the reference does), then the
+    unified columns, ``page`` and ``pos`` (plus raw columns ``keep``); dates are parsed (I5), a
+    float year too.  With ``parse=False`` the date text is left in ``publication_date`` for
+    one parse after a union of several sources."""
     from ..operators.dedup import keep_first
 
     spec = source(name)
     rows = rows.drop(*spec.drop)          # B2: unknown names are ignored
     if dedup:
-        rows = keep_first(rows, F.col(f"`{spec.key}`") if "." not in spec.key else F.col(spec.key), "ord", "one")
-    if spec.date_col == "year":
-        rows = rows.withColumn("__date_text", F.split_part(F.col("year").cast("string"), F.lit("."), F.lit(1)))
-    else:
-        rows = rows.withColumn("__date_text", F.col(f"`{spec.date_col}`"))
+        rows = keep_first(rows, F.col(f"`{spec.key}`") if "." not in spec.key else F.col(spec.key), ORDER, nulls)
+    text = F.col(f"`{spec.date_col}`").cast("string")
+    rows = rows.withColumn("publication_date", F.split_part(text, F.lit("."), F.lit(1)) if spec.date_col == "year" else text)
     if parse:
-        rows = parse_dates(rows, "__date_text", "publication_date")
-    else:
-        rows = rows.withColumn("publication_date", F.col("__date_text"))
+        rows = parse_dates(rows, "publication_date")
     out = rows.select(
         *[spec.columns[k]().alias(k) if k in spec.columns else F.lit(None).cast("string").alias(k)
           for k in CORE_COLUMNS if k not in ("query_name", "query_value", "database", "publication_date")],
-        "publication_date", "query_name", "query_value", "ord", *[F.col(f"`{k}`") for k in keep if k in rows.columns])
+        "publication_date", "query_value", *ORDER, *[F.col(f"`{k}`") for k in keep if k in rows.columns])
     return out.withColumn("database", F.lit(name))
 
 
-# ---- landed responses derived from the records of `documents` ------------------------
-
-def _xml_text(col: Column) -> Column:
-    return F.replace(F.replace(F.replace(col, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
-                     F.lit(">"), F.lit("&gt;"))
-
-
-def _xml_elem(tag: str, col: Column) -> Column:
-    return F.concat(F.lit(f"<{tag}>"), _xml_text(col), F.lit(f"</{tag}>"))
-
-
-def _record(name: str) -> Column:
-    iso = F.date_format("publication_date", "yyyy-MM-dd")
-    if name == "ieeexplore":
-        return F.struct(c("doi"), c("title"), c("publisher"), F.lit("Journals").alias("content_type"), c("abstract"),
-                        c("url").alias("html_url"), c("publication").alias("publication_title"),
-                        iso.alias("publication_date"))
-    if name == "springer":
-        return F.struct(c("doi"), c("title"), c("abstract"), F.lit("Article").alias("contentType"),
-                        c("publication").alias("publicationName"), c("publisher"), iso.alias("publicationDate"),
-                        c("lang").alias("language"), F.array(F.struct(c("url").alias("value"))).alias("url"))
-    if name == "scopus":
-        return F.struct(F.concat(F.lit("2-s2.0-"), c("ord").cast("string")).alias("eid"),
-                        F.concat(F.lit("SCOPUS_ID:"), c("ord").cast("string")).alias("dc:identifier"),
-                        c("doi").alias("prism:doi"), F.lit("Article").alias("subtypeDescription"),
-                        c("publication").alias("prism:publicationName"), c("publisher").alias("dc:publisher"),
-                        iso.alias("prism:coverDate"), c("title").alias("dc:title"), c("abstract").alias("dc:description"),
-                        F.array(F.struct(F.lit("self").alias("@ref"), F.lit("https://api.example.org").alias("@href")),
-                                F.struct(F.lit("scopus").alias("@ref"), c("url").alias("@href"))).alias("link"))
-    if name == "core":
-        return F.struct(F.concat(F.lit("core:"), c("ord").cast("string")).alias("id"), c("doi"), c("title"), c("abstract"),
-                        c("url"), c("publication"), c("publisher"), iso.alias("publication_date"))
-    if name == "semantic_scholar":
-        return F.struct(F.concat(F.lit("p"), c("ord").cast("string")).alias("paperId"), c("title"), c("abstract"),
-                        c("url"), c("publisher").alias("venue"), F.year("publication_date").cast("double").alias("year"),
-                        F.struct(c("doi").alias("DOI")).alias("externalIds"))
-    # arxiv: one Atom <entry> per record
-    return F.concat_ws("", F.lit("<entry>"), _xml_elem("id", c("doi")), _xml_elem("title", c("title")),
-                       _xml_elem("summary", c("abstract")),
-                       _xml_elem("published", F.concat(iso, F.lit("T00:00:00Z"))), F.lit("</entry>"))
-
-
-def _body(name: str, recs: Column, total: Column) -> Column:
-    t = total.cast("string")
-    if name == "arxiv":
-        return F.concat(F.lit('<feed xmlns:opensearch="http://a9.com/-/spec/opensearch/1.1/"><totalResults>'), t,
-                        F.lit("</totalResults>"), F.array_join(recs, ""), F.lit("</feed>"))
-    if name == "ieeexplore":
-        return F.to_json(F.struct(total.alias("total_records"), recs.alias("articles")))
-    if name == "springer":
-        return F.to_json(F.struct(F.array(F.struct(t.alias("total"))).alias("result"), recs.alias("records")))
-    if name == "scopus":
-        return F.to_json(F.struct(F.struct(t.alias("opensearch:totalResults"), recs.alias("entry")).alias("search-results")))
-    if name == "core":
-        return F.to_json(F.struct(total.alias("totalHits"), recs.alias("results")))
-    return F.to_json(F.struct(total.alias("total"), recs.alias("data")))
-
-
-def landed_payloads(papers: DataFrame) -> DataFrame:
-    """One response per (source, query, page of PAGE_SLOTS record slots).
-
-    A page gathers at most PAGE_SLOTS records (``collect_list`` of a bounded
-    group), in record order; the announced ``total`` is the page's count."""
-    out = None
-    for name in sources():
-        recs = papers.filter(F.col("database") == name).withColumn("__page", F.floor(F.col("ord") / PAGE_SLOTS))
-        recs = recs.withColumn("__rec", _record(name))
-        pages = (recs.groupBy("query_name", "query_value", "__page")
-                 .agg(F.array_sort(F.collect_list(F.struct(F.col("ord"), F.col("__rec")))).alias("__r"),
-                      F.count(F.lit(1)).alias("__n")))
-        qidx = F.substring(F.col("query_name"), 2, 8).cast("long")
-        body = _body(name, F.transform("__r", lambda x: x["__rec"]), F.col("__n"))
-        one = pages.select(F.concat_ws(":", F.lit(name), F.col("query_name"), F.col("__page").cast("string")).alias("request_id"),
-                           F.lit(name).alias("source"), "query_name", "query_value",
-                           (F.col("__page") * 3 + qidx).alias("page"), body.alias("body"))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 # ---- abstract lookups (I11, D2) ------------------------------------------------------
 
 # Where an abstract can sit in a retrieval response, in priority order.
@@ -374,42 +301,22 @@ def json_abstract(body: str | Column) -> Column:
     return F.coalesce(*[blank_to_null(F.get_json_object(b, p)) for p in ABSTRACT_PATHS])
 
 
-def abstract_lookups(papers: DataFrame) -> DataFrame:
-    """Retrieval responses derived from the records: ``(doi, body)``, in the
-    response shapes of ABSTRACT_PATHS, rotating with the record order."""
-    a = F.col("abstract")
-
-    def nest(path: list[str], leaf: Column) -> Column:
-        # struct(path[0] -> struct(path[1] -> ... leaf))
-        out = leaf.alias(path[-1])
-        for name in reversed(path[:-1]):
-            out = F.struct(out).alias(name)
-        return F.struct(out)
-
-    shape = F.col("ord") % 4
-    body = (F.when(shape == 0, F.to_json(nest(["full-text-retrieval-response", "coredata", "dc:description"], a)))
-            .when(shape == 1, F.to_json(nest(["abstracts-retrieval-response", "coredata", "dc:description"], a)))
-            .when(shape == 2, F.to_json(nest(["abstracts-retrieval-response", "item", "bibrecord", "head",
-                                              "abstracts", "abstract", "abstractText"], a)))
-            .otherwise(F.to_json(nest(["abstract"], a))))
-    return papers.filter(F.col("doi").isNotNull()).select("doi", "ord", body.alias("body"))
-
-
 # ---- files: CSV stage tables, partitioned raw landing (A1, A7, A8) --------------------
 
 def read_papers_csv(spark, path: str, schema: T.StructType, on_bad: str = "fail",
-                    corrupt_col: str = "_corrupt_record") -> DataFrame:
-    """CSV with a header, quoted fields and newlines inside abstracts.
-    An empty field reads as NULL (as ``pd.read_csv`` does).
-
-    on_bad='fail' raises on a malformed row; 'skip' drops malformed rows;
-    'quarantine' keeps them with NULL fields and the raw line in
-    ``corrupt_col`` (split them off with ``quarantined``)."""
-    mode = {"fail": "FAILFAST", "skip": "DROPMALFORMED", "quarantine": "PERMISSIVE"}[on_bad]
+                    corrupt_col: str = "_corrupt_record", multiline: bool = False) -> DataFrame:
+    """CSV with a header and quoted fields.  An empty field reads as NULL
+    (as ``pd.read_csv`` does).  ``multiline`` allows line ends inside fields, at a price: such a file
+    is read by one task (Parquet stage tables have no such limit).
+
+    on_bad='fail' raises on a malformed row; 'quarantine' keeps it with NULL fields
+    and the raw line in ``corrupt_col``; ``quarantined`` splits such rows off and counts them.
+    There is no mode that drops rows unseen."""
+    mode = {"fail": "FAILFAST", "quarantine": "PERMISSIVE"}[on_bad]
     s = schema
     if on_bad == "quarantine":
         s = T.StructType(list(schema.fields) + [T.StructField(corrupt_col, T.StringType())])
-    r = (spark.read.schema(s).option("header", True).option("multiLine", True).option("escape", '"')
+    r = (spark.read.schema(s).option("header", True).option("multiLine", multiline).option("escape", '"')
          .option("mode", mode))
     if on_bad == "quarantine":
         r = r.option("columnNameOfCorruptRecord", corrupt_col)
@@ -453,22 +360,6 @@ CITING_RECORD = T.StructType([T.StructField("citingPaper", T.StructType([
     T.StructField("venue", T.StringType()), T.StructField("year", T.IntegerType())]))])
 
 
-def citation_payloads(edges: DataFrame, records: DataFrame) -> DataFrame:
-    """Citation responses (``{"data": [{"citingPaper": {...}}]}``) derived from
-    edges and records: one response per cited record and page of PAGE_SLOTS
-    citing slots (``citing_ord div PAGE_SLOTS``), so however often one record
-    is cited, no response -- no ``collect_list`` group -- exceeds PAGE_SLOTS rows."""
-    citing = records.select(F.col("ord").alias("citing_ord"), F.struct(
-        F.coalesce(F.col("doi"), F.concat(F.lit("p"), F.col("ord").cast("string"))).alias("paperId"),
-        "url", "title", "abstract", F.col("publisher").alias("venue"),
-        F.year("publication_date").alias("year")).alias("citingPaper"))
-    per_cited = (edges.join(citing, "citing_ord")
-                 .groupBy("cited_ord", F.floor(F.col("citing_ord") / PAGE_SLOTS).alias("page"))
-                 .agg(F.array_sort(F.collect_list(F.struct("citing_ord", "citingPaper"))).alias("__c")))
-    return per_cited.select("cited_ord", "page", F.to_json(F.struct(
-        F.transform("__c", lambda x: F.struct(x["citingPaper"].alias("citingPaper"))).alias("data"))).alias("body"))
-
-
 def flatten_citations(payloads: DataFrame) -> DataFrame:
     """Citation responses -> record rows: ``citingPaper.*`` renamed to the
     unified names, ``query_name='citation'``, year -> 1 January (I6)."""

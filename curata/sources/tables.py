@@ -23,12 +23,9 @@ DATABASES = ["arxiv", "springer", "ieeexplore", "scopus", "core", "semantic_scho
 
 
 # Tables whose rows carry long text or vectors, with their id column.  The
-# driver writes each table as one file with a single row group, which Spark can
-# read in one task only -- and filters are pushed into that scan, so a
-# repartition after it does not help.  Such a table is landed once as a stage
-# table of several files (hash-partitioned by id) in the shared checkpoint
-# folder and read from there.  On a cluster the input already is many files;
-# set CURATA_SPREAD=0 to read the given file directly.
+# driver writes each table as one file with a single row group, which one task
+# reads.  With CURATA_SPREAD=1 (the bench sets it and reports the time) such a table is copied once per
+# session into the shared folder as several files.  Off by default: on a cluster the input is many files.
 SPREAD = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "embeddings": "vec_id"}
 
 
@@ -58,14 +55,12 @@ def memo(fn):
 @memo
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = os.path.join(sf_dir, f"{name}.parquet")
-    if name not in SPREAD or os.environ.get("CURATA_SPREAD", "1") == "0":
+    if name not in SPREAD or os.environ.get("CURATA_SPREAD", "0") != "1":
         return spark.read.parquet(path)
-    from .stages import stage
-    st = os.stat(path)
     from ..session import parallelism
+    from .stages import stage
     n = parallelism(spark)
-    ident = f"{os.path.abspath(path)}|{st.st_size}|{int(st.st_mtime)}|{n}"
-    key = f"input-{hashlib.sha1(ident.encode()).hexdigest()[:16]}-{name}"
+    key = f"input-{hashlib.sha1(f'{path}|{n}|{_session_key(spark)}'.encode()).hexdigest()[:16]}-{name}"
     return stage(spark, key, lambda: spark.read.parquet(path).repartition(n, SPREAD[name]))
 
 
@@ -74,7 +69,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 PAPERS_SQL = """
 SELECT CAST(doc_id + 1 AS BIGINT) AS id,
   CASE WHEN doc_id % 17 = 0 THEN NULL
-       WHEN doc_id % 2 = 0 THEN concat('10.5555/D', CAST(doc_id % 700 AS STRING))
+       WHEN doc_id DIV 700 % 2 = 0 THEN concat('10.5555/D', CAST(doc_id % 700 AS STRING))
        ELSE concat('10.5555/d', CAST(doc_id % 700 AS STRING)) END AS doi,
   'raw' AS type,
   concat('q', CAST(doc_id % 3 AS STRING)) AS query_name,
@@ -105,7 +100,7 @@ def papers_from(docs: DataFrame) -> DataFrame:
     """The record projection of a ``documents`` frame (batch or streaming)."""
     d = F.col("doc_id")
     doi = (F.when(d % 17 == 0, F.lit(None).cast("string"))
-           .when(d % 2 == 0, F.concat(F.lit("10.5555/D"), (d % 700).cast("string")))
+           .when(F.floor(d / 700) % 2 == 0, F.concat(F.lit("10.5555/D"), (d % 700).cast("string")))
            .otherwise(F.concat(F.lit("10.5555/d"), (d % 700).cast("string"))))
     database = F.element_at(F.array(*[F.lit(x) for x in DATABASES]), (d % 6 + 1).cast("int"))
     return docs.select(
@@ -145,31 +140,43 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @memo
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviewer decisions derived from ``labels``: an abstract-round decision
-    from ``quality`` and, for toxic rows, a later overriding rejection.
+    from ``quality``, for toxic rows a later overriding rejection, and a full-text decision
+    for rows of quality 1: every fifth record is excluded there.
     Schema: ``id BIGINT, round STRING, status STRING, ts TIMESTAMP``."""
     return decisions_from(table(spark, sf_dir, "labels"))
 
 
 def decisions_from(lab: DataFrame) -> DataFrame:
     """Decisions from a ``labels`` frame (batch or streaming)."""
-    t0 = F.lit("2024-01-01 00:00:00").cast("timestamp")
-    first = lab.select(
-        (F.col("doc_id") + 1).alias("id"), F.lit("abstract").alias("round"),
-        F.when(F.col("quality") == 1, F.lit("included")).otherwise(F.lit("not included")).alias("status"),
-        (t0 + F.make_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(0), F.lit(0), F.lit(0), F.col("doc_id").cast("double"))).alias("ts"))
-    second = lab.filter(F.col("toxic") == 1).select(
-        (F.col("doc_id") + 1).alias("id"), F.lit("abstract").alias("round"),
-        F.lit("not included").alias("status"),
-        (t0 + F.make_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(1), F.lit(0), F.lit(0), F.col("doc_id").cast("double"))).alias("ts"))
-    return first.unionByName(second)
-
-
-# The date-text shapes the ladder has rules for, filled from each
-# document's derived publication date.  Shape k is used for doc_id % 16 = k.
+    def at(days: int):
+        return (F.lit("2024-01-01 00:00:00").cast("timestamp")
+                + F.make_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(days), F.lit(0), F.lit(0), F.col("doc_id").cast("double")))
+
+    def rows(df, round_, status, days):
+        return df.select((F.col("doc_id") + 1).alias("id"), F.lit(round_).alias("round"), status.alias("status"), at(days).alias("ts"))
+
+    first = rows(lab, "abstract", F.when(F.col("quality") == 1, F.lit("included")).otherwise(F.lit("not included")), 0)
+    second = rows(lab.filter(F.col("toxic") == 1), "abstract", F.lit("not included"), 1)
+    third = rows(lab.filter(F.col("quality") == 1), "full_text",
+                 F.when(F.col("doc_id") % 5 == 0, F.lit("excluded")).otherwise(F.lit("included")), 2)
+    return first.unionByName(second).unionByName(third)
+
+
+@memo
+def all_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, embedding) for every record: ``embeddings`` dealt round by record number."""
+    table(spark, sf_dir, "documents").createOrReplaceTempView("__cur_documents")
+    table(spark, sf_dir, "embeddings").createOrReplaceTempView("__cur_embeddings")
+    return spark.sql("""SELECT d.doc_id + 1 AS id, e.embedding FROM __cur_documents d
+                        JOIN __cur_embeddings e ON e.vec_id = d.doc_id % (SELECT count(*) FROM __cur_embeddings)""")
+
+
+# Date texts of every kind, filled with numbers derived from doc_id.
+# Text k is used for doc_id % len(DATE_SHAPES) = k.
 _MON = "array(" + ",".join(f"'{m}'" for m in MONTHS) + ")"
 _FULL = "array(" + ",".join(f"'{m}'" for m in FULL_MONTHS) + ")"
 DATE_SHAPES = [
-    "y",                                   # 2019          (years 2023/2024 become 2000)
+    "y",                                   # 2019
     "y || '.0'",                           # 2019.0
     "y || '-' || lpad(m, 2, '0') || '-' || lpad(d, 2, '0') || 'T10:00:00Z'",
     "mon || '. ' || d || ', ' || y",       # Mar. 5, 2018
@@ -185,6 +192,11 @@ DATE_SHAPES = [
     "d || ' ' || fullm || d2 || ', ' || y", # 5 June7, 2011
     "'n/a'",
     "'0'",
+    "d || ' ' || fullm || ' ' || y",       # 1 June 2020
+    "d || ' ' || mon || '. ' || y",        # 15 Nov. 2019
+    "y || '/' || m || '/' || d",           # 2020/5/4
+    "y || '-' || m || '-' || d || ' 00:00:00'",
+    "d || ' ' || mon || '-' || mon2 || '. ' || y",            # 5 Mar-Apr. 2012
 ]
 
 

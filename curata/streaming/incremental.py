@@ -9,10 +9,12 @@ decision -- is re-aimed here:
   restart neither loses nor repeats rows.
 * K2 ``stream_dedup``: ``withWatermark`` + ``dropDuplicatesWithinWatermark`` on
   the DOI key -- bounded state; a duplicate arriving later than the lateness
-  bound is not recognised (differs from the batch cascade by design).
+  bound is not recognised (differs from the batch cascade by design).  Rows without a key all pass.
 * K3 ``decision_status_stream``: reviewer decisions as a stream, latest status
-  per record by a streaming aggregate (``max`` of (ts, status)), with the
-  running review progress.
+  per record by a streaming aggregate (``max`` of (ts, status)).  Each micro-batch writes
+  the records that changed, and no others (``run_updates``); readers take each record's last change
+  (``current_status``), ``running_progress`` (E1) counts them, and ``compact`` rewrites the
+  changes as one table in a folder of its own.
 
 All sinks and checkpoints live under the shared ``spark.checkpoint.dir``.
 """
@@ -35,10 +37,13 @@ def run_folder(spark: SparkSession, name: str) -> str:
 
 
 def file_stream(spark: SparkSession, folder: str, file_glob: str, schema: T.StructType,
-                max_files: int = 1) -> DataFrame:
-    """Parquet files landing in ``folder`` (those matching ``file_glob``) as a stream."""
-    return (spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
-            .option("maxFilesPerTrigger", max_files).parquet(folder))
+                max_files: int | None = None) -> DataFrame:
+    """Parquet files landing in ``folder`` (those matching ``file_glob``) as a
+    stream; the caller may limit the files of a micro-batch."""
+    r = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
+    if max_files is not None:
+        r = r.option("maxFilesPerTrigger", max_files)
+    return r.parquet(folder)
 
 
 def land_incrementally(stream: DataFrame, target: str, checkpoint: str) -> None:
@@ -58,11 +63,13 @@ def read_landed(spark: SparkSession, target: str) -> DataFrame:
     return spark.read.parquet(target).drop("_batch")
 
 
-def stream_dedup(stream: DataFrame, key, event_time: str, lateness: str = "30 days") -> DataFrame:
-    """K2: drop rows whose key was seen within the lateness bound."""
+def stream_dedup(stream: DataFrame, key, event_time: str, lateness: str = "30 days", unique: str = "ord") -> DataFrame:
+    """K2: drop rows whose key was seen within the lateness bound.  A NULL key
+    matches nothing: such rows are told apart by ``unique``, which also spreads their state."""
     k = F.col(key) if isinstance(key, str) else key
-    return (stream.withColumn("__key", k).withWatermark(event_time, lateness)
-            .dropDuplicatesWithinWatermark(["__key"]))
+    own = F.concat(F.lit("\u0000"), F.col(unique).cast("string"))
+    return (stream.withColumn("__key", F.coalesce(k, own)).withWatermark(event_time, lateness)
+            .dropDuplicatesWithinWatermark(["__key"]).drop("__key"))
 
 
 def decision_status_stream(decisions: DataFrame) -> DataFrame:
@@ -72,17 +79,40 @@ def decision_status_stream(decisions: DataFrame) -> DataFrame:
             .select("id", decode_status(F.col("__last")).alias("status"), decode_ts(F.col("__last")).alias("ts")))
 
 
-def run_complete(agg: DataFrame, target: str, checkpoint: str) -> None:
-    """Run a streaming aggregate to the end of its input (availableNow); each
-    micro-batch replaces the table ``target`` with the full current result."""
+def run_updates(agg: DataFrame, target: str, checkpoint: str) -> None:
+    """Run a streaming aggregate to the end of its input (availableNow) in
+    update mode: each micro-batch adds a folder with the groups that changed.  Nothing is
+    replaced, so a reader beside it always finds a whole table, and a
+    replayed batch overwrites its own folder alone."""
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(target)
+        batch.write.mode("overwrite").parquet(os.path.join(target, f"_batch={batch_id}"))
 
-    q = (agg.writeStream.outputMode("complete").foreachBatch(sink)
+    q = (agg.writeStream.outputMode("update").foreachBatch(sink)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 
 
+def current_status(spark: SparkSession, target: str) -> DataFrame:
+    """id, status, ts: the last change of every record that ``run_updates`` wrote."""
+    rows = spark.read.parquet(target)
+    return (rows.groupBy("id").agg(F.max_by(F.struct("status", "ts"), "_batch").alias("s"))
+            .select("id", "s.status", "s.ts"))
+
+
+def running_progress(records: DataFrame, status: DataFrame) -> DataFrame:
+    """E1 as of now: progress of ``records`` under the current ``status`` table."""
+    from ..operators.review import review_progress
+    now = (records.drop("status").join(status.select("id", F.col("status").alias("__s")), "id", "left")
+           .withColumn("status", F.coalesce("__s", F.lit("unknown"))))
+    return review_progress(now)
+
+
+def compact(spark: SparkSession, target: str, folder: str) -> DataFrame:
+    """The current status as one table in ``folder``, apart from the changes."""
+    current_status(spark, target).write.mode("overwrite").parquet(folder)
+    return spark.read.parquet(folder)
+
+
 def run_append(stream: DataFrame, target: str, checkpoint: str) -> None:
     q = (stream.writeStream.outputMode("append").format("parquet").option("path", target)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from conftest import papers_df, rows
@@ -78,3 +80,21 @@ def test_review_dedup(spark):
 def test_final_dedup_keeps_rows_without_doi(spark):
     df = papers_df(spark, [_p(1, None, "t1", "a1"), _p(2, None, "t2", "a2"), _p(3, "d", "T1", "a3")])
     assert [r[0] for r in rows(dedup.final_dedup(df), "ord")] == [1, 2]
+
+
+def test_no_text_crosses_the_cascades_exchanges(spark):
+    """Every exchange of the three chains carries digests; titles and abstracts stay where they are until the one semi join."""
+    from curata.sources import tables
+    p = tables.papers(spark, "/root/testdata/sf0.001")
+    for chain in (dedup.remove_repeated, dedup.review_dedup, dedup.final_dedup):
+        left = chain(p)._jdf.queryExecution().optimizedPlan().toString()
+        windows = [line for line in left.splitlines() if "Window [" in line]
+        assert windows and not any(re.search(r"\b(title|abstract)#", line) for line in windows)
+        assert left.count("LeftSemi") == 1
+
+
+def test_doi_case_variants_are_in_the_records(spark):
+    from curata.sources import tables
+    p = tables.papers(spark, "/root/testdata/sf0.1")
+    n, folded = p.select(F.countDistinct("doi"), F.countDistinct(F.lower("doi"))).first()
+    assert n > folded

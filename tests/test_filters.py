@@ -41,9 +41,14 @@ def test_declared_language_only_if_column_exists(spark):
     assert filters.filter_language(df, "en").count() == 1
 
 
-def test_narrow_if_over(spark):
-    from pyspark.sql import functions as F
-    df = papers_df(spark, [_p(i, title="x" if i < 3 else "y") for i in range(10)])
-    assert filters.narrow_if_over(df, 20, None).count() == 10
-    assert filters.narrow_if_over(df, 5, F.col("title") == "x").count() == 3
-    assert filters.narrow_if_over(df, 2, F.col("title") == "x").count() == 0
+def test_empty_block_lists_drop_nothing(spark):
+    df = papers_df(spark, [_p(1, "A review", "thesis. x"), _p(2)])
+    assert filters.exclude_title_terms(df, []).count() == filters.exclude_abstract_words(df, []).count() == 2
+
+
+def test_year_range_is_pushed_to_the_scan(spark):
+    from curata.sources.stages import cut
+    df = cut(papers_df(spark, [_p(1, date="2020-05-01"), _p(2, date="2021-05-01")]), "years")
+    out = filters.between_years(df, 2021, 2021)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(publication_date" in plan and out.count() == 1

@@ -1,9 +1,23 @@
+import pytest
+from pyspark.sql import functions as F
+
 from curata.functions.html import section_text
 
+PAGE = ('<html><script>var t="</p>";</script><div class="row x" id="abstractSection"><p>Hello <b>big</b>'
+        '</p><div>world &amp; all</div><style>p{}</style></div><div class="row">no</div></html>')
+
 
-def test_section_text_skips_scripts_and_nested():
-    html = ('<html><script>var t="</p>";</script><div class="row x" id="abstractSection"><p>Hello <b>big</b>'
-            '</p><div>world</div><style>p{}</style></div><div class="row">no</div></html>')
-    assert section_text(html, "div", {"class": "row", "id": "abstractSection"}) == "Hello big world"
-    assert section_text(html, "section") is None
-    assert section_text(None, "div") is None
+@pytest.mark.parametrize("html,tag,attributes,want", [
+    (PAGE, "div", {"class": "row", "id": "abstractSection"}, "Hello big world & all"),
+    (PAGE, "div", {"id": "abstract"}, None),
+    (PAGE, "section", None, None),
+    (PAGE, "b", None, "big"),
+    (None, "div", None, None),
+    ("", "div", None, None),
+    ("<DIV><div>a</div>b</DIV>c", "div", None, "a b"),
+    ("<p><article id=q>open <i>end", "article", {"id": "q"}, "open end"),
+    ("<articles>no</articles><article>yes</article>", "article", None, "yes"),
+])
+def test_section_text(spark, html, tag, attributes, want):
+    df = spark.createDataFrame([(html,)], "h string")
+    assert df.select(section_text("h", tag, attributes).alias("t")).first().t == want

@@ -5,10 +5,20 @@ from curata.operators import ordering
 def test_dense_id_contiguous_on_sparse_order(spark):
     ords = [5, 10 ** 12 + 3, 7, 2 * 10 ** 12, 1 << 21, 0]
     df = papers_df(spark, [{"ord": o} for o in ords])
-    got = rows(ordering.with_dense_id(df, width=4), "ord", "id")
+    got = rows(ordering.with_dense_id(df), "ord", "id")
     assert [i for _, i in got] == [1, 2, 3, 4, 5, 6]
 
 
+def test_dense_id_over_several_partitions_and_columns(spark):
+    from pyspark.sql import functions as F
+    df = spark.range(5000).select((F.col("id") % 7).alias("a"), F.col("id").alias("b"), (F.col("id") * 7919 % 5000).alias("ord"))
+    out = ordering.with_dense_id(df.repartition(9), ["a", "b"], "n").collect()
+    assert [r.n for r in sorted(out, key=lambda r: (r.a, r.b))] == list(range(1, 5001))
+    assert ordering.with_dense_id(df.limit(0)).count() == 0
+    plan = ordering.with_dense_id(df)._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in plan     # the input's plan ran once, into the stage table
+
+
 def test_cap_per_group_and_draw(spark):
     df = papers_df(spark, [{"ord": i, "database": "a" if i % 3 else "b", "status": "unknown"} for i in range(30)])
     from pyspark.sql import functions as F

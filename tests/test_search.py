@@ -64,3 +64,18 @@ def test_malformed_queries_fail_loudly(spark, bad):
     df = _df(spark, ["a b"])
     with pytest.raises(Exception):
         search.boolean_search(df, bad, ["abstract"]).count()
+
+
+def test_one_field_must_satisfy_the_whole_query(spark):
+    df = papers_df(spark, [{"ord": 1, "id": 1, "title": "edge", "abstract": "learning"}, {"ord": 2, "id": 2, "title": "edge", "abstract": "edge learning"},
+                           {"ord": 3, "id": 3, "title": "learning at the edge", "abstract": None}, {"ord": 4, "id": 4, "title": None, "abstract": "fog"}])
+    find = lambda q, **kw: [r[0] for r in rows(search.boolean_search(df, q, **kw), "ord")]
+    assert find("edge AND learning") == [2, 3]
+    assert find("edge AND learning", across_fields=True) == [1, 2, 3]
+    assert find("learning OR fog") == [1, 2, 3, 4]
+
+
+def test_keyword_text_is_built_once(spark):
+    df = _df(spark, ["two studies of classes", "x"])
+    plan = search.filter_keywords(df, ["study", "class", "two"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1

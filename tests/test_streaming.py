@@ -1,8 +1,9 @@
+import datetime
 import os
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from conftest import SF_SMALL, rows
 from curata.sources import tables
 from curata.streaming import incremental as K
 
@@ -23,17 +24,58 @@ def test_decision_stream_matches_batch(spark):
     from curata.operators import joins
     root = K.run_folder(spark, "test-decisions")
     labels = K.file_stream(spark, SF_SMALL, "labels.parquet", tables.table(spark, SF_SMALL, "labels").schema)
-    K.run_complete(K.decision_status_stream(tables.decisions_from(labels)), os.path.join(root, "t"), os.path.join(root, "c"))
-    got = {r.id: r.status for r in spark.read.parquet(os.path.join(root, "t")).collect()}
+    K.run_updates(K.decision_status_stream(tables.decisions_from(labels)), os.path.join(root, "t"), os.path.join(root, "c"))
+    got = {r.id: r.status for r in K.current_status(spark, os.path.join(root, "t")).collect()}
     want = {r["id"]: r["__decision"] for r in joins.latest_decisions(tables.decisions(spark, SF_SMALL)).collect()}
     assert got == want and len(got) > 0
 
 
-def test_stream_dedup_keeps_one_per_key(spark):
+def _write(spark, folder, name, data, schema):
+    """One Parquet file of its own in ``folder``."""
+    spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(os.path.join(folder, name))
+
+
+def test_landing_of_several_files_with_a_restart_between(spark):
+    root = K.run_folder(spark, "test-files")
+    target, ckpt = os.path.join(root, "t"), os.path.join(root, "c")
+    for n in range(3):
+        _write(spark, root, "in", [(n * 10 + i,) for i in range(4)], "ord long")
+        stream = K.file_stream(spark, os.path.join(root, "in"), "*.parquet", spark.range(1).selectExpr("id AS ord").schema, max_files=1)
+        K.land_incrementally(stream, target, ckpt)
+        assert rows(K.read_landed(spark, target)) == [(m * 10 + i,) for m in range(n + 1) for i in range(4)]
+
+
+def test_stream_dedup_over_batches(spark):
+    """A duplicate in a later file goes, one beyond the lateness bound does not, rows without a key all stay."""
     root = K.run_folder(spark, "test-dedup")
-    schema = tables.table(spark, SF_SMALL, "documents").schema
-    s = tables.papers_from(K.file_stream(spark, SF_SMALL, "documents.parquet", schema)).withColumn(
-        "event_time", F.col("publication_date").cast("timestamp"))
-    K.run_append(K.stream_dedup(s, F.lower("doi"), "event_time", "3650 days"), os.path.join(root, "t"), os.path.join(root, "c"))
+    schema = "ord long, doi string, day int"
+    files = [[(1, "a", 0), (2, None, 0), (3, None, 0)], [(4, "a", 1), (5, "b", 1), (6, None, 1)], [(7, "c", 400)], [(8, "a", 401), (9, "c", 401)]]
+    for data in files:
+        _write(spark, root, "in", data, schema)
+        s = K.file_stream(spark, os.path.join(root, "in"), "*.parquet", spark.createDataFrame([], schema).schema, max_files=1)
+        s = s.withColumn("event_time", F.timestamp_seconds((F.col("day") + 20_000) * 86400))
+        K.run_append(K.stream_dedup(s, "doi", "event_time", "30 days"), os.path.join(root, "t"), os.path.join(root, "c"))
     out = spark.read.parquet(os.path.join(root, "t"))
-    assert out.count() == out.select("__key").distinct().count()
+    assert [r[0] for r in rows(out, "ord")] == [1, 2, 3, 5, 6, 7, 8]
+
+
+def test_status_updates_and_running_progress(spark):
+    """Each batch writes the records that changed; the current table and the progress follow."""
+    root = K.run_folder(spark, "test-updates")
+    schema = "id long, round string, status string, ts timestamp"
+    at = lambda d: datetime.datetime(2024, 1, d)
+    papers = spark.range(1, 5).select("id", F.lit("unknown").alias("status"))
+    seen = []
+    for data in ([(1, "abstract", "included", at(1)), (2, "abstract", "included", at(1))], [(2, "abstract", "not included", at(2))],
+                 [(2, "abstract", "included", at(1)), (3, "abstract", "excluded", at(3))]):
+        _write(spark, root, "in", data, schema)
+        s = K.file_stream(spark, os.path.join(root, "in"), "*.parquet", spark.createDataFrame([], schema).schema, max_files=1)
+        K.run_updates(K.decision_status_stream(s), os.path.join(root, "t"), os.path.join(root, "c"))
+        now = K.current_status(spark, os.path.join(root, "t"))
+        p = K.running_progress(papers, now).first()
+        seen.append((p.included, p.excluded, p.progress))
+    assert seen == [(2, 0, 50.0), (1, 1, 50.0), (1, 2, 75.0)]
+    assert rows(now, "id", "status") == [(1, "included"), (2, "not included"), (3, "excluded")]
+    changed = {r._batch: r.n for r in spark.read.parquet(os.path.join(root, "t")).groupBy("_batch").agg(F.count("*").alias("n")).collect()}
+    assert changed[0] == 2 and changed[1] == 1
+    assert rows(K.compact(spark, os.path.join(root, "t"), os.path.join(root, "now")), "id", "status") == rows(now, "id", "status")
