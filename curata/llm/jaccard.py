@@ -14,6 +14,7 @@ reach, are one component.  Every link is found and verified exactly:
    tile a pair must pass the size bound, then the bitmap bound: each set
    has a bitmap of ``BITS`` where a shingle flips the bit its hash names, so the differing bits
    of two bitmaps are at most the differing shingles, and (n1 + n2 - bits) / 2 bounds the overlap from above.
+   Before a pair's arrays are fetched, sets that fill this bitmap are bounded once more by a wider one.
 4. Round 1 looks at single blocks and takes, for each set, its first and its nearest partner under the bounds: at
    most two pairs for each member.  They are verified by intersecting the sorted shingle arrays, and give
    components.  Round 2 goes through all tiles whose sets are not all in one
@@ -89,12 +90,28 @@ def set_id(u: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh64_intdigest(u.tobytes())).view(np.int64))) if len(u) else 0
 
 
-def bitmap(u: np.ndarray) -> bytes:
+def bitmap(u: np.ndarray, bits: int = BITS) -> bytes:
     """One bit for each hash value, flipped by each shingle that has it."""
-    odd = np.bincount((u >> np.uint64(7)).astype(np.int64) % BITS, minlength=BITS) & 1
+    odd = np.bincount((u >> np.uint64(7)).astype(np.int64) % bits, minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def wide_bitmap(u: np.ndarray) -> bytes | None:
+    """For a set that fills the tiles' bitmap: one of at least two bits for each shingle."""
+    return bitmap(u, 1 << (2 * len(u) - 1).bit_length()) if 2 * len(u) > BITS else None
+
+
+def bits_apart(x: bytes, y: bytes) -> int:
+    """Differing bits of two bitmaps; a wider one is folded to the other's width
+    (a bit of the fold is flipped by the shingles of the bits folded on it)."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) > len(b):
+        a = a[:len(a) // 2] ^ a[len(a) // 2:]
+    while len(b) > len(a):
+        b = b[:len(b) // 2] ^ b[len(b) // 2:]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def prefix_sizes(n: int, percent: int) -> tuple[int, int]:
     """Lengths of the prefixes in which a set of n meets any that it links with,
     and any of its own size or more."""
@@ -106,20 +123,20 @@ def prefix_sizes(n: int, percent: int) -> tuple[int, int]:
 
 def _sets(cols: dict, k: int) -> dict:
     """Rows of kind 0: each document's set; of kind 1: a shingle that repeats in this batch, and how often."""
-    out = {c: [] for c in ("kind", "doc_id", "sid", "n", "bits")}
+    out = {c: [] for c in ("kind", "doc_id", "sid", "n", "bits", "wide")}
     seen: dict[int, np.ndarray] = {}
     for doc_id, text in zip(cols["doc_id"], cols["text"]):
         u = shingles(text, k)
         sid = set_id(u)
         if len(u):
             seen.setdefault(sid, u)
-        for c, v in zip(out.values(), (0, doc_id, sid if len(u) else None, len(u), bitmap(u) if len(u) else None)):
+        for c, v in zip(out.values(), (0, doc_id, sid if len(u) else None, len(u), bitmap(u) if len(u) else None, wide_bitmap(u))):
             c.append(v)
     if seen:
         key, n = np.unique(np.concatenate(list(seen.values())), return_counts=True)
         key, n = key[n >= REPEATED].view(np.int64).tolist(), n[n >= REPEATED].tolist()
         m = len(key)
-        for c, v in zip(out.values(), ([1] * m, [None] * m, key, n, [None] * m)):
+        for c, v in zip(out.values(), ([1] * m, [None] * m, key, n, [None] * m, [None] * m)):
             c.extend(v)
     return out
 
@@ -297,6 +314,15 @@ def _arrays(cols: dict, k: int, needed) -> dict:
     return out
 
 
+def _wide_bound(cols: dict, percent: int) -> dict:
+    out = {"a": [], "b": []}
+    for a, b, m, n, x, y in zip(cols["a"], cols["b"], cols["m"], cols["n"], cols["x"], cols["y"]):
+        if (m + n - bits_apart(x, y)) * (100 + percent) >= 2 * percent * (m + n):
+            out["a"].append(a)
+            out["b"].append(b)
+    return out
+
+
 def _verify(cols: dict, percent: int) -> dict:
     out = {"a": [], "b": []}
     for a, b, x, y in zip(cols["a"], cols["b"], cols["x"], cols["y"]):
@@ -371,10 +397,10 @@ class JaccardJoin:
         self.docs, self.percent, self.words = id_text(docs), percent, words
         self.spark = docs.sparkSession
         self.parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        first = staged(map_rows(self.docs, "kind int, doc_id long, sid long, n int, bits binary", _sets, words), "shingle-sets")
+        first = staged(map_rows(self.docs, "kind int, doc_id long, sid long, n int, bits binary, wide binary", _sets, words), "shingle-sets")
         self.sets = first.filter("kind = 0").drop("kind")
         self.nodes = staged(self.sets.filter("n > 0").groupBy("sid").agg(
-            F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")), "shingle-nodes")
+            F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide")), "shingle-nodes")
         self.frequent = self._frequent(first.filter("kind = 1"))
 
     def _frequent(self, repeated: DataFrame):
@@ -400,6 +426,7 @@ class JaccardJoin:
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b) that link, by exact intersection.  The
         bitset lets some ids through that are not needed; the joins drop their arrays."""
+        pairs = self._bounded(pairs)
         ends = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
         needed = staged(ends.join(self.nodes.select("sid", "rep"), "sid").select("rep"), "needed")
         shared = self.spark.sparkContext.broadcast(id_bitset(needed, "rep"))
@@ -408,6 +435,16 @@ class JaccardJoin:
         both = left.join(arrays.select(F.col("sid").alias("b"), F.col("arr").alias("y")), "b")
         return staged(map_rows(both, "a long, b long", _verify, self.percent).distinct(), "links")
 
+    def _bounded(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that pass the bound of the wide bitmaps.  Pairs of small
+        sets, which have none, pass: the tiles' bitmaps bound them as well."""
+        wide = self.nodes.filter(F.col("wide").isNotNull())
+        side = pairs.join(wide.select(F.col("sid").alias("a"), F.col("n").alias("m"), F.col("wide").alias("x")), "a", "left")
+        both = side.join(wide.select(F.col("sid").alias("b"), "n", F.col("wide").alias("y")), "b", "left")
+        both = staged(both.withColumn("large", F.col("x").isNotNull() & F.col("y").isNotNull()), "wide")
+        large = map_rows(both.filter("large").drop("large"), "a long, b long", _wide_bound, self.percent)
+        return staged(both.filter("NOT large").select("a", "b").unionByName(large), "bounded")
+
     def first_round(self, members: DataFrame) -> DataFrame:
         """At most two partners under the bounds for each member of a block."""
         percent = self.percent
