@@ -42,10 +42,10 @@ def reviewed_projection(df: DataFrame, status: str) -> DataFrame:
     return df.select(*cols).withColumn("status", F.lit(status))
 
 
-def review_round(df: DataFrame, decisions: DataFrame, round: str = "abstract", stage=None):
+def review_round(df: DataFrame, decisions: DataFrame, round: str = "abstract", stage=None, ids: bool = True):
     """R2: apply the decisions of one ``round``; return (included, removed, updated).
 
-    ``included`` gets new dense ids; after the abstract round its status is
+    ``included`` gets new dense ids (unless ``ids`` is off, for a caller that numbers later); after the abstract round its status is
     reset to ``unknown`` (it goes on to the full-text round), after the
     full-text round it stays ``included``.  ``stage`` (e.g. a lineage cut) is
     applied to the updated table once, before it is split."""
@@ -54,6 +54,6 @@ def review_round(df: DataFrame, decisions: DataFrame, round: str = "abstract", s
         upd = stage(upd)
     inc = upd.filter(F.col("status") == INCLUDED)
     inc = reviewed_projection(inc, UNKNOWN if round == "abstract" else INCLUDED)
-    inc = with_dense_id(inc)
+    inc = with_dense_id(inc) if ids else inc
     removed = upd.filter(F.col("status").isin(NOT_INCLUDED, EXCLUDED))
     return inc, removed, upd

@@ -216,6 +216,7 @@ BOOLEAN_QUERIES = {
 
 
 def _bool_q(name, query, synonyms=None):
+    synonyms = search.synonyms_for(query, synonyms) if synonyms else None   # D6: the entries of this query's terms
     sql = _w(f"""
 WITH {O.PAPERS_CTE}
 SELECT {OUT_SQL} FROM papers WHERE {search.boolean_search_sql(query, ['title', 'abstract'], synonyms)}""")

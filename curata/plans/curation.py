@@ -72,14 +72,14 @@ def merge_final(first: DataFrame, second: DataFrame | None = None) -> DataFrame:
 
 def reviewed(df: DataFrame, decisions: DataFrame, name: str, key: str = "id"):
     """The abstract round and, on what it includes, the full-text round; every
-    stage is written once.  ``key`` holds the record id that decisions name (the rounds number
-    their rows anew).  Returns (included, removed), with ``record_id``."""
+    round's table is written once and split by filters.  ``key`` holds the record id that decisions
+    name.  Returns (included, removed), with ``record_id``."""
     from ..operators.review import review_round
     from ..sources.stages import cut
 
     def round_(rows, which):
         rows = rows.withColumn("id", F.col("record_id"))
-        inc, out, _ = review_round(rows, decisions, which, stage=lambda d: cut(d, f"{name}-{which}"))
+        inc, out, _ = review_round(rows, decisions, which, stage=lambda d: cut(d, f"{name}-{which}"), ids=False)
         return inc, out
 
     rows = df.withColumn("record_id", F.col(key))
@@ -110,12 +110,10 @@ def survey_stages(papers: DataFrame, decisions: DataFrame, edges: DataFrame, vec
         scored = semantic_filter(p.drop("semantic_score").join(vectors, "id"), query_vec, semantic_threshold, unit=True)
         p = stages["semantic"] = cut(scored.drop("embedding"), "semantic")
     included, removed = reviewed(p, decisions, "retrieved")
-    included, removed = cut(included, "included"), cut(removed, "removed")
     selected = included.withColumn("id", F.col("record_id"))
     open_ = (p.join(included.select("ord"), "ord", "left_anti").join(removed.select("ord"), "ord", "left_anti"))
     snow = cut(snowball(selected, edges, papers.drop("lang"), removed, vectors, snowball_threshold, open_, ids=False), "snowball")
     found, dropped = reviewed(snow, decisions, "snowballed", "record_id")
-    found = cut(found, "snowball-included")
     return stages | {"included": included, "removed": removed, "snowball": snow, "snowball_included": found,
                      "snowball_removed": dropped, "final": merge_final(included, found)}
 

@@ -165,10 +165,10 @@ def decisions_from(lab: DataFrame) -> DataFrame:
 @memo
 def all_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, embedding) for every record: ``embeddings`` dealt round by record number."""
-    table(spark, sf_dir, "documents").createOrReplaceTempView("__cur_documents")
-    table(spark, sf_dir, "embeddings").createOrReplaceTempView("__cur_embeddings")
-    return spark.sql("""SELECT d.doc_id + 1 AS id, e.embedding FROM __cur_documents d
-                        JOIN __cur_embeddings e ON e.vec_id = d.doc_id % (SELECT count(*) FROM __cur_embeddings)""")
+    e = table(spark, sf_dir, "embeddings")
+    n = e.count()   # from the files' metadata
+    ids = table(spark, sf_dir, "documents").select((F.col("doc_id") + 1).alias("id"), (F.col("doc_id") % n).alias("vec_id"))
+    return ids.join(e.select("vec_id", "embedding"), "vec_id").select("id", "embedding")
 
 
 # Date texts of every kind, filled with numbers derived from doc_id.
