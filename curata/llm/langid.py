@@ -220,8 +220,8 @@ def _identified(batch: pa.RecordBatch, net, least: float) -> pa.RecordBatch:
     return batch.filter(pa.array([k != "und" and s >= least for k, s in zip(lang, score)], pa.bool_()))
 
 
-def keep_identified(docs: DataFrame, least: float = 0.35) -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
     """The rows of ``docs``, all columns, whose text has an identified language
-    with a score of ``least`` or more; ``und`` rows go."""
+    (with a score of ``least`` or more, if a caller asks for one); ``und`` rows go."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs))
     return map_batches(docs, _identified, shared, least)
