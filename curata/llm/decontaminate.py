@@ -34,9 +34,9 @@ from .common import id_text
 WINDOW, SUBSTITUTED = 13, 2
 #: Places that each mask reads; between them it ignores.
 MASKS = ((0, 1, 3, 4, 5, 6, 7), (0, 1, 2, 4, 6, 9, 10), (0, 1, 2, 3, 7, 9, 10))
-#: Benchmark seeds that are broadcast at a time: 4 numbers each, under 100 MB.
+#: Benchmark seeds that are broadcast at a time: 5 numbers each, under 100 MB; the token
+#: arrays of their items, broadcast beside them, hold a third as many numbers as there are seeds.
 SEEDS_PER_PASS = 2_000_000
-#: Token arrays of one pass's items hold at most as many numbers as it has seeds.
 
 
 def token_hashes(text: Column) -> Column:
@@ -92,8 +92,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id", pe
     for k in range(passes):
         some = items.filter(F.pmod(F.xxhash64("item_id", "theirs"), F.lit(passes)) == k)
         there = seeds(some, "theirs").withColumnRenamed("at", "item_at").withColumnRenamed("mask", "item_mask")
-        # a seed row holds its mask, place and item's tokens: the arrays are shared with the
-        # item's other seeds only by a second small table, so seeds stay a few numbers each
+        # an item's token array is joined to its seeds by a second small table: seeds stay a few numbers each
         there = there.select("seed", "item_mask", "item_at", "item_id", F.xxhash64("theirs").alias("item_hash"))
         arrays = some.select("theirs", F.col("item_id").alias("i"), F.xxhash64("theirs").alias("t")).dropDuplicates(["i", "t"])
         hits = (here.join(F.broadcast(there), "seed").filter(F.col("mask") == F.col("item_mask"))

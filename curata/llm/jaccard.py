@@ -22,8 +22,8 @@ reach, are one component.  Every link is found and verified exactly:
    verifies are exactly the links still missing.  So a group of copies costs about as many verified
    pairs as it has members.
 
-Only sets that some pair needs are read again for their arrays: their ids pass a bitset of
-bounded size first and an exact join after it.  Nothing but that bitset and the frequent
+Only sets that some pair needs are read again for their arrays: their documents' ids pass a bitset of
+bounded size first, and the join with the pairs drops what it lets through by chance.  Nothing but that bitset and the frequent
 shingles (both of fixed size) comes to the driver.
 
 Words are runs of bytes other than space and \\t..\\r, with A-Z lower-cased.  Fewer than 5 words are one
