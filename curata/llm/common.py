@@ -24,28 +24,31 @@ def id_text(docs: DataFrame, *more: str, id_col: str = "doc_id", text_col: str =
                        *[F.col(c) for c in more])
 
 
-def map_rows(df: DataFrame, schema: str, batch: Callable[..., dict], *args) -> DataFrame:
+def map_rows(df: DataFrame, schema: str, batch: Callable[..., dict], *args, rows: int | None = None) -> DataFrame:
     """``mapInArrow`` with one function from a batch's columns (Python lists by
-    name) to output columns; one Arrow batch is in memory at a time."""
+    name) to output columns; one Arrow batch, or with ``rows`` a slice of so many rows of it, is
+    turned into Python values at a time."""
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows or max(1, whole.num_rows)):
+                b = whole.slice(at, rows)
                 out = batch({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}, *args)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
 
-def map_batches(df: DataFrame, change: Callable[..., pa.RecordBatch], *args) -> DataFrame:
-    """``mapInArrow`` that keeps the columns: each batch is filtered or rewritten
-    by ``change(batch, *args)``; nothing is shuffled."""
+def map_batches(df: DataFrame, change: Callable[..., pa.RecordBatch], *args, rows: int = 1024) -> DataFrame:
+    """``mapInArrow`` that keeps the columns: slices of ``rows`` rows of each batch are filtered or
+    rewritten by ``change(slice, *args)``; nothing is shuffled."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = change(b, *args)
-            if out.num_rows:
-                yield out
+            for at in range(0, b.num_rows, rows):
+                out = change(b.slice(at, rows), *args)
+                if out.num_rows:
+                    yield out
 
     return df.mapInArrow(run, df.schema)
 

@@ -49,7 +49,9 @@ WORDS, PERCENT = 5, 80
 BITS, TILE = 1024, 1024
 #: Shingles whose count takes part in the order, at most, and how often one must repeat in a batch to be counted.
 FREQUENT, REPEATED = 500_000, 4
-MEMO = 500_000
+MEMO = 200_000
+#: Shingles of one count of repeats, and rows that are Python values at a time.
+COUNTED, ROWS = 2_000_000, 2048
 #: 64-bit words of the bitset of needed ids, at most.
 BITSET_WORDS = 1 << 20
 
@@ -125,19 +127,29 @@ def _sets(cols: dict, k: int) -> dict:
     """Rows of kind 0: each document's set; of kind 1: a shingle that repeats in this batch, and how often."""
     out = {c: [] for c in ("kind", "doc_id", "sid", "n", "bits", "wide")}
     seen: dict[int, np.ndarray] = {}
+    held = 0
+
+    def count() -> None:
+        key, n = np.unique(np.concatenate(list(seen.values())), return_counts=True)
+        key, n = key[n >= REPEATED].view(np.int64).tolist(), n[n >= REPEATED].tolist()
+        m = len(key)
+        for c, v in zip(out.values(), ([1] * m, [None] * m, key, n, [None] * m, [None] * m)):
+            c.extend(v)
+        seen.clear()
+
     for doc_id, text in zip(cols["doc_id"], cols["text"]):
         u = shingles(text, k)
         sid = set_id(u)
-        if len(u):
-            seen.setdefault(sid, u)
+        if len(u) and sid not in seen:
+            seen[sid] = u
+            held += len(u)
         for c, v in zip(out.values(), (0, doc_id, sid if len(u) else None, len(u), bitmap(u) if len(u) else None, wide_bitmap(u))):
             c.append(v)
+        if held >= COUNTED:
+            count()
+            held = 0
     if seen:
-        key, n = np.unique(np.concatenate(list(seen.values())), return_counts=True)
-        key, n = key[n >= REPEATED].view(np.int64).tolist(), n[n >= REPEATED].tolist()
-        m = len(key)
-        for c, v in zip(out.values(), ([1] * m, [None] * m, key, n, [None] * m, [None] * m)):
-            c.extend(v)
+        count()
     return out
 
 
@@ -419,7 +431,7 @@ class JaccardJoin:
     def members(self) -> DataFrame:
         """key, block, sid, n, lead: the sets that share a shingle of their prefixes."""
         shared = self.spark.sparkContext.broadcast(self.frequent)
-        prefixes = map_rows(self.docs, "key long, sid long, n int, lead boolean", _prefixes, self.words, self.percent, shared)
+        prefixes = map_rows(self.docs, "key long, sid long, n int, lead boolean", _prefixes, self.words, self.percent, shared, rows=ROWS)
         return staged(prefixes.repartition(self.parts, "key").sortWithinPartitions("key", "n", "sid")
                       .mapInArrow(_members, "key long, block int, sid long, n int, lead boolean"), "members")
 
@@ -430,10 +442,10 @@ class JaccardJoin:
         ends = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
         needed = staged(ends.join(self.nodes.select("sid", "rep"), "sid").select("rep"), "needed")
         shared = self.spark.sparkContext.broadcast(id_bitset(needed, "rep"))
-        arrays = staged(map_rows(self.docs, "sid long, arr binary", _arrays, self.words, shared), "arrays")
+        arrays = staged(map_rows(self.docs, "sid long, arr binary", _arrays, self.words, shared, rows=ROWS), "arrays")
         left = pairs.join(arrays.select(F.col("sid").alias("a"), F.col("arr").alias("x")), "a")
         both = left.join(arrays.select(F.col("sid").alias("b"), F.col("arr").alias("y")), "b")
-        return staged(map_rows(both, "a long, b long", _verify, self.percent).distinct(), "links")
+        return staged(map_rows(both, "a long, b long", _verify, self.percent, rows=ROWS).distinct(), "links")
 
     def _bounded(self, pairs: DataFrame) -> DataFrame:
         """The pairs that pass the bound of the wide bitmaps.  Pairs of small
@@ -442,7 +454,7 @@ class JaccardJoin:
         side = pairs.join(wide.select(F.col("sid").alias("a"), F.col("n").alias("m"), F.col("wide").alias("x")), "a", "left")
         both = side.join(wide.select(F.col("sid").alias("b"), "n", F.col("wide").alias("y")), "b", "left")
         both = staged(both.withColumn("large", F.col("x").isNotNull() & F.col("y").isNotNull()), "wide")
-        large = map_rows(both.filter("large").drop("large"), "a long, b long", _wide_bound, self.percent)
+        large = map_rows(both.filter("large").drop("large"), "a long, b long", _wide_bound, self.percent, rows=ROWS)
         return staged(both.filter("NOT large").select("a", "b").unionByName(large), "bounded")
 
     def first_round(self, members: DataFrame) -> DataFrame:
