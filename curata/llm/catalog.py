@@ -22,6 +22,10 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(documents(spark, sf_dir))
 
 
+def op3_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_links(documents(spark, sf_dir))
+
+
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.personal_data(documents(spark, sf_dir)), pii.KINDS)
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_uniform_shards": op2_uniform_shards,
     "op3_jaccard_join": op3_jaccard_join,
+    "op3_jaccard_links": op3_jaccard_links,
     "op4_personal_data": op4_personal_data,
     "op5_language": op5_language,
     "op6_merkle": op6_merkle,

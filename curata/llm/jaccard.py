@@ -22,6 +22,11 @@ reach, are one component.  Every link is found and verified exactly:
    verifies are exactly the links still missing.  So a group of copies costs about as many verified
    pairs as it has members.
 
+5. The number of links (``jaccard_links``): every link lies inside a component, so the sets of a component are
+   dealt into blocks by hash, and each block, and each two blocks, of one component is a tile in which the
+   intersections of all pairs are counted exactly.  A tile gives one number for each of its sets, not its
+   pairs; a partner counts once for each of its rows.  In a component of two sets they link, without a tile.
+
 Only sets that some pair needs are read again for their arrays: their documents' ids pass a bitset of
 bounded size first, and the join with the pairs drops what it lets through by chance.  Nothing but that bitset and the frequent
 shingles (both of fixed size) comes to the driver.
@@ -52,6 +57,10 @@ FREQUENT, REPEATED = 500_000, 4
 MEMO = 200_000
 #: Shingles of one count of repeats, and rows that are Python values at a time.
 COUNTED, ROWS = 2_000_000, 2048
+#: Sets and shingles of a block of a component, in expectation, and shingles (columns) multiplied at a time.
+BLOCK_SETS, BLOCK_SHINGLES, COLUMNS = 256, 250_000, 4096
+#: A shingle of at most so many sets of a tile is counted pair by pair.
+FEW = 16
 #: 64-bit words of the bitset of needed ids, at most.
 BITSET_WORDS = 1 << 20
 
@@ -347,6 +356,53 @@ def _verify(cols: dict, percent: int) -> dict:
     return out
 
 
+def intersections(arrays: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, as a square matrix (its diagonal is not filled in)."""
+    m = len(arrays)
+    owner = np.repeat(np.arange(m), [len(a) for a in arrays])
+    _, column, count = np.unique(np.concatenate(arrays), return_inverse=True, return_counts=True)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    times = count[column]
+    out = np.zeros((m, m), np.int64)
+    few = (times > 1) & (times <= FEW)
+    row, col = owner[few], column[few]
+    for d in range(1, FEW):
+        same = col[d:] == col[:-d]
+        if not same.any():
+            break
+        np.add.at(out, (row[:-d][same], row[d:][same]), 1)
+    out += out.T
+    many = times > FEW
+    if many.any():
+        row, col = owner[many], np.cumsum(np.r_[0, np.diff(column[many]) != 0])
+        for at in range(0, int(col[-1]) + 1, COLUMNS):
+            part = slice(*np.searchsorted(col, [at, at + COLUMNS]))
+            has = np.zeros((m, COLUMNS), np.float32)
+            has[row[part], col[part] - at] = 1
+            out += (has @ has.T).astype(np.int64)  # at most COLUMNS: exact
+    return out
+
+
+def _tile_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """For each set of a tile the rows of the sets that it links with there; in a
+    tile of two blocks only links between the blocks."""
+    for rows in _runs(batches, 3):
+        root, i, j, sid, block, copies, arr = rows
+        start = np.flatnonzero(np.r_[True, (root[1:] != root[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        for a, b in zip(start, np.r_[start[1:], len(sid)]):
+            own = a + np.flatnonzero(np.r_[True, sid[a + 1:b] != sid[a:b - 1]])  # a set that was read twice
+            sets = [np.frombuffer(x, np.uint64) for x in arr[own]]
+            n = np.array([len(x) for x in sets])
+            common = intersections(sets)
+            link = 100 * common >= percent * (n[:, None] + n - common)
+            if i[a] == j[a]:
+                np.fill_diagonal(link, False)
+            else:
+                link &= block[own][:, None] != block[own]
+            yield pa.RecordBatch.from_arrays([pa.array(sid[own]), pa.array(link @ copies[own])], names=["sid", "links"])
+
+
 # --- bounded bitset of ids ----------------------------------------------------
 
 
@@ -493,15 +549,44 @@ class JaccardJoin:
         more = self.second_round(members, components(found), tried)
         return found if more.isEmpty() else found.unionByName(self.verified(more))
 
-    def groups(self) -> DataFrame:
-        """doc_id, n_shingles, component_id of every row."""
+    def set_links(self, roots: DataFrame) -> DataFrame:
+        """s, n_links of every set of ``roots``: rows of other sets that link with it."""
+        percent = self.percent
+        copies = self.sets.filter("n > 0").groupBy("sid").agg(F.count("*").alias("copies"))
+        inside = staged(roots.withColumnRenamed("node", "sid").join(self.nodes.select("sid", "rep", "n"), "sid").join(copies, "sid"), "inside")
+        whole = inside.groupBy("root").agg(F.count("*").alias("m"), F.sum("copies").alias("rows"), F.sum("n").alias("shingles"))
+        inside = inside.join(whole, "root")
+        two = inside.filter("m = 2").select("sid", (F.col("rows") - F.col("copies")).alias("links"))
+        blocks = F.ceil(F.greatest(F.col("m") / BLOCK_SETS, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+        more = staged(inside.filter("m > 2").select("root", "sid", "rep", "copies", blocks.alias("blocks"))
+                      .withColumn("block", F.pmod(F.xxhash64("sid"), "blocks").cast("int")), "several")
+        shared = self.spark.sparkContext.broadcast(id_bitset(more, "rep"))
+        arrays = map_rows(self.docs, "sid long, arr binary", _arrays, self.words, shared, rows=ROWS)
+        tiles = (more.join(arrays, "sid").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+                 .select("root", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "sid", "block", "copies", "arr")
+                 .repartition(self.parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "sid"))
+        counted = tiles.mapInArrow(lambda b: _tile_links(b, percent), "sid long, links long")
+        return two.unionByName(counted).groupBy(F.col("sid").alias("s")).agg(F.sum("links").alias("n_links"))
+
+    def groups(self, count: bool = False) -> DataFrame:
+        """doc_id, n_shingles, component_id of every row; with ``count`` also n_links."""
         roots = components(self.links())
+        found = self._named(roots)
+        if not count:
+            return found.drop("s")
+        links = self.set_links(roots).withColumnRenamed("s", "sid")
+        every = (self.sets.filter("n > 0").groupBy("sid").agg((F.count("*") - 1).alias("same"))
+                 .join(links, "sid", "left").select(F.col("sid").alias("t"), (F.col("same") + F.coalesce("n_links", F.lit(0))).alias("n_links")))
+        return (found.join(every, F.col("s") == F.col("t"), "left")
+                .select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
+
+    def _named(self, roots: DataFrame) -> DataFrame:
         smallest = (self.nodes.select("sid", "rep").join(roots.withColumnRenamed("node", "sid"), "sid"))
         smallest = smallest.select("sid", "root").join(smallest.groupBy("root").agg(F.min("rep").alias("least")), "root").select("sid", "least")
         named = self.nodes.select("sid", "rep").join(smallest, "sid", "left").select(
             F.col("sid").alias("s"), F.coalesce("least", "rep").alias("component"))
         return (self.sets.join(named, F.col("sid") == F.col("s"), "left")
-                .select("doc_id", F.col("n").cast("long").alias("n_shingles"),
+                .select("s", "doc_id", F.col("n").cast("long").alias("n_shingles"),
                         F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")))
 
 
@@ -510,6 +595,11 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
     return JaccardJoin(docs, percent, words).groups()
 
 
+def jaccard_links(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    """As ``jaccard_groups``, and n_links: the other rows that link with the document's, those of equal texts and sets among them."""
+    return JaccardJoin(docs, percent, words).groups(count=True)
+
+
 def _by_bitset(batch: pa.RecordBatch, bitset, inside: bool) -> pa.RecordBatch:
     ids = batch.column("doc_id").cast(pa.int64()).to_pylist()
     there = in_bitset(bitset.value, np.array([0 if d is None else d for d in ids], np.int64))

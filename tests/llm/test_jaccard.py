@@ -133,3 +133,43 @@ def test_edge_rows(spark):
     assert got(df.limit(0)) == [] and got(df.filter("doc_id < 4")) == [(1, 0, 1), (2, 0, 2), (3, 0, 3)]
     nulls = spark.createDataFrame([(None, "p q r s t u v"), (12, "p q r s t u v"), (None, "alone here now")], "doc_id long, text string")
     assert sorted(jaccard.jaccard_groups(nulls).collect(), key=str) == sorted([(None, 3, 12), (12, 3, 12), (None, 1, None)], key=str)
+
+
+def plain_links(rows, percent=80):
+    """doc -> other rows that link with it, over all pairs."""
+    sets = [plain_set(t) for _, t in rows]
+    n = [0] * len(rows)
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        common = len(sets[i] & sets[j])
+        if common and 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+            n[i] += 1
+            n[j] += 1
+    return sorted((d, k) for (d, _), k in zip(rows, n))
+
+
+@pytest.mark.parametrize("block", [7, 256])
+def test_every_link_is_counted(spark, monkeypatch, block):
+    """Components of many different near copies, copies of them, pairs and loners, in one and in several blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", block)
+    texts = variants(11, 70, 60, 6) + variants(12, 40, 200, 14) + variants(13, 2, 90, 2)
+    texts += texts[:9] + texts[5:12] + ["twin one two three four five"] * 4 + ["", None, "alone here"]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = jaccard.jaccard_links(df).collect()
+    assert sorted((r.doc_id, r.n_links) for r in out) == plain_links(rows)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == plain_groups(rows)
+    assert max(r.n_links for r in out) > 20
+
+
+def test_links_of_documents(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    out = catalog.op3_jaccard_links(spark, SF).collect()
+    assert sorted((r.doc_id, r.n_links) for r in out) == plain_links(rows)
+
+
+def test_intersections_of_a_tile(monkeypatch):
+    monkeypatch.setattr(jaccard, "COLUMNS", 8)
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 90, rng.integers(1, 80), dtype=np.uint64)) for _ in range(40)]
+    out = jaccard.intersections(sets)
+    assert all(out[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(40) for j in range(40) if i != j)
