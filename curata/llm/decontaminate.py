@@ -16,8 +16,13 @@ that follow each other on a diagonal only the first is verified.
 The seeds are broadcast in passes of at most ``SEEDS_PER_PASS`` (counted before), so a larger
 benchmark means more passes over the documents and not a larger broadcast.
 
-Tokens are the lower-cased runs of letters and digits.  Null texts, empty texts and
-those of fewer than ``WINDOW`` tokens overlap with nothing, and so do such items.  Repeated rows
+An item of fewer than ``WINDOW`` tokens is its own window, with substitutions in proportion (one from 7
+tokens, none below), and may be no longer than the document.  It is cut into one part more than it may have
+substitutions, so some part stands unchanged: a join of the parts' hashes with those of as many
+tokens in a row of the documents finds every such overlap, and each hit is verified over the whole item.
+
+Tokens are the lower-cased runs of letters and digits; in scripts written without spaces (``UNSPACED``) each letter is a
+token.  Null texts and texts without a token overlap with nothing, and so do such items.  Repeated rows
 each get the result; rows with equal ids and different texts are told apart by a hash of the text.
 Null ids are kept.  An empty table on either side gives no overlaps.  Other columns are not read.
 """
@@ -34,18 +39,21 @@ from .common import id_text
 WINDOW, SUBSTITUTED = 13, 2
 #: Places that each mask reads; between them it ignores.
 MASKS = ((0, 1, 3, 4, 5, 6, 7), (0, 1, 2, 4, 6, 9, 10), (0, 1, 2, 3, 7, 9, 10))
+#: Scripts whose words are not set apart by spaces.
+UNSPACED = "".join(rf"\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Bopomofo", "Yi", "Thai", "Lao", "Khmer", "Myanmar"))
 #: Benchmark seeds that are broadcast at a time: 5 numbers each, under 100 MB; the token
 #: arrays of their items, broadcast beside them, hold a third as many numbers as there are seeds.
 SEEDS_PER_PASS = 2_000_000
 
 
 def token_hashes(text: Column) -> Column:
-    """64-bit hashes of the lower-cased runs of letters and digits."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    """64-bit hashes of the lower-cased runs of letters and digits, and of the single letters of unspaced scripts."""
+    apart = F.regexp_replace(F.lower(text), f"([{UNSPACED}])", " $1 ")
+    words = F.filter(F.split(apart, r"[^\p{L}\p{N}]+"), lambda w: w != "")
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def seeds(rows: DataFrame, tokens: str) -> DataFrame:
+def seeds(rows: DataFrame, tokens: str, masks: dict[int, tuple[int, ...]] = dict(enumerate(MASKS))) -> DataFrame:
     """One row for each mask at each position where it fits: its number and hash."""
     at = rows.withColumn("at", F.explode(F.sequence(F.lit(0), F.size(tokens) - 1)))
 
@@ -54,7 +62,7 @@ def seeds(rows: DataFrame, tokens: str) -> DataFrame:
         fits = F.col("at") + mask[-1] < F.size(tokens)
         return F.struct(F.lit(m).alias("mask"), F.when(fits, F.xxhash64(F.lit(m), *read)).alias("seed"))
 
-    return (at.withColumn("s", F.explode(F.array(*[one(m, mask) for m, mask in enumerate(MASKS)])))
+    return (at.withColumn("s", F.explode(F.array(*[one(m, mask) for m, mask in masks.items()])))
             .withColumns({"mask": F.col("s.mask"), "seed": F.col("s.seed")}).drop("s").filter(F.col("seed").isNotNull()))
 
 
@@ -79,18 +87,55 @@ def best_window(a: Column, i: Column, b: Column, j: Column) -> Column:
     return F.when(length >= WINDOW, F.array_max(sums)).otherwise(0)
 
 
+def least_equal(n: int) -> int:
+    """Equal tokens that a window of ``n`` must have."""
+    return n - SUBSTITUTED * n // WINDOW
+
+
+def parts(n: int) -> list[tuple[int, int]]:
+    """Start and end of the parts of an item of ``n`` tokens, one more than its substitutions."""
+    k = n - least_equal(n) + 1
+    return [(n * p // k, n * (p + 1) // k) for p in range(k)]
+
+
+def short_hits(own: DataFrame, short: DataFrame, sizes: list[int]) -> DataFrame:
+    """Documents and items of the given ``sizes``, under ``WINDOW``, that overlap: doc_id, text_hash, item_id, matched."""
+    cuts = sorted({(n, a, b) for n in sizes for a, b in parts(n)})
+    runs = {m: tuple(range(m)) for m in sorted({b - a for _, a, b in cuts})}  # masks without a gap, by length
+    is_part = reduce(lambda x, y: x | y, [(F.size("theirs") == n) & (F.col("at") == a) & (F.col("mask") == b - a) for n, a, b in cuts])
+    there = (seeds(short, "theirs", runs).filter(is_part)
+             .select("seed", F.col("mask").alias("item_mask"), F.col("at").alias("item_at"), "item_id", F.size("theirs").alias("n"),
+                     F.xxhash64("theirs").alias("item_hash")))
+    arrays = short.select("theirs", F.col("item_id").alias("i"), F.xxhash64("theirs").alias("t")).dropDuplicates(["i", "t"])
+    here = seeds(own.filter(F.size("tokens") >= min(sizes)), "tokens", runs)
+    start, n = F.col("at") - F.col("item_at"), F.col("n")
+    # as for the long items, token arrays join after the probe, which stays in generated code
+    hits = (here.join(F.broadcast(there), "seed").filter(F.col("mask") == F.col("item_mask"))
+            .filter((start >= 0) & (start + n <= F.size("tokens")))
+            .join(F.broadcast(arrays), F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_hash") == F.col("t"))))
+    equal = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0),
+                        lambda x, k: x + (F.get("tokens", start + k) == F.get("theirs", k)).cast("int"))
+    return (hits.select("doc_id", "text_hash", "item_id", equal.alias("matched"), "n")
+            .filter(F.col("matched") >= F.col("n") - F.floor(F.lit(SUBSTITUTED) * F.col("n") / WINDOW)).drop("n"))
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id", per_pass: int = SEEDS_PER_PASS) -> DataFrame:
-    """doc_id, text_hash, item_id, matched (most equal tokens of ``WINDOW``): one
+    """doc_id, text_hash, item_id, matched (most equal tokens of a window): one
     row for each document and item that overlap."""
     items = (benchmark.select(F.col(item_id).cast("long").alias("item_id"), token_hashes(F.col("text")).alias("theirs"))
-             .filter(F.size("theirs") >= WINDOW))
-    passes = items.agg(F.sum(F.size("theirs").cast("long") * len(MASKS)).alias("n")).first().n or 0
-    passes = max(1, -(-passes // per_pass))
+             .filter(F.size("theirs") > 0))
+    read = items.agg(F.sum(F.size("theirs").cast("long") * len(MASKS)).alias("n"),
+                     F.collect_set(F.when(F.size("theirs") < WINDOW, F.size("theirs"))).alias("sizes")).first()  # under WINDOW sizes
+    passes = max(1, -(-(read.n or 0) // per_pass))
+    sizes = sorted(read.sizes)
     own = id_text(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), token_hashes(F.col("text")).alias("tokens"))
     here = seeds(own.filter(F.size("tokens") >= WINDOW), "tokens")
     found = []
     for k in range(passes):
-        some = items.filter(F.pmod(F.xxhash64("item_id", "theirs"), F.lit(passes)) == k)
+        every = items.filter(F.pmod(F.xxhash64("item_id", "theirs"), F.lit(passes)) == k)
+        if sizes:
+            found.append(short_hits(own, every.filter(F.size("theirs") < WINDOW), sizes))
+        some = every.filter(F.size("theirs") >= WINDOW)
         there = seeds(some, "theirs").withColumnRenamed("at", "item_at").withColumnRenamed("mask", "item_mask")
         # an item's token array is joined to its seeds by a second small table: seeds stay a few numbers each
         there = there.select("seed", "item_mask", "item_at", "item_id", F.xxhash64("theirs").alias("item_hash"))

@@ -80,3 +80,42 @@ def test_substitutions_and_edge_rows(spark):
 def test_main_path_has_no_python(spark):
     plan = catalog.op8_decontaminate(spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_parts_are_lossless():
+    for n in range(1, D.WINDOW):
+        allowed = n - D.least_equal(n)
+        assert [x for a, b in D.parts(n) for x in range(a, b)] == list(range(n))
+        for gone in itertools.combinations(range(n), allowed):
+            assert any(not set(range(a, b)) & set(gone) for a, b in D.parts(n))
+
+
+def test_short_items(spark):
+    """Items of 1 to 12 tokens, quoted whole, with substitutions, cut off, and out of order."""
+    rng = random.Random(8)
+    items = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in range(1, 13)] + [(50, "i3x0 i3x1 i3x2"), (51, "--")]
+    docs, want = [], set()
+    for n in range(1, 13):
+        own = items[n - 1][1].split()
+        for changes in range(3):
+            for _ in range(4):
+                w = list(own)
+                for k in rng.sample(range(n), min(n, changes)):
+                    w[k] = "other"
+                docs.append((len(docs), ("" if rng.random() < 0.3 else "Said: ") + " ".join(w).upper() + rng.choice(["", "! he said"])))
+                if sum(a != b for a, b in zip(own, w)) <= (1 if n >= 7 else 0):
+                    want |= {(docs[-1][0], n)} | ({(docs[-1][0], 50)} if n == 3 else set())
+        if n > 2:
+            docs += [(len(docs), " ".join(own[:-2])), (len(docs) + 1, " ".join(reversed(own)))]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in D.overlaps(df, bench).collect()} == want
+    assert {(r.doc_id, r.item_id) for r in D.overlaps(df, bench, per_pass=60).collect()} == want
+    assert {r.doc_id for r in D.clean(df, bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
+
+
+def test_scripts_without_spaces(spark):
+    zh, ja, th = "中国的首都是北京它是一个非常古老的城市", "日本で一番高い山は富士山ですがとても美しい", "กรงเทพมหานครเปนเมองหลวงของประเทศไทย"
+    docs = [(1, "他说" + zh + "对吗"), (2, "前置き" + ja.replace("高", "低") + "。"), (3, "ค" + th + "ค"), (4, "中国的首都在哪里"), (5, "nothing here")]
+    items = [(1, zh), (2, ja), (3, th)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in D.overlaps(df, bench).collect()} == {(1, 1), (2, 2), (3, 3)}
