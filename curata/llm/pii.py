@@ -44,7 +44,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOOSE = {
     "phone": re.compile(r"(?<![0-9A-Za-z.+-])(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z-])"),
     "ssn": re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
-    "iban": re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?![0-9A-Za-z])"),
+    "iban": re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"),
     "handle": re.compile(r"(?<![0-9A-Za-z])[A-Za-z0-9._-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}(?:\x20?[\[(]dot[\])]\x20?[A-Za-z0-9-]{1,63})+"),
 }
 
@@ -76,6 +76,19 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def iban(s: str) -> bool:
+    """Length and check digits (mod 97)."""
+    s = s.replace(" ", "")
+    return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def iban_end(text: str, a: int, b: int) -> int:
+    """Where the account number in a match ends: capitals after it may look like
+    another group.  The longest end at a space with right check digits, else the match's."""
+    ends = [b] + [i for i in range(b - 1, a, -1) if text[i] == " "]
+    return next((e for e in ends if iban(text[a:e])), b)
+
+
 def digits_of(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
@@ -115,7 +128,8 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
     taken, out = sorted((a, b) for _, a, b in base), []
     found = []
     if re.search("[0-9]", text):
-        found += [(k, m.start(), m.end()) for k in ("ssn", "phone", "iban") for m in LOOSE[k].finditer(text)]
+        found += [(k, m.start(), m.end()) for k in ("ssn", "phone") for m in LOOSE[k].finditer(text)]
+        found += [("iban", m.start(), iban_end(text, *m.span())) for m in LOOSE["iban"].finditer(text)]
     if "at]" in text or "at)" in text:
         found += [("handle", m.start(), m.end()) for m in LOOSE["handle"].finditer(text)]
     for k, a, b in found:
@@ -129,7 +143,7 @@ def votes(text: str, kind: str, a: int, b: int, base: bool) -> list[int]:
     """One vote of each labeler: 1 personal, -1 not, 0 abstains."""
     s, d = text[a:b], digits_of(text[a:b])
     rule = 1 if base else {"phone": 7 <= len(d) <= 15, "ssn": d[:3] not in ("000", "666") and d[:1] != "9",
-                           "iban": 15 <= len(s.replace(" ", "")) <= 34, "handle": True}[kind] * 2 - 1
+                           "iban": kind == "iban" and iban(s), "handle": True}[kind] * 2 - 1
     if kind in ("email", "handle"):
         top = re.split(r"[^A-Za-z0-9-]+", s.strip(".])"))[-1].lower()
         gazetteer = 1 if top in DOMAINS_TOP else 0

@@ -107,3 +107,23 @@ def test_entropy_window_and_allow_list():
     assert secrets.scan("id 123E4567-E89B-42D3-A456-426614174000 end") == []
     assert secrets.scan("see some/long/path_to_file/2024/index and thousandsofletterswithoutdigits") == []
     assert secrets.scan("sha256:" + "AB12CD34EF56AB78CD90EF12") == []
+
+
+IBANS = ["DE89370400440532013000", "GB29NWBK60161331926819", "FR1420041010050500013M02606", "IT60X0542811101000000123456", "NL91ABNA0417164300",
+         "CH9300762011623852957", "PT50000201231234567890154", "NO9386011117947", "AT611904300234573201", "ES9121000418450200051332"]
+
+
+def test_ibans_of_all_lengths():
+    for code in IBANS:
+        for s in (code, " ".join(code[i:i + 4] for i in range(0, len(code), 4))):
+            for after in ("", ".", " is it", " IS MINE", " BANK", " PLEASE PAY"):
+                text = f"account {s}{after}"
+                assert pii.candidates(text, []) == [("iban", 8, 8 + len(s))], text
+                assert pii.votes(text, "iban", 8, 8 + len(s), False)[0] == 1
+        wrong = code[:-1] + ("1" if code[-1] != "1" else "2")
+        assert pii.votes(wrong, "iban", 0, len(wrong), False)[0] == -1
+
+
+def test_ibans_are_kept_by_the_votes(spark):
+    df = spark.createDataFrame(list(enumerate([f"account {s} of them" for s in IBANS] * 3)), "doc_id long, text string")
+    assert all([s.kind for s in r.spans] == ["iban"] for r in pii.personal_data(df).collect())
