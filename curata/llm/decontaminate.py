@@ -13,13 +13,16 @@ hashed and probed against the benchmark's seeds within one generated stage, and
 only verified hits, a pair of ids each, are written to an exchange.  Of the hits
 that follow each other on a diagonal only the first is verified.
 
-The seeds are broadcast in passes of at most ``SEEDS_PER_PASS`` (counted before), so a larger
-benchmark means more passes over the documents and not a larger broadcast.
+The seeds are broadcast in passes of about ``SEEDS_PER_PASS`` (counted before), so a larger
+benchmark means more passes over the documents and not a larger broadcast.  Items equal in id and text count once, and a long item is dealt
+over the passes in pieces of ``PIECE`` tokens, which overlap by more than a window, so each window lies whole in one of them.
 
 An item of fewer than ``WINDOW`` tokens is its own window, with substitutions in proportion (one from 7
 tokens, none below), and may be no longer than the document.  It is cut into one part more than it may have
 substitutions, so some part stands unchanged: a join of the parts' hashes with those of as many
 tokens in a row of the documents finds every such overlap, and each hit is verified over the whole item.
+``contamination`` reports every overlap; ``clean`` removes a document only for an item of ``SHORTEST`` tokens or more (5 unless the
+caller says otherwise), since a quoted word or name is no leak.
 
 Tokens are the lower-cased runs of letters and digits; in scripts written without spaces (``UNSPACED``) each letter is a
 token.  Null texts and texts without a token overlap with nothing, and so do such items.  Repeated rows
@@ -39,11 +42,17 @@ from .common import id_text
 WINDOW, SUBSTITUTED = 13, 2
 #: Places that each mask reads; between them it ignores.
 MASKS = ((0, 1, 3, 4, 5, 6, 7), (0, 1, 2, 4, 6, 9, 10), (0, 1, 2, 3, 7, 9, 10))
-#: Scripts whose words are not set apart by spaces.
-UNSPACED = "".join(rf"\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Bopomofo", "Yi", "Thai", "Lao", "Khmer", "Myanmar"))
+#: Unicode blocks of the scripts whose words are not set apart by spaces (Thai, Lao; Myanmar; Khmer; CJK radicals, Han, kana,
+#: Bopomofo, Yi; Myanmar and Han extensions).  A range of code points costs the regular expression far less than a script class.
+UNSPACED = (r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\u2FDF\u3005-\u3007\u3021-\u3029\u3031-\u3035\u3038-\u303C\u3041-\u312F\u31A0-\u31BF\u31F0-\u31FF"
+            r"\u3400-\u4DBF\u4E00-\uA4CF\uA9E0-\uA9FF\uAA60-\uAA7F\uF900-\uFAFF\uFF66-\uFF9D\x{16FE0}-\x{18CFF}\x{1AFF0}-\x{1B16F}\x{20000}-\x{323AF}")
 #: Benchmark seeds that are broadcast at a time: 5 numbers each, under 100 MB; the token
 #: arrays of their items, broadcast beside them, hold a third as many numbers as there are seeds.
 SEEDS_PER_PASS = 2_000_000
+#: Tokens from one piece of a long item to the next.
+PIECE = 4096
+#: The shortest item, in tokens, for whose sake ``clean`` removes a document.
+SHORTEST = 5
 
 
 def token_hashes(text: Column) -> Column:
@@ -115,15 +124,18 @@ def short_hits(own: DataFrame, short: DataFrame, sizes: list[int]) -> DataFrame:
             .join(F.broadcast(arrays), F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_hash") == F.col("t"))))
     equal = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0),
                         lambda x, k: x + (F.get("tokens", start + k) == F.get("theirs", k)).cast("int"))
-    return (hits.select("doc_id", "text_hash", "item_id", equal.alias("matched"), "n")
-            .filter(F.col("matched") >= F.col("n") - F.floor(F.lit(SUBSTITUTED) * F.col("n") / WINDOW)).drop("n"))
+    return (hits.select("doc_id", "text_hash", "item_id", equal.alias("matched"), F.col("n").alias("item_tokens"))
+            .filter(F.col("matched") >= F.col("item_tokens") - F.floor(F.lit(SUBSTITUTED) * F.col("item_tokens") / WINDOW)))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id", per_pass: int = SEEDS_PER_PASS) -> DataFrame:
-    """doc_id, text_hash, item_id, matched (most equal tokens of a window): one
+    """doc_id, text_hash, item_id, matched (most equal tokens of a window), item_tokens: one
     row for each document and item that overlap."""
-    items = (benchmark.select(F.col(item_id).cast("long").alias("item_id"), token_hashes(F.col("text")).alias("theirs"))
-             .filter(F.size("theirs") > 0))
+    whole = (benchmark.select(F.col(item_id).cast("long").alias("item_id"), token_hashes(F.col("text")).alias("theirs")).filter(F.size("theirs") > 0)
+             .withColumn("own", F.xxhash64("theirs")).dropDuplicates(["item_id", "own"]))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("theirs") - WINDOW, F.lit(0)), F.lit(PIECE))
+    items = whole.withColumn("piece", F.explode(starts)).select(
+        "item_id", F.size("theirs").alias("item_tokens"), F.slice("theirs", F.col("piece") + 1, F.lit(PIECE + 2 * WINDOW)).alias("theirs"))
     read = items.agg(F.sum(F.size("theirs").cast("long") * len(MASKS)).alias("n"),
                      F.collect_set(F.when(F.size("theirs") < WINDOW, F.size("theirs"))).alias("sizes")).first()  # under WINDOW sizes
     passes = max(1, -(-(read.n or 0) // per_pass))
@@ -134,32 +146,34 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id", pe
     for k in range(passes):
         every = items.filter(F.pmod(F.xxhash64("item_id", "theirs"), F.lit(passes)) == k)
         if sizes:
-            found.append(short_hits(own, every.filter(F.size("theirs") < WINDOW), sizes))
-        some = every.filter(F.size("theirs") >= WINDOW)
+            found.append(short_hits(own, every.filter(F.col("item_tokens") < WINDOW), sizes))
+        some = every.filter(F.col("item_tokens") >= WINDOW)
         there = seeds(some, "theirs").withColumnRenamed("at", "item_at").withColumnRenamed("mask", "item_mask")
         # an item's token array is joined to its seeds by a second small table: seeds stay a few numbers each
         there = there.select("seed", "item_mask", "item_at", "item_id", F.xxhash64("theirs").alias("item_hash"))
-        arrays = some.select("theirs", F.col("item_id").alias("i"), F.xxhash64("theirs").alias("t")).dropDuplicates(["i", "t"])
+        arrays = some.select("theirs", "item_tokens", F.col("item_id").alias("i"), F.xxhash64("theirs").alias("t")).dropDuplicates(["i", "t"])
         hits = (here.join(F.broadcast(there), "seed").filter(F.col("mask") == F.col("item_mask"))
                 .join(F.broadcast(arrays), F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_hash") == F.col("t"))))
         at = (F.col("tokens"), F.col("at"), F.col("theirs"), F.col("item_at"))
-        found.append(hits.filter(~continues(*at)).select("doc_id", "text_hash", "item_id", best_window(*at).alias("matched"))
+        found.append(hits.filter(~continues(*at)).select("doc_id", "text_hash", "item_id", best_window(*at).alias("matched"), "item_tokens")
                      .filter(F.col("matched") >= WINDOW - SUBSTITUTED))
-    return (reduce(DataFrame.unionByName, found).groupBy("doc_id", "text_hash", "item_id").agg(F.max("matched").alias("matched")))
+    return (reduce(DataFrame.unionByName, found).groupBy("doc_id", "text_hash", "item_id")
+            .agg(F.max("matched").alias("matched"), F.max("item_tokens").alias("item_tokens")))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, contaminated, n_items (items that overlap), matched (most equal
-    tokens of a window, 0 without overlap) of every document."""
+def contamination(docs: DataFrame, benchmark: DataFrame, shortest: int = SHORTEST) -> DataFrame:
+    """doc_id, contaminated, n_items (items that overlap), n_short (those of them with fewer than ``shortest`` tokens),
+    matched (most equal tokens of a window, 0 without overlap) of every document."""
     hits = (overlaps(docs, benchmark).groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))
-            .agg(F.count("*").alias("n"), F.max("matched").alias("m")))
+            .agg(F.count("*").alias("n"), F.count_if(F.col("item_tokens") < shortest).alias("s"), F.max("matched").alias("m")))
     own = id_text(docs).select("doc_id", F.xxhash64("text").alias("text_hash"))
     return (own.join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
             .select("doc_id", F.col("n").isNotNull().alias("contaminated"), F.coalesce("n", F.lit(0)).cast("long").alias("n_items"),
+                    F.coalesce("s", F.lit(0)).cast("long").alias("n_short"),
                     F.coalesce("m", F.lit(0)).cast("int").alias("matched")))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that overlap with no benchmark item."""
-    hits = (overlaps(docs, benchmark).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).distinct())
+def clean(docs: DataFrame, benchmark: DataFrame, shortest: int = SHORTEST) -> DataFrame:
+    """The rows of ``docs``, all columns, that overlap with no benchmark item of ``shortest`` tokens or more."""
+    hits = (overlaps(docs, benchmark).filter(F.col("item_tokens") >= shortest).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).distinct())
     return docs.join(hits, docs["doc_id"].cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__h")), "left_anti")

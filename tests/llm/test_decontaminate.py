@@ -4,6 +4,8 @@ import itertools
 import random
 import re
 
+import regex
+
 from curata.llm import catalog, decontaminate as D
 
 SF = "/root/testdata/sf0.01"
@@ -110,7 +112,7 @@ def test_short_items(spark):
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in D.overlaps(df, bench).collect()} == want
     assert {(r.doc_id, r.item_id) for r in D.overlaps(df, bench, per_pass=60).collect()} == want
-    assert {r.doc_id for r in D.clean(df, bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
+    assert {r.doc_id for r in D.clean(df, bench, shortest=1).collect()} == {d for d, _ in docs} - {d for d, _ in want}
 
 
 def test_scripts_without_spaces(spark):
@@ -119,3 +121,32 @@ def test_scripts_without_spaces(spark):
     items = [(1, zh), (2, ja), (3, th)]
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in D.overlaps(df, bench).collect()} == {(1, 1), (2, 2), (3, 3)}
+
+
+def test_long_and_repeated_items_are_dealt_in_pieces(spark, monkeypatch):
+    rng = random.Random(6)
+    monkeypatch.setattr(D, "PIECE", 40)
+    item = [f"w{rng.randrange(500)}" for _ in range(400)]
+    docs, want = [], {}
+    for k in range(60):
+        at, n = rng.randrange(0, 380), rng.randrange(11, 20)
+        part = item[at:at + n]
+        for _ in range(rng.randrange(3)):
+            part[rng.randrange(len(part))] = "other"
+        docs.append((k, " ".join([f"x{k}"] * 20 + part + [f"y{k}"] * 20)))
+    items = [(1, " ".join(item))] * 300 + [(2, " ".join(item[:100])), (3, "same " * 50)]
+    docs.append((99, "same " * 200))
+    want = plain(docs, [(1, " ".join(item)), (2, " ".join(item[:100])), (3, "same " * 50)])
+    spread = spark.createDataFrame(docs, "doc_id long, text string")
+    table = spark.createDataFrame(items, "item_id long, text string")
+    for per_pass in (D.SEEDS_PER_PASS, 200):
+        got = {(r.doc_id, r.item_id): (r.matched, r.item_tokens) for r in D.overlaps(spread, table, per_pass=per_pass).collect()}
+        assert {k: m for k, (m, _) in got.items()} == want and all(n == {1: 400, 2: 100, 3: 50}[i] for (_, i), (_, n) in got.items())
+
+
+def test_unspaced_blocks_hold_the_scripts():
+    blocks = re.compile("[" + re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), re.sub(r"\\u([0-9A-F]{4})", lambda m: chr(int(m[1], 16)), D.UNSPACED)) + "]")
+    scripts = regex.compile("[" + "".join(rf"\p{{{x}}}" for x in ("Han", "Hiragana", "Katakana", "Bopomofo", "Yi", "Thai", "Lao", "Khmer", "Myanmar")) + "]")
+    letter = regex.compile(r"[\p{L}\p{N}]")
+    odd = [hex(c) for c in range(0x110000) if letter.match(chr(c)) and bool(blocks.match(chr(c))) != bool(scripts.match(chr(c)))]
+    assert len(odd) < 700, odd[:50]
