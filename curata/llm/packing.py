@@ -10,9 +10,9 @@ The number of groups follows the number of pieces (about ``GROUP`` each, dealt
 by a hash), so a task holds one group of bounded size.  Bins that a group
 leaves under ``FULL`` of their capacity are opened again and their pieces packed together with those of other groups, in 64 times fewer groups.
 
-Pre-tokens are looked up as in operator 1 (each distinct one encoded by the
-library once per worker); a text with a code point above U+02FF goes to the
-library whole.  Null texts are empty (the end id alone).  Repeated rows are packed
+The vocabulary's split pattern never matches white space, so a text's ids are those of its runs of other characters, one after the
+other; each distinct run goes to the library once for each task, while a memo of ``MEMO`` bytes holds it.  A text with a code
+point above U+02FF goes to the library whole.  Null texts are empty (the end id alone).  Repeated rows are packed
 once each; null ids are kept.  An empty table gives an empty result.  Token ids never leave the task
 that made them: only lengths and checksums move.
 """
@@ -21,15 +21,18 @@ from __future__ import annotations
 
 import re
 import zlib
-from functools import lru_cache
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .common import id_text, map_rows, staged
-from .tokens import OUTSIDE, Pieces, blocks, narrow, special_split, tokenizer
+from .common import id_text, release, staged
+from .tokens import OUTSIDE, blocks, special_split, tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1
@@ -39,8 +42,10 @@ CAPACITY = 4096
 DOCUMENTS, ATTENTION = CAPACITY, CAPACITY**2
 WEIGHTS = (1.0, 0.01, 0.01)
 GROUP, FULL = 2048, 0.98
-#: Fixed value: the split pattern of this vocabulary.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Documents that are Python values at a time.
+ROWS = 2048
+#: Bytes that a task's memo of encoded runs may take, by estimate; beyond it the memo starts anew.
+MEMO = 64 << 20
 
 #: Code points below U+0300 whose lower case is not: their texts go to the library whole.
 LEAVING = "".join(chr(c) for c in range(0x300) if OUTSIDE.search(chr(c).lower()))
@@ -52,14 +57,28 @@ def _ids(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
-@lru_cache(maxsize=2)
-def _pieces(name: str):
-    return Pieces(name, _ids, {}), narrow(PATTERN)
+class Runs:
+    """Ids, as little-endian bytes, of runs without white space, kept while the memo is under ``MEMO`` bytes."""
 
+    def __init__(self, name: str):
+        self.name, self.memo, self.size = name, {}, 0
 
-def encode(texts: list[str | None], name: str = VOCABULARY):
+    def learn(self, lists: list[list[str]]) -> dict:
+        """The memo, after the runs that it lacks went to the library in one call."""
+        new = list(set(chain.from_iterable(lists)).difference(self.memo))
+        if new:
+            if self.size > MEMO:
+                self.memo, self.size = {}, 0
+                return self.learn(lists)
+            found = [_ids(e.ids) for e in tokenizer(self.name).encode_batch_fast(new, add_special_tokens=False)]
+            self.memo.update(zip(new, found))
+            self.size += sum(map(len, new)) + sum(map(len, found)) + 160 * len(new)  # both objects' heads and the entry
+        return self.memo
+
+
+def encode(texts: list[str | None], name: str = VOCABULARY, runs: Runs | None = None):
     """For each whole text its ids and the end id, as little-endian bytes."""
-    pieces, pattern = _pieces(name)
+    runs = runs or Runs(name)
     split = special_split(name)
     leaving = re.compile(f"[{re.escape(LEAVING)}]")
     end = _ids([END])
@@ -71,20 +90,31 @@ def encode(texts: list[str | None], name: str = VOCABULARY):
                 lists.append([])
             else:
                 whole.append(b"")
-                lists.append(pattern.findall(x.lower()))
-        get = pieces.learn(lists).__getitem__
+                lists.append(x.lower().split())
+        get = runs.learn(lists).__getitem__
         for ids, found in zip(whole, lists):
             yield (ids or b"".join(map(get, found))) + end
 
 
-def _cut(cols: dict, name: str, capacity: int) -> dict:
-    out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
-    for doc_id, ids in zip(cols["doc_id"], encode(cols["text"], name)):
-        for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-            own = ids[at:at + 4 * capacity]
-            for k, v in zip(out, (doc_id, piece, at // 4, len(own) // 4, zlib.crc32(own))):
-                out[k].append(v)
-    return out
+def cut_pieces(docs: DataFrame, name: str, capacity: int) -> DataFrame:
+    """Length and checksum of every piece of every document."""
+    arrow = to_arrow_schema(StructType.fromDDL(PIECES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = Runs(name)
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROWS):
+                b = whole.slice(first, ROWS)
+                rows = []
+                for doc_id, ids in zip(b.column("doc_id").to_pylist(), encode(b.column("text").to_pylist(), name, runs)):
+                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        own = ids[at:at + 4 * capacity]
+                        rows.append((doc_id, piece, at // 4, len(own) // 4, zlib.crc32(own)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+        runs.memo.clear()
+        release()
+
+    return docs.mapInArrow(run, PIECES)
 
 
 def best_fit(lengths: np.ndarray, capacities: tuple[float, float, float], weights: tuple[float, ...] = WEIGHTS,
@@ -141,7 +171,7 @@ def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int
     if documents < 1 or attention < capacity**2:
         raise ValueError("a full piece must fit an empty sequence")
     caps = (float(capacity), float(documents), float(attention))
-    pieces = staged(map_rows(id_text(docs), PIECES, _cut, vocabulary, capacity), "pieces")
+    pieces = staged(cut_pieces(id_text(docs), vocabulary, capacity), "pieces")
     full = (pieces.filter(F.col("length") == capacity)
             .withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")}))
     part = pieces.filter(F.col("length") < capacity)
