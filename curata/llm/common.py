@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -24,6 +25,16 @@ def id_text(docs: DataFrame, *more: str, id_col: str = "doc_id", text_col: str =
                        *[F.col(c) for c in more])
 
 
+def release() -> None:
+    """Gives memory that a task has freed back to the machine: Spark keeps a Python worker for later tasks
+    and stages, and the allocators would keep what the largest of them needed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def map_rows(df: DataFrame, schema: str, batch: Callable[..., dict], *args, rows: int | None = None) -> DataFrame:
     """``mapInArrow`` with one function from a batch's columns (Python lists by
     name) to output columns; one Arrow batch, or with ``rows`` a slice of so many rows of it, is
@@ -36,6 +47,8 @@ def map_rows(df: DataFrame, schema: str, batch: Callable[..., dict], *args, rows
                 b = whole.slice(at, rows)
                 out = batch({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}, *args)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+                del out
+        release()
 
     return df.mapInArrow(run, schema)
 
@@ -49,6 +62,7 @@ def map_batches(df: DataFrame, change: Callable[..., pa.RecordBatch], *args, row
                 out = change(b.slice(at, rows), *args)
                 if out.num_rows:
                     yield out
+        release()
 
     return df.mapInArrow(run, df.schema)
 

@@ -134,7 +134,7 @@ def prefix_sizes(n: int, percent: int) -> tuple[int, int]:
 
 def _sets(cols: dict, k: int) -> dict:
     """Rows of kind 0: each document's set; of kind 1: a shingle that repeats in this batch, and how often."""
-    out = {c: [] for c in ("kind", "doc_id", "sid", "n", "bits", "wide")}
+    out = {c: [] for c in ("kind", "doc_id", "text_hash", "sid", "n", "bits", "wide")}
     seen: dict[int, np.ndarray] = {}
     held = 0
 
@@ -142,17 +142,17 @@ def _sets(cols: dict, k: int) -> dict:
         key, n = np.unique(np.concatenate(list(seen.values())), return_counts=True)
         key, n = key[n >= REPEATED].view(np.int64).tolist(), n[n >= REPEATED].tolist()
         m = len(key)
-        for c, v in zip(out.values(), ([1] * m, [None] * m, key, n, [None] * m, [None] * m)):
+        for c, v in zip(out.values(), ([1] * m, [None] * m, [None] * m, key, n, [None] * m, [None] * m)):
             c.extend(v)
         seen.clear()
 
-    for doc_id, text in zip(cols["doc_id"], cols["text"]):
+    for doc_id, text_hash, text in zip(cols["doc_id"], cols["text_hash"], cols["text"]):
         u = shingles(text, k)
         sid = set_id(u)
         if len(u) and sid not in seen:
             seen[sid] = u
             held += len(u)
-        for c, v in zip(out.values(), (0, doc_id, sid if len(u) else None, len(u), bitmap(u) if len(u) else None, wide_bitmap(u))):
+        for c, v in zip(out.values(), (0, doc_id, text_hash, sid if len(u) else None, len(u), bitmap(u) if len(u) else None, wide_bitmap(u))):
             c.append(v)
         if held >= COUNTED:
             count()
@@ -465,7 +465,8 @@ class JaccardJoin:
         self.docs, self.percent, self.words = id_text(docs), percent, words
         self.spark = docs.sparkSession
         self.parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        first = staged(map_rows(self.docs, "kind int, doc_id long, sid long, n int, bits binary, wide binary", _sets, words), "shingle-sets")
+        with_hash = self.docs.withColumn("text_hash", F.xxhash64("text"))
+        first = staged(map_rows(with_hash, "kind int, doc_id long, text_hash long, sid long, n int, bits binary, wide binary", _sets, words, rows=ROWS), "shingle-sets")
         self.sets = first.filter("kind = 0").drop("kind")
         self.nodes = staged(self.sets.filter("n > 0").groupBy("sid").agg(
             F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide")), "shingle-nodes")
@@ -488,8 +489,10 @@ class JaccardJoin:
         """key, block, sid, n, lead: the sets that share a shingle of their prefixes."""
         shared = self.spark.sparkContext.broadcast(self.frequent)
         prefixes = map_rows(self.docs, "key long, sid long, n int, lead boolean", _prefixes, self.words, self.percent, shared, rows=ROWS)
-        return staged(prefixes.repartition(self.parts, "key").sortWithinPartitions("key", "n", "sid")
-                      .mapInArrow(_members, "key long, block int, sid long, n int, lead boolean"), "members")
+        found = staged(prefixes.repartition(self.parts, "key").sortWithinPartitions("key", "n", "sid")
+                       .mapInArrow(_members, "key long, block int, sid long, n int, lead boolean"), "members")
+        shared.destroy()  # the table is written; nothing reads the counts again
+        return found
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b) that link, by exact intersection.  The
@@ -499,6 +502,7 @@ class JaccardJoin:
         needed = staged(ends.join(self.nodes.select("sid", "rep"), "sid").select("rep"), "needed")
         shared = self.spark.sparkContext.broadcast(id_bitset(needed, "rep"))
         arrays = staged(map_rows(self.docs, "sid long, arr binary", _arrays, self.words, shared, rows=ROWS), "arrays")
+        shared.destroy()
         left = pairs.join(arrays.select(F.col("sid").alias("a"), F.col("arr").alias("x")), "a")
         both = left.join(arrays.select(F.col("sid").alias("b"), F.col("arr").alias("y")), "b")
         return staged(map_rows(both, "a long, b long", _verify, self.percent, rows=ROWS).distinct(), "links")
@@ -601,26 +605,32 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -
 
 
 def _by_bitset(batch: pa.RecordBatch, bitset, inside: bool) -> pa.RecordBatch:
-    ids = batch.column("doc_id").cast(pa.int64()).to_pylist()
-    there = in_bitset(bitset.value, np.array([0 if d is None else d for d in ids], np.int64))
-    return batch.filter(pa.array([d is not None and bool(t) == inside for d, t in zip(ids, there)], pa.bool_()))
+    return batch.filter(pa.array(in_bitset(bitset.value, batch.column("__key").to_numpy()) == inside))
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """The rows of ``docs``, all columns, with one document of each component:
-    the one with the smallest id.  Rows that share an id are one document, of which one row
-    stays.  Rows without an id cannot be told apart by it: of equal texts among them one stays.
+    """The rows of ``docs``, all columns, with one document of each component: the one with the smallest id, and of
+    rows that share it the one with the smallest hash of its text; rows without an id come after all
+    others.  Rows equal in id and text are one document, of which one row stays.
 
-    Only rows whose id is in the bitset of dropped and repeated ids are joined
+    Only rows whose (id, text) is in the bitset of dropped and repeated ones are joined
     with these; all others pass without a shuffle."""
-    groups = staged(jaccard_groups(docs, percent, words).filter(F.col("doc_id").isNotNull()), "groups")
-    decided = staged(groups.groupBy(F.col("doc_id").alias("__id")).agg(
-        F.max(F.col("doc_id") == F.col("component_id")).alias("__stays"), F.count("*").alias("__rows")).filter("NOT __stays OR __rows > 1"), "decided")
-    shared = docs.sparkSession.sparkContext.broadcast(id_bitset(decided, "__id"))
-    sure = map_batches(docs, _by_bitset, shared, False)
-    checked = (map_batches(docs, _by_bitset, shared, True).join(decided, F.col("doc_id").cast("long") == F.col("__id"), "left")
-               .filter(F.col("__id").isNull() | F.col("__stays")))
+    join = JaccardJoin(docs, percent, words)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    roots = components(join.links()).withColumnRenamed("node", "sid")
+    sets = join.sets.filter("n > 0").groupBy("sid").agg(F.min(place).alias("least")).join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    sets = staged(sets, "set-places")
+    chosen = sets.select("sid", "root").join(sets.groupBy("root").agg(F.min("least").alias("first")), "root").select(F.col("sid").alias("s"), "first")
+    rows = join.sets.groupBy("doc_id", "text_hash", "sid").agg(F.count("*").alias("rows"))
+    judged = rows.join(chosen, F.col("sid") == F.col("s"), "left").withColumn("stays", F.col("sid").isNull() | place.eqNullSafe(F.col("first")))
+    decided = staged(judged.filter("NOT stays OR rows > 1").select(
+        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.xxhash64("doc_id", "text_hash").alias("__at"),
+        F.col("stays").alias("__stays"), F.col("rows").alias("__rows")), "decided")
+    shared = docs.sparkSession.sparkContext.broadcast(id_bitset(decided, "__at"))
+    own = docs.withColumn("__text", F.xxhash64(F.col("text").cast("string"))).withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), F.col("__text")))
+    sure = map_batches(own, _by_bitset, shared, False).select(docs.columns)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash"))
+    checked = map_batches(own, _by_bitset, shared, True).join(decided, same, "left").filter(F.coalesce("__stays", F.lit(True)))
     once = checked.filter(F.coalesce("__rows", F.lit(1)) == 1).select(docs.columns)
-    more = checked.filter("__rows > 1").dropDuplicates(["__id"]).select(docs.columns)
-    without = docs.filter(F.col("doc_id").isNull()).dropDuplicates(["text"])
-    return sure.unionByName(once).unionByName(more).unionByName(without)
+    more = checked.filter("__rows > 1").dropDuplicates(["__id", "__hash"]).select(docs.columns)
+    return sure.unionByName(once).unionByName(more)

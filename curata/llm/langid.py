@@ -216,12 +216,16 @@ def identify(docs: DataFrame, net: Network | None = None) -> DataFrame:
 
 
 def _identified(batch: pa.RecordBatch, net, least: float) -> pa.RecordBatch:
-    lang, score = predict(net.value, batch.column("text").to_pylist())
+    texts = batch.column("text").to_pylist()
+    if net.value is None:  # nothing to learn from: only texts without a letter are known to have no language
+        return batch.filter(pa.array([bool(x and LETTER.search(x)) for x in texts], pa.bool_()))
+    lang, score = predict(net.value, texts)
     return batch.filter(pa.array([k != "und" and s >= least for k, s in zip(lang, score)], pa.bool_()))
 
 
 def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
     """The rows of ``docs``, all columns, whose text has an identified language
-    (with a score of ``least`` or more, if a caller asks for one); ``und`` rows go."""
+    (with a score of ``least`` or more, if a caller asks for one); ``und`` rows go.  Where no row can be learnt from,
+    every text with a letter stays."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs))
     return map_batches(docs, _identified, shared, least)

@@ -21,7 +21,9 @@ is retried from inside a run it has already read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -125,17 +127,20 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Looser matches that no base span overlaps; of overlapping ones the first kind stays."""
-    taken, out = sorted((a, b) for _, a, b in base), []
-    found = []
+    taken, out, found = [(a, b) for _, a, b in base], [], []
     if re.search("[0-9]", text):
         found += [(k, m.start(), m.end()) for k in ("ssn", "phone") for m in LOOSE[k].finditer(text)]
         found += [("iban", m.start(), iban_end(text, *m.span())) for m in LOOSE["iban"].finditer(text)]
     if "at]" in text or "at)" in text:
         found += [("handle", m.start(), m.end()) for m in LOOSE["handle"].finditer(text)]
-    for k, a, b in found:
-        if not any(x < b and a < y for x, y in taken):
-            taken.append((a, b))
-            out.append((k, a, b))
+    for kind in dict.fromkeys(k for k, _, _ in found):  # the matches of one kind do not overlap each other
+        taken.sort()
+        starts, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+        for k, a, b in found:
+            before = bisect_left(starts, b) if k == kind else 0
+            if k == kind and not (before and reach[before - 1] > a):
+                taken.append((a, b))
+                out.append((k, a, b))
     return out
 
 

@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,19 +37,23 @@ MIN_RUN, WINDOW = 20, 20
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
 #: Bits per character of a window that make a run of this class a secret; the
 #: most that a window of 20 can have is log2(20) = 4.32 (log2(16) = 4 in hex).
-THRESHOLD = {"hex": 3.0, "alnum": 3.5, "base64": 3.7}
+THRESHOLD = {"hex": 3.0, "alnum": 3.5, "base64": 3.7, "letters": 3.85, "digits": 2.85}
 TERMS = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 NAMED = re.compile(r"(?:sha-?(?:1|224|256|384|512)|md5|commit|checksum|digest|etag)\W{0,3}$", re.I | re.A)
 ALPHABETS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
 WORDS = re.compile(r"(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]{1,4})")
+#: Words of a run of letters in camel case, and how many letters they have on average at least.
+CAMEL, CAMEL_LENGTH = re.compile(r"[A-Z]?[a-z]+|[A-Z]+"), 3.5
 
 
-def char_class(run: str) -> str | None:
-    """hex, alnum or base64; None for runs of letters or digits alone, which are words and numbers."""
-    if not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
-        return None
+def char_class(run: str) -> str:
+    """digits, letters (signs between them aside), hex, alnum or base64."""
+    if not any(c.isalpha() for c in run):
+        return "digits"
+    if not any(c.isdigit() for c in run):
+        return "letters"
     if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", run):
         return "hex"
     return "alnum" if run.isalnum() else "base64"
@@ -58,13 +64,13 @@ def peak_entropy(run: str) -> float:
     counts: dict[str, int] = {}
     total = best = 0.0
     for i, c in enumerate(run):
-        n = counts.get(c, 0)
-        counts[c] = n + 1
-        total += TERMS[n + 1] - TERMS[n]
         if i >= WINDOW:
             n = counts[old := run[i - WINDOW]]
             counts[old] = n - 1
             total += TERMS[n - 1] - TERMS[n]
+        n = counts.get(c, 0)
+        counts[c] = n + 1
+        total += TERMS[n + 1] - TERMS[n]
         if i >= WINDOW - 1:
             best = max(best, math.log2(WINDOW) - total / WINDOW)
     return best
@@ -78,7 +84,12 @@ def allowed(text: str, a: int, b: int) -> bool:
     if run.strip("=") in ALPHABETS or len(set(run)) < 6:
         return True
     parts = [p for p in re.split(r"[/_=+-]+", run) if p]
-    return len(parts) > 1 and all(WORDS.fullmatch(p) for p in parts)
+    if len(parts) > 1 and all(WORDS.fullmatch(p) for p in parts):
+        return True
+    if all(p.isalpha() for p in parts):  # words in one case, or joined in camel case: some letters between capitals
+        words = [w for p in parts for w in CAMEL.findall(p)]
+        return sum(map(len, words)) >= CAMEL_LENGTH * len(words)
+    return False
 
 
 def scan(text: str) -> list[tuple[str, int, int, bool]]:
@@ -88,12 +99,14 @@ def scan(text: str) -> list[tuple[str, int, int, bool]]:
         base += [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
     base += [("access", m.start(), m.end()) for m in ACCESS.finditer(text)]
     base += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
-    more = []
+    more, order = [], sorted((a, b) for _, a, b in base)
+    starts, reach = [a for a, _ in order], list(accumulate((b for _, b in order), max))
     for m in RUN.finditer(text):
         a, b = m.span()
-        kind = char_class(m.group())
-        if kind is None or any(x <= a and b <= y for _, x, y in base):
+        before = bisect_right(starts, a)
+        if before and reach[before - 1] >= b:  # a base span covers it
             continue
+        kind = char_class(m.group())
         if peak_entropy(m.group()) >= THRESHOLD[kind] and not allowed(text, a, b):
             more.append(("entropy", a, b))
     spans = [(*s, True) for s in base] + [(*s, False) for s in more]
@@ -121,14 +134,13 @@ def masked(text: str | None) -> str | None:
     """The text with every span, and what overlaps it, replaced by one mask."""
     if not text:
         return text
-    out, at = [], 0
-    spans = sorted((a, b) for _, a, b, _ in scan(text))
-    while spans:
-        a, b = spans.pop(0)
-        while spans and spans[0][0] < b:
-            b = max(b, spans.pop(0)[1])
+    out, at, open_at = [], 0, None
+    for a, b in sorted((a, b) for _, a, b, _ in scan(text)):
+        if open_at is not None and a < at:  # overlaps the one before
+            at = max(at, b)
+            continue
         out += [text[at:a], MASK]
-        at = b
+        open_at, at = a, b
     return "".join([*out, text[at:]])
 
 

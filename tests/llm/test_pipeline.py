@@ -2,8 +2,10 @@
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
-from curata.llm import langid, packing, secrets
+from curata.llm import decontaminate as D, langid, packing, secrets
 from curata.llm.common import staged
 
 from .test_decontaminate import plain as plain_overlaps
@@ -70,3 +72,35 @@ def test_stages_on_edge_rows(spark):
     empty = df.limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def stage(spark, name, df):
+    return dict(P.STAGES)[name](spark, df, SF)
+
+
+def test_language_keeps_texts_where_nothing_can_be_learnt(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang", "source", "n_chars").limit(200)
+    docs = staged(docs.unionByName(spark.createDataFrame([(-1, "12 34"), (-2, None), (-3, "")], "doc_id long, text string"), allowMissingColumns=True), "t")
+    assert sorted(r.doc_id for r in stage(spark, "language", docs).collect()) == sorted(
+        r.doc_id for r in docs.collect() if r.text and langid.LETTER.search(r.text))
+    held = docs.withColumn("lang", F.lit("fr")).filter(langid.held_out(F.col("doc_id")))  # all labelled rows are held out
+    assert stage(spark, "language", held).count() == held.filter("text RLIKE '[A-Za-z]'").count() > 0
+
+
+def test_near_duplicates_by_id_and_text(spark):
+    base = " ".join(f"word{i}" for i in range(60))
+    near = base + " more"
+    other, third = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    data = [(1, base), (1, other), (1, other), (2, near), (3, third), (None, near), (None, third + " end"), (None, "alone is this row here today"),
+            (None, "alone is this row here today"), (4, None), (4, ""), (4, ""), (5, "x"), (5, "x"), (None, base)]
+    df = spark.createDataFrame([(d, t, "en", "s", 1, 9) for d, t in data], "doc_id long, text string, lang string, source string, n_chars long, root int")
+    rows = sorted(((r.doc_id or 0, r.text or "") for r in stage(spark, "near_duplicates", df).collect()))
+    assert rows == sorted([(1, base), (1, other), (3, third), (0, "alone is this row here today"), (4, ""), (4, ""), (5, "x")])
+
+
+def test_short_items_remove_nothing(spark):
+    docs = spark.createDataFrame([(1, "the cat sat on the mat"), (2, "a dog ran by the lake in the rain"), (3, "what is the tallest mountain of all")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "the"), (2, "dog ran"), (3, "What is the tallest mountain"), (4, None)], "item_id long, text string")
+    assert sorted(r.doc_id for r in D.clean(docs, items).collect()) == [1, 2]
+    assert {r.doc_id: (r.n_items, r.n_short) for r in D.contamination(docs, items).collect()} == {1: (1, 1), 2: (2, 2), 3: (2, 1)}
+    assert D.clean(docs, items, shortest=1).count() == 0
