@@ -26,10 +26,15 @@ LANG_ORDER = list(PROFILES)
 TOKEN_SPLIT = r"[^\p{L}]+"
 
 
+def _known(toks: Column) -> Column:
+    """Only the tokens that some profile has: one look-up in a hash set for each token of the text."""
+    return F.filter(toks, lambda t: t.isin(sorted(set().union(*PROFILES.values()))))
+
+
 def _counts(toks: Column) -> list[Column]:
+    """Tokens of each profile; the optimiser turns the lists into hash sets."""
     def member_of(ws):
-        profile = F.array(*[F.lit(w) for w in ws])
-        return lambda t: F.array_contains(profile, t)
+        return lambda t: t.isin(ws)
     return [F.size(F.filter(toks, member_of(ws))).cast("long") for ws in PROFILES.values()]
 
 
@@ -51,7 +56,7 @@ def detect_language(c, min_margin: int = 0) -> Column:
     per row even when the optimizer pushes a filter on the result through the
     projections (it would otherwise inline the split into each profile count)."""
     col = F.col(c) if isinstance(c, str) else c
-    label = F.element_at(F.transform(F.array(F.split(F.lower(col), TOKEN_SPLIT)),
+    label = F.element_at(F.transform(F.array(_known(F.split(F.lower(col), TOKEN_SPLIT))),
                                      lambda toks: F.element_at(F.transform(F.array(F.array(*_counts(toks))),
                                                                            lambda n: _label([n[i] for i in range(len(PROFILES))], min_margin)), 1)), 1)
     return F.coalesce(label, F.lit("unknown"))

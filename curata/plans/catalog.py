@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dedup, filters, search
+from ..operators import language_model as LM
 from ..sources import tables
 from . import oracle as O
 
@@ -241,6 +242,52 @@ def q_clean_records(spark, sf):
     return M.clean_papers(tables.papers(spark, sf), TITLE_TERMS, ABSTRACT_WORDS).select(*OUT)
 
 
+# A quarter of the labelled rows is held out of what the language model learns from.
+LEARN = "doc_id % 4 <> 2"
+
+
+def language_model(spark, sf) -> LM.LanguageModel:
+    return LM.fit(tables.table(spark, sf, "documents").filter(LEARN))
+
+
+@register("learned_language", _w(f"""
+WITH {LM.model_sql(f'(SELECT * FROM documents WHERE {LEARN})')},
+{LM.scored_sql('documents', 'doc_id')}
+SELECT doc_id AS ord, coalesce(language, 'unknown') AS language, round(margin, 6) AS margin FROM documents LEFT JOIN lm_found USING (doc_id)"""))
+def q_learned_language(spark, sf):
+    """C5 by a learnt model, over whole texts, with the lead over the next language."""
+    df = LM.with_language(tables.table(spark, sf, "documents"), language_model(spark, sf), margin="margin")
+    return df.select(F.col("doc_id").alias("ord"), "language", F.round("margin", 6).alias("margin"))
+
+
+@register("learned_language_accuracy", _w(f"""
+WITH {LM.model_sql(f'(SELECT * FROM documents WHERE {LEARN})')},
+{LM.scored_sql(f'(SELECT * FROM documents WHERE NOT {LEARN})', 'doc_id')}
+SELECT lang, count(*) AS n, count(*) FILTER (WHERE language = lang) AS n_right FROM documents JOIN lm_found USING (doc_id) WHERE lang IS NOT NULL GROUP BY lang"""))
+def q_learned_language_accuracy(spark, sf):
+    """Held-out rows that are given their own language, by language."""
+    held = tables.table(spark, sf, "documents").filter(~F.expr(LEARN)).filter("lang IS NOT NULL AND length(text) > 0")
+    found = LM.with_language(held, language_model(spark, sf), margin="margin").filter("margin IS NOT NULL")
+    return found.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("language") == F.col("lang")).alias("n_right"))
+
+
+LM_MARGIN = 0.05
+
+
+@register("clean_records_learned", _w(f"""
+WITH {O.PAPERS_CTE}, {LM.model_sql(f'(SELECT * FROM documents WHERE {LEARN})')},
+{LM.scored_sql('papers', 'ord', 'abstract', LM_MARGIN)}
+SELECT {OUT_SQL} FROM papers JOIN lm_found USING (ord)
+WHERE nullif(title, '') IS NOT NULL AND nullif(abstract, '') IS NOT NULL
+  AND NOT regexp_matches(lower(title), '{"|".join(T.regex_escape(t) for t in TITLE_TERMS)}')
+  AND NOT regexp_matches(lower(abstract), '{_re2_words(ABSTRACT_WORDS)}')
+  AND language = 'en'"""))
+def q_clean_records_learned(spark, sf):
+    """M2 with the learnt model and a margin (Q13) in place of the word profiles."""
+    return M.clean_papers(tables.papers(spark, sf), TITLE_TERMS, ABSTRACT_WORDS,
+                          model=language_model(spark, sf), min_margin=LM_MARGIN).select(*OUT)
+
+
 @register("parse_dates", _w(f"""
 SELECT ord, date_text, CAST({O.date_meaning_sql()} AS VARCHAR) AS parsed
 FROM (SELECT *, ord AS doc_id FROM ({tables.date_texts_sql('documents')}) t) p"""))
@@ -255,7 +302,11 @@ from ..operators import aggregates as A     # noqa: E402
 from ..operators import joins as J          # noqa: E402
 from ..operators import ordering as G       # noqa: E402
 from ..operators import relevance as S      # noqa: E402
+from ..operators import encoder as EN       # noqa: E402
 from ..operators import review as R         # noqa: E402
+from ..operators import vector_index as VI  # noqa: E402
+from ..sources import stages                # noqa: E402
+from ..streaming.incremental import run_folder  # noqa: E402
 
 S1_LABEL, S1_T, S2_T, TOPK = 0, 0.15, 0.012, 10
 
@@ -267,7 +318,8 @@ def vectors(spark, sf) -> DataFrame:
 
 
 def with_vectors(df: DataFrame, spark, sf) -> DataFrame:
-    return df.join(vectors(spark, sf).select("id", "embedding"), "id")
+    """Every record with a vector of its own (`tables.all_vectors`)."""
+    return df.join(tables.all_vectors(spark, sf), "id")
 
 
 def s1_scored(spark, sf) -> DataFrame:
@@ -278,20 +330,20 @@ def s1_scored(spark, sf) -> DataFrame:
 
 
 @register("semantic_filter", _w(f"""
-WITH {O.PAPERS_CTE}, {O.VECS_CTE},
+WITH {O.PAPERS_CTE}, {O.VECS_CTE}, {O.ALL_VECS_CTE},
 {O.centroid_cte('cen', 'vecs WHERE label = 0')}
 SELECT p.id, p.ord, round({O.cos_to('cen', True)}, 6) AS semantic_score
-FROM papers p JOIN vecs USING (id), cen
+FROM papers p JOIN allvecs USING (id), cen
 WHERE {O.cos_to('cen', True)} >= {S1_T}"""))
 def q_semantic_filter(spark, sf):
     return s1_scored(spark, sf).select("id", "ord", F.round("semantic_score", 6).alias("semantic_score"))
 
 
 @register("semantic_top_k", _w(f"""
-WITH {O.PAPERS_CTE}, {O.VECS_CTE},
+WITH {O.PAPERS_CTE}, {O.VECS_CTE}, {O.ALL_VECS_CTE},
 {O.centroid_cte('cen', 'vecs WHERE label = 0')}
 SELECT p.id, p.ord, round({O.cos_to('cen', True)}, 6) AS semantic_score
-FROM papers p JOIN vecs USING (id), cen
+FROM papers p JOIN allvecs USING (id), cen
 ORDER BY {O.cos_to('cen', True)} DESC, p.ord LIMIT {TOPK}"""))
 def q_semantic_top_k(spark, sf):
     v = vectors(spark, sf)
@@ -318,12 +370,76 @@ sel AS (SELECT * FROM decided WHERE status = 'included'),
 rem AS (SELECT * FROM decided WHERE status IN ('not included', 'excluded'))"""
 
 
+def record_index(spark, sf) -> VI.VectorIndex:
+    return VI.build(tables.all_vectors(spark, sf).withColumn("ord", F.col("id") - 1).select("ord", "embedding"),
+                   run_folder(spark, "vector-index"), key="ord")
+
+
+def label_centre(spark, sf) -> list[float]:
+    """The query vector of `semantic_top_k`, as numbers: one row of d of them."""
+    c = S.centroid_column(vectors(spark, sf).filter(F.col("label") == S1_LABEL), unit=True)
+    return list(spark.range(1).select(c.alias("c")).first().c)
+
+
+@register("indexed_top_k", _w(f"""
+WITH {O.PAPERS_CTE}, {O.VECS_CTE}, {O.ALL_VECS_CTE},
+{O.centroid_cte('cen', 'vecs WHERE label = 0')}
+SELECT p.ord, round({O.cos_to('cen', True)}, 6) AS semantic_score
+FROM papers p JOIN allvecs USING (id), cen
+ORDER BY {O.cos_to('cen', True)} DESC, p.ord LIMIT {TOPK}"""))
+def q_indexed_top_k(spark, sf):
+    """G1 by the vector index: the rows of the full scan."""
+    found, _cells = record_index(spark, sf).top_k(label_centre(spark, sf), TOPK)
+    return found.select("ord", F.round("semantic_score", 6).alias("semantic_score"))
+
+
+@register("indexed_filter", _w(f"""
+WITH {O.PAPERS_CTE}, {O.VECS_CTE}, {O.ALL_VECS_CTE},
+{O.centroid_cte('cen', 'vecs WHERE label = 0')}
+SELECT p.ord, round({O.cos_to('cen', True)}, 6) AS semantic_score
+FROM papers p JOIN allvecs USING (id), cen
+WHERE {O.cos_to('cen', True)} >= {S1_T}"""))
+def q_indexed_filter(spark, sf):
+    """S1 by the vector index."""
+    found, _cells = record_index(spark, sf).above(label_centre(spark, sf), S1_T)
+    return found.select("ord", F.round("semantic_score", 6).alias("semantic_score"))
+
+
+TFIDF_T = 0.05
+_STATS_SQL = f"""tf AS ({EN.terms_sql('documents', 'doc_id', 'text')}),
+docs_n AS (SELECT count(*) AS n FROM documents),
+stats AS (SELECT term, df, n, ln((1 + n) / (1 + df)) + 1 AS idf FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), docs_n)"""
+
+
+@register("tfidf_terms", _w(f"""
+WITH {_STATS_SQL} SELECT term, df, n, round(idf, 6) AS idf FROM stats"""))
+def q_tfidf_terms(spark, sf):
+    """S3: document frequencies of all words of all texts."""
+    return EN.fit(tables.table(spark, sf, "documents")).select("term", "df", "n", F.round("idf", 6).alias("idf"))
+
+
+@register("tfidf_relevance", _w(f"""
+WITH {_STATS_SQL},
+btf AS ({EN.terms_sql('benchmark', 'item_id', 'text')}),
+bw AS (SELECT item_id, term, tf * idf AS w FROM btf JOIN stats USING (term)),
+bn AS (SELECT item_id, sqrt(sum(w * w)) AS norm FROM bw GROUP BY item_id),
+q AS (SELECT term, sum(w / norm) / (SELECT count(*) FROM benchmark) AS q FROM bw JOIN bn USING (item_id) GROUP BY term),
+s AS (SELECT doc_id, sum(tf * idf * coalesce(q, 0)) / sqrt(sum(tf * idf * tf * idf)) AS s FROM tf JOIN stats USING (term) LEFT JOIN q USING (term) GROUP BY doc_id)
+SELECT doc_id AS ord, round(s, 6) AS semantic_score FROM s WHERE s >= {TFIDF_T}"""))
+def q_tfidf_relevance(spark, sf):
+    """S3 on whole texts: mean TF-IDF cosine of every record to the descriptions, the `benchmark` passages."""
+    docs = tables.table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), "text")
+    stats = stages.cut(EN.fit(docs), "tfidf")
+    found = EN.tfidf_relevance(docs, tables.table(spark, sf, "benchmark"), stats, TFIDF_T)
+    return found.select("ord", F.round("semantic_score", 6).alias("semantic_score"))
+
+
 @register("seed_relevance", _w(f"""
-WITH {SEL_SQL}, {O.VECS_CTE},
-{O.centroid_cte('cen', 'vecs WHERE id IN (SELECT id FROM sel)')},
+WITH {SEL_SQL}, {O.ALL_VECS_CTE},
+{O.centroid_cte('cen', 'allvecs WHERE id IN (SELECT id FROM sel)')},
 cand AS (SELECT * FROM papers WHERE id NOT IN (SELECT id FROM sel))
 SELECT c.id, c.ord, round({O.cos_to('cen', False)}, 6) AS semantic_score
-FROM cand c JOIN vecs USING (id), cen
+FROM cand c JOIN allvecs USING (id), cen
 WHERE {O.cos_to('cen', False)} >= {S2_T}"""))
 def q_seed_relevance(spark, sf):
     seeds = with_vectors(selected(spark, sf), spark, sf)
@@ -332,9 +448,9 @@ def q_seed_relevance(spark, sf):
 
 
 @register("seed_relevance_pairwise", _w(f"""
-WITH {SEL_SQL}, {O.VECS_CTE},
-seeds AS (SELECT v AS sv, n AS sn FROM vecs WHERE id IN (SELECT id FROM sel)),
-cand AS (SELECT c.id, c.ord, v, n FROM papers c JOIN vecs USING (id) WHERE c.id NOT IN (SELECT id FROM sel))
+WITH {SEL_SQL}, {O.ALL_VECS_CTE},
+seeds AS (SELECT v AS sv, n AS sn FROM allvecs WHERE id IN (SELECT id FROM sel)),
+cand AS (SELECT c.id, c.ord, v, n FROM papers c JOIN allvecs USING (id) WHERE c.id NOT IN (SELECT id FROM sel))
 SELECT id, ord, round(avg(CASE WHEN n > 0 AND sn > 0 THEN list_inner_product(v, sv) / n / sn ELSE 0.0 END), 6) AS semantic_score
 FROM cand, seeds GROUP BY id, ord
 HAVING avg(CASE WHEN n > 0 AND sn > 0 THEN list_inner_product(v, sv) / n / sn ELSE 0.0 END) >= {S2_T}"""))

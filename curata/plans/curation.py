@@ -9,16 +9,21 @@ from pyspark.sql import functions as F
 
 from ..functions.language import with_language
 from ..operators import filters
+from ..operators.language_model import LanguageModel, filter_learned_language
 
 
 def clean_papers(df: DataFrame, title_terms: Sequence[str] = filters.TITLE_BLOCK_TERMS,
-                 abstract_words: Sequence[str] = filters.ABSTRACT_BLOCK_WORDS, lang: str = "en") -> DataFrame:
+                 abstract_words: Sequence[str] = filters.ABSTRACT_BLOCK_WORDS, lang: str = "en",
+                 model: LanguageModel | None = None, min_margin: float = 0.0) -> DataFrame:
     """M2: require title and abstract, title block-list (substring), abstract
     block-list (whole word), detected language.  The four predicates are
-    order-free, so Catalyst fuses them into one ``Filter`` after the scan."""
+    order-free, so Catalyst fuses them into one ``Filter`` after the scan.  The language is detected by word profiles
+    or, where one is given, by a learnt ``model`` that must lead by ``min_margin``."""
     out = filters.require_text(df, ["abstract", "title"])
     out = filters.exclude_title_terms(out, title_terms)
     out = filters.exclude_abstract_words(out, abstract_words)
+    if model is not None:
+        return filter_learned_language(out, model, "abstract", lang, min_margin)
     return with_language(out, "abstract", "__lang").filter(F.col("__lang") == F.lit(lang)).drop("__lang")
 
 
