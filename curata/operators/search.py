@@ -165,6 +165,12 @@ def search_condition(query: str, fields: Sequence[str] = ("title", "abstract"),
     return F.coalesce(F.expr(f"element_at(transform(array(named_struct({bound})), s -> {whole}), 1)"), F.lit(False))
 
 
+def term_condition(term: Term, field: str) -> Column:
+    """Whether one term stands in one field."""
+    text = norm_search(field)
+    return F.coalesce(text.contains(term.text) & text.rlike(whole_phrase_regex(term.text, term.prefix)), F.lit(False))
+
+
 def boolean_search(df: DataFrame, query: str, fields: Sequence[str] = ("title", "abstract"),
                    synonyms: Mapping[str, Sequence[str]] | None = None, across_fields: bool = False) -> DataFrame:
     """Keep rows where one of ``fields`` satisfies the boolean ``query``."""

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators import dedup, filters, search
 from ..operators import language_model as LM
+from ..operators import term_index as TI
 from ..sources import tables
 from . import oracle as O
 
@@ -231,6 +232,22 @@ _bool_q("boolean_search", BOOLEAN_QUERIES["boolean_search"])
 _bool_q("boolean_search_synonyms", BOOLEAN_QUERIES["boolean_search_synonyms"], SYNONYMS)
 
 
+def _indexed_q(name, query, synonyms=None):
+    synonyms = search.synonyms_for(query, synonyms) if synonyms else None
+
+    @register(name, REGISTRY[name.removeprefix("indexed_")][1])
+    def fn(spark, sf):
+        """C9 by the positional term index: the rows of the scan."""
+        from ..streaming.incremental import run_folder
+        p = tables.papers(spark, sf)
+        index = TI.build(p, run_folder(spark, "term-index"), ["title", "abstract"])
+        return index.search(p, query, synonyms).select(*OUT)
+
+
+_indexed_q("indexed_boolean_search", BOOLEAN_QUERIES["boolean_search"])
+_indexed_q("indexed_boolean_search_synonyms", BOOLEAN_QUERIES["boolean_search_synonyms"], SYNONYMS)
+
+
 @register("clean_records", _w(f"""
 WITH {O.PAPERS_CTE}
 SELECT {OUT_SQL} FROM papers
