@@ -688,9 +688,9 @@ def q_union_aligned(spark, sf):
 E2E_FROM, E2E_TO = "2016-01-01", "2024-12-31"
 
 
-def _stages(spark, sf) -> dict[str, DataFrame]:
+def _stages(spark, sf, store=None) -> dict[str, DataFrame]:
     return M.survey_stages(tables.papers(spark, sf), tables.decisions(spark, sf), tables.citations(spark, sf),
-                           tables.all_vectors(spark, sf), E2E_FROM, E2E_TO, TITLE_TERMS, ABSTRACT_WORDS, S2_T)
+                           tables.all_vectors(spark, sf), E2E_FROM, E2E_TO, TITLE_TERMS, ABSTRACT_WORDS, S2_T, store=store)
 
 
 _TT = "|".join(T.regex_escape(t) for t in TITLE_TERMS)
@@ -765,6 +765,30 @@ def q_survey_end_to_end(spark, sf):
     return _stages(spark, sf)["final"].select("id", "ord", "doi", "title", "database", "query_name")
 
 
+@register("survey_resumed", _w(f"""
+WITH {SURVEY_SQL}
+SELECT id, ord, doi, title, database, query_name FROM fin"""))
+def q_survey_resumed(spark, sf):
+    """A9 on M6: a second run over the stages of a first one, none of which it builds again."""
+    root = run_folder(spark, "survey")
+    for _ in range(2):
+        store = stages.StageStore(spark, root)
+        found = _stages(spark, sf, store)["final"]
+    if any(built for _, built in store.log):
+        raise RuntimeError(f"stages built again: {store.log}")
+    return found.select("id", "ord", "doi", "title", "database", "query_name")
+
+
+@register("stage_rows", _w(f"""
+WITH {SURVEY_SQL}
+SELECT 'cleaned' AS stage, count(*) AS n_rows FROM cl UNION ALL SELECT 'snowball', count(*) FROM snow"""))
+def q_stage_rows(spark, sf):
+    """Rows of the survey's stages, observed while they were written."""
+    store = stages.StageStore(spark, run_folder(spark, "survey"))
+    _stages(spark, sf, store)
+    return store.counts().filter(F.col("stage").isin("cleaned", "snowball"))
+
+
 # --- ingestion of landed payloads -------------------------------------------------------
 
 from ..sources import landed_fixture as X  # noqa: E402

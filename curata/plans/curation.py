@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.language import with_language
 from ..operators import filters
 from ..operators.language_model import LanguageModel, filter_learned_language
+from ..sources.stages import StageStore
 
 
 def clean_papers(df: DataFrame, title_terms: Sequence[str] = filters.TITLE_BLOCK_TERMS,
@@ -75,16 +76,15 @@ def merge_final(first: DataFrame, second: DataFrame | None = None) -> DataFrame:
     return with_dense_id(final_dedup(both.drop("id")))
 
 
-def reviewed(df: DataFrame, decisions: DataFrame, name: str, key: str = "id"):
+def reviewed(df: DataFrame, decisions: DataFrame, name: str, key: str = "id", store: StageStore | None = None):
     """The abstract round and, on what it includes, the full-text round; every
     round's table is written once and split by filters.  ``key`` holds the record id that decisions
     name.  Returns (included, removed), with ``record_id``."""
     from ..operators.review import review_round
-    from ..sources.stages import cut
 
     def round_(rows, which):
         rows = rows.withColumn("id", F.col("record_id"))
-        inc, out, _ = review_round(rows, decisions, which, stage=lambda d: cut(d, f"{name}-{which}"), ids=False)
+        inc, out, _ = review_round(rows, decisions, which, stage=lambda d: _stage(store, f"{name}-{which}", d, decisions), ids=False)
         return inc, out
 
     rows = df.withColumn("record_id", F.col(key))
@@ -93,12 +93,19 @@ def reviewed(df: DataFrame, decisions: DataFrame, name: str, key: str = "id"):
     return included, out1.unionByName(out2, allowMissingColumns=True)
 
 
+def _stage(store: StageStore | None, name: str, df: DataFrame, *inputs: DataFrame, params: object = None) -> DataFrame:
+    """A stage table of the survey: of this run alone, or one that a later run finds again."""
+    from ..sources.stages import cut
+    return cut(df, name) if store is None else store.stage(name, df, *inputs, params=params)
+
+
 def survey_stages(papers: DataFrame, decisions: DataFrame, edges: DataFrame, vectors: DataFrame,
                   start=None, end=None, title_terms=filters.TITLE_BLOCK_TERMS,
                   abstract_words=filters.ABSTRACT_BLOCK_WORDS, snowball_threshold: float = 0.0,
-                  query_vec=None, semantic_threshold: float = 0.0) -> dict[str, DataFrame]:
+                  query_vec=None, semantic_threshold: float = 0.0, store: StageStore | None = None) -> dict[str, DataFrame]:
     """M6 step by step; every stage is written once to the shared checkpoint
-    folder (lineage cut), as the reference keeps one file per step.
+    folder (lineage cut), as the reference keeps one file per step.  With a ``store`` the stages outlive the run: a later
+    one reuses those whose inputs and parameters are unchanged and goes on where an interrupted one stopped.
 
     date range -> de-dup cascade (F5) -> cleaning (M2) -> semantic filter (S1, only with a
     ``query_vec``) -> abstract and full-text round (R2) -> snowball from the included set, over its
@@ -106,19 +113,20 @@ def survey_stages(papers: DataFrame, decisions: DataFrame, edges: DataFrame, vec
     two reviewed sets (M4)."""
     from ..operators.dedup import remove_repeated
     from ..operators.relevance import semantic_filter
-    from ..sources.stages import cut
 
     p = filters.between_dates(papers, start, end)
-    p = cut(clean_papers(remove_repeated(p), title_terms, abstract_words), "cleaned")
+    p = _stage(store, "cleaned", clean_papers(remove_repeated(p), title_terms, abstract_words), papers,
+               params=[str(start), str(end), list(title_terms), list(abstract_words)])
     stages = {"cleaned": p}
     if query_vec is not None:
         scored = semantic_filter(p.drop("semantic_score").join(vectors, "id"), query_vec, semantic_threshold, unit=True)
-        p = stages["semantic"] = cut(scored.drop("embedding"), "semantic")
-    included, removed = reviewed(p, decisions, "retrieved")
+        p = stages["semantic"] = _stage(store, "semantic", scored.drop("embedding"), p, vectors, params=[str(query_vec), semantic_threshold])
+    included, removed = reviewed(p, decisions, "retrieved", store=store)
     selected = included.withColumn("id", F.col("record_id"))
     open_ = (p.join(included.select("ord"), "ord", "left_anti").join(removed.select("ord"), "ord", "left_anti"))
-    snow = cut(snowball(selected, edges, papers.drop("lang"), removed, vectors, snowball_threshold, open_, ids=False), "snowball")
-    found, dropped = reviewed(snow, decisions, "snowballed", "record_id")
+    snow = _stage(store, "snowball", snowball(selected, edges, papers.drop("lang"), removed, vectors, snowball_threshold, open_, ids=False),
+                  selected, edges, papers, removed, vectors, params=snowball_threshold)
+    found, dropped = reviewed(snow, decisions, "snowballed", "record_id", store)
     return stages | {"included": included, "removed": removed, "snowball": snow, "snowball_included": found,
                      "snowball_removed": dropped, "final": merge_final(included, found)}
 
