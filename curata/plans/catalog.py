@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dedup, filters, search
+from ..operators import incremental_dedup as ID
 from ..operators import language_model as LM
 from ..operators import term_index as TI
 from ..sources import tables
@@ -888,6 +889,33 @@ def q_stream_dedup(spark, sf):
     return spark.read.parquet(os.path.join(root, "table"))
 
 
+CASCADE_SQL = _w(f"""
+WITH {O.PAPERS_CTE},
+{O.cascade('papers', 'all')}
+SELECT {OUT_SQL} FROM c4""")
+
+
+@register("incremental_dedup", CASCADE_SQL)
+def q_incremental_dedup(spark, sf):
+    """F5 in three batches, the last records first: the survivors of one batch."""
+    p = tables.papers(spark, sf)
+    state = ID.IncrementalCascade(spark, K.run_folder(spark, "cascade"))
+    for i, lang in enumerate(("lang IN ('fr', 'es')", "lang = 'de'", "lang IS NULL OR lang NOT IN ('fr', 'es', 'de')")):
+        state.merge(p.filter(lang), i)
+    return state.select(p).select(*OUT)
+
+
+@register("stream_cascade", CASCADE_SQL)
+def q_stream_cascade(spark, sf):
+    """K2 with the whole cascade, over a stream in several micro-batches."""
+    root = K.run_folder(spark, "cascade")
+    docs = tables.table(spark, sf, "documents")
+    docs.repartition(3, "doc_id").write.parquet(os.path.join(root, "landed"))
+    stream = K.file_stream(spark, os.path.join(root, "landed"), "*.parquet", docs.schema, max_files=1)
+    state = K.stream_cascade(tables.papers_from(stream), os.path.join(root, "state"), os.path.join(root, "_checkpoint"))
+    return state.select(tables.papers(spark, sf)).select(*OUT)
+
+
 @register("decision_status_stream", _w(f"""
 WITH {O.DECISIONS_CTE}
 SELECT id, arg_max(status, ts) AS status, CAST(max(ts) AS VARCHAR) AS ts FROM decisions GROUP BY id"""))

@@ -10,6 +10,8 @@ decision -- is re-aimed here:
 * K2 ``stream_dedup``: ``withWatermark`` + ``dropDuplicatesWithinWatermark`` on
   the DOI key -- bounded state; a duplicate arriving later than the lateness
   bound is not recognised (differs from the batch cascade by design).  Rows without a key all pass.
+  ``stream_cascade`` is the whole cascade: micro-batches are merged into a state of digests, and its
+  survivors are those of the batch cascade, whatever the order of arrival.
 * K3 ``decision_status_stream``: reviewer decisions as a stream, latest status
   per record by a streaming aggregate (``max`` of (ts, status)).  Each micro-batch writes
   the records that changed, and no others (``run_updates``); readers take each record's last change
@@ -28,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.incremental_dedup import IncrementalCascade
 from ..session import checkpoint_dir
 
 
@@ -72,6 +75,16 @@ def stream_dedup(stream: DataFrame, key, event_time: str, lateness: str = "30 da
             .dropDuplicatesWithinWatermark(["__key"]).drop("__key"))
 
 
+def stream_cascade(stream: DataFrame, root: str, checkpoint: str, order_by: str = "ord") -> IncrementalCascade:
+    """K2, the whole F5 cascade over a stream: every micro-batch is merged into the state under ``root``, whatever the order in which rows
+    come and however late; a replayed micro-batch replaces what it wrote.  Runs to the end of the input (availableNow)."""
+    state = IncrementalCascade(stream.sparkSession, root, order_by)
+    q = (stream.writeStream.foreachBatch(lambda batch, batch_id: state.merge(batch, batch_id) and None)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return state
+
+
 def decision_status_stream(decisions: DataFrame) -> DataFrame:
     """K3: current status per id from a decision stream (last write wins)."""
     from ..operators.joins import decision_code, decode_status, decode_ts
