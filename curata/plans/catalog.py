@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from ..operators import dedup, filters, search
 from ..operators import incremental_dedup as ID
 from ..operators import language_model as LM
+from ..operators import phrase_match as PM
 from ..operators import term_index as TI
+from ..sources import stages
 from ..sources import tables
 from . import oracle as O
 
@@ -249,6 +251,59 @@ _indexed_q("indexed_boolean_search", BOOLEAN_QUERIES["boolean_search"])
 _indexed_q("indexed_boolean_search_synonyms", BOOLEAN_QUERIES["boolean_search_synonyms"], SYNONYMS)
 
 
+SYNONYM_QUERY = "thing AND (for OR 'it was')"
+# A synonym table from the corpus: for `thing` the first words of English texts, for `for` the words before the first full stop of German ones.
+_SYN = {"thing": ("en", r"^([A-Za-z]+)"), "for": ("de", r"([A-Za-z]+)\.")}
+_TOKENS = "regexp_extract_all({}, '[\\p{{L}}\\p{{N}}_]+')"
+
+
+def corpus_synonyms(spark, sf) -> DataFrame:
+    d = tables.table(spark, sf, "documents")
+    parts = [d.filter(F.col("lang") == lang).select(F.lit(k).alias("keyword"), F.lower(F.regexp_extract("text", pat, 1)).alias("phrase")) for k, (lang, pat) in _SYN.items()]
+    return parts[0].unionByName(parts[1]).filter("phrase <> ''").distinct()
+
+
+@register("boolean_search_synonym_table", _w(f"""
+WITH {O.PAPERS_CTE},
+syn AS (SELECT DISTINCT * FROM ({' UNION ALL '.join(f"SELECT '{k}' AS keyword, lower(regexp_extract(text, '{pat}', 1)) AS phrase FROM documents WHERE lang = '{lang}'" for k, (lang, pat) in _SYN.items())}) WHERE phrase <> ''),
+w AS (SELECT *, {_TOKENS.format(O.norm_search('title'))} AS tw, {_TOKENS.format(O.norm_search('abstract'))} AS aw FROM papers),
+l AS (SELECT (SELECT list(phrase) FROM syn WHERE keyword = 'thing') || ['thing'] AS things, (SELECT list(phrase) FROM syn WHERE keyword = 'for') || ['for'] AS fors)
+SELECT {OUT_SQL} FROM w, l WHERE coalesce(list_has_any(tw, things) AND (list_has_any(tw, fors) OR regexp_matches({O.norm_search('title')}, '{T.whole_phrase_regex_re2('it was')}')), false)
+  OR coalesce(list_has_any(aw, things) AND (list_has_any(aw, fors) OR regexp_matches({O.norm_search('abstract')}, '{T.whole_phrase_regex_re2('it was')}')), false)"""))
+def q_boolean_search_synonym_table(spark, sf):
+    """D6 with the synonyms in a table that grows with the corpus."""
+    return PM.boolean_search_table(tables.papers(spark, sf), SYNONYM_QUERY, corpus_synonyms(spark, sf)).select(*OUT)
+
+
+_VOCAB_SQL = f"""{O.PAPERS_CTE},
+vocab AS (SELECT token, count(*) AS n FROM (SELECT unnest({_TOKENS.format(O.norm_search('abstract'))}) AS token FROM papers) GROUP BY token),
+lemmas AS ({PM.lemma_table_sql('vocab')})"""
+
+
+@register("lemma_table", _w(f"""
+WITH {_VOCAB_SQL} SELECT token, lemma FROM lemmas"""))
+def q_lemma_table(spark, sf):
+    """A lemma for every word of the corpus, by its own vocabulary."""
+    return PM.lemma_table(PM.vocabulary(tables.papers(spark, sf)))
+
+
+FORM_KEYWORDS = ["thing", "ing", "der"]
+
+
+@register("keyword_forms", _w(f"""
+WITH {_VOCAB_SQL},
+k AS (SELECT unnest({FORM_KEYWORDS}) AS keyword),
+f AS (SELECT DISTINCT keyword, l2.token AS phrase FROM k LEFT JOIN lemmas l1 ON l1.token = keyword JOIN lemmas l2 ON l2.lemma = coalesce(l1.lemma, keyword) UNION SELECT keyword, keyword FROM k),
+t AS (SELECT DISTINCT ord, unnest({_TOKENS.format(O.norm_search('abstract'))}) AS phrase FROM papers)
+SELECT ord, keyword, count(*) AS n_forms FROM t JOIN f USING (phrase) GROUP BY ord, keyword"""))
+def q_keyword_forms(spark, sf):
+    """C8 by lemmas: which records hold which keywords in any of their forms, and in how many."""
+    p = tables.papers(spark, sf)
+    lemmas = stages.cut(PM.lemma_table(PM.vocabulary(p)), "lemmas")
+    forms = PM.keyword_forms(spark.createDataFrame([(k,) for k in FORM_KEYWORDS], "keyword string"), lemmas)
+    return PM.phrase_hits(p, forms, ["abstract"]).groupBy("ord", "keyword").agg(F.count("*").alias("n_forms"))
+
+
 @register("clean_records", _w(f"""
 WITH {O.PAPERS_CTE}
 SELECT {OUT_SQL} FROM papers
@@ -323,7 +378,6 @@ from ..operators import relevance as S      # noqa: E402
 from ..operators import encoder as EN       # noqa: E402
 from ..operators import review as R         # noqa: E402
 from ..operators import vector_index as VI  # noqa: E402
-from ..sources import stages                # noqa: E402
 from ..streaming.incremental import run_folder  # noqa: E402
 
 S1_LABEL, S1_T, S2_T, TOPK = 0, 0.15, 0.012, 10
