@@ -11,8 +11,8 @@ by a hash), so a task holds one group of bounded size.  Bins that a group
 leaves under ``FULL`` of their capacity are opened again and their pieces packed together with those of other groups, in 64 times fewer groups.
 
 The vocabulary's split pattern never matches white space, so a text's ids are those of its runs of other characters, one after the
-other; each distinct run goes to the library once for each task, while a memo of ``MEMO`` bytes holds it.  A text with a code
-point above U+02FF goes to the library whole.  Null texts are empty (the end id alone).  Repeated rows are packed
+other; a run that a worker's memo (bounded by bytes) holds is looked up, and the new ones of a block of texts go to the library
+in one call.  A text with a code point above U+02FF goes to the library whole.  Null texts are empty (the end id alone).  Repeated rows are packed
 once each; null ids are kept.  An empty table gives an empty result.  Token ids never leave the task
 that made them: only lengths and checksums move.
 """
@@ -22,7 +22,9 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .common import id_text, release, staged
-from .tokens import OUTSIDE, blocks, special_split, tokenizer
+from .tokens import OUTSIDE, blocks, narrow, special_split, tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1
@@ -44,11 +46,13 @@ WEIGHTS = (1.0, 0.01, 0.01)
 GROUP, FULL = 2048, 0.98
 #: Documents that are Python values at a time.
 ROWS = 2048
-#: Bytes that a task's memo of encoded runs may take, by estimate; beyond it the memo starts anew.
-MEMO = 64 << 20
+#: Bytes of a generation of a worker's memo of encoded runs, by estimate.
+MEMO = 48 << 20
+#: Fixed value: the split pattern of this vocabulary.
+PRETOKENS = narrow(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
-#: Code points below U+0300 whose lower case is not: their texts go to the library whole.
-LEAVING = "".join(chr(c) for c in range(0x300) if OUTSIDE.search(chr(c).lower()))
+#: Texts with a code point that operator 1 sends to the library whole, or whose lower case is one, go there whole.
+ODD = re.compile("[^" + "".join(re.escape(chr(c)) for c in range(0x300) if not OUTSIDE.search(chr(c)) and not OUTSIDE.search(chr(c).lower())) + "]")
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -58,34 +62,61 @@ def _ids(ids: list[int]) -> bytes:
 
 
 class Runs:
-    """Ids, as little-endian bytes, of runs without white space, kept while the memo is under ``MEMO`` bytes."""
+    """Ids, as little-endian bytes, of runs without white space.  Two generations of at most ``MEMO`` bytes: a full one
+    becomes the old one, of which the runs that are met again move on."""
 
     def __init__(self, name: str):
-        self.name, self.memo, self.size = name, {}, 0
+        self.name, self.young, self.old, self.size = name, {}, {}, 0
+        vocabulary = tokenizer(name).get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a pre-token
+        self.last[[i for s, i in vocabulary.items() if s.endswith("</w>")]] = True
+
+    def encode(self, runs: list[str]) -> list[bytes]:
+        """Ids of each run: of its pre-tokens, all of which go to the library in one text, one space apart, and are told apart by their last ids."""
+        lists = [(x,) if x.isalpha() else PRETOKENS.findall(x) for x in runs]
+        parts = list(dict.fromkeys(chain.from_iterable(lists)))
+        ids = np.array(tokenizer(self.name).encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, "<u4")
+        ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+        if len(ends) != len(parts) or "".join(map("".join, lists)) != "".join(runs):
+            return [_ids(e.ids) for e in tokenizer(self.name).encode_batch_fast(runs, add_special_tokens=False)]
+        raw = ids.tobytes()
+        known = {p: raw[4 * i:4 * j] for p, i, j in zip(parts, [0, *ends], ends)}
+        return [b"".join(map(known.__getitem__, x)) for x in lists]
 
     def learn(self, lists: list[list[str]]) -> dict:
-        """The memo, after the runs that it lacks went to the library in one call."""
-        new = list(set(chain.from_iterable(lists)).difference(self.memo))
+        """A memo that holds the runs of ``lists``."""
+        if self.size > MEMO:
+            self.young, self.old, self.size = {}, self.young, 0
+        new = set(chain.from_iterable(lists)).difference(self.young)
+        again = {x: self.old[x] for x in new.intersection(self.old)} if self.old else {}
+        new = list(new.difference(again))
+        self.young.update(again)
         if new:
-            if self.size > MEMO:
-                self.memo, self.size = {}, 0
-                return self.learn(lists)
-            found = [_ids(e.ids) for e in tokenizer(self.name).encode_batch_fast(new, add_special_tokens=False)]
-            self.memo.update(zip(new, found))
-            self.size += sum(map(len, new)) + sum(map(len, found)) + 160 * len(new)  # both objects' heads and the entry
-        return self.memo
+            again |= zip(new, self.encode(new))
+            self.young.update(again)
+        self.size += sum(len(k) + len(v) for k, v in again.items()) + 160 * len(again)  # both objects' heads and the entry
+        return self.young
 
 
-def encode(texts: list[str | None], name: str = VOCABULARY, runs: Runs | None = None):
+@lru_cache(maxsize=2)
+def known_runs(name: str) -> Runs:
+    return Runs(name)
+
+
+@lru_cache(maxsize=2)
+def special_start(name: str) -> str:
+    """What all special strings begin with: a text without it holds none."""
+    return commonprefix([a.content for a in tokenizer(name).get_added_tokens_decoder().values()])
+
+
+def encode(texts: list[str | None], name: str = VOCABULARY):
     """For each whole text its ids and the end id, as little-endian bytes."""
-    runs = runs or Runs(name)
-    split = special_split(name)
-    leaving = re.compile(f"[{re.escape(LEAVING)}]")
+    runs, split, start = known_runs(name), special_split(name), special_start(name)
     end = _ids([END])
     for block in blocks([x or "" for x in texts]):
         lists, whole = [], []
         for x in block:
-            if OUTSIDE.search(x) or leaving.search(x) or split.search(x):
+            if ODD.search(x) or (start in x and split.search(x)):
                 whole.append(_ids(tokenizer(name).encode(x, add_special_tokens=False).ids))
                 lists.append([])
             else:
@@ -101,17 +132,15 @@ def cut_pieces(docs: DataFrame, name: str, capacity: int) -> DataFrame:
     arrow = to_arrow_schema(StructType.fromDDL(PIECES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = Runs(name)
         for whole in batches:
             for first in range(0, whole.num_rows, ROWS):
                 b = whole.slice(first, ROWS)
                 rows = []
-                for doc_id, ids in zip(b.column("doc_id").to_pylist(), encode(b.column("text").to_pylist(), name, runs)):
+                for doc_id, ids in zip(b.column("doc_id").to_pylist(), encode(b.column("text").to_pylist(), name)):
                     for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[at:at + 4 * capacity]
                         rows.append((doc_id, piece, at // 4, len(own) // 4, zlib.crc32(own)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
-        runs.memo.clear()
         release()
 
     return docs.mapInArrow(run, PIECES)
