@@ -92,13 +92,13 @@ def shard_rows(docs: DataFrame, shards: int = 16, seed: int = 20_240_229) -> Dat
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = staged(id_text(docs).select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"),
-                                       F.crc32(text.cast("binary")).alias("text_crc32")), "shard-rows")
+                                       F.crc32(text.cast("binary")).alias("text_crc32"), F.monotonically_increasing_id().alias("row")), "shard-rows")
     total = rows.count()
     sources = min(SOURCES[1], max(SOURCES[0], total // ROWS_PER_SOURCE))
     own = ["doc_id", "size", "text_crc32"]
 
     def key(k: int):
-        return F.xxhash64(F.lit(seed), F.lit(k), *own)
+        return F.xxhash64(F.lit(seed), F.lit(k), *own, "row")  # the row's place in the written table tells equal rows apart
 
     rows = rows.withColumn("source", F.pmod(key(0), F.lit(sources)).cast("int"))
     counts = sorted((r.source, r["count"]) for r in rows.groupBy("source").count().collect())  # at most `sources` rows
@@ -109,7 +109,7 @@ def shard_rows(docs: DataFrame, shards: int = 16, seed: int = 20_240_229) -> Dat
 
     # permute within each source, deal out by the matrix
     bits = max(0, (sources // shards).bit_length() - 1)
-    place = F.row_number().over(Window.partitionBy("source").orderBy(key(1), *own))
+    place = F.row_number().over(Window.partitionBy("source").orderBy(key(1), "row"))
     sent = staged(rows.withColumn("place", place).join(F.broadcast(table), "source")
                   .select(*own, F.size(F.filter("ends", lambda e: e < F.col("place"))).alias("shard"), key(2).alias("key"))
                   .withColumn("block", F.shiftrightunsigned("key", 64 - bits).cast("int") if bits else F.lit(0)), "shard-sent")
