@@ -176,7 +176,7 @@ def against_neighbours(docs: DataFrame, buckets_per_partition: int = 4) -> DataF
     """Each document's fingerprint, that of its edited text -- the last half of
     its code points replaced by the first of the next document, by descending
     id -- and the likeness to it and to the next document.  Equal ids are ordered
-    by a hash of the text; null ids come last.
+    by a hash of the text; null ids come last, in that order too, cut at equal parts of the hash's range.
 
     Ids are cut at quantiles into ranges (the cuts and each range's largest id
     are all that the driver sees, a few numbers per partition).  The document that a
@@ -188,13 +188,15 @@ def against_neighbours(docs: DataFrame, buckets_per_partition: int = 4) -> DataF
     rows = id_text(docs).withColumn("key", F.col("doc_id").cast("double"))
     cuts = rows.agg(F.percentile_approx("key", [i / k for i in range(1, k)], 100 * k).alias("c")).first().c or []
     bucketed = Bucketizer(splits=[-float("inf"), *sorted({0.0, *cuts}), float("inf")], inputCol="key", outputCol="at", handleInvalid="keep")
-    rows = bucketed.transform(rows).withColumn("bucket", F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("at")).cast("int"))
-    heads = sorted((r.bucket, r["head"]) for r in rows.groupBy("bucket").agg(F.max("doc_id").alias("head")).collect())
-    ghosts = spark.createDataFrame([(head, heads[(i + 1) % len(heads)][0]) for i, (_, head) in enumerate(heads)], "head long, target int")
-    there = (rows.join(F.broadcast(ghosts), F.col("doc_id").eqNullSafe(F.col("head")), "left")
+    part = -1 - (F.shiftright("hash", 58) + 32)  # of rows without an id: 64 ranges, the greatest hashes lowest
+    rows = bucketed.transform(rows.withColumn("hash", F.xxhash64("text"))).withColumn("bucket", F.when(F.col("doc_id").isNull(), part).otherwise(F.col("at")).cast("int"))
+    first = F.max(F.struct("doc_id", F.bitwise_not("hash").alias("not")))  # greatest id, of its rows the smallest hash
+    heads = sorted(((r.bucket, r.first.doc_id, ~r.first["not"]) for r in rows.groupBy("bucket").agg(first.alias("first")).collect()), key=lambda x: x[0])
+    ghosts = spark.createDataFrame([(head, code, heads[(i + 1) % len(heads)][0]) for i, (_, head, code) in enumerate(heads)], "head long, code long, target int")
+    there = (rows.join(F.broadcast(ghosts), F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("hash") == F.col("code")), "left")
              .select(F.inline(F.filter(F.array(F.struct(F.col("bucket").alias("place"), F.lit(False).alias("ghost")),
                                                F.struct(F.col("target").alias("place"), F.lit(True).alias("ghost"))), lambda s: s["place"].isNotNull())),
-                     "doc_id", "text"))
+                     "doc_id", "text", "hash"))
     return (there.repartition(n, "place")
-            .sortWithinPartitions("place", "ghost", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
+            .sortWithinPartitions("place", "ghost", F.col("doc_id").desc_nulls_last(), "hash").drop("hash")
             .mapInArrow(_compare, RESULT))
