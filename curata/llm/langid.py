@@ -31,7 +31,7 @@ from .common import id_text, map_batches, map_rows
 WINDOW = 256
 WIDTHS, FILTERS = (2, 3, 4), 16
 #: Labelled documents of each language that are learnt from, in expectation
-#: (chosen by a hash of the id), and whole windows of each, evenly over the text (two short ones come on top).
+#: (chosen by a hash of id and text), and whole windows of each, evenly over the text (two short ones come on top).
 PER_LANGUAGE, WINDOWS_EACH = 600, 3
 EPOCHS, BATCH, RATE = 12, 64, 0.01
 LETTER = regex.compile(r"\p{L}")
@@ -183,16 +183,17 @@ def _sample(cols: dict, each: int) -> dict:
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, each: int = WINDOWS_EACH) -> Network | None:
     """Learn from ``each`` windows of about ``per_language`` rows of every
-    language, out of the rows that are not held out.  A row is taken by a hash of its id against
-    the language's rate, so nothing is shuffled but one count per language."""
+    language, out of the rows that are not held out.  A row is taken by a hash of its id and text against
+    the language's rate, and rows equal in both are one, so an id or text that stands often does not fill the sample."""
     rows = (id_text(docs, "lang").filter(F.col("lang").isNotNull() & (F.length("text") > 0) & F.col("doc_id").isNotNull())
             .filter(~held_out(F.col("doc_id"))))
     n = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row for each language
     if not n:
         return None
     rate = F.create_map(*[F.lit(x) for lang in sorted(n) for x in (lang, min(1.0, per_language / n[lang]))])
-    drawn = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    got = map_rows(rows.filter(drawn < F.element_at(rate, F.col("lang"))), "lang string, bytes binary", _sample, each).collect()
+    drawn = F.pmod(F.xxhash64(F.lit(5), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    sample = rows.filter(drawn < F.element_at(rate, F.col("lang"))).dropDuplicates(["doc_id", "text", "lang"])
+    got = map_rows(sample, "lang string, bytes binary", _sample, each).collect()
     if not got:
         return None
     got.sort(key=lambda r: (r.lang, bytes(r.bytes)))

@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import id_text, map_rows
 
-#: Labelled documents learnt from, and unlabelled pool, in expectation; chosen by a hash of the id.
+#: Labelled documents learnt from, and a pool of unlabelled ones, in expectation; chosen by a hash.  The pool is a sample of the
+#: unlabelled rows: every document is scored, but only these exchange pseudo-labels.
 LABELLED, POOL = 6000, 6000
 #: Labelled documents kept for the calibration: those whose hash falls in this share.
 CALIBRATION = 0.3
@@ -152,9 +153,14 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     chosen = own.filter(drawn < min(1.0, labelled / size.n)).collect()  # about `labelled` rows of two numbers
     total = docs.count()
     known = spark.createDataFrame([(r.doc_id, r.y) for r in chosen] or [(None, None)], "id long, y int")
-    sample = (id_text(docs, "source", "lang").join(F.broadcast(known), F.col("doc_id") == F.col("id"), "left")
-              .filter(F.col("y").isNotNull() | (drawn > 1 - min(1.0, pool / max(total, 1)))))
-    got = map_rows(sample.select("doc_id", "text", "source", "lang"), "doc_id long, content array<float>, page array<float>", _features).collect()
+    rows = id_text(docs, "source", "lang").join(F.broadcast(known), F.col("doc_id") == F.col("id"), "left")
+    by_row = F.pmod(F.xxhash64(F.lit(9), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    free = (rows.filter(F.col("y").isNull() & (by_row > 1 - min(1.0, pool / max(total, 1)))).dropDuplicates(["doc_id", "text"])
+            .select("doc_id", "text", "source", "lang"))
+    # one row of each labelled id, however many bear it
+    one = rows.filter(F.col("y").isNotNull()).groupBy("doc_id").agg(F.min_by(F.struct("text", "source", "lang"), F.xxhash64("text", "source", "lang")).alias("d"))
+    sample = free.unionByName(one.select("doc_id", "d.text", "d.source", "d.lang"))
+    got = map_rows(sample, "doc_id long, content array<float>, page array<float>", _features).collect()
     if not got:
         return float(size.good)
     got.sort(key=lambda r: (r.doc_id is None, r.doc_id or 0, r.content))
