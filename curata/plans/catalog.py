@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from ..operators import dedup, filters, search
 from ..operators import incremental_dedup as ID
@@ -1003,6 +1004,20 @@ def q_html_section_text(spark, sf):
             .select("page_id", F.length("section_text").cast("long").alias("n_chars"), "section_text"))
 
 
+_FIRST = "trim(regexp_replace(split_part(text, '.', 1), '[^A-Za-z]+', ' '{}))"
+
+
+@register("html_nested_sections", _w(f"""
+SELECT doc_id, trim(regexp_replace({_FIRST.format(", 'g'")} || ' (' || coalesce(lang, '') || ' ' || chr(233) || '&' || chr(8217) || ') end', ' +', ' ', 'g')) AS section_text FROM documents"""))
+def q_html_nested_sections(spark, sf):
+    """I12 on pages with nested sections of one name, attributes that hold tags, and numeric entities, one made of each document."""
+    d = tables.table(spark, sf, "documents").filter("text IS NOT NULL")
+    page = F.concat(F.lit("<script>'<div class=main>'</script><div class='side' title='</div>>'>no<div>no</div></div><div data-a=\"a > b </div>\" class='row main'>"
+                          "<p title='1 > 2'>"), F.expr(_FIRST.format("")), F.lit("</p><div>("), F.coalesce("lang", F.lit("")),
+                    F.lit(" &#233;&amp;&#x2019;)</div><!-- </div> -->end</div><div class='main'>later</div>"))
+    return d.select("doc_id", H.section_text(page, "div", {"class": "main"}).alias("section_text"))
+
+
 @register("json_abstract", _w(f"""
 WITH {O.PAPERS_CTE},
 lk AS (SELECT doi, ord % 4 AS shape, abstract FROM papers WHERE doi IS NOT NULL)
@@ -1121,6 +1136,24 @@ def q_csv_roundtrip(spark, sf):
     return back.select(*OUT, "abstract")
 
 
+@register("csv_bad_rows", _w(f"""
+WITH {O.PAPERS_CTE}
+SELECT CASE WHEN ord % 7 = 3 THEN 'bad' ELSE 'good' END AS kind, count(*) AS n, CAST(sum(ord) AS BIGINT) AS ords FROM papers GROUP BY 1"""))
+def q_csv_bad_rows(spark, sf):
+    """A file whose rows have texts for dates and numbers here and there: such rows are kept apart, with their line, and counted."""
+    root = K.run_folder(spark, "csv")
+    p = tables.papers(spark, sf)
+    odd = F.col("ord") % 7 == 3
+    rows = p.select("ord", F.when(odd & (F.col("ord") % 2 == 0), "n/a").otherwise(F.col("publication_date").cast("string")).alias("publication_date"),
+                    F.when(odd & (F.col("ord") % 2 == 1), "1.x").otherwise(F.lit("0.5")).alias("semantic_score"), "title")
+    rows.write.option("header", True).option("escape", '"').csv(os.path.join(root, "in"))
+    schema = T_.StructType.fromDDL("ord long, publication_date date, semantic_score double, title string")
+    good, bad = P.quarantined(P.read_papers_csv(spark, os.path.join(root, "in"), schema, on_bad="quarantine", multiline=True), os.path.join(root, "table"))
+    ords = F.split_part("_corrupt_record", F.lit(","), F.lit(1)).cast("long")
+    return (good.agg(F.lit("good").alias("kind"), F.count("*").alias("n"), F.sum("ord").alias("ords"))
+            .unionByName(bad.agg(F.lit("bad").alias("kind"), F.count("*").alias("n"), F.sum(ords).alias("ords"))))
+
+
 @register("raw_partition_scan", _w(f"""
 WITH {O.PAPERS_CTE}
 SELECT database AS source, query_name, count(DISTINCT ord // 150) AS n_requests
