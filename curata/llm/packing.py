@@ -46,8 +46,8 @@ WEIGHTS = (1.0, 0.01, 0.01)
 GROUP, FULL = 2048, 0.98
 #: Documents that are Python values at a time.
 ROWS = 2048
-#: Bytes of a generation of a worker's memo of encoded runs, by estimate.
-MEMO = 48 << 20
+#: Bytes that a worker's memo of encoded pre-tokens may take, by estimate; beyond it the memo starts anew.
+MEMO = 72 << 20
 #: Fixed value: the split pattern of this vocabulary.
 PRETOKENS = narrow(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -62,40 +62,41 @@ def _ids(ids: list[int]) -> bytes:
 
 
 class Runs:
-    """Ids, as little-endian bytes, of runs without white space.  Two generations of at most ``MEMO`` bytes: a full one
-    becomes the old one, of which the runs that are met again move on."""
+    """Ids, as little-endian bytes, of runs without white space.  Pre-tokens are kept while the memo is under ``MEMO`` bytes; runs of
+    several pre-tokens (a word and its punctuation), of which there are many more, only as long as a block of texts needs them."""
 
     def __init__(self, name: str):
-        self.name, self.young, self.old, self.size = name, {}, {}, 0
+        self.name, self.memo, self.size = name, {}, 0
         vocabulary = tokenizer(name).get_vocab(with_added_tokens=False)
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a pre-token
         self.last[[i for s, i in vocabulary.items() if s.endswith("</w>")]] = True
 
-    def encode(self, runs: list[str]) -> list[bytes]:
-        """Ids of each run: of its pre-tokens, all of which go to the library in one text, one space apart, and are told apart by their last ids."""
-        lists = [(x,) if x.isalpha() else PRETOKENS.findall(x) for x in runs]
-        parts = list(dict.fromkeys(chain.from_iterable(lists)))
+    def encode(self, parts: list[str]) -> list[bytes]:
+        """Ids of each pre-token: all go to the library in one text, one space apart, and are told apart by their last ids."""
         ids = np.array(tokenizer(self.name).encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, "<u4")
         ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
-        if len(ends) != len(parts) or "".join(map("".join, lists)) != "".join(runs):
-            return [_ids(e.ids) for e in tokenizer(self.name).encode_batch_fast(runs, add_special_tokens=False)]
+        if len(ends) != len(parts):
+            return [_ids(e.ids) for e in tokenizer(self.name).encode_batch_fast(parts, add_special_tokens=False)]
         raw = ids.tobytes()
-        known = {p: raw[4 * i:4 * j] for p, i, j in zip(parts, [0, *ends], ends)}
-        return [b"".join(map(known.__getitem__, x)) for x in lists]
-
-    def learn(self, lists: list[list[str]]) -> dict:
-        """A memo that holds the runs of ``lists``."""
-        if self.size > MEMO:
-            self.young, self.old, self.size = {}, self.young, 0
-        new = set(chain.from_iterable(lists)).difference(self.young)
-        again = {x: self.old[x] for x in new.intersection(self.old)} if self.old else {}
-        new = list(new.difference(again))
-        self.young.update(again)
-        if new:
-            again |= zip(new, self.encode(new))
-            self.young.update(again)
-        self.size += sum(len(k) + len(v) for k, v in again.items()) + 160 * len(again)  # both objects' heads and the entry
-        return self.young
+        return [raw[4 * i:4 * j] for i, j in zip([0, *ends], ends)]
+
+    def learn(self, lists: list[list[str]]) -> tuple[dict, list[str]]:
+        """A memo that holds the runs of ``lists``, and those of them that are to leave it afterwards."""
+        new = set(chain.from_iterable(lists)).difference(self.memo)
+        several = {x: PRETOKENS.findall(x) for x in new if not x.isalpha()}
+        for x in [x for x, parts in several.items() if len(parts) == 1 and parts[0] == x]:
+            del several[x]
+        parts = list(new.difference(several).union(*several.values()).difference(self.memo))
+        if parts:
+            if self.size > MEMO:
+                self.memo, self.size = {}, 0
+                return self.learn(lists)
+            found = self.encode(parts)
+            self.memo.update(zip(parts, found))
+            self.size += sum(map(len, parts)) + sum(map(len, found)) + 160 * len(parts)  # both objects' heads and the entry
+        get = self.memo.__getitem__
+        self.memo.update([(x, b"".join(map(get, own))) for x, own in several.items()])
+        return self.memo, list(several)
 
 
 @lru_cache(maxsize=2)
@@ -122,9 +123,12 @@ def encode(texts: list[str | None], name: str = VOCABULARY):
             else:
                 whole.append(b"")
                 lists.append(x.lower().split())
-        get = runs.learn(lists).__getitem__
+        memo, leave = runs.learn(lists)
+        get = memo.__getitem__
         for ids, found in zip(whole, lists):
             yield (ids or b"".join(map(get, found))) + end
+        for x in leave:
+            del memo[x]
 
 
 def cut_pieces(docs: DataFrame, name: str, capacity: int) -> DataFrame:

@@ -159,7 +159,7 @@ def test_edge_rows(spark):
 def test_long_conversation(spark):
     rng = random.Random(5)
     data = [(9, t, rng.choice(["user", "assistant", "assistant", "system"]), rng.choice(["a.", "b", f"t {t}.", f"t {t}"])) for t in range(3000)]
-    data += [(c, 0, "user", "x.") for c in range(50)]
+    data += [(c, 0, "user", "x.") for c in range(100, 150)]
     convs = defaultdict(list)
     for c, t, r, x in data:
         convs[c].append((t, r, x))
