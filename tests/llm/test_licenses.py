@@ -64,7 +64,7 @@ def test_spans_and_votes(spark):
     span, = L.license_spans(found, known).collect()
     n = len(dict(L.NOTICES)["mit"].split())
     runs = {r.diagonal for r in found.filter("template IS NOT NULL AND length > 4").collect()}
-    assert (span.start, span.label, span.phrase) == (20, "mit", False) and runs == {20, 22, 19} and abs(span.end - 20 - n) < 12
+    assert (span.start, span.label, span.phrase) == (20, "mit", False) and runs >= {20, 22, 19} and abs(span.end - 20 - n) < 12
     assert span.votes >= n - 3 - 3 * (L.K_NOTICE - 1) - 12
 
 
