@@ -918,7 +918,7 @@ from ..streaming import incremental as K   # noqa: E402
 
 def _docs_stream(spark, sf):
     schema = tables.table(spark, sf, "documents").schema
-    return K.file_stream(spark, sf, "documents.parquet", schema)
+    return K.table_stream(spark, sf, "documents", schema)
 
 
 @register("incremental_landing", _w(f"""
@@ -977,7 +977,7 @@ SELECT id, arg_max(status, ts) AS status, CAST(max(ts) AS VARCHAR) AS ts FROM de
 def q_decision_status_stream(spark, sf):
     root = K.run_folder(spark, "decisions")
     schema = tables.table(spark, sf, "labels").schema
-    labels = K.file_stream(spark, sf, "labels.parquet", schema)
+    labels = K.table_stream(spark, sf, "labels", schema)
     decisions = tables.decisions_from(labels)
     K.run_updates(K.decision_status_stream(decisions), os.path.join(root, "table"), os.path.join(root, "_checkpoint"))
     out = K.current_status(spark, os.path.join(root, "table"))

@@ -34,6 +34,16 @@ def _exists(spark: SparkSession, path: str) -> bool:
         return os.path.exists(path.removeprefix("file:"))
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Is ``path`` a folder of the (possibly distributed) file system?"""
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+    except Exception:  # noqa: BLE001 - no JVM handle (e.g. a Spark Connect session)
+        return os.path.isdir(path.removeprefix("file:"))
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory())
+
+
 def write_stage(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "parquet",
                 partition_by: list[str] | None = None) -> None:
     """A2: write a stage table; ``mode='append'`` adds rows (the CSV header

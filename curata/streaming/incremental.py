@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 
 from ..operators.incremental_dedup import IncrementalCascade
 from ..session import checkpoint_dir
+from ..sources.stages import is_folder
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
@@ -49,6 +50,12 @@ def file_stream(spark: SparkSession, folder: str, file_glob: str, schema: T.Stru
     return r.parquet(folder)
 
 
+def table_stream(spark: SparkSession, folder: str, name: str, schema: T.StructType) -> DataFrame:
+    """The table ``name`` of ``folder`` as a stream, be it one Parquet file or a folder of them."""
+    path = os.path.join(folder, f"{name}.parquet")
+    return file_stream(spark, path, "*", schema) if is_folder(spark, path) else file_stream(spark, folder, f"{name}.parquet", schema)
+
+
 def land_incrementally(stream: DataFrame, target: str, checkpoint: str) -> None:
     """K1: append every micro-batch to the stage table ``target`` exactly once
     (the batch id is written with the rows, so a replayed batch after a crash

@@ -79,3 +79,18 @@ def test_status_updates_and_running_progress(spark):
     changed = {r._batch: r.n for r in spark.read.parquet(os.path.join(root, "t")).groupBy("_batch").agg(F.count("*").alias("n")).collect()}
     assert changed[0] == 2 and changed[1] == 1
     assert rows(K.compact(spark, os.path.join(root, "t"), os.path.join(root, "now")), "id", "status") == rows(now, "id", "status")
+
+
+def test_streams_over_tables_of_several_files(spark):
+    """A table that is a folder of files gives the rows of the same table in one file."""
+    from curata.plans import catalog
+    root = K.run_folder(spark, "test-folders")
+    docs = [(i, f"Title {i}. Text", "en", "web", 10) for i in range(1, 60)]
+    _write(spark, root, "documents.parquet", docs[:30], "doc_id long, text string, lang string, source string, n_chars long")
+    _write(spark, root, "documents.parquet", docs[30:], "doc_id long, text string, lang string, source string, n_chars long")
+    for part in ([(1, 1, 0), (2, 0, 1)], [(5, 1, 1), (6, 1, 0)]):
+        _write(spark, root, "labels.parquet", part, "doc_id long, quality int, toxic int")
+    assert rows(catalog.q_incremental_landing(spark, root), "ord") == [(i,) for i in range(1, 60)]
+    keys = [r.doi_key for r in catalog.q_stream_dedup(spark, root).collect()]
+    assert len(keys) == 59 and keys.count(None) == 3 and len(set(keys)) == 57
+    assert rows(catalog.q_decision_status_stream(spark, root), "id", "status") == [(2, "included"), (3, "not included"), (6, "excluded"), (7, "included")]
