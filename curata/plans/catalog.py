@@ -965,8 +965,9 @@ def q_stream_cascade(spark, sf):
     """K2 with the whole cascade, over a stream in several micro-batches."""
     root = K.run_folder(spark, "cascade")
     docs = tables.table(spark, sf, "documents")
-    docs.repartition(3, "doc_id").write.parquet(os.path.join(root, "landed"))
-    stream = K.file_stream(spark, os.path.join(root, "landed"), "*.parquet", docs.schema, max_files=1)
+    n = 3 * -(-docs.rdd.getNumPartitions() // 3)   # files as many as the table's splits, three micro-batches
+    docs.repartition(n, "doc_id").write.parquet(os.path.join(root, "landed"))
+    stream = K.file_stream(spark, os.path.join(root, "landed"), "*.parquet", docs.schema, max_files=n // 3)
     state = K.stream_cascade(tables.papers_from(stream), os.path.join(root, "state"), os.path.join(root, "_checkpoint"))
     return state.select(tables.papers(spark, sf)).select(*OUT)
 

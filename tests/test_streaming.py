@@ -94,3 +94,24 @@ def test_streams_over_tables_of_several_files(spark):
     keys = [r.doi_key for r in catalog.q_stream_dedup(spark, root).collect()]
     assert len(keys) == 59 and keys.count(None) == 3 and len(set(keys)) == 57
     assert rows(catalog.q_decision_status_stream(spark, root), "id", "status") == [(2, "included"), (3, "not included"), (6, "excluded"), (7, "included")]
+
+
+def test_cascade_lands_as_many_files_as_the_table_has_splits(spark):
+    from curata.plans import catalog
+    from curata.session import checkpoint_dir
+    root = K.run_folder(spark, "test-splits")
+    for n in range(7):
+        _write(spark, root, "documents.parquet", [(n * 20 + i, f"Title {n} {i}. Text", "en", "web", 10) for i in range(20)], "doc_id long, text string, lang string, source string, n_chars long")
+    streams = os.path.join(checkpoint_dir(spark), "streams")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "2000")
+    try:
+        before = set(os.listdir(streams))
+        out = catalog.q_stream_cascade(spark, root)
+        (own,) = [f for f in os.listdir(streams) if f not in before]
+        assert len([f for f in os.listdir(os.path.join(streams, own, "landed")) if f.endswith(".parquet")]) >= 7
+        assert len(os.listdir(os.path.join(streams, own, "_checkpoint", "commits"))) >= 3
+        assert rows(out, "ord") == rows(catalog.q_dedup_cascade(spark, root), "ord")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
