@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..functions.memory import release
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The `documents` table, read by Spark alone (any path scheme)."""
@@ -25,16 +26,6 @@ def id_text(docs: DataFrame, *more: str, id_col: str = "doc_id", text_col: str =
                        *[F.col(c) for c in more])
 
 
-def release() -> None:
-    """Gives memory that a task has freed back to the machine: Spark keeps a Python worker for later tasks
-    and stages, and the allocators would keep what the largest of them needed."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
-
-
 def map_rows(df: DataFrame, schema: str, batch: Callable[..., dict], *args, rows: int | None = None) -> DataFrame:
     """``mapInArrow`` with one function from a batch's columns (Python lists by
     name) to output columns; one Arrow batch, or with ``rows`` a slice of so many rows of it, is

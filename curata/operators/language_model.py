@@ -14,18 +14,21 @@ each byte and language.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.memory import release
+
 PAIRS = 1 << 16
 UNKNOWN = "unknown"
-#: Bytes of texts that are looked up at a time.
-BLOCK = 1 << 22
+#: Bytes of texts that are looked up at a time, and rows that are Python values at a time.
+BLOCK, ROWS = 1 << 18, 512
 
 
 def letters_only(text) -> Column:
@@ -46,15 +49,20 @@ def _pairs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.delete(codes, np.cumsum(size)[:-1] - 1), size - 1  # not the pairs that cross from one text to the next
 
 
-def _blocks(texts: list[bytes]) -> Iterator[slice]:
-    first, held = 0, 0
+def _blocks(texts: Iterable[bytes | None]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Pieces of about BLOCK bytes in all, and the text of each.  A longer text is cut; a piece begins with the last byte of the one before, so
+    each pair is in one piece."""
+    owner, own, held = [], [], 0
     for i, x in enumerate(texts):
-        held += len(x)
-        if held >= BLOCK:
-            yield slice(first, i + 1)
-            first, held = i + 1, 0
-    if first < len(texts):
-        yield slice(first, len(texts))
+        for at in range(0, 0 if x is None else len(x) - 1, BLOCK):
+            owner.append(i)
+            own.append(x[at:at + BLOCK + 1])
+            held += len(own[-1])
+            if held >= BLOCK:
+                yield owner, own
+                owner, own, held = [], [], 0
+    if own:
+        yield owner, own
 
 
 @dataclass(frozen=True)
@@ -64,30 +72,34 @@ class LanguageModel:
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """Mean log-likelihood of each text in each language."""
-        out = np.zeros((len(texts), len(self.languages)))
-        for own in _blocks(texts):
-            codes, n = _pairs(texts[own])
-            starts = np.cumsum(n) - n
-            out[own] = np.add.reduceat(self.table[codes], starts, axis=0) / n[:, None]
-        return out
+        out, total = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
+        for owner, own in _blocks(texts):
+            codes, n = _pairs(own)
+            np.add.at(out, owner, np.add.reduceat(self.table[codes], np.cumsum(n) - n, axis=0))
+            np.add.at(total, owner, n)
+        return out / total[:, None]
 
 
 def count_pairs(labelled: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """lang, pair, n: byte pairs of the rows that have a text and a language."""
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
-        for b in batches:
-            for code, rows in b.groupby("lang"):
-                texts = [x.encode() for x in rows["text"]]
-                total = seen.setdefault(code, np.zeros(PAIRS, np.int64))
-                for own in _blocks(texts):
-                    total += np.bincount(_pairs(texts[own])[0], minlength=PAIRS)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                langs = b.column(0).to_pylist()
+                for code in set(langs):
+                    total = seen.setdefault(code, np.zeros(PAIRS, np.int64))
+                    texts = b.column(1).filter(pa.array([x == code for x in langs])).cast(pa.binary())
+                    for _, own in _blocks(texts.to_pylist()):
+                        total += np.bincount(_pairs(own)[0], minlength=PAIRS)
+        release()
         for code, total in seen.items():
             at = np.flatnonzero(total)
-            yield pd.DataFrame({"lang": code, "pair": at.astype(np.int32), "n": total[at]})
+            yield pa.RecordBatch.from_arrays([pa.array([code] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["lang", "pair", "n"])
 
     rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), letters_only(text).alias("text"))
-    return rows.filter("length(text) > 1").mapInPandas(count, "lang string, pair int, n long").groupBy("lang", "pair").agg(F.sum("n").alias("n"))
+    return rows.filter("length(text) > 1").mapInArrow(count, "lang string, pair int, n long").groupBy("lang", "pair").agg(F.sum("n").alias("n"))
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> LanguageModel:
@@ -107,15 +119,21 @@ def with_language(df: DataFrame, model: LanguageModel, text: str = "text", out:
     @F.pandas_udf("language string, margin double")
     def detect(texts: pd.Series) -> pd.DataFrame:
         m = shared.value
-        found = pd.DataFrame({"language": [UNKNOWN] * len(texts), "margin": np.full(len(texts), np.nan)})
-        rows = [i for i, x in enumerate(texts) if x is not None and len(x) > 1] if m.languages else []
-        if rows:
-            score = m.scores([texts.iloc[i].encode() for i in rows])
+        language, margins = np.full(len(texts), UNKNOWN, object), np.full(len(texts), np.nan)
+        for first in range(0, len(texts) if m.languages else 0, ROWS):
+            own = texts.iloc[first:first + ROWS].tolist()
+            rows = [i for i, x in enumerate(own) if x is not None and len(x) > 1]
+            if not rows:
+                continue
+            score = m.scores([own[i].encode() for i in rows])
             top = np.sort(score, axis=1)
             lead = top[:, -1] - top[:, -2] if len(m.languages) > 1 else np.full(len(rows), np.inf)
-            found.loc[rows, "margin"] = lead
-            found.loc[rows, "language"] = np.where(lead >= min_margin, np.array(m.languages, object)[score.argmax(1)], UNKNOWN)
-        return found
+            at = first + np.array(rows)
+            margins[at] = lead
+            language[at] = np.where(lead >= min_margin, np.array(m.languages, object)[score.argmax(1)], UNKNOWN)
+        del texts
+        release()
+        return pd.DataFrame({"language": language, "margin": margins})
 
     d = "__detected"
     got = df.withColumn(d, detect(letters_only(text))).withColumn(out, F.col(f"{d}.language"))

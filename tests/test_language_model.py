@@ -48,3 +48,21 @@ def test_held_out_accuracy(spark):
     from curata.plans import catalog
     rows = catalog.q_learned_language_accuracy(spark, SF).collect()
     assert sum(r.n_right for r in rows) >= 0.99 * sum(r.n for r in rows) and sum(r.n for r in rows) > 200
+
+
+def test_long_texts_are_scored_in_pieces():
+    """The memory of a score does not grow with the text; the pairs at the pieces' borders count once."""
+    import tracemalloc
+
+    import numpy as np
+    table = np.log(np.random.default_rng(3).random((LM.PAIRS, 5)))
+    model = LM.LanguageModel(tuple("abcde"), table)
+    texts = [np.random.default_rng(4).integers(0, 256, n).astype(np.uint8).tobytes() for n in (3_000_000, 2, LM.BLOCK, LM.BLOCK + 1, LM.BLOCK + 2, 50)]
+    tracemalloc.start()
+    got = model.scores(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for x, own in zip(texts, got):
+        data = np.frombuffer(x, np.uint8).astype(int)
+        assert np.allclose(table[data[:-1] * 256 + data[1:]].mean(0), own)
+    assert peak < 60 << 20
