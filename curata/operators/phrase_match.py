@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_search
+from ..functions.words import ahead, words
 from ..sources.stages import cut
 from . import search
 from .term_index import OTHER, WORD
@@ -60,26 +61,26 @@ def phrase_hits(df: DataFrame, phrases: DataFrame, fields: Sequence[str] = ("tit
     reach = counts.longest or 1
     found = []
     for i, f in enumerate(fields):
-        words, gaps = cut_words(norm_search(f))
-        texts = df.filter(F.col(f).isNotNull()).select(F.col(key), words.alias("__w"), gaps.alias("__g"))
         # a row for each word holds the words that a phrase may reach from there, not the whole text
-        places = F.sequence(F.lit(1), F.size("__w") - 1)
-        ahead = F.transform(places, lambda i: F.struct(F.slice("__w", i, F.least(F.lit(reach), F.size("__w") - i)).alias("w"), F.slice("__g", i + 1, F.lit(reach - 1)).alias("g")))
-        at = texts.filter(F.size("__w") > 1).select(key, F.explode(ahead).alias("a")).select(key, F.col("a.w").alias("__w"), F.col("a.g").alias("__g"), F.get("a.w", F.lit(0)).alias("__word"))
-        keys = [F.concat(F.lit("="), F.col("__word"))]
+        texts = df.filter(F.col(f).isNotNull())
+        at = ahead(texts, norm_search(f), [key], reach) if reach > 1 else words(texts, norm_search(f), [key], "__word")
+        exact = F.concat(F.lit("="), F.col("__word"))
         if counts.p:
-            keys += [F.when(F.length("__word") >= k, F.concat(F.lit(f"{k}:"), F.substring("__word", 1, k))) for k in range(1, LETTERS + 1)]
-        probes = at.withColumn("__key", F.explode(F.array_compact(F.array(*keys))))
+            begins = [F.when(F.length("__word") >= k, F.concat(F.lit(f"{k}:"), F.substring("__word", 1, k))) for k in range(1, LETTERS + 1)]
+            probes = at.withColumn("__key", F.explode(F.array_compact(F.array(exact, *begins))))
+        else:
+            probes = at.withColumn("__key", exact)
         passes = max(1, -(-counts.n // per_pass))
         for p in range(passes):
             some = ready if passes == 1 else ready.filter(F.pmod(F.xxhash64("__key", phrase), F.lit(passes)) == p)
             n = F.col("__n")
-            own = F.slice("__w", F.lit(1), n)
-            between = F.slice("__g", F.lit(1), n - 1) == F.col("__gaps")
+            from_here, gaps = (F.col("__w"), F.col("__g")) if reach > 1 else (F.array("__word"), F.array().cast("array<string>"))
+            own = F.slice(from_here, F.lit(1), n)
+            between = F.slice(gaps, F.lit(1), n - 1) == F.col("__gaps")
             last, theirs = F.get(own, n - 1), F.get("__words", n - 1)
             whole = own == F.col("__words")
             begun = F.col("__prefix") & (F.slice(own, F.lit(1), n - 1) == F.slice("__words", F.lit(1), n - 1)) & last.startswith(theirs)
-            hit = probes.join(F.broadcast(some), "__key").filter((n <= F.size("__w")) & between & F.coalesce(whole | begun, F.lit(False)))
+            hit = probes.join(F.broadcast(some), "__key").filter((n <= F.size(from_here)) & between & F.coalesce(whole | begun, F.lit(False)))
             found.append(hit.select(key, F.lit(i).alias("field"), *columns).distinct())
     out = reduce(DataFrame.unionByName, found)
     return out
@@ -118,13 +119,13 @@ LEAST_LETTERS = 3
 
 def vocabulary(df: DataFrame, text: str = "abstract") -> DataFrame:
     """token, n: the words of a column, lower case, and how often they stand there."""
-    words, _ = cut_words(norm_search(text))
-    return (df.filter(F.col(text).isNotNull()).select(F.explode(F.slice(words, F.lit(1), F.size(words) - 1)).alias("token")).groupBy("token").agg(F.count("*").alias("n")))
+    return words(df, norm_search(text), name="token").groupBy("token").agg(F.count("*").alias("n"))
 
 
 def lemma_table(words: DataFrame) -> DataFrame:
     """token, lemma for every word of a ``vocabulary``: the irregular form, else the first detachment that is itself a word of the vocabulary, else
     the word.  One join of the distinct words with themselves; texts are not touched."""
+    words = cut(words, "vocabulary")
     token = F.col("token")
     irregular = F.create_map(*[F.lit(x) for pair in IRREGULAR.items() for x in pair])
     tries = [F.when(token.endswith(end) & (F.length(token) - len(end) + len(put) >= LEAST_LETTERS),

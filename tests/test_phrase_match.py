@@ -3,6 +3,8 @@
 import pytest
 
 from conftest import SF_SMALL
+from pyspark.sql import functions as F
+
 from curata.operators import phrase_match as P
 from curata.operators import search
 from curata.sources import tables
@@ -59,3 +61,26 @@ def test_lemmas(spark):
     forms = P.keyword_forms(spark.createDataFrame([("study",), ("Analyses",), ("unheard",)], "keyword string"), P.lemma_table(words))
     assert {(r.keyword, r.phrase) for r in forms.collect()} == {("study", "study"), ("study", "studies"), ("Analyses", "analyses"), ("unheard", "unheard")}
     assert P.lemma_table(words.limit(0)).count() == 0
+
+
+def test_texts_are_cut_by_arrow(spark):
+    """Words, and the words ahead of them, of texts of every size; no regular expression of the JVM goes over the texts."""
+    import random
+    import re
+
+    from curata.functions import words as W
+    rng = random.Random(5)
+    texts = [None, "", "  ", "one", " -é_1 ,x", "naïve 中文 x²", "b" + " " * 3000]
+    texts += ["".join(rng.choice(["ab", "ü", "7", "_", " ", ", ", "\t", "-"]) for _ in range(n)) for n in (5, 400, 400_000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, abstract string").coalesce(1)
+    found, reach = [], []
+    for k, x in enumerate(texts):
+        own, gaps = re.findall(r"\w+", x or ""), re.split(r"\w+", x or "")
+        found += [(k, w) for w in own]
+        reach += [(k, w, tuple(own[i:i + 3]), tuple(gaps[i + 1:i + len(own[i:i + 3])])) for i, w in enumerate(own)]
+    assert sorted(tuple(r) for r in W.words(df, F.col("abstract"), ["k"]).collect()) == sorted(found)
+    got = W.ahead(df, F.col("abstract"), ["k"], 3).collect()
+    assert sorted((r.k, r[1], tuple(r[2]), tuple(r[3])) for r in got) == sorted(reach)
+    assert "regexp_extract_all" not in P.vocabulary(df)._jdf.queryExecution().toString()
+    hits = P.phrase_hits(df, spark.createDataFrame([("ab",), ("ü 7",)], "phrase string"), ["abstract"], key="k")
+    assert "regexp_extract_all" not in hits._jdf.queryExecution().toString()
