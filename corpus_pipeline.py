@@ -15,8 +15,8 @@ from curata.llm.common import documents, staged
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an identified language go (operator 5)."""
-    return langid.keep_identified(docs)
+    """Documents without an identified language go, and those where none has the greater part of the probability (operator 5)."""
+    return langid.keep_identified(docs, langid.MAJORITY)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

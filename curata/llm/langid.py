@@ -33,6 +33,8 @@ WIDTHS, FILTERS = (2, 3, 4), 16
 #: Labelled documents of each language that are learnt from, in expectation
 #: (chosen by a hash of id and text), and whole windows of each, evenly over the text (two short ones come on top).
 PER_LANGUAGE, WINDOWS_EACH = 600, 3
+#: Score under which a text's other languages together are as likely as its own.
+MAJORITY = 0.5
 EPOCHS, BATCH, RATE = 12, 64, 0.01
 LETTER = regex.compile(r"\p{L}")
 

@@ -87,6 +87,14 @@ def test_language_keeps_texts_where_nothing_can_be_learnt(spark):
     assert stage(spark, "language", held).count() == held.filter("text RLIKE '[A-Za-z]'").count() > 0
 
 
+def test_language_drops_texts_without_a_greater_language(spark):
+    parts = {k: " ".join(a + b + a for a in letters for b in letters) + " " for k, letters in (("x", "abcd"), ("y", "klmn"), ("z", "uvwy"))}
+    data = [(i, parts[k] * (4 + i % 5), k) for i, k in enumerate("xyz" * 40)]
+    data += [(1000 + i, "".join((parts[k] * 20)[:256 * 4] for k in "xyz"), k) for i, k in enumerate("xyz")]
+    df = spark.createDataFrame([(i, t, k, "s", len(t)) for i, t, k in data], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in stage(spark, "language", df).collect()) == list(range(120))
+
+
 def test_near_duplicates_by_id_and_text(spark):
     base = " ".join(f"word{i}" for i in range(60))
     near = base + " more"
