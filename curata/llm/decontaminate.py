@@ -45,7 +45,7 @@ MASKS = ((0, 1, 3, 4, 5, 6, 7), (0, 1, 2, 4, 6, 9, 10), (0, 1, 2, 3, 7, 9, 10))
 #: Unicode blocks of the scripts whose words are not set apart by spaces (Thai, Lao; Myanmar; Khmer; CJK radicals, Han, kana,
 #: Bopomofo, Yi; Myanmar and Han extensions).  A range of code points costs the regular expression far less than a script class.
 UNSPACED = (r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\u2FDF\u3005-\u3007\u3021-\u3029\u3031-\u3035\u3038-\u303C\u3041-\u312F\u31A0-\u31BF\u31F0-\u31FF"
-            r"\u3400-\u4DBF\u4E00-\uA4CF\uA9E0-\uA9FF\uAA60-\uAA7F\uF900-\uFAFF\uFF66-\uFF9D\x{16FE0}-\x{18CFF}\x{1AFF0}-\x{1B16F}\x{20000}-\x{323AF}")
+            r"\u3400-\u4DBF\u4E00-\uA4CF\uA9E0-\uA9FF\uAA60-\uAA7F\uF900-\uFAFF\uFF66-\uFF9D\x{16FE0}-\x{16FFF}\x{1AFF0}-\x{1B16F}\x{20000}-\x{3347F}")
 #: Benchmark seeds that are broadcast at a time: 5 numbers each, under 100 MB; the token
 #: arrays of their items, broadcast beside them, hold a third as many numbers as there are seeds.
 SEEDS_PER_PASS = 2_000_000
