@@ -29,7 +29,7 @@ def blank_to_null(c) -> Column:
 
 def norm_search(c) -> Column:
     """Search normaliser -- hyphen and newline become spaces, lower case."""
-    return F.lower(F.translate(_c(c), "-\n", "  "))
+    return F.lower(F.replace(F.replace(_c(c), F.lit("-"), F.lit(" ")), F.lit("\n"), F.lit(" ")))
 
 
 def norm_dedup(c) -> Column:
@@ -144,13 +144,19 @@ def lemmatize_word(word: str) -> str:
 # Accent folding used by the tokenizer (I8).
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 UNACCENTED = "aaaaaaceeeeiiiinooooouuuuyy"
+# What stands between the tokenizer's words.
+NOT_LETTERS = r"[^\p{L}]+"
+
+
+def unmarked(c) -> Column:
+    """I8: a text without tags, lower case, accents folded."""
+    return F.translate(F.lower(F.regexp_replace(_c(c), r"<[^>]+>", " ")), ACCENTED, UNACCENTED)
 
 
 def tokenize(c, min_len: int = 2, max_len: int | None = 15) -> Column:
     """I8: strip tags, lower case, fold accents, split on non-letters, keep
     tokens of ``min_len``..``max_len`` characters (``None``: however long)."""
-    text = F.translate(F.lower(F.regexp_replace(_c(c), r"<[^>]+>", " ")), ACCENTED, UNACCENTED)
-    toks = F.split(text, r"[^\p{L}]+")
+    toks = F.split(unmarked(c), NOT_LETTERS)
     if max_len is None:
         return F.filter(toks, lambda t: F.length(t) >= min_len)
     return F.filter(toks, lambda t: (F.length(t) >= min_len) & (F.length(t) <= max_len))

@@ -21,10 +21,10 @@ WORD, OTHER = f"{WORD_CLASS}+", f"[^{WORD_CLASS[1:-1]}]+"
 BLOCK = 1 << 20
 
 
-def _blocks(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Rows whose texts, the last column, have about BLOCK bytes; a longer text is alone."""
+def blocks(b: pa.RecordBatch, most: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """Rows whose texts, the last column, have about ``most`` bytes; a longer text is alone."""
     size = pc.binary_length(b.column(b.num_columns - 1)).to_numpy(zero_copy_only=False)
-    block = (np.cumsum(size, dtype=np.int64) - size) // BLOCK
+    block = (np.cumsum(size, dtype=np.int64) - size) // most
     edges = [*(np.flatnonzero(np.diff(block, prepend=-1))).tolist(), b.num_rows]
     for first, end in zip(edges, edges[1:]):
         yield b.slice(first, end - first)
@@ -46,6 +46,15 @@ def gaps_before(texts: pa.Array) -> pa.Array:
     return lists.flatten().filter(pa.array(keep))
 
 
+def by_word(own: np.ndarray, found: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """An order of words that brings together those that are equal and of one text, where each such group begins in it, and the word of each."""
+    coded = found.dictionary_encode()
+    group = own * max(1, len(coded.dictionary)) + coded.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(group, kind="stable")
+    first = np.flatnonzero(np.diff(group[order], prepend=-1))
+    return order, first, found.take(pa.array(order[first]))
+
+
 def _rows(df: DataFrame, text: Column, keep: Sequence[str], more: str, build: Callable[[pa.Array], tuple[np.ndarray, list[pa.Array]]]) -> DataFrame:
     """The columns ``keep`` and those of ``more``: as many rows for each text as ``build`` makes of it."""
     own = df.select(*keep, text.alias("__text")).filter("__text IS NOT NULL")
@@ -53,7 +62,7 @@ def _rows(df: DataFrame, text: Column, keep: Sequence[str], more: str, build: Ca
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in _blocks(whole):
+            for b in blocks(whole):
                 at, columns = build(b.column(b.num_columns - 1))
                 if len(at):
                     yield pa.RecordBatch.from_arrays([*(b.column(i).take(pa.array(at)) for i in range(len(keep))), *columns], names=schema.names)
@@ -86,3 +95,23 @@ def ahead(df: DataFrame, text: Column, keep: Sequence[str], reach: int) -> DataF
         return own, [found, lists(found, n, some), lists(gaps, n + 1, some - 1)]
 
     return _rows(df, text, keep, "__word string, __w array<string>, __g array<string>", build)
+
+
+def counted(df: DataFrame, text: Column, keep: Sequence[str], between: str = OTHER) -> DataFrame:
+    """term, tf: a row for each different word of ``text``, and how often it stands there."""
+    def build(texts: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+        own, found = split(texts, between)
+        order, first, terms = by_word(own, found)
+        return own[order[first]], [terms, pa.array(np.diff(first, append=len(order)), pa.int64())]
+
+    return _rows(df, text, keep, "term string, tf long", build)
+
+
+def holders(df: DataFrame, text: Column, between: str = OTHER) -> DataFrame:
+    """term, df: every word and how many texts hold it, counted block by block; the counts of a word are to be added up."""
+    def build(texts: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+        seen = by_word(*split(texts, between))[2].value_counts()
+        return np.arange(len(seen)), [seen.field("values"), seen.field("counts")]
+
+    return _rows(df, text, [], "term string, df long", build)
+

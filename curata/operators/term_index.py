@@ -1,10 +1,11 @@
 """Positional term index for boolean search (survey C9).
 
-A posting is one occurrence of a word: (term, ord, field, pos, gap), ``gap`` being what stands between it and the word before.  Postings are
-range-partitioned by (term, ord) and stored by part, so a query reads the parts that hold its words -- a frequent word fills parts of its own, and a
+A posting is a word with what stands before it, ``gap``, and up to ``ROW`` of its occurrences in a field: the records' keys ``ord`` and the places ``pos``.
+Arrow cuts the texts, a block of them at a time.  Postings are ranged by (term, first) into parts of about as many occurrences each; where parts begin
+is taken from a sample of ``TEXTS`` texts, which decides on sizes alone.  So a query reads the parts that hold its words -- a frequent word fills parts of its own, and a
 prefix is a range of terms.  The lexicon (term, first and last part, occurrences) names the parts; a query fetches one row of it for each of its words.
 
-A phrase is its words at consecutive places with the same text between them: joins of narrow postings by (ord, field, pos).  The query's
+A phrase is its words at consecutive places with the same text between them: joins of narrow occurrences by (ord, field, pos).  The query's
 AND/OR structure is evaluated by Spark over one row for each (ord, field) that some term hits, holding which terms hit it.
 Rows are those of ``search.boolean_search``, the scan.  A term that begins or ends with other than a letter, digit or underscore has no place in the
 index; its hits are found by the scan.
@@ -14,50 +15,90 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Mapping, Sequence
+from bisect import bisect_right
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import words
+from ..functions.memory import release
 from ..functions.text import WORD_CLASS, norm_search
+from ..sources.stages import cut
 from . import search
 
 #: Occurrences of a part, about.
 PART = 2_000_000
 #: Parts at least, so that small tables are cut too.
 LEAST_PARTS = 16
+#: Occurrences of a posting, and bytes of texts that are cut at a time.
+ROW, BLOCK = 256, 4 << 20
+#: Texts, and postings of them for each part, that say where parts begin.
+TEXTS, SAMPLE = 5000, 200
 WORD, OTHER = f"{WORD_CLASS}+", f"[^{WORD_CLASS[1:-1]}]*"
 HIT = ["ord", "field"]
-SCHEMA = "term string, ord long, field int, pos int, gap string, part int"
+POSTING = "term string, gap string, first long, n int, ord array<long>, pos array<int>, part int"
+SCHEMA = f"{POSTING}, field int"
+
+
+def _postings(texts: pa.RecordBatch, edges: Sequence[tuple[str, int]]) -> pa.RecordBatch:
+    """The postings of a block of texts (ord, text), and the parts that they belong to."""
+    own, found = words.split(texts.column(1), words.OTHER)
+    term, gap = found.dictionary_encode(), words.gaps_before(texts.column(1)).dictionary_encode()
+    group = term.indices.to_numpy(zero_copy_only=False).astype(np.int64) * max(1, len(gap.dictionary)) + gap.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(group, kind="stable")
+    group, n = group[order], np.arange(len(group))
+    first = np.flatnonzero((n - np.searchsorted(group, group)) % ROW == 0)
+    ends, head = pa.array(np.append(first, len(group)), pa.int32()), pa.array(order[first])
+    ords, pos = texts.column(0).take(pa.array(own[order])), pa.array((n - np.searchsorted(own, own))[order], pa.int32())
+    terms, heads = term.dictionary.take(term.indices.take(head)), pc.fill_null(ords.take(pa.array(first)), 0)
+    part = pa.array([bisect_right(edges, at) for at in zip(terms.to_pylist(), heads.to_pylist())], pa.int32())
+    return pa.RecordBatch.from_arrays([
+        terms, gap.dictionary.take(gap.indices.take(head)), heads, pa.array(np.diff(first, append=len(group)), pa.int32()),
+        pa.ListArray.from_arrays(ends, ords), pa.ListArray.from_arrays(ends, pos), part], names=["term", "gap", "first", "n", "ord", "pos", "part"])
+
+
+def postings(df: DataFrame, fields: Sequence[str], key: str = "ord", edges: Sequence[tuple[str, int]] = ()) -> DataFrame:
+    """term, gap, first (the first of ``ord``), n (its size), ord, pos, part (how many of ``edges`` it has reached), field (its number): every word of
+    every field."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in words.blocks(whole, BLOCK):
+                yield _postings(b, edges)
+        release()
 
-
-def postings(df: DataFrame, fields: Sequence[str], key: str = "ord") -> DataFrame:
-    """term, ord, field (its number), pos, gap: every word of every field."""
     def of(i: int, f: str) -> DataFrame:
-        # a word of our own at the end: the expression then never looks for one in vain, which would be quadratic in what ends a text
-        pattern = F.lit(f"({OTHER})({WORD})")
-        both = F.arrays_zip(F.regexp_extract_all("__t", pattern, F.lit(2)).alias("term"), F.regexp_extract_all("__t", pattern, F.lit(1)).alias("gap"))
-        return (df.filter(F.col(f).isNotNull()).select(F.col(key).cast("long").alias("ord"), F.concat(norm_search(f), F.lit(" x")).alias("__t"))
-                .select("ord", both.alias("__w")).select("ord", F.posexplode(F.slice("__w", F.lit(1), F.size("__w") - 1)).alias("pos", "w"))
-                .select("w.term", "ord", F.lit(i).alias("field"), "pos", "w.gap"))
+        own = df.select(F.col(key).cast("long").alias("ord"), norm_search(f).alias("text")).filter("text IS NOT NULL")
+        return own.mapInArrow(run, POSTING).withColumn("field", F.lit(i))
 
     return reduce(DataFrame.unionByName, [of(i, f) for i, f in enumerate(fields)])
 
 
+def _edges(df: DataFrame, fields: Sequence[str], key: str, parts: int | None) -> tuple[list[tuple[str, int]], int]:
+    """Where parts of about as many occurrences each begin, and the number of parts, by the postings of some texts."""
+    share = min(1.0, TEXTS / max(1, df.count()))
+    some = cut(postings(df.sample(share, seed=1), fields, key).select("term", F.col("first"), "n"), "sample")
+    rows, n = some.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    parts = parts or max(LEAST_PARTS, -(-int(n / share) // PART))
+    few = sorted(tuple(r) for r in some.sample(min(1.0, SAMPLE * parts / max(1, rows)), seed=1).collect())
+    upto = np.cumsum([n for *_, n in few])
+    return [few[i][:2] for i in np.searchsorted(upto, upto[-1] * np.arange(1, parts) / parts)] if few else [], parts
+
+
 def build(df: DataFrame, path: str, fields: Sequence[str] = ("title", "abstract"), key: str = "ord", parts: int | None = None) -> TermIndex:
     """Write the index of ``df`` under ``path`` and open it."""
     spark = df.sparkSession
-    own = postings(df, fields, key)
-    if parts is None:  # occurrences by a count of the words alone, without their places
-        sizes = [F.coalesce(F.regexp_count(norm_search(f), F.lit(WORD)), F.lit(0)).cast("long") for f in fields]
-        n = df.agg(F.sum(reduce(lambda a, b: a + b, sizes)).alias("n")).first().n or 0
-        parts = max(LEAST_PARTS, -(-n // PART))
-    sorted_ = own.repartitionByRange(parts, "term", "ord").sortWithinPartitions("term", "ord", "field", "pos").withColumn("part", F.spark_partition_id())
+    edges, parts = _edges(df, fields, key, parts)
+    # the part first: files are written in its order, and another sort would come after this one
+    sorted_ = postings(df, fields, key, edges).repartitionById(parts, "part").sortWithinPartitions("part", "term", "first", "field")
     sorted_.write.mode("overwrite").partitionBy("part").parquet(os.path.join(path, "postings"))
     written = spark.read.schema(SCHEMA).parquet(os.path.join(path, "postings"))
-    lexicon = written.groupBy("term").agg(F.min("part").alias("first"), F.max("part").alias("last"), F.count("*").alias("n"))
+    lexicon = written.groupBy("term").agg(F.min("part").alias("first"), F.max("part").alias("last"), F.sum("n").alias("n"))
     lexicon.repartitionByRange(max(1, parts // 16), "term").sortWithinPartitions("term").write.mode("overwrite").parquet(os.path.join(path, "lexicon"))
     return open_index(spark, path, fields)
 
@@ -104,17 +145,23 @@ class TermIndex:
         found = reduce(DataFrame.unionByName, asked).collect() if asked else []
         return {words[r.i]: (r.a, r.b) for r in found if r.a is not None}
 
-    def occurrences(self, word: str, prefix: bool, parts: Mapping[tuple[str, bool], tuple[int, int]]) -> DataFrame:
-        """ord, field, pos, gap of a word; only its parts are read."""
+    def postings(self, word: str, prefix: bool, parts: Mapping[tuple[str, bool], tuple[int, int]]) -> DataFrame:
+        """The postings of a word; only its parts are read."""
         rows = self.spark.read.schema(SCHEMA).parquet(os.path.join(self.path, "postings"))
         if (word, prefix) not in parts:
-            return rows.filter(F.lit(False)).select(*HIT, "pos", "gap")
+            return rows.filter(F.lit(False))
         a, b = parts[word, prefix]
-        return rows.filter(F.col("part").between(a, b) & self._matches(word, prefix)).select(*HIT, "pos", "gap")
+        return rows.filter(F.col("part").between(a, b) & self._matches(word, prefix))
+
+    def occurrences(self, word: str, prefix: bool, parts: Mapping[tuple[str, bool], tuple[int, int]]) -> DataFrame:
+        """ord, field, pos, gap of a word."""
+        return self.postings(word, prefix, parts).select("field", "gap", F.explode(F.arrays_zip("ord", "pos")).alias("o")).select("o.ord", "field", "o.pos", "gap")
 
     def hits(self, p: Phrase, parts: Mapping) -> DataFrame:
         """(ord, field) where a phrase stands."""
         last = len(p.words) - 1
+        if not last:
+            return self.postings(p.words[0], p.prefix, parts).select(F.explode("ord").alias("ord"), "field").distinct()
         rows = [self.occurrences(w, p.prefix and i == last, parts) for i, w in enumerate(p.words)]
         found = rows[0].select(*HIT, "pos")
         for i in range(1, len(rows)):

@@ -59,3 +59,23 @@ def test_repeated_and_empty_tables(spark, tmp_path):
     empty = df.limit(0)
     ix = T.build(empty, str(tmp_path / "b"))
     assert ix.search(empty, "a AND 'b c'").count() == 0
+
+
+def test_postings_gather_the_occurrences_of_a_block_of_texts(spark):
+    df = spark.createDataFrame([(1, "A b-a, a"), (2, "a" + " a" * 600), (3, None), (None, "a")], "ord long, t string").coalesce(1)
+    found = T.postings(df, ["t"])
+    plan = found._jdf.queryExecution().executedPlan().toString().lower()
+    assert "mapinarrow" in plan and "regexp" not in plan and "generate" not in plan
+    rows = found.collect()
+    assert all(r.n == len(r.ord) == len(r.pos) <= T.ROW and r.field == 0 for r in rows) and len(rows) < 10
+    places = sorted((r.term, r.gap, -1 if o is None else o, p) for r in rows for o, p in zip(r.ord, r.pos))
+    assert places == sorted([("a", "", 1, 0), ("b", " ", 1, 1), ("a", " ", 1, 2), ("a", ", ", 1, 3), ("a", "", -1, 0), ("a", "", 2, 0), *(("a", " ", 2, i) for i in range(1, 601))])
+
+
+def test_a_sample_of_the_texts_says_where_parts_begin(spark, tmp_path, monkeypatch):
+    p = tables.papers(spark, SF_SMALL)
+    monkeypatch.setattr(T, "TEXTS", 20)
+    ix = T.build(p, str(tmp_path / "ix"), parts=12)
+    assert spark.read.parquet(f"{ix.path}/postings").groupBy("part").count().count() > 6
+    for query in QUERIES[:4]:
+        assert {r.ord for r in ix.search(p, query).collect()} == {r.ord for r in search.boolean_search(p, query).collect()}
