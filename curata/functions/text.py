@@ -149,14 +149,14 @@ NOT_LETTERS = r"[^\p{L}]+"
 
 
 def unmarked(c) -> Column:
-    """I8: a text without tags, lower case, accents folded."""
-    return F.translate(F.lower(F.regexp_replace(_c(c), r"<[^>]+>", " ")), ACCENTED, UNACCENTED)
+    """I8: a text without tags, lower case."""
+    return F.lower(F.regexp_replace(_c(c), r"<[^>]+>", " "))
 
 
 def tokenize(c, min_len: int = 2, max_len: int | None = 15) -> Column:
     """I8: strip tags, lower case, fold accents, split on non-letters, keep
     tokens of ``min_len``..``max_len`` characters (``None``: however long)."""
-    toks = F.split(unmarked(c), NOT_LETTERS)
+    toks = F.split(F.translate(unmarked(c), ACCENTED, UNACCENTED), NOT_LETTERS)
     if max_len is None:
         return F.filter(toks, lambda t: F.length(t) >= min_len)
     return F.filter(toks, lambda t: (F.length(t) >= min_len) & (F.length(t) <= max_len))

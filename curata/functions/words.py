@@ -97,21 +97,19 @@ def ahead(df: DataFrame, text: Column, keep: Sequence[str], reach: int) -> DataF
     return _rows(df, text, keep, "__word string, __w array<string>, __g array<string>", build)
 
 
-def counted(df: DataFrame, text: Column, keep: Sequence[str], between: str = OTHER) -> DataFrame:
-    """term, tf: a row for each different word of ``text``, and how often it stands there."""
+def folded(found: pa.Array, letters: dict[int, int]) -> pa.Array:
+    """Words with others in place of some letters, none of them ASCII; each different word that may have such is looked at once."""
+    coded = found.dictionary_encode()
+    odd = pc.invert(pc.string_is_ascii(coded.dictionary))
+    other = pa.array([w.translate(letters) for w in coded.dictionary.filter(odd).to_pylist()], found.type)
+    return pc.replace_with_mask(coded.dictionary, odd, other).take(coded.indices)
+
+
+def counted(df: DataFrame, text: Column, keep: Sequence[str], between: str = OTHER, letters: dict[int, int] | None = None) -> DataFrame:
+    """term, tf: a row for each different word of ``text``, ``folded``, and how often it stands there."""
     def build(texts: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
         own, found = split(texts, between)
-        order, first, terms = by_word(own, found)
+        order, first, terms = by_word(own, folded(found, letters or {}))
         return own[order[first]], [terms, pa.array(np.diff(first, append=len(order)), pa.int64())]
 
     return _rows(df, text, keep, "term string, tf long", build)
-
-
-def holders(df: DataFrame, text: Column, between: str = OTHER) -> DataFrame:
-    """term, df: every word and how many texts hold it, counted block by block; the counts of a word are to be added up."""
-    def build(texts: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
-        seen = by_word(*split(texts, between))[2].value_counts()
-        return np.arange(len(seen)), [seen.field("values"), seen.field("counts")]
-
-    return _rows(df, text, [], "term string, df long", build)
-

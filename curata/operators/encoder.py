@@ -1,7 +1,7 @@
 """Text encoder with corpus statistics (survey S3): term frequency times inverse document frequency.
 
 ``fit`` is one distributed aggregate over the distinct words of each text and can be stored as a table and loaded again.  Encoding joins the words of the
-texts with it.  A word that is in a third of all texts would make that join lopsided, so the most frequent words (at most
+texts, cut and counted by Arrow a block of texts at a time, with it.  A word that is in a third of all texts would make that join lopsided, so the most frequent words (at most
 ``FREQUENT``, a bound that is counted before) are joined by broadcast and only the others by shuffle.
 
 ``tfidf_relevance`` is the exact cosine of sparse vectors: records against the mean of the unit vectors of one or more descriptions.
@@ -20,21 +20,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import tokenize
+from ..functions.text import ACCENTED, NOT_LETTERS, UNACCENTED, unmarked
+from ..functions.words import counted
 from ..sources.stages import cut, write_stage
 
 #: Words that are joined by broadcast, at most.
 FREQUENT = 50_000
 
 
-def _words(texts: DataFrame, text: str):
-    return F.coalesce(tokenize(text, min_len=1, max_len=None), F.array().cast("array<string>"))
+def word_counts(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, term, tf: a row for each different word of each text, counted where the text lies and written once, for ``fit`` and for weights."""
+    return cut(counted(texts.select(key, text), unmarked(text), [key], NOT_LETTERS, str.maketrans(ACCENTED, UNACCENTED)), "counts")
 
 
-def fit(texts: DataFrame, text: str = "text") -> DataFrame:
-    """term, df (texts that hold it), n (texts), idf = ln((1 + n) / (1 + df)) + 1."""
+def fit(texts: DataFrame, text: str = "text", counts: DataFrame | None = None) -> DataFrame:
+    """term, df (texts that hold it), n (texts), idf = ln((1 + n) / (1 + df)) + 1.  ``counts``: the ``word_counts`` of the texts, where they are at hand."""
     n = texts.count()
-    seen = texts.select(F.explode(F.array_distinct(_words(texts, text))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    if counts is None:
+        counts = counted(texts, unmarked(text), [], NOT_LETTERS, str.maketrans(ACCENTED, UNACCENTED))
+    seen = counts.groupBy("term").agg(F.count("*").alias("df"))
     return seen.withColumn("n", F.lit(n).cast("long")).withColumn("idf", F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
 
 
@@ -58,14 +62,23 @@ def _least_frequent(stats: DataFrame, at_most: int) -> int:
     return least
 
 
-def term_weights(texts: DataFrame, key: str, text: str, stats: DataFrame, frequent: int = FREQUENT) -> DataFrame:
+def _by_key(texts: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """key, term, tf: the words of rows that share a key counted together; only those are brought together."""
+    again = cut(texts.groupBy(key).count().filter("count > 1").select(F.col(key).alias("__again")), "again")
+    if again.isEmpty():
+        return counts
+    same = F.col(key).eqNullSafe(F.col("__again"))
+    alone, shared = counts.join(again, same, "left_anti"), counts.join(again, same, "left_semi")
+    return alone.unionByName(shared.groupBy(key, "term").agg(F.sum("tf").alias("tf")))
+
+
+def term_weights(texts: DataFrame, key: str, text: str, stats: DataFrame, frequent: int = FREQUENT, counts: DataFrame | None = None) -> DataFrame:
     """key, term, weight (tf x idf) and the other columns of ``stats`` for the words of each text; words that ``stats`` lacks are left out."""
-    own = (texts.select(F.col(key), F.explode(_words(texts, text)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")))
+    own = _by_key(texts, key, word_counts(texts, key, text) if counts is None else counts)
     least = _least_frequent(stats, frequent)
     common, rare = stats.filter(F.col("df") >= least), stats.filter(F.col("df") < least)
-    marked = own.join(F.broadcast(common.withColumn("common", F.lit(True))), "term", "left")
-    found = marked.filter("common").drop("common")
-    others = marked.filter("common IS NULL").select(key, "term", "tf").join(rare, "term").select(found.columns)
+    found = own.join(F.broadcast(common), "term")
+    others = own.join(F.broadcast(common.select("term")), "term", "left_anti").join(rare, "term")
     return found.unionByName(others).withColumn("weight", F.col("tf") * F.col("idf"))
 
 
@@ -78,10 +91,11 @@ def description_weights(descriptions: DataFrame, stats: DataFrame, text: str = "
     return w.join(norms, "d").groupBy("term").agg((F.sum(F.col("weight") / F.col("norm")) / n).alias("q"))
 
 
-def tfidf_relevance(records: DataFrame, descriptions: DataFrame, stats: DataFrame, threshold: float, text: str = "text", key: str = "ord") -> DataFrame:
+def tfidf_relevance(records: DataFrame, descriptions: DataFrame, stats: DataFrame, threshold: float, text: str = "text", key: str = "ord",
+                    counts: DataFrame | None = None) -> DataFrame:
     """key and semantic_score: the mean cosine of each record to the descriptions, where it is ``threshold`` or more."""
     known = cut(stats.join(description_weights(descriptions, stats, "text"), "term", "left").withColumn("q", F.coalesce("q", F.lit(0.0))), "terms")
-    w = term_weights(records, key, text, known)
+    w = term_weights(records, key, text, known, counts=counts)
     scored = w.groupBy(key).agg((F.sum(F.col("weight") * F.col("q")) / F.sqrt(F.sum(F.col("weight") * F.col("weight")))).alias("semantic_score"))
     if threshold <= 0:  # records without a word score 0
         scored = records.select(key).join(scored, key, "left").withColumn("semantic_score", F.coalesce("semantic_score", F.lit(0.0)))

@@ -502,8 +502,9 @@ SELECT doc_id AS ord, round(s, 6) AS semantic_score FROM s WHERE s >= {TFIDF_T}"
 def q_tfidf_relevance(spark, sf):
     """S3 on whole texts: mean TF-IDF cosine of every record to the descriptions, the `benchmark` passages."""
     docs = tables.table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), "text")
-    stats = stages.cut(EN.fit(docs), "tfidf")
-    found = EN.tfidf_relevance(docs, tables.table(spark, sf, "benchmark"), stats, TFIDF_T)
+    counts = EN.word_counts(docs, "ord")
+    stats = stages.cut(EN.fit(docs, counts=counts), "tfidf")
+    found = EN.tfidf_relevance(docs, tables.table(spark, sf, "benchmark"), stats, TFIDF_T, counts=counts)
     return found.select("ord", F.round("semantic_score", 6).alias("semantic_score"))
 
 

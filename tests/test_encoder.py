@@ -47,6 +47,29 @@ def test_weights_and_relevance(spark, monkeypatch, frequent):
     assert {r.ord for r in E.tfidf_relevance(docs, about, stats, 0.2).collect()} == {i for i, x in want.items() if x >= 0.2}
 
 
+def test_repeated_keys_are_counted_together(spark):
+    texts = [*TEXTS, (1, "cat cat dog"), (None, "a dog"), (None, "dog, dog"), (7, "<i>Über</i>-cat42x"), (5, None)]
+    docs = spark.createDataFrame(texts, "ord long, text string")
+    stats = E.fit(docs)
+    holding = Counter(w for _, t in texts for w in plain([(0, (t or "").replace("Ü", "u"))])[0][0])
+    assert {r.term: r.df for r in stats.collect()} == holding
+    for some in (docs, docs.filter("ord > 1 AND ord <> 5")):  # with and without repeated keys
+        want = Counter()
+        for r in some.collect():
+            for w, n in Counter(x for x in re.split(r"[\W\d_]+", re.sub("<[^>]+>", " ", (r.text or "").lower()).translate(str.maketrans("éü", "eu"))) if x).items():
+                want[r.ord, w] += n
+        for frequent in (0, 50_000):
+            assert {(r.ord, r.term): r.tf for r in E.term_weights(some, "ord", "text", stats, frequent).collect()} == dict(want)
+
+
+def test_words_of_a_text_are_counted_where_it_lies(spark):
+    docs = spark.createDataFrame(TEXTS, "ord long, text string")
+    counts = E.word_counts(docs, "ord")
+    plan = E.term_weights(docs, "ord", "text", E.fit(docs, counts=counts), counts=counts)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(ord" not in plan and "Generate" not in plan and "MapInArrow" not in plan
+    assert {(r.ord, r.term): r.tf for r in counts.collect()} == {(i, w): n for i, t in TEXTS for w, n in Counter(re.findall("[a-z]+", re.sub("<[^>]+>", " ", (t or "").lower()).replace("é", "e"))).items()}
+
+
 def test_projection_estimates_the_cosine(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").limit(150)
     E.save(E.fit(docs), str(tmp_path / "stats"))
