@@ -38,8 +38,8 @@ PART = 2_000_000
 LEAST_PARTS = 16
 #: Occurrences of a posting, and bytes of texts that are cut at a time.
 ROW, BLOCK = 256, 4 << 20
-#: Texts, and postings of them for each part, that say where parts begin.
-TEXTS, SAMPLE = 5000, 200
+#: Texts that say where parts begin, and about as many of their postings, at most: of them all, and of each part where that is more.
+TEXTS, SAMPLE, EACH = 5000, 100_000, 200
 WORD, OTHER = f"{WORD_CLASS}+", f"[^{WORD_CLASS[1:-1]}]*"
 HIT = ["ord", "field"]
 POSTING = "term string, gap string, first long, n int, ord array<long>, pos array<int>, part int"
@@ -83,9 +83,10 @@ def _edges(df: DataFrame, fields: Sequence[str], key: str, parts: int | None) ->
     """Where parts of about as many occurrences each begin, and the number of parts, by the postings of some texts."""
     share = min(1.0, TEXTS / max(1, df.count()))
     some = cut(postings(df.sample(share, seed=1), fields, key).select("term", F.col("first"), "n"), "sample")
-    rows, n = some.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    n = some.agg(F.sum("n").alias("n")).first().n or 0
     parts = parts or max(LEAST_PARTS, -(-int(n / share) // PART))
-    few = sorted(tuple(r) for r in some.sample(min(1.0, SAMPLE * parts / max(1, rows)), seed=1).collect())
+    chance = min(1.0, max(SAMPLE, EACH * parts) / max(1, n))  # of an occurrence: postings of many are always there, so frequent words keep their weight
+    few = sorted((r.term, r.first, max(r.n, 1 / chance)) for r in some.filter(F.rand(1) < F.col("n") * chance).toLocalIterator())
     upto = np.cumsum([n for *_, n in few])
     return [few[i][:2] for i in np.searchsorted(upto, upto[-1] * np.arange(1, parts) / parts)] if few else [], parts
 
