@@ -5,6 +5,7 @@ import random
 import re
 
 import regex
+from pyspark.sql import functions as F
 
 from curata.llm import catalog, decontaminate as D
 
@@ -144,6 +145,40 @@ def test_long_and_repeated_items_are_dealt_in_pieces(spark, monkeypatch):
         assert {k: m for k, (m, _) in got.items()} == want and all(n == {1: 400, 2: 100, 3: 50}[i] for (_, i), (_, n) in got.items())
 
 
+def test_rows_of_positions_join_up(spark, monkeypatch):
+    """Passages, long and short, that lie across the edges of a document's rows."""
+    monkeypatch.setattr(D, "ROW", 16)
+    rng = random.Random(9)
+    item, short = [f"w{rng.randrange(60)}" for _ in range(45)], [f"s{i}" for i in range(8)]
+    docs, want_short = [], set()
+    for k in range(60):
+        at, n = rng.randrange(0, 32), rng.randrange(11, 46)
+        part = item[at:at + n]
+        for _ in range(rng.randrange(3)):
+            part[rng.randrange(len(part))] = "other"
+        quoted = short[:6] + ["other"] * (k % 3) + short[6 + k % 3:]
+        docs.append((k, " ".join([f"x{k}"] * k + part + [f"y{k}"] * (k % 5) + quoted + ["z"] * (k % 7))))
+        want_short |= {(k, 2)} if k % 3 < 2 else set()
+    items = [(1, " ".join(item)), (2, " ".join(short)), (3, " ".join(item))]
+    want = plain(docs, items[::2])
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for per_pass in (D.SEEDS_PER_PASS, 100):
+        got = {(r.doc_id, r.item_id): r.matched for r in D.overlaps(df, bench, per_pass=per_pass).collect()}
+        assert {k: m for k, m in got.items() if k[1] != 2} == want and {k for k in got if k[1] == 2} == want_short
+
+
+def test_hits_do_not_carry_their_document(spark):
+    """A document of 80,000 tokens that quotes an item 2000 times: with its whole array in each hit they would take over 100 GB."""
+    item = [f"w{i}" for i in range(40)]
+    df = spark.createDataFrame([(1, " ".join(item * 2000)), (2, "nothing here " * 20)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, " ".join(item)), (9, "w1 w2 w3")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.matched) for r in D.overlaps(df, bench).collect()} == {(1, 7, 13), (1, 8, 13), (1, 9, 3)}
+    own = df.select("doc_id", F.lit(0).alias("text_hash"), D.token_hashes(F.col("text")).alias("tokens"))
+    long = bench.filter("item_id = 7").select(F.col("item_id").alias("item"), D.token_hashes(F.col("text")).alias("theirs"))
+    sizes = D.first_hits(own, long).select(F.size("near")).toPandas()
+    assert sizes.iloc[:, 0].max() < 3 * D.WINDOW and len(sizes) <= 4 * 2000 * len(D.MASKS)
+
+
 def test_unspaced_blocks_hold_the_scripts():
     blocks = re.compile("[" + re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), re.sub(r"\\u([0-9A-F]{4})", lambda m: chr(int(m[1], 16)), D.UNSPACED)) + "]")
     scripts = regex.compile("[" + "".join(rf"\p{{{x}}}" for x in ("Han", "Hiragana", "Katakana", "Bopomofo", "Yi", "Thai", "Lao", "Khmer", "Myanmar")) + "]")
